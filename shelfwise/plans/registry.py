@@ -1,16 +1,119 @@
+"""Every query by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfwise.operators import risk
 from shelfwise.operators.quality import SALES, quarantined_sales
-from shelfwise.plans import gold
-from shelfwise.sources.star import raw_sales, fact_sales
+from shelfwise.plans import command, dashboard, docs, gold, learned, personas, serving, streams
 from shelfwise.sources.inventory import fact_inventory
-QUERIES = {
- "fact_sales": fact_sales,
- "inventory": fact_inventory,
- "dq_silver": gold.silver,
- "dq_quarantine": lambda t: quarantined_sales(raw_sales(t)),
- "dq_rule_metrics": lambda t: SALES.metrics(raw_sales(t)),
- "sales_curated": lambda t: gold.curated(t, with_recent=True),
- "sales_daily": lambda t: gold.sales_daily(gold.curated(t)),
- "region_daily": lambda t: gold.region_daily(gold.curated(t)),
- "national_daily": lambda t: gold.national_daily(gold.curated(t)),
- "sales_serving": lambda t: gold.sales_serving(t, gold.curated(t)),
+from shelfwise.sources.star import SURGE_BRANDS, Tables, dim_product, fact_sales, raw_sales
+
+Plan = Callable[[Tables], DataFrame]
+
+
+def _expiry_label(t: Tables) -> DataFrame:
+    labelled = risk.with_forward_label(risk.expiry_features(fact_inventory(t), dim_product(t)))
+    return labelled.select("dc_id", "product_id", "day_idx", *risk.FEATURES, "label")
+
+
+def _what_if(t: Tables) -> DataFrame:
+    latest = risk.expiry_features(dashboard.latest_inventory(t), dim_product(t))
+    return risk.what_if(latest).select("dc_id", "product_id", *risk.WHAT_IF_LEVELS, "points", "risk", "severity")
+
+
+def _tracked_skus(t: Tables) -> DataFrame:
+    must = F.col("brand").isin(*SURGE_BRANDS) | (F.col("shelf_life_days") <= 270)
+    tracked = risk.tracked_skus(dim_product(t), fact_sales(t, ["product_id", "units_ordered"]), must, 40)
+    return tracked.select("product_id", "brand", "division", "shelf_life_days", "volume", "is_must")
+
+
+QUERIES: dict[str, Plan] = {
+    # sources
+    "fact_sales": fact_sales,
+    "fact_inventory": fact_inventory,
+    # quality and gold
+    "dq_silver": gold.silver,
+    "dq_quarantine": lambda t: quarantined_sales(raw_sales(t)),
+    "dq_rule_metrics": lambda t: SALES.metrics(raw_sales(t)),
+    "sales_curated": lambda t: gold.curated(t, with_recent=True),
+    "sales_daily": lambda t: gold.sales_daily(gold.curated(t)),
+    "region_daily": lambda t: gold.region_daily(gold.curated(t)),
+    "national_daily": lambda t: gold.national_daily(gold.curated(t)),
+    "sales_serving": serving.serving_rows,
+    "serving_pk_check": serving.serving_pk_check,
+    # operational reads
+    "national_kpis": serving.national_kpis,
+    "national_trend": serving.national_trend,
+    "region_latest": serving.region_latest,
+    "region_trend": serving.region_trend,
+    "product_risk": serving.product_risk,
+    "risk_worklist": serving.risk_worklist,
+    "open_worklist": serving.open_worklist,
+    "division_mix": serving.division_mix,
+    "backorder_feed": serving.backorder_feed,
+    "search_rows": serving.search_rows,
+    "decision_validate": serving.decision_validate,
+    "decision_log_recent": serving.decision_log_recent,
+    # governance
+    "persona_summary": personas.summary,
+    "persona_summary_admin": partial(personas.summary, persona=personas.ADMIN),
+    "persona_summary_unknown": partial(personas.summary, persona=personas.UNKNOWN),
+    "persona_accounts": personas.accounts,
+    "persona_accounts_admin": partial(personas.accounts, persona=personas.ADMIN),
+    "persona_sales": personas.sales_by_region,
+    "persona_sales_analyst": partial(personas.sales_by_region, persona=personas.ANALYST),
+    "governed_accounts": personas.governed_accounts,
+    "governed_sales": personas.governed_sales,
+    "whoami": personas.whoami,
+    "tag_report": personas.tag_report,
+    "lineage_edges": personas.lineage_edges,
+    # metric views and dashboard
+    **{name: dashboard.grain(name) for name in dashboard.GRAINS},
+    "dash_filtered": dashboard.filtered,
+    "dash_risk_worklist": dashboard.risk_worklist,
+    "dash_dc_map": dashboard.dc_map,
+    "dash_forecast": dashboard.forecast_chart,
+    # worked questions
+    "nl_revenue_fill_region": dashboard.revenue_fill_region,
+    "nl_stockout_region": dashboard.stockout_region,
+    "nl_at_risk_division": dashboard.at_risk_division,
+    "nl_expiry_skus": dashboard.expiry_skus,
+    "nl_fill_otc_region": dashboard.fill_otc_region,
+    "nl_demand_brand": dashboard.demand_brand,
+    # command centre
+    "cc_national_snapshot": command.national_snapshot,
+    "cc_worst_region": command.worst_region,
+    "cc_region_ranking": command.region_ranking,
+    "cc_top_risk": command.top_risk,
+    "cc_risk_by_region": command.risk_by_region,
+    "cc_alerts": command.alerts,
+    "cc_map_points": command.map_points,
+    # risk and forecast
+    "stockout_last14": lambda t: risk.recent_stockouts(fact_inventory(t)),
+    "expiry_label": _expiry_label,
+    "whatif_risk": _what_if,
+    "tracked_skus": _tracked_skus,
+    "demand_features": serving.demand_features,
+    "forecast_rounded": serving.forecast_rounded,
+    "forecast_by_region": serving.forecast_by_region,
+    "forecast_naive_eval": serving.forecast_naive_eval,
+    "expiry_model_scores": learned.expiry_model_scores,
+    "demand_forecast": learned.demand_forecast,
+    # documents
+    "doc_elements": docs.doc_elements,
+    "doc_text": docs.doc_text,
+    "doc_page": docs.doc_page,
+    "doc_fields": docs.doc_fields,
+    "doc_type_counts": docs.doc_type_counts,
+    "doc_field_match": docs.doc_field_match,
+    # streaming
+    "stream_dq_silver": streams.silver,
+    "stream_quarantine": streams.quarantine,
+    "incremental_cycle": streams.incremental_cycle,
 }

@@ -44,6 +44,27 @@ _FROM_SUPPLIER = {"dc_id"}
 _FROM_PART = {"division", "brand", "category"}
 
 
+# The schemas of the given tables, stated so that no job has to read footers to find them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 class Tables:
     """The given tables by name, read lazily."""
 
@@ -52,7 +73,8 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -83,11 +105,15 @@ def order_headers(t: Tables, with_customer: bool) -> DataFrame:
 
 
 def sales_lines(t: Tables, columns: Iterable[str]) -> DataFrame:
-    """Order lines joined to the tables that the wanted sales columns come from."""
+    """Order lines joined to the tables that the wanted sales columns come from.
+
+    Lines and orders both grow with the data, so they meet in a sort-merge join: it spills, adaptive execution can
+    split a hot order key, and the size guesses of an unanalyzed join cannot turn the lines into a broadcast. All
+    other joins are left to Spark, which broadcasts a dimension only while its size is under the threshold.
+    """
     wanted = set(columns)
-    lines = t.lineitem.join(
-        order_headers(t, bool(wanted & _FROM_CUSTOMER)), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    headers = order_headers(t, bool(wanted & _FROM_CUSTOMER))
+    lines = t.lineitem.join(headers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     if wanted & _FROM_SUPPLIER:
         lines = lines.join(
             t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left"
@@ -103,50 +129,54 @@ _UNITS = "cast(l_quantity AS bigint)"
 _PRICE = f"cast(round(l_extendedprice * 100) AS bigint) div nullif({_UNITS}, 0)"
 _DISCOUNT_PCT = "cast(round(l_discount * 100) AS bigint)"
 
-# Sales columns in dependency order: a later one may use the earlier ones.
-_SALES_EXPRS = {
-    "sale_id": "concat('SAL-', l_orderkey, '-', l_linenumber)",
-    "product_id": "concat('SKU-', l_partkey)",
-    "outlet_id": "concat('OUT-', o_custkey)",
-    "account_id": "concat('ACC-', o_custkey)",
-    "dc_id": "concat('DC-', s_nationkey)",
-    "region": "r_name",
-    "province": "n_name",
-    "city": "n_name",
-    "division": f"CASE WHEN p_type IS NULL THEN NULL ELSE {DIVISION} END",
-    "brand": "p_brand",
-    "category": "p_type",
-    "order_ts": "o_orderdate",
-    "status": STATUS,
-    "channel": f"CASE WHEN c_mktsegment IS NULL THEN NULL ELSE {CHANNEL} END",
-    "units_ordered": _UNITS,
-    "unit_price_idr": _PRICE,
-    "promo_flag": f"cast({_DISCOUNT_PCT} >= 8 AS int)",
-    "ship_ts": "CASE WHEN status IN ('backorder', 'cancelled') THEN NULL ELSE l_shipdate END",
-    "units_fulfilled": (
-        "CASE status WHEN 'fulfilled' THEN units_ordered WHEN 'partial' THEN units_ordered div 2 ELSE 0L END"
-    ),
-    "gross_idr": "units_ordered * unit_price_idr",
-    "discount_idr": f"CASE WHEN promo_flag = 1 THEN gross_idr * {_DISCOUNT_PCT} div 100 ELSE 0L END",
-    "net_idr": "greatest(0L, units_fulfilled * unit_price_idr - discount_idr)",
+# Sales columns in layers: a layer uses the columns of the ones before it.
+_SALES_LAYERS = (
+    {
+        "sale_id": "concat('SAL-', l_orderkey, '-', l_linenumber)",
+        "product_id": "concat('SKU-', l_partkey)",
+        "outlet_id": "concat('OUT-', o_custkey)",
+        "account_id": "concat('ACC-', o_custkey)",
+        "dc_id": "concat('DC-', s_nationkey)",
+        "region": "r_name",
+        "province": "n_name",
+        "city": "n_name",
+        "division": f"CASE WHEN p_type IS NULL THEN NULL ELSE {DIVISION} END",
+        "brand": "p_brand",
+        "category": "p_type",
+        "order_ts": "o_orderdate",
+        "status": STATUS,
+        "channel": f"CASE WHEN c_mktsegment IS NULL THEN NULL ELSE {CHANNEL} END",
+        "units_ordered": _UNITS,
+        "unit_price_idr": _PRICE,
+        "promo_flag": f"cast({_DISCOUNT_PCT} >= 8 AS int)",
+    },
+    {
+        "ship_ts": "CASE WHEN status IN ('backorder', 'cancelled') THEN NULL ELSE l_shipdate END",
+        "units_fulfilled": (
+            "CASE status WHEN 'fulfilled' THEN units_ordered WHEN 'partial' THEN units_ordered div 2 ELSE 0L END"
+        ),
+        "gross_idr": "units_ordered * unit_price_idr",
+    },
+    {"discount_idr": f"CASE WHEN promo_flag = 1 THEN gross_idr * {_DISCOUNT_PCT} div 100 ELSE 0L END"},
+    {"net_idr": "greatest(0L, units_fulfilled * unit_price_idr - discount_idr)"},
+)
+_SALES_INPUTS = {
+    "ship_ts": {"status"},
+    "units_fulfilled": {"status", "units_ordered"},
+    "gross_idr": {"units_ordered", "unit_price_idr"},
+    "discount_idr": {"promo_flag", "gross_idr", "units_ordered", "unit_price_idr"},
+    "net_idr": {
+        "units_fulfilled", "status", "unit_price_idr", "discount_idr", "promo_flag", "gross_idr", "units_ordered",
+    },
 }
 
 
 def _with_sales_columns(lines: DataFrame, wanted: set[str]) -> DataFrame:
-    needs = {
-        "ship_ts": {"status"},
-        "units_fulfilled": {"status", "units_ordered"},
-        "gross_idr": {"units_ordered", "unit_price_idr"},
-        "discount_idr": {"promo_flag", "gross_idr"},
-        "net_idr": {"units_fulfilled", "unit_price_idr", "discount_idr"},
-    }
-    todo = set(wanted)
-    for name in reversed(_SALES_EXPRS):
-        if name in todo:
-            todo |= needs.get(name, set())
-    for name, text in _SALES_EXPRS.items():
-        if name in todo:
-            lines = lines.withColumn(name, F.expr(text))
+    todo = wanted.union(*[_SALES_INPUTS.get(c, set()) for c in wanted])
+    for layer in _SALES_LAYERS:
+        columns = {name: F.expr(text) for name, text in layer.items() if name in todo}
+        if columns:
+            lines = lines.withColumns(columns)
     return lines
 
 
