@@ -38,6 +38,16 @@ def plain_ratio(num: str, den: str) -> str:
     return f"cast({num} AS double) / nullif(cast({den} AS double), 0D)"
 
 
+def exact_mean(column: str, digits: int) -> str:
+    """Mean of a column with at most `digits` decimals, summed as integers: doubles would add up differently with
+    every partitioning."""
+    scale = 10**digits
+    return (
+        f"cast(sum(cast(round({column} * {scale}) AS bigint)) AS double) "
+        f"/ nullif(cast(count({column}) * {scale} AS double), 0D)"
+    )
+
+
 IS_STOCKOUT = in_list("status", STOCKOUT_STATUSES)
 
 # Revenue at risk, row level: the unfilled units of a stockout order at its price.

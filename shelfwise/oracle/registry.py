@@ -5,13 +5,21 @@ from __future__ import annotations
 from shelfwise.operators.documents import (
     BLOCK_TAGS, ELEMENT_TYPES, ENTITIES, FIELD_PATTERNS, NO_TEXT, NORMALISED_AWAY,
 )
-from shelfwise.oracle.ctes import plain_ratio, ratio, scaled, with_ctes
+from shelfwise.oracle.ctes import SALES, plain_ratio, ratio, scaled, with_ctes
 
 RULES = ("valid_product", "valid_region", "valid_units", "valid_status", "valid_price", "valid_order_ts")
 EXTRA: dict[str, str] = {}
 FINAL: dict[str, str] = {}
 
 
+def _mean(column: str, digits: int) -> str:
+    scale = 10**digits
+    return (
+        f"CAST(CAST(sum(CAST(round({column} * {scale}) AS BIGINT)) AS BIGINT) AS DOUBLE) "
+        f"/ nullif(CAST(count({column}) * {scale} AS DOUBLE), 0)"
+    )
+
+
 def _i(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
 
@@ -23,6 +31,22 @@ def _mean4(column: str) -> str:
 
 # ---- sources, quality, gold ------------------------------------------------------------------------------------
 FINAL["fact_sales"] = "SELECT * FROM fact_sales"
+FINAL["dim_product"] = "SELECT * FROM dim_product"
+FINAL["dim_account"] = "SELECT * FROM dim_account"
+FINAL["dim_distribution_center"] = "SELECT *, city AS province FROM dim_dc"
+FINAL["dim_outlet"] = """
+SELECT 'OUT-' || c_custkey AS outlet_id, 'Outlet ' || c_custkey AS outlet_name,
+       CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'distributor'
+            WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'modern_trade' ELSE 'direct' END AS outlet_type,
+       n_name AS city, n_name AS province, r_name AS region, 'DC-' || c_nationkey AS dc_id
+FROM customer LEFT JOIN geo ON c_nationkey = n_nationkey"""
+FINAL["raw_sales_resent"] = f"""
+SELECT * FROM raw_sales
+UNION ALL
+SELECT * FROM raw_sales WHERE substring(md5(concat_ws('|', {SALES})), 1, 8) < '028f5c29'"""
+FINAL["dash_filter_values"] = """
+SELECT DISTINCT 'region' AS "filter", region AS "value" FROM fact_sales WHERE region IS NOT NULL
+UNION ALL SELECT DISTINCT 'division', division FROM fact_sales WHERE division IS NOT NULL"""
 FINAL["fact_inventory"] = "SELECT * FROM inventory"
 FINAL["dq_silver"] = FINAL["stream_dq_silver"] = "SELECT * FROM silver"
 FINAL["dq_quarantine"] = FINAL["stream_quarantine"] = "SELECT * FROM quarantine"
@@ -343,9 +367,9 @@ count(*) FILTER (status = 'backorder') AS backorder_orders, count(*) FILTER (sta
 count(DISTINCT product_id) AS unique_skus"""
 _STOCK_MEASURES = f"""
 count(*) AS readings, {_i('sum(on_hand_units)')} AS on_hand_units, {_i('sum(in_transit_units)')} AS in_transit_units,
-{_i('sum(at_risk_expiry_units)')} AS at_risk_expiry_units, round(avg(expiry_risk_score), 6) AS avg_expiry_risk_score,
-{plain_ratio('sum(stockout_flag)', 'count(*)')} AS stockout_rate, round(avg(days_of_supply), 6) AS avg_days_of_supply,
-round(avg(days_to_expiry), 6) AS avg_days_to_expiry, round(avg(avg_daily_demand), 6) AS avg_daily_demand,
+{_i('sum(at_risk_expiry_units)')} AS at_risk_expiry_units, {_mean('expiry_risk_score', 3)} AS avg_expiry_risk_score,
+{plain_ratio('sum(stockout_flag)', 'count(*)')} AS stockout_rate, {_mean('days_of_supply', 2)} AS avg_days_of_supply,
+{_mean('days_to_expiry', 0)} AS avg_days_to_expiry, {_mean('avg_daily_demand', 1)} AS avg_daily_demand,
 count(DISTINCT CASE WHEN expiry_risk_score > 0.7 THEN product_id END) AS skus_at_expiry_risk,
 count(DISTINCT dc_id || '|' || product_id) AS sku_dcs"""
 FINAL["metric_sales_by_region"] = f"SELECT region, {_SALES_MEASURES} FROM fact_sales GROUP BY region"
@@ -385,12 +409,12 @@ FINAL["dash_units_region"] = f"SELECT region, {_i('sum(units_ordered)')} AS unit
 FINAL["dash_inventory_counters"] = f"""
 SELECT count(*) AS readings,
        count(DISTINCT CASE WHEN expiry_risk_score > 0.7 THEN dc_id || '|' || product_id END) AS skus_at_expiry_risk,
-       {_i('sum(at_risk_expiry_units)')} AS at_risk_expiry_units, round(avg(days_of_supply), 6) AS avg_days_of_supply
+       {_i('sum(at_risk_expiry_units)')} AS at_risk_expiry_units, {_mean('days_of_supply', 2)} AS avg_days_of_supply
 FROM inventory"""
 _RATE = plain_ratio("sum(stockout_flag)", "count(*)")
 FINAL["dash_daily_stockout_region"] = f"SELECT reading_date, region, {_RATE} AS stockout_rate FROM inventory GROUP BY ALL"
 FINAL["dash_expiry_division"] = (
-    "SELECT division, round(avg(expiry_risk_score), 6) AS avg_expiry_risk FROM inventory GROUP BY ALL"
+    f"SELECT division, {_mean('expiry_risk_score', 3)} AS avg_expiry_risk FROM inventory GROUP BY ALL"
 )
 FINAL["dash_stockout_region"] = f"SELECT region, {_RATE} AS stockout_rate FROM inventory GROUP BY ALL"
 EXTRA["flagged"] = """

@@ -54,16 +54,30 @@ def filtered(t: Tables) -> DataFrame:
     return ds_sales(t).query(
         measures=_COUNTERS,
         where=[
-            last_days(t, "to_date(order_ts)", 365),
+            last_days(t, "order_ts", 365),
             "region IN ('ASIA', 'EUROPE')",
             "division IN ('Pharma-OTC', 'Consumer-Health')",
         ],
     )
 
 
+def filter_values(t: Tables) -> DataFrame:
+    """What the filter widgets offer: every region and division that occurs."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("filter"), F.col(c).alias("value")) for c in ("region", "division")]
+    )
+    return (
+        fact_sales(t, ["region", "division"])
+        .select(F.inline(pairs))
+        .filter(F.col("value").isNotNull())
+        .distinct()
+        .orderBy("filter", "value")
+    )
+
+
 def latest_inventory(t: Tables) -> DataFrame:
     """Readings of the newest day. The panel ends on the newest order's day, which the filter states."""
-    return fact_inventory(t).filter(F.col("reading_date") == F.to_date(t.clock()))
+    return fact_inventory(t).filter(F.col("reading_date") == t.today())
 
 
 def _names(t: Tables) -> DataFrame:
@@ -115,8 +129,7 @@ def forecast_chart(t: Tables) -> DataFrame:
 
 
 def _recent_sales(t: Tables, columns, days: int = 30) -> DataFrame:
-    sales = fact_sales(t, ["order_ts", *columns])
-    return sales.filter(F.to_date("order_ts") >= F.date_sub(F.to_date(t.clock()), days))
+    return fact_sales(t, ["order_ts", *columns]).filter(F.col("order_ts") >= t.midnight(days))
 
 
 _FILL3 = ratio("sum(units_fulfilled)", "sum(units_ordered)", 3)
@@ -132,7 +145,7 @@ def revenue_fill_region(t: Tables) -> DataFrame:
 
 
 def stockout_region(t: Tables) -> DataFrame:
-    recent = fact_inventory(t).filter(F.col("reading_date") >= F.date_sub(F.to_date(t.clock()), 30))
+    recent = fact_inventory(t).filter(F.col("reading_date") >= F.date_sub(t.today(), 30))
     return (
         recent.groupBy("region")
         .agg(

@@ -28,15 +28,15 @@ SERVING_KEYS = {
 }
 
 
-def curated_from(silver: DataFrame, now: Column | None = None) -> DataFrame:
-    """One row per sale with its date, stockout flag and revenue at risk; `now` adds the 30-day flag."""
+def curated_from(silver: DataFrame, recent_since: Column | None = None) -> DataFrame:
+    """One row per sale with its date, stockout flag and revenue at risk; `recent_since` adds the 30-day flag."""
     derived = {
         "sales_date": F.to_date("order_ts"),
         "is_stockout": F.expr(IS_STOCKOUT),
         "revenue_at_risk_idr": F.expr(AT_RISK_UNFILLED),
     }
-    if now is not None:
-        derived["is_recent_30d"] = F.col("order_ts") >= now - F.expr("INTERVAL 30 DAYS")
+    if recent_since is not None:
+        derived["is_recent_30d"] = F.col("order_ts") >= recent_since
     return first_per_key(silver, ["sale_id"], _DEDUP_ORDER).withColumns(derived)
 
 
@@ -45,7 +45,7 @@ def silver(t: Tables) -> DataFrame:
 
 
 def curated(t: Tables, with_recent: bool = False) -> DataFrame:
-    return curated_from(silver(t), t.clock() if with_recent else None)
+    return curated_from(silver(t), t.clock(days_back=30) if with_recent else None)
 
 
 def _kpis() -> dict[str, Column]:
@@ -96,7 +96,7 @@ def national_daily(sales: DataFrame) -> DataFrame:
 
 def sales_serving(t: Tables, sales: DataFrame) -> DataFrame:
     """Sales of the last 45 days with the product name and no personal data."""
-    recent = sales.filter(F.col("sales_date") >= F.date_sub(F.to_date(t.clock()), 45))
+    recent = sales.filter(F.col("order_ts") >= t.midnight(45))
     names = dim_product(t).select("product_id", "product_name")
     return recent.join(names, "product_id", "left").select(
         "sale_id", "order_ts", "sales_date", "region", "province", "city", "dc_id", "division", "brand", "category",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, IS_STOCKOUT, plain_ratio
+from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, IS_STOCKOUT, exact_mean, plain_ratio
 from shelfwise.operators.metrics import MetricView
 from shelfwise.sources.inventory import fact_inventory
 from shelfwise.sources.star import SALES_COLUMNS, Tables, dim_product, fact_sales
@@ -20,11 +18,6 @@ _STOCKOUT_ORDERS = plain_ratio(f"count_if({IS_STOCKOUT})", "count(1)")
 _STOCKOUT_READINGS = plain_ratio("sum(stockout_flag)", "count(1)")
 
 
-def _average(column: str) -> str:
-    """Mean to six decimals: the order in which doubles are added must not show."""
-    return f"round(avg({column}), 6)"
-
-
 def _flagged(key: str) -> str:
     return f"count(DISTINCT CASE WHEN expiry_risk_score > {EXPIRY_FLAG_ABOVE}D THEN {key} END)"
 
@@ -80,11 +73,11 @@ def inventory_risk_metrics(t: Tables) -> MetricView:
             "on_hand_units": "sum(on_hand_units)",
             "in_transit_units": "sum(in_transit_units)",
             "at_risk_expiry_units": "sum(at_risk_expiry_units)",
-            "avg_expiry_risk_score": _average("expiry_risk_score"),
+            "avg_expiry_risk_score": exact_mean("expiry_risk_score", 3),
             "stockout_rate": _STOCKOUT_READINGS,
-            "avg_days_of_supply": _average("days_of_supply"),
-            "avg_days_to_expiry": _average("days_to_expiry"),
-            "avg_daily_demand": _average("avg_daily_demand"),
+            "avg_days_of_supply": exact_mean("days_of_supply", 2),
+            "avg_days_to_expiry": exact_mean("days_to_expiry", 0),
+            "avg_daily_demand": exact_mean("avg_daily_demand", 1),
             "skus_at_expiry_risk": _flagged("product_id"),
             "sku_dcs": "count(DISTINCT concat(dc_id, '|', product_id))",
         },
@@ -144,14 +137,14 @@ def ds_inventory(t: Tables) -> MetricView:
         measures={
             "readings": "count(1)",
             "stockout_rate": _STOCKOUT_READINGS,
-            "avg_days_of_supply": _average("days_of_supply"),
-            "avg_expiry_risk": _average("expiry_risk_score"),
+            "avg_days_of_supply": exact_mean("days_of_supply", 2),
+            "avg_expiry_risk": exact_mean("expiry_risk_score", 3),
             "at_risk_expiry_units": "sum(at_risk_expiry_units)",
             "skus_at_expiry_risk": _flagged("concat(dc_id, '|', product_id)"),
         },
     )
 
 
-def last_days(t: Tables, expression: str, days: int):
-    """A `where` entry: the date expression lies within `days` days before the newest order."""
-    return (expression, lambda day: day >= F.date_sub(F.to_date(t.clock()), days))
+def last_days(t: Tables, column: str, days: int):
+    """A `where` entry: the timestamp lies on one of the `days` days before the newest order's day, or on that day."""
+    return (column, lambda ts: ts >= t.midnight(days))

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import risk
 from shelfwise.operators.quality import SALES, quarantined_sales
+from shelfwise.operators.sampling import with_resent
 from shelfwise.plans import command, dashboard, docs, gold, learned, personas, serving, streams
 from shelfwise.sources.inventory import fact_inventory
-from shelfwise.sources.star import SURGE_BRANDS, Tables, dim_product, fact_sales, raw_sales
+from shelfwise.sources.star import (
+    SALES_COLUMNS, SURGE_BRANDS, Tables, dim_account, dim_distribution_center, dim_outlet, dim_product, fact_sales,
+    raw_sales,
+)
 
 Plan = Callable[[Tables], DataFrame]
 
@@ -37,6 +41,11 @@ QUERIES: dict[str, Plan] = {
     # sources
     "fact_sales": fact_sales,
     "fact_inventory": fact_inventory,
+    "dim_product": dim_product,
+    "dim_outlet": dim_outlet,
+    "dim_account": dim_account,
+    "dim_distribution_center": dim_distribution_center,
+    "raw_sales_resent": lambda t: with_resent(raw_sales(t), SALES_COLUMNS),
     # quality and gold
     "dq_silver": gold.silver,
     "dq_quarantine": lambda t: quarantined_sales(raw_sales(t)),
@@ -76,6 +85,7 @@ QUERIES: dict[str, Plan] = {
     # metric views and dashboard
     **{name: dashboard.grain(name) for name in dashboard.GRAINS},
     "dash_filtered": dashboard.filtered,
+    "dash_filter_values": dashboard.filter_values,
     "dash_risk_worklist": dashboard.risk_worklist,
     "dash_dc_map": dashboard.dc_map,
     "dash_forecast": dashboard.forecast_chart,

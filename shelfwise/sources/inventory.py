@@ -20,7 +20,7 @@ LAST_DAY = HISTORY_DAYS - 1
 def daily_moves(t: Tables) -> DataFrame:
     """Units ordered per centre, SKU and day of the window. Sums before the shuffle, so no SKU runs hot."""
     recent = t.orders.select("o_orderkey", "o_orderdate").filter(
-        F.col("o_orderdate") > t.clock() - F.expr(f"INTERVAL {HISTORY_DAYS} DAYS")
+        F.col("o_orderdate") > t.clock(days_back=HISTORY_DAYS)
     )
     return (
         t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
@@ -33,7 +33,6 @@ def daily_moves(t: Tables) -> DataFrame:
 
 def fact_inventory(t: Tables) -> DataFrame:
     """Stock readings, one row per centre x SKU x day."""
-    as_of = t.orders.agg(F.to_date(F.max("o_orderdate"))).scalar()
     # A pair has at most 90 daily sums, so a pair's list of moves is bounded whatever the volume behind it. The
     # explicit partition count keeps adaptive coalescing from sizing tasks by this small input: it grows 90-fold.
     stocked = (
@@ -48,7 +47,7 @@ def fact_inventory(t: Tables) -> DataFrame:
         .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     spine = (
-        stocked.withColumn("as_of", as_of)
+        stocked.withColumn("as_of", t.today())
         .withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(LAST_DAY))))
         .withColumn("reading_day", F.expr(f"date_add(as_of, day_idx - {LAST_DAY})"))
         .withColumn("demand", F.expr("coalesce(moves[reading_day], 0L)"))

@@ -88,9 +88,21 @@ class Tables:
             "n_nationkey", "n_name", "r_name"
         )
 
-    def clock(self) -> Column:
-        """Newest order date of the feed, as a scalar subquery; stands in for the wall clock."""
-        return self.orders.agg(F.max("o_orderdate")).scalar()
+    def clock(self, days_back: int = 0) -> Column:
+        """Newest order time of the feed, or that many days earlier; stands in for the wall clock.
+
+        A scalar subquery that holds the whole bound, so a comparison with it is a plain column-to-value filter.
+        """
+        return self.orders.agg(F.max("o_orderdate") - F.expr(f"INTERVAL {days_back} DAYS")).scalar()
+
+    def today(self) -> Column:
+        """Date of the newest order."""
+        return self.orders.agg(F.to_date(F.max("o_orderdate"))).scalar()
+
+    def midnight(self, days_back: int) -> Column:
+        """Start of the day that lies `days_back` days before the newest order's day."""
+        start = F.date_sub(F.to_date(F.max("o_orderdate")), days_back).cast("timestamp_ntz")
+        return self.orders.agg(start).scalar()
 
 
 def order_headers(t: Tables, with_customer: bool) -> DataFrame:

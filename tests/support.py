@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-import pandas as pd
+import duckdb
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -29,40 +30,18 @@ def local_session(cpus: str | None = None) -> SparkSession:
     return spark
 
 
-def _plain(value):
-    if value is None or (not isinstance(value, (list, tuple, dict)) and pd.api.types.is_scalar(value) and pd.isna(value)):
+def tables_equal(con: duckdb.DuckDBPyConnection, got: pa.Table, sql: str) -> str | None:
+    """None if the table holds the rows of the SQL in any order, else what differs."""
+    con.register("got", got)
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want AS {sql}")
+    columns = sorted(got.column_names)
+    expected = sorted(row[0] for row in con.execute("DESCRIBE want").fetchall())
+    if columns != expected:
+        return f"columns {columns} != {expected}"
+    texts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in columns)
+    rows = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("got", "want")}
+    extra = con.execute(f"SELECT {texts} FROM got EXCEPT ALL SELECT {texts} FROM want ORDER BY ALL LIMIT 1").fetchall()
+    missing = con.execute(f"SELECT {texts} FROM want EXCEPT ALL SELECT {texts} FROM got ORDER BY ALL LIMIT 1").fetchall()
+    if rows["got"] == rows["want"] and not extra and not missing:
         return None
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, (list, tuple)):
-        return tuple(_plain(v) for v in value)
-    if isinstance(value, dict):
-        return tuple((k, _plain(v)) for k, v in value.items())
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, int):
-        return value
-    if isinstance(value, float):
-        return int(value) if value.is_integer() else repr(value)
-    if isinstance(value, (pd.Timestamp,)) or hasattr(value, "isoformat"):
-        return pd.Timestamp(value).isoformat()
-    return value
-
-
-def frames_equal(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
-    """None if both hold the same rows in any order, else what differs."""
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
-    if len(got) != len(want):
-        return f"row count {len(got)} != {len(want)}"
-    columns = sorted(got.columns)
-
-    def rows(frame):
-        plain = [[_plain(v) for v in frame[c].tolist()] for c in columns]
-        return sorted(zip(*plain), key=repr)
-
-    for a, b in zip(rows(got), rows(want)):
-        if a != b:
-            diff = [(c, x, y) for c, x, y in zip(columns, a, b) if x != y]
-            return f"first difference {diff} in {dict(zip(columns, a))}"
-    return None
+    return f"rows {rows}; only in result {dict(zip(columns, extra[0])) if extra else None}; only in oracle {dict(zip(columns, missing[0])) if missing else None}"
