@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, plain_ratio, ratio
 from shelfwise.operators import forecast
 from shelfwise.plans.metric_defs import ds_inventory, ds_sales, inventory_risk_metrics, last_days, sales_metrics
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.sources.inventory import LAST_DAY, fact_inventory
 from shelfwise.sources.star import (
     SURGE_BRANDS, SURGE_REGIONS, Tables, dim_distribution_center, dim_product, fact_sales,
 )
@@ -76,8 +76,8 @@ def filter_values(t: Tables) -> DataFrame:
 
 
 def latest_inventory(t: Tables) -> DataFrame:
-    """Readings of the newest day. The panel ends on the newest order's day, which the filter states."""
-    return fact_inventory(t).filter(F.col("reading_date") == t.today())
+    """Readings of the newest day, on which the readings of every series end."""
+    return fact_inventory(t).filter(F.col("day_idx") == LAST_DAY)
 
 
 def _names(t: Tables) -> DataFrame:
@@ -145,7 +145,7 @@ def revenue_fill_region(t: Tables) -> DataFrame:
 
 
 def stockout_region(t: Tables) -> DataFrame:
-    recent = fact_inventory(t).filter(F.col("reading_date") >= F.date_sub(t.today(), 30))
+    recent = fact_inventory(t).filter(F.col("day_idx") >= LAST_DAY - 30)
     return (
         recent.groupBy("region")
         .agg(

@@ -28,6 +28,14 @@ SERVING_KEYS = {
 }
 
 
+# The curated columns that the serving tables are built from.
+SERVING_INPUTS = (
+    "sale_id", "order_ts", "sales_date", "region", "province", "city", "dc_id", "division", "brand", "category",
+    "product_id", "outlet_id", "units_ordered", "units_fulfilled", "unit_price_idr", "gross_idr", "discount_idr",
+    "net_idr", "revenue_at_risk_idr", "channel", "promo_flag", "status", "is_stockout",
+)
+
+
 def curated_from(silver: DataFrame, recent_since: Column | None = None) -> DataFrame:
     """One row per sale with its date, stockout flag and revenue at risk; `recent_since` adds the 30-day flag."""
     derived = {

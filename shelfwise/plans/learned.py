@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import calendar
 from shelfwise.operators import forecast, risk
 from shelfwise.plans import serving
-from shelfwise.session import shared_dir
+from shelfwise.session import written
 from shelfwise.sources.inventory import fact_inventory
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
@@ -22,13 +22,6 @@ DEPTHS = (3, 5)
 TEST_SHARE = 0.25
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
-    """Training reads its input many times: from a table in the shared folder, not by redoing the joins."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _best(fits) -> tuple[float, object]:
     return max(fits, key=lambda fit: fit[0])
 
@@ -59,7 +52,7 @@ def expiry_model_scores(t: Tables) -> DataFrame:
     features = risk.expiry_features(fact_inventory(t), dim_product(t))
     doubles = {c: F.col(c).cast("double") for c in risk.FEATURES}
     labelled = risk.with_forward_label(features).select("day_idx", "label", *risk.FEATURES).withColumns(doubles)
-    model, _ = train_expiry_model(_written(labelled, "expiry-training"))
+    model, _ = train_expiry_model(written(labelled, "expiry-training"))
     latest = risk.risk_scores(
         features,
         ("brand", "division", "region", "on_hand_units", "days_to_expiry", "days_of_supply", "at_risk_expiry_units",
@@ -85,12 +78,12 @@ def _demand_pipeline(depth: int, iterations: int) -> Pipeline:
             StringIndexer(inputCol="region", outputCol="region_idx", handleInvalid="keep"),
             OneHotEncoder(inputCol="region_idx", outputCol="region_vec"),
             VectorAssembler(inputCols=list(_INPUTS), outputCol="features"),
-            GBTRegressor(labelCol="demand", maxDepth=depth, maxIter=iterations, seed=42),
+            GBTRegressor(labelCol="demand", maxDepth=depth, maxIter=iterations, stepSize=0.3, seed=42),
         ]
     )
 
 
-def train_demand_model(features: DataFrame, iterations: int = 15):
+def train_demand_model(features: DataFrame, iterations: int = 8):
     """(model refit on all days, residual std per region, held-out metrics). The last 14 days choose the depth and
     give the residuals; the model that is measured never saw them."""
     cutoff = F.date_sub(features.agg(F.max("ds")).scalar(), forecast.HORIZON)
@@ -150,9 +143,9 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, horizon: int = f
 
 
 def demand_forecast(t: Tables) -> DataFrame:
-    series = _written(serving.region_series(t), "demand-series")
+    series = written(serving.region_series(t), "demand-series")
     features = forecast.demand_features(series, "region").withColumn("demand", F.col("demand").cast("double"))
-    model, spread, _ = train_demand_model(_written(features, "demand-features"))
+    model, spread, _ = train_demand_model(written(features, "demand-features"))
     ahead = recursive_forecast(model, series).join(spread, "region", "left")
     band = F.coalesce("std", F.lit(1.0)) * forecast.BAND_Z
     return ahead.select(

@@ -9,6 +9,7 @@ from shelfwise.functions.columns import STOCKOUT_STATUSES, contains_ci, in_list,
 from shelfwise.operators import decisions, forecast, risk
 from shelfwise.operators.keyed import key_report
 from shelfwise.plans import gold
+from shelfwise.session import written
 from shelfwise.sources.inventory import fact_inventory
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
@@ -115,9 +116,10 @@ def product_risk(t: Tables) -> DataFrame:
     )
 
 
-def worklist_top(t: Tables) -> DataFrame:
+def worklist_top(t: Tables, scores: DataFrame | None = None) -> DataFrame:
     """The worst 60 SKU x centre pairs. Names come after the cut: a name lookup cannot change the ranking."""
-    worst = risk.at_risk(scored(t)).orderBy(*risk.worst_first()).limit(WORKLIST_ROWS)
+    scores = scored(t) if scores is None else scores
+    worst = risk.at_risk(scores).orderBy(*risk.worst_first()).limit(WORKLIST_ROWS)
     return risk.with_names(worst, dim_product(t), dim_distribution_center(t))
 
 
@@ -125,9 +127,10 @@ def risk_worklist(t: Tables) -> DataFrame:
     return risk.worklist_view(worklist_top(t).orderBy(*risk.worst_first()))
 
 
-def decision_batch(t: Tables) -> DataFrame:
+def decision_batch(t: Tables, scores: DataFrame | None = None) -> DataFrame:
     """Decisions derived from the risk table, one per pair with something to do, some of them malformed on purpose."""
-    todo = risk.at_risk(scored(t)).filter("recommended_action <> 'hold'")
+    scores = scored(t) if scores is None else scores
+    todo = risk.at_risk(scores).filter("recommended_action <> 'hold'")
     named = todo.join(dim_product(t).select("product_id", "product_name"), "product_id", "left")
     keyed = named.withColumn(
         "k", F.expr("cast(substring(product_id, 5) AS bigint) * 31 + cast(substring(dc_id, 4) AS bigint) * 17")
@@ -161,8 +164,9 @@ def decision_log_recent(t: Tables) -> DataFrame:
 
 def open_worklist(t: Tables) -> DataFrame:
     """The worklist without the pairs that somebody already acted on."""
-    acted = decisions.acted_keys(decisions.accepted(decision_batch(t)))
-    return risk.worklist_view(worklist_top(t).join(acted, ["dc_id", "product_id"], "left_anti"))
+    scores = written(scored(t), "scores")  # the worklist and the decisions both stand on it
+    acted = decisions.acted_keys(decisions.accepted(decision_batch(t, scores)))
+    return risk.worklist_view(worklist_top(t, scores).join(acted, ["dc_id", "product_id"], "left_anti"))
 
 
 def serving_rows(t: Tables) -> DataFrame:
@@ -206,15 +210,15 @@ def search_rows(t: Tables, text: str = "asia") -> DataFrame:
     return hits.orderBy(F.col("order_ts").desc(), "sale_id").limit(SEARCH_ROWS)
 
 
-def region_series(t: Tables) -> DataFrame:
+def region_series(t: Tables, sales: DataFrame | None = None) -> DataFrame:
     """Dense daily demand of each region."""
-    sales = gold.curated(t)
+    sales = gold.curated(t) if sales is None else sales
     daily = sales.groupBy("region", F.col("sales_date").alias("ds")).agg(F.sum("units_ordered").alias("demand"))
     return forecast.dense_series(daily, "region")
 
 
-def region_forecast(t: Tables) -> DataFrame:
-    return forecast.seasonal_naive(region_series(t), "region")
+def region_forecast(t: Tables, sales: DataFrame | None = None) -> DataFrame:
+    return forecast.seasonal_naive(region_series(t, sales), "region")
 
 
 def forecast_rounded(t: Tables) -> DataFrame:
@@ -253,13 +257,14 @@ def forecast_naive_eval(t: Tables) -> DataFrame:
 
 def serving_pk_check(t: Tables) -> DataFrame:
     """Does every serving table's primary key identify its rows?"""
-    sales = gold.curated(t)
+    # Four of the five tables stand on the curated sales: de-duplicate once.
+    sales = written(gold.curated(t).select(*gold.SERVING_INPUTS), "curated")
     tables = {
         "gold_product_risk": scored(t),
         "gold_region_daily": gold.region_daily(sales),
         "gold_national_daily": gold.national_daily(sales),
         "gold_sales_serving": gold.sales_serving(t, sales),
-        "gold_demand_forecast": region_forecast(t),
+        "gold_demand_forecast": region_forecast(t, sales),
     }
     reports = [key_report(df, name, gold.SERVING_KEYS[name]) for name, df in tables.items()]
     result = reports[0]

@@ -20,7 +20,7 @@ LAST_DAY = HISTORY_DAYS - 1
 def daily_moves(t: Tables) -> DataFrame:
     """Units ordered per centre, SKU and day of the window. Sums before the shuffle, so no SKU runs hot."""
     recent = t.orders.select("o_orderkey", "o_orderdate").filter(
-        F.col("o_orderdate") > t.clock(days_back=HISTORY_DAYS)
+        F.col("o_orderdate") >= t.midnight(LAST_DAY)
     )
     return (
         t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
@@ -47,7 +47,7 @@ def fact_inventory(t: Tables) -> DataFrame:
         .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     spine = (
-        stocked.withColumn("as_of", t.today())
+        stocked.withColumn("as_of", F.date_add(F.to_date(t.midnight(LAST_DAY)), LAST_DAY))
         .withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(LAST_DAY))))
         .withColumn("reading_day", F.expr(f"date_add(as_of, day_idx - {LAST_DAY})"))
         .withColumn("demand", F.expr("coalesce(moves[reading_day], 0L)"))

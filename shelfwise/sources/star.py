@@ -71,10 +71,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
-        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._frames:
+            reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+            self._frames[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -95,10 +98,6 @@ class Tables:
         """
         return self.orders.agg(F.max("o_orderdate") - F.expr(f"INTERVAL {days_back} DAYS")).scalar()
 
-    def today(self) -> Column:
-        """Date of the newest order."""
-        return self.orders.agg(F.to_date(F.max("o_orderdate"))).scalar()
-
     def midnight(self, days_back: int) -> Column:
         """Start of the day that lies `days_back` days before the newest order's day."""
         start = F.date_sub(F.to_date(F.max("o_orderdate")), days_back).cast("timestamp_ntz")
