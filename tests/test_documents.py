@@ -72,7 +72,7 @@ def test_binary_files_round_trip(spark):
         with open(os.path.join(folder, name), "w") as out:
             out.write(html)
     files = binary_files(spark, folder, "*.html")
-    parsed = docs.parsed(files.withColumn("html", F.decode("content", F.lit("UTF-8"))).drop("content"), "path", "html")
+    parsed = docs.parsed(files.withColumn("html", F.decode("content", "UTF-8")).drop("content"), "path", "html")
     rows = {r.file_name: r for r in docs.with_file_bytes(parsed, files.filter("file_name = 'b.html'")).collect()}
     assert set(rows) == {"a.html", "b.html"}
     assert rows["b.html"].parsed_text == "b" and rows["b.html"].image_base64 == "PHA+YjwvcD4="
