@@ -21,30 +21,25 @@ class Expectations:
     rules: dict[str, str]
     reasons: tuple[tuple[str, str], ...] = field(default=())
 
-    def holds(self, rule: str) -> Column:
-        return F.coalesce(F.expr(self.rules[rule]), F.lit(False))
+    def holds(self, rule: str) -> str:
+        return f"coalesce({self.rules[rule]}, false)"
 
     def passed(self) -> Column:
-        result = F.lit(True)
-        for rule in self.rules:
-            result = result & self.holds(rule)
-        return result
+        return F.expr(" AND ".join(self.holds(rule) for rule in self.rules))
 
     def keep(self, df: DataFrame) -> DataFrame:
         return df.filter(self.passed())
 
     def reason(self) -> Column:
-        label = F.lit("other")
-        for name, failing in reversed(self.reasons):
-            label = F.when(F.expr(failing), F.lit(name)).otherwise(label)
-        return label
+        cases = " ".join(f"WHEN {failing} THEN '{name}'" for name, failing in self.reasons)
+        return F.expr(f"CASE {cases} ELSE 'other' END")
 
     def quarantine(self, df: DataFrame) -> DataFrame:
         """Exactly the rows `keep` drops, each with its first failing reason."""
         return df.filter(~self.passed()).withColumn("reject_reason", self.reason())
 
     def _failures(self) -> list[Column]:
-        return [F.count_if(~self.holds(rule)).alias(rule) for rule in self.rules]
+        return [F.expr(f"count_if(NOT {self.holds(rule)})").alias(rule) for rule in self.rules]
 
     def metrics(self, df: DataFrame) -> DataFrame:
         """Rows checked, failed and percent failed per rule, in one pass over the data."""
@@ -93,9 +88,7 @@ _TYPES = {
 
 def typed_sales(raw: DataFrame) -> DataFrame:
     """Raw text to sales types; what cannot be read becomes NULL."""
-    return raw.select(
-        *[F.expr(f"try_cast({c} AS {_TYPES[c]})").alias(c) if c in _TYPES else F.col(c) for c in raw.columns]
-    )
+    return raw.selectExpr(*[f"try_cast({c} AS {_TYPES[c]}) AS {c}" if c in _TYPES else c for c in raw.columns])
 
 
 def silver_sales(raw: DataFrame) -> DataFrame:

@@ -185,9 +185,9 @@ _SALES_INPUTS = {
 def _with_sales_columns(lines: DataFrame, wanted: set[str]) -> DataFrame:
     todo = wanted.union(*[_SALES_INPUTS.get(c, set()) for c in wanted])
     for layer in _SALES_LAYERS:
-        columns = {name: F.expr(text) for name, text in layer.items() if name in todo}
+        columns = [f"{text} AS {name}" for name, text in layer.items() if name in todo]
         if columns:
-            lines = lines.withColumns(columns)
+            lines = lines.selectExpr("*", *columns)
     return lines
 
 
@@ -218,8 +218,8 @@ _DEFECTS = {
 def raw_sales(t: Tables) -> DataFrame:
     """The untyped feed: every sales column as text, about 8 % of the rows with a known defect."""
     typed = _with_sales_columns(sales_lines(t, SALES_COLUMNS), set(SALES_COLUMNS))
-    text = typed.select(F.expr(_BAND).alias("band"), *[F.col(c).cast("string").alias(c) for c in SALES_COLUMNS])
-    return text.select(*[F.expr(_DEFECTS[c]).alias(c) if c in _DEFECTS else F.col(c) for c in SALES_COLUMNS])
+    text = typed.selectExpr(f"{_BAND} AS band", *[f"cast({c} AS string) AS {c}" for c in SALES_COLUMNS])
+    return text.selectExpr(*[f"{_DEFECTS[c]} AS {c}" if c in _DEFECTS else c for c in SALES_COLUMNS])
 
 
 def dim_product(t: Tables) -> DataFrame:
