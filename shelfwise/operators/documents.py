@@ -24,47 +24,51 @@ ENTITIES = {
 }
 _START, _NAME_END = "\u0001", "\u0002"
 
-# Patterns of the extracted fields, and the capture group that holds the value.
+# Pattern of each extracted field, with the value in its first group, and a cheap pattern that occurs in
+# every match.
 FIELD_PATTERNS = {
-    "email": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1),
-    "phone": (r"(\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4})", 1),
-    "ip_address": (r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)", 1),
-    "licence": (r"((?:Licensed|Released) under [^\n]*?)\.(?:[ \n]|$)", 1),
-    "token": (r"token = \"([0-9a-f]+)\"", 1),
+    "email": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", "@"),
+    "phone": (r"(\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4})", r"\+[0-9]"),
+    "ip_address": (r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)", r"[0-9]\.[0-9]{1,3}\.[0-9]"),
+    "licence": (r"((?:Licensed|Released) under [^\n]*?)\.(?:[ \n]|$)", "sed under "),
+    "token": (r"token = \"([0-9a-f]+)\"", 'token = "'),
 }
 NORMALISED_AWAY = r"[ \t\n\r\f,.:；;/\\—–-]+"
 
 
 def plain_markup(html: Column) -> Column:
-    """Markup reduced to text with a mark and a type name at the start of every element."""
-    text = F.regexp_replace(html, F.lit(NO_TEXT), F.lit(""))
+    """Markup reduced to its non-empty elements: each a start mark, the tag it began with, a name-end mark, its text.
+
+    Blanks and empty elements go while the page is still one string, which keeps the per-element work small.
+    """
+    text = F.regexp_replace(F.translate(html, _START + _NAME_END, ""), F.lit(NO_TEXT), F.lit(""))
     text = F.regexp_replace(text, F.lit(rf"(?is)</(?:{BLOCK_TAGS})\b[^>]*>"), F.lit(f"{_START}text{_NAME_END}"))
     text = F.regexp_replace(text, F.lit(rf"(?is)<({BLOCK_TAGS})\b[^>]*>"), F.lit(f"{_START}$1{_NAME_END}"))
     text = F.regexp_replace(text, F.lit(r"(?is)<br\b[^>]*>"), F.lit(" "))
     text = F.regexp_replace(text, F.lit(r"(?s)<[^>]*>"), F.lit(""))
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    text = F.regexp_replace(text, F.lit(r"[ \t\r\n\f]+"), F.lit(" "))
+    text = F.concat(F.lit(f"{_START}text{_NAME_END}"), text)
+    return F.regexp_replace(text, F.lit(rf"{_START}[A-Za-z0-9]+{_NAME_END} ?(?={_START}|\z)"), F.lit(""))
 
 
-def _element(piece: Column) -> Column:
+def _element(piece: Column, position: Column) -> Column:
     tag = F.lower(F.substring_index(piece, _NAME_END, 1))
     kind = F.lit("text")
     for name, element_type in ELEMENT_TYPES.items():
         kind = F.when(tag == name, element_type).otherwise(kind)
-    content = F.substring_index(piece, _NAME_END, -1)
     return F.struct(
-        kind.alias("type"), F.trim(F.regexp_replace(content, F.lit(r"[ \t\r\n\f]+"), F.lit(" "))).alias("content")
+        position.cast("string").alias("id"),
+        kind.alias("type"),
+        F.trim(F.substring_index(piece, _NAME_END, -1)).alias("content"),
     )
 
 
 def elements(html: Column) -> Column:
     """array<struct<id, type, content>> of the non-empty elements in page order; ids count from 0."""
-    found = F.transform(F.split(plain_markup(html), _START), _element)
-    kept = F.filter(found, lambda e: e["content"] != "")
-    return F.transform(
-        kept, lambda e, i: F.struct(i.cast("string").alias("id"), e["type"].alias("type"), e["content"].alias("content"))
-    )
+    pieces = F.split(plain_markup(html), _START)  # the first piece, before the first mark, is empty
+    return F.transform(F.slice(pieces, 2, 2**31 - 1), _element)
 
 
 def typed_by(key: Column, types: Mapping[str, str], default: str = "other") -> Column:
@@ -76,9 +80,13 @@ def typed_by(key: Column, types: Mapping[str, str], default: str = "other") -> C
 
 
 def parsed(pages: DataFrame, name: str, html: str) -> DataFrame:
-    """Pages with their elements, text and elements as JSON; pages that gave no element are failed parses, dropped."""
+    """Pages with their elements, text and elements as JSON; pages that gave no element are failed parses, dropped.
+
+    The outer explode of one array yields one row each; unlike a plain column it is not pushed into the filter below
+    the projection, where the markup would be taken apart a second time.
+    """
     return (
-        pages.withColumn("elements", elements(F.col(html)))
+        pages.withColumn("elements", F.explode_outer(F.array(elements(F.col(html)))))
         .filter(F.size("elements") > 0)
         .withColumns(
             {
@@ -98,12 +106,15 @@ def with_file_bytes(docs: DataFrame, files: DataFrame) -> DataFrame:
     return docs.join(images, "file_name", "left")
 
 
-def extract_fields(df: DataFrame, text: str, patterns: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:
-    """First match of each pattern in the whole text, NULL without one."""
+def extract_fields(df: DataFrame, text: str, patterns: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """First match of each pattern in the whole text, NULL without one. The cheap pattern that every match contains
+    spares most documents the full one."""
     chosen = patterns or FIELD_PATTERNS
     fields = {
-        name: F.nullif(F.regexp_extract(F.col(text), pattern, group), F.lit(""))
-        for name, (pattern, group) in chosen.items()
+        name: F.when(
+            F.rlike(F.col(text), F.lit(hint)), F.nullif(F.regexp_extract(F.col(text), pattern, 1), F.lit(""))
+        )
+        for name, (pattern, hint) in chosen.items()
     }
     return df.withColumns(fields)
 
@@ -112,8 +123,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), F.lit(NORMALISED_AWAY), F.lit(""))
 
 
-def match_fields(df: DataFrame, lines: str, fields: list[str]) -> DataFrame:
-    """One row per document and field: the first line that holds the value, or is part of it (0-based, NULL if none)."""
+def match_fields(df: DataFrame, lines: Column, fields: list[str]) -> DataFrame:
+    """One row per document and field: the first line that holds the value, or is part of it (0-based, NULL if none).
+    `lines` is worked out after documents without any field are gone."""
     pairs = F.explode(
         F.filter(
             F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]),
@@ -121,13 +133,13 @@ def match_fields(df: DataFrame, lines: str, fields: list[str]) -> DataFrame:
         )
     )
     rows = df.withColumn("pair", pairs).withColumn("target", normalised(F.col("pair.value")))
-    rows = rows.filter(F.length("target") >= 2)
+    rows = rows.filter(F.length("target") >= 2).withColumn("lines", lines)
 
     def hit(line: Column) -> Column:
         content = normalised(line)
         return F.contains(content, F.col("target")) | F.contains(F.col("target"), content)
 
-    position = F.array_position(F.transform(lines, hit), True)
+    position = F.array_position(F.transform("lines", hit), True)
     return rows.select(
         "doc_id",
         F.col("pair.field").alias("field"),

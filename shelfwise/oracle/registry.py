@@ -530,7 +530,7 @@ def _typed(key: str) -> str:
     return f"CASE {key} WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE 'other' END"
 
 
-_TEXT = f"regexp_replace(html, {_quoted(NO_TEXT)}, '', 'g')"
+_TEXT = f"regexp_replace(translate(html, chr(1) || chr(2), ''), {_quoted(NO_TEXT)}, '', 'g')"
 _TEXT = f"regexp_replace({_TEXT}, {_quoted(f'(?is)</(?:{BLOCK_TAGS})' + chr(92) + 'b[^>]*>')}, chr(1) || 'text' || chr(2), 'g')"
 _TEXT = f"regexp_replace({_TEXT}, {_quoted(f'(?is)<({BLOCK_TAGS})' + chr(92) + 'b[^>]*>')}, chr(1) || '{chr(92)}1' || chr(2), 'g')"
 _TEXT = f"regexp_replace({_TEXT}, '(?is)<br{chr(92)}b[^>]*>', ' ', 'g')"
@@ -560,8 +560,8 @@ FROM numbered"""
 FINAL["doc_text"] = "SELECT * FROM page_texts"
 FINAL["doc_page"] = "SELECT * FROM page_texts WHERE page_id = 17 LIMIT 1"
 _FIELDS = ", ".join(
-    f"nullif(regexp_extract(text, {_quoted(pattern)}, {group}), '') AS {name}"
-    for name, (pattern, group) in FIELD_PATTERNS.items()
+    f"nullif(regexp_extract(text, {_quoted(pattern)}, 1), '') AS {name}"
+    for name, (pattern, _) in FIELD_PATTERNS.items()
 )
 EXTRA["doc_fields"] = f"SELECT doc_id, {_typed('lang')} AS doc_type, source, text, {_FIELDS} FROM documents"
 FINAL["doc_fields"] = "SELECT * EXCLUDE (text) FROM doc_fields"

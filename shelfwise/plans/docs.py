@@ -47,5 +47,4 @@ def doc_type_counts(t: Tables) -> DataFrame:
 def doc_field_match(t: Tables) -> DataFrame:
     """Where on the page each extracted field stands."""
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
-    found = docs.extract_fields(t.documents, "text").withColumn("lines", lines)
-    return docs.match_fields(found, "lines", list(docs.FIELD_PATTERNS))
+    return docs.match_fields(docs.extract_fields(t.documents, "text"), lines, list(docs.FIELD_PATTERNS))

@@ -55,9 +55,9 @@ def test_fields(spark):
 def test_field_match_is_first_hit_either_way(spark):
     df = spark.createDataFrame(
         [(1, ["nothing", "Total: 12-34", "12 34"], "12.34", None), (2, ["abc"], "long abc value", "x"), (3, ["q"], "zz", None)],
-        "doc_id int, lines array<string>, a string, b string",
+        "doc_id int, parts array<string>, a string, b string",
     )
-    got = {(r.doc_id, r.field): r.line_id for r in docs.match_fields(df, "lines", ["a", "b"]).collect()}
+    got = {(r.doc_id, r.field): r.line_id for r in docs.match_fields(df, F.col("parts"), ["a", "b"]).collect()}
     assert got == {(1, "a"): 1, (2, "a"): 0, (3, "a"): None}
 
 
