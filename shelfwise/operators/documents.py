@@ -23,6 +23,7 @@ ENTITIES = {
     "&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&",
 }
 _START, _NAME_END = "\u0001", "\u0002"
+_ALL_PIECES = 10**9  # a piece has three characters at least, and a string fewer than 2**31
 
 # Pattern of each extracted field, with the value in its first group, and a cheap pattern that occurs in
 # every match.
@@ -68,7 +69,7 @@ def _element(piece: Column, position: Column) -> Column:
 def elements(html: Column) -> Column:
     """array<struct<id, type, content>> of the non-empty elements in page order; ids count from 0."""
     pieces = F.split(plain_markup(html), _START)  # the first piece, before the first mark, is empty
-    return F.transform(F.slice(pieces, 2, 2**31 - 1), _element)
+    return F.transform(F.slice(pieces, 2, _ALL_PIECES), _element)
 
 
 def typed_by(key: Column, types: Mapping[str, str], default: str = "other") -> Column:
