@@ -145,5 +145,5 @@ def match_fields(df: DataFrame, lines: Column, fields: list[str]) -> DataFrame:
         "doc_id",
         F.col("pair.field").alias("field"),
         F.col("pair.value").alias("value"),
-        F.when(position > 0, position - 1).alias("line_id"),
+        F.when(position > 0, position - 1).cast("int").alias("line_id"),
     )

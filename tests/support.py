@@ -34,10 +34,10 @@ def tables_equal(con: duckdb.DuckDBPyConnection, got: pa.Table, sql: str) -> str
     """None if the table holds the rows of the SQL in any order, else what differs."""
     con.register("got", got)
     con.execute(f"CREATE OR REPLACE TEMP TABLE want AS {sql}")
-    columns = sorted(got.column_names)
-    expected = sorted(row[0] for row in con.execute("DESCRIBE want").fetchall())
-    if columns != expected:
-        return f"columns {columns} != {expected}"
+    types = {t: {row[0]: row[1] for row in con.execute(f"DESCRIBE {t}").fetchall()} for t in ("got", "want")}
+    columns = sorted(types["got"])
+    if types["got"] != types["want"]:
+        return f"columns {sorted(set(types['got'].items()) ^ set(types['want'].items()))}"
     texts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in columns)
     rows = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("got", "want")}
     extra = con.execute(f"SELECT {texts} FROM got EXCEPT ALL SELECT {texts} FROM want ORDER BY ALL LIMIT 1").fetchall()
