@@ -4,8 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import simhash
-from shelfwise.llm.common import prepare, table
+from shelfwise.llm import ann, bpe, language, quality, shards, simhash, tokens, toxicity
+from shelfwise.llm.common import crc_of, prepare, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    held_out = crc_of("doc_id") % 4 == 2
+    languages, vectors = language.prototypes(docs, ~held_out)
+    return language.identify(docs, languages, vectors).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "second", "cosine")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(prepare(spark), sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    held_out = toxicity.held_out()
+    voter = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, voter).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shard_by_bytes(table(prepare(spark), sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(prepare(spark), sf_dir, "documents"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +47,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_near_dedup,)}
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(prepare(spark), sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op3_language_id,
+        op5_bpe_round_trip,
+        op6_toxicity,
+        op7_shards,
+        op8_token_counts,
+        op9_simhash_near_dedup,
+        op10_nearest_vectors,
+    )
+}
 ORACLE: dict[str, str] = {}
