@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import ann, bpe, language, quality, shards, simhash, tokens, toxicity
+from shelfwise.llm import ann, bpe, decontaminate, language, lines, quality, shards, simhash, tokens, toxicity
 from shelfwise.llm.common import crc_of, prepare, table
 
 
@@ -13,6 +13,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    cut = docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    return lines.dedup(cut).select("doc_id", "text", "n_lines", F.size("dropped").alias("n_dropped"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     held_out = crc_of("doc_id") % 4 == 2
@@ -20,6 +26,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, languages, vectors).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "second", "cosine")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(prepare(spark), sf_dir, "documents"))
 
@@ -55,7 +66,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_line_dedup,
         op3_language_id,
+        op4_decontamination,
         op5_bpe_round_trip,
         op6_toxicity,
         op7_shards,
@@ -64,4 +77,4 @@ QUERIES = {
         op10_nearest_vectors,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_line_dedup": lines.ORACLE}
