@@ -169,16 +169,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     place. Blank lines stay. A repeated row is the same document, so all its copies keep the same lines. Null and empty
     texts stay as they are; an empty table gives an empty result; other columns pass through.
     """
-    gone = _dropped(docs).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__of"})
+    gone = _dropped(docs).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__of", "dropped": "__gone"})
     rows = docs.withColumn("__hash", _text_hash())
     joined = rows.join(gone, (F.col("__hash") == F.col("__of")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left")
     cut = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
+    places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(places, lambda i: F.get(cut, i)), "\n")
     )
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "dropped"]
-    return joined.select(*columns, F.sort_array(F.coalesce("dropped", F.array().cast("array<int>"))).alias("dropped"))
+    return joined.select(*columns, F.sort_array(F.coalesce("__gone", F.array().cast("array<int>"))).alias("dropped"))
 
 
 #: The same in DuckDB: equal lines by their least place, near lines among those that share their first or last half.

@@ -107,6 +107,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     ids = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that the last join has a shuffle of its own below each side: a hot fingerprint can then be split.
+    ids = stored(ids, "component_ids")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -115,7 +117,8 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     that doc_id is repeated (the row with the least text). Rows without a doc_id stay. Columns are those of docs."""
     named = docs.where("doc_id IS NOT NULL")
     found = near_duplicates(named, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    plain = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *plain)
     kept = named.join(found, named["doc_id"] == found["__kept"], "left_semi")
     single = kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
     return single.unionByName(docs.where("doc_id IS NULL"))
