@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word stems that are clearly more or less frequent in toxic examples. The examples' TF-IDF vectors lie in
+Terms are words and word stems that are clearly more frequent in toxic examples. The examples' TF-IDF vectors lie in
 an inverted index whose postings are cut into blocks of examples; for each term and block the largest weight is kept. A
 query bounds its cosine with every block by these maxima, scores blocks from the best bound down, and stops when no block
 can hold a nearer example than the k found: the result is that of a full search. The neighbours' labels, weighted by
-cosine, make a vote that a logistic curve, fitted on the examples' own votes without themselves, turns into a score.
+squared cosine, make a vote that a logistic curve, fitted on the examples' own votes without themselves, turns into a score.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.llm.common import by_batch, crc_of, texts
+from shelfwise.llm.common import by_batch, crc_of, stored, texts
 from shelfwise.llm.linear import Logistic, logit, sigmoid
 from shelfwise.llm.vocab import shared
 
 #: Most labelled documents that fitting uses, and most terms of the index.
-MAX_EXAMPLES, MAX_TERMS = 10_000, 1_024
-#: Least significance of a term (in standard deviations), least documents that have it, lengths of stems.
-CLEAR, LEAST_DOCS, STEMS = 6.0, 5, (4, 5)
+MAX_EXAMPLES, MAX_TERMS = 10_000, 2_048
+#: Least significance of a term (in standard deviations), how many times more frequent it must be in toxic documents, least
+#: documents that have it, lengths of stems.
+CLEAR, LIFT, LEAST_DOCS, STEMS = 6.0, 4.0, 5, (3, 4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
 REMEMBERED = 500_000
 THRESHOLD = 0.5
@@ -57,7 +58,7 @@ def examples(labels: DataFrame, learn: Column, limit: int) -> DataFrame:
 
 
 def clear_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, int]]:
-    """The terms whose share of documents differs most clearly between the classes, with their numbers of documents.
+    """The terms whose share of documents is most clearly larger in the toxic class, with their numbers of documents.
     rows: text, toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,8 @@ def clear_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str,
     sums = sums.agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")).where(F.col("plain") + F.col("toxic") >= LEAST_DOCS)
     share = (F.col("plain") + F.col("toxic")) / (n[0] + n[1])
     spread = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9
-    clear = sums.withColumn("z", F.abs(F.col("toxic") / n[1] - F.col("plain") / n[0]) / spread).where(F.col("z") >= CLEAR)
+    more = F.col("toxic") / n[1] - F.col("plain") / n[0]
+    clear = sums.withColumn("z", more / spread).where((F.col("z") >= CLEAR) & (F.col("toxic") / n[1] >= LIFT * F.col("plain") / n[0]))
     best = clear.orderBy(F.col("z").desc(), "term").limit(max_terms).collect()
     return sorted((r["term"], r["plain"] + r["toxic"]) for r in best)
 
@@ -162,9 +164,10 @@ class Voter:
         self.seen: dict = {}
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        """The neighbours' labels weighted by cosine, with the prior as one more neighbour of middling cosine."""
-        weight = np.array([c for c, _ in found])
-        return float((weight @ self.index.labels[[i for _, i in found]] + 0.5 * self.prior) / (weight.sum() + 0.5))
+        """The neighbours' labels weighted by squared cosine, with the prior as one more neighbour of cosine 1: a few
+        distant neighbours say little."""
+        weight = np.array([c * c for c, _ in found])
+        return float((weight @ self.index.labels[[i for _, i in found]] + self.prior) / (weight.sum() + 1))
 
     def fit_curve(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         places = {int(d): p for p, d in enumerate(self.index.ids)}
@@ -199,6 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
     """
     chosen = F.broadcast(examples(labels, learn, max_examples))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # Copies of a text would make its every word look significant; of each text the least doc_id stays.
+    alike = rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = stored(rows.join(alike, "doc_id"), "examples")
     terms = clear_terms(rows)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     vectors = Vectors(terms, sum(n.values()))
@@ -220,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
         return Voter(vectors, None, 0.0, quiet)
     own = [(np.array(r["terms"]), np.array(r["weights"])) for r in loud]
     index = Index(own, [r["doc_id"] for r in loud], [r["toxic"] for r in loud], len(terms))
-    voter = Voter(vectors, index, sum(r["toxic"] for r in loud) / len(loud), quiet)
+    voter = Voter(vectors, index, n[1] / (n[0] + n[1]), quiet)
     voter.fit_curve([(v, r["doc_id"]) for v, r in zip(own, loud)])
     return voter
 
