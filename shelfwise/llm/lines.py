@@ -161,8 +161,9 @@ def _dropped(docs: DataFrame) -> DataFrame:
     return late.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("dropped"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text left without repeated lines, and a column dropped: the places (from 0) of the lines taken out, sorted.
+def dedup(docs: DataFrame, into: str = "dropped") -> DataFrame:
+    """docs with text left without repeated lines, and a column named by into: the places (from 0) of the lines taken out,
+    sorted.
 
     A line goes if an equal line (blanks at the ends do not count) stands earlier, or if it has at least 8 words and one
     stands earlier that differs by one word. Earlier: in the order of doc_id (null first), then a hash of the text, then the
@@ -177,8 +178,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(places, lambda i: F.get(cut, i)), "\n")
     )
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "dropped"]
-    return joined.select(*columns, F.sort_array(F.coalesce("__gone", F.array().cast("array<int>"))).alias("dropped"))
+    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != into]
+    return joined.select(*columns, F.sort_array(F.coalesce("__gone", F.array().cast("array<int>"))).alias(into))
 
 
 #: The same in DuckDB: equal lines by their least place, near lines among those that share their first or last half.
