@@ -34,7 +34,8 @@ FIELD_PATTERNS = {
     "licence": (r"((?:Licensed|Released) under [^\n]*?)\.(?:[ \n]|$)", "sed under "),
     "token": (r"token = \"([0-9a-f]+)\"", 'token = "'),
 }
-NORMALISED_AWAY = r"[ \t\n\r\f,.:；;/\\—–-]+"
+# What does not count when a value is looked for in a line: anything but letters and digits.
+NORMALISED_AWAY = r"[^\p{L}\p{N}]+"
 
 
 def plain_markup(html: Column) -> Column:
@@ -138,7 +139,8 @@ def match_fields(df: DataFrame, lines: Column, fields: list[str]) -> DataFrame:
 
     def hit(line: Column) -> Column:
         content = normalised(line)
-        return F.contains(content, F.col("target")) | F.contains(F.col("target"), content)
+        part = F.contains(content, F.col("target")) | F.contains(F.col("target"), content)
+        return part & (content != "")
 
     position = F.array_position(F.transform("lines", hit), True)
     return rows.select(

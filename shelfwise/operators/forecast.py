@@ -10,7 +10,6 @@ from shelfwise.functions.columns import calendar
 HORIZON = 14
 SEASON = 7
 BAND_Z = 1.28
-RESIDUAL_DAYS = 56
 
 
 def dense_series(daily: DataFrame, series: str, ds: str = "ds", value: str = "demand") -> DataFrame:
@@ -46,18 +45,16 @@ def demand_features(dense: DataFrame, series: str) -> DataFrame:
     )
 
 
-def seasonal_naive(dense: DataFrame, series: str, horizon: int = HORIZON) -> DataFrame:
-    """Forecast each day by the same weekday of the last observed week, floored at 0, with a band from the recent
-    week-over-week residuals."""
+def seasonal_naive(dense: DataFrame, series: str, horizon: int = HORIZON, residual_days: int | None = None) -> DataFrame:
+    """Forecast each day by the same weekday of the last observed week, floored at 0, with a band from the
+    week-over-week residuals: all of them, or those of the last `residual_days` days."""
     ordered = Window.partitionBy(series).orderBy("ds")
     newest = Window.partitionBy(series).orderBy(F.col("ds").desc())
+    used = F.col("residual") if residual_days is None else F.when(F.col("rn") <= residual_days, F.col("residual"))
     scored = (
         dense.withColumn("residual", (F.col("demand") - F.lag("demand", SEASON).over(ordered)).cast("double"))
         .withColumn("rn", F.row_number().over(newest))
-        .withColumn(
-            "std",
-            F.stddev_samp(F.when(F.col("rn") <= RESIDUAL_DAYS, F.col("residual"))).over(Window.partitionBy(series)),
-        )
+        .withColumn("std", F.stddev_samp(used).over(Window.partitionBy(series)))
         .withColumn("last_ds", F.max("ds").over(Window.partitionBy(series)))
     )
     steps = F.sequence(F.lit(SEASON), F.lit((horizon + SEASON - 1) // SEASON * SEASON), F.lit(SEASON))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.session import written
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first in `order`.
@@ -52,11 +54,11 @@ def assert_keyed(df: DataFrame, keys: Sequence[str]) -> None:
 
 
 def keyed_snapshot(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
-    """Write a table, check the key on what was written, and return it as read back."""
-    df.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    assert_keyed(written, keys)
-    return written
+    """Write a table aside, check its key, and only then put it in place of the last good one; returned as read back."""
+    staged = written(df, "staged")
+    assert_keyed(staged, keys)
+    staged.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def keyed_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from shelfwise.operators.keyed import last_n_per_key
 SERIES = ("dc_id", "product_id")
 LABEL_DAYS = 7
 RECENT_READINGS = 14
+# The features of the expiry model.
 FEATURES = (
     "days_of_supply", "days_to_expiry", "avg_daily_demand", "on_hand_units", "reorder_gap", "shelf_life_days",
     "in_transit_units", "reserved_units",
@@ -26,16 +27,17 @@ def expiry_features(inventory: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def with_forward_label(features: DataFrame) -> DataFrame:
+def with_forward_label(features: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Label: does the expiry score reach the action level within the next 7 days? Rows whose 7 days are not all
-    there yet are left out."""
-    series = Window.partitionBy(*SERIES)
-    ahead = series.orderBy("day_idx").rangeBetween(1, LABEL_DAYS)
-    hit = F.when(F.col("expiry_risk_score") >= EXPIRY_LABEL_AT, 1).otherwise(0)
+    there yet are left out. `keys` identify a series; those the rows already lie together by save a shuffle."""
+    reached = F.when(F.col("expiry_risk_score") >= EXPIRY_LABEL_AT, F.col("day_idx"))
+    backwards = Window.partitionBy(*keys).orderBy(F.col("day_idx").desc())
+    later = backwards.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        features.withColumns({"label": F.max(hit).over(ahead), "last_idx": F.max("day_idx").over(series)})
-        .filter(F.col("day_idx") <= F.col("last_idx") - LABEL_DAYS)
-        .drop("last_idx")
+        features.withColumns({"_next": F.min(reached).over(later), "_last": F.max("day_idx").over(backwards)})
+        .withColumn("label", F.coalesce((F.col("_next") <= F.col("day_idx") + LABEL_DAYS).cast("int"), F.lit(0)))
+        .filter(F.col("day_idx") + LABEL_DAYS <= F.col("_last"))
+        .drop("_next", "_last")
     )
 
 

@@ -83,25 +83,21 @@ SELECT s.dc_id, s.product_id, product_name, s.brand, s.division, s.region, dc_na
 FROM scores s LEFT JOIN dim_product p ON p.product_id = s.product_id LEFT JOIN dim_dc d ON d.dc_id = s.dc_id"""
 _EXPIRY_PCT = "CAST((CAST(round(expiry_risk_score * 1000) AS BIGINT) + 5) // 10 AS INTEGER)"
 _STOCKOUT_PCT = "CAST((CAST(round(stockout_risk_score * 10000) AS BIGINT) + 50) // 100 AS INTEGER)"
-EXTRA["worklist"] = f"""
+EXTRA["at_risk"] = """
+SELECT *, greatest(expiry_risk_score, stockout_risk_score) AS worst_score FROM product_risk
+WHERE expiry_risk_score >= 0.5 OR stockout_risk_score >= 0.5"""
+_VIEW = f"""
 SELECT product_id, dc_id, product_name, brand, division, region, dc_name, {_EXPIRY_PCT} AS expiry_risk_pct,
        {_STOCKOUT_PCT} AS stockout_risk_pct, days_to_expiry, on_hand_units,
        CAST((CAST(round(days_of_supply * 100) AS BIGINT) + 5) // 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS days_of_supply,
        at_risk_expiry_units, recommended_action
-FROM (SELECT * FROM product_risk WHERE expiry_risk_score >= 0.5 OR stockout_risk_score >= 0.5
-      ORDER BY greatest(expiry_risk_score, stockout_risk_score) DESC, dc_id, product_id LIMIT 60)"""
-EXTRA["keyed_risk"] = """
-SELECT *, CAST(substring(product_id, 5) AS BIGINT) * 31 + CAST(substring(dc_id, 4) AS BIGINT) * 17 AS k
-FROM product_risk
-WHERE (expiry_risk_score >= 0.5 OR stockout_risk_score >= 0.5) AND recommended_action <> 'hold'"""
+FROM (SELECT * FROM at_risk ORDER BY worst_score DESC, dc_id, product_id LIMIT %d)"""
+EXTRA["worklist"] = _VIEW % 60
 EXTRA["decision_batch"] = f"""
-SELECT md5(dc_id || '|' || product_id) AS id, CASE WHEN k % 17 = 0 THEN '' ELSE product_id END AS product_id, dc_id,
-       product_name, brand, region, CASE WHEN k % 13 = 0 THEN 120 ELSE {_EXPIRY_PCT} END AS expiry_risk_pct,
-       {_STOCKOUT_PCT} AS stockout_risk_pct,
-       CASE WHEN k % 11 = 0 THEN 'escalate' WHEN k % 7 = 0 THEN 'dismiss' ELSE recommended_action END AS action,
-       CASE WHEN k % 19 = 0 THEN repeat('x', 600) ELSE 'auto: ' || recommended_action END AS note,
-       (SELECT now_ts FROM clock) - to_seconds(k % 86400) AS created_at
-FROM keyed_risk"""
+SELECT md5(dc_id || '|' || product_id) AS id, product_id, dc_id, product_name, brand, region,
+       {_EXPIRY_PCT} AS expiry_risk_pct, {_STOCKOUT_PCT} AS stockout_risk_pct, recommended_action AS action,
+       'auto: ' || recommended_action AS note, (SELECT now_ts FROM clock) AS created_at
+FROM at_risk WHERE recommended_action <> 'hold'"""
 EXTRA["judged"] = """
 SELECT *, CASE WHEN length(product_id) NOT BETWEEN 1 AND 64 THEN 'product_id'
                WHEN length(dc_id) NOT BETWEEN 1 AND 64 THEN 'dc_id' WHEN length(product_name) > 160 THEN 'product_name'
@@ -173,9 +169,8 @@ SELECT strftime(sales_date, '%Y-%m-%d') AS sales_date, {scaled('net_idr', 10**9,
        backorder_count
 FROM national_window"""
 EXTRA["snapshot"] = f"""
-SELECT g.*, {scaled('revenue_at_risk_idr', 10**6, 1)} AS revenue_at_risk_m_idr
-FROM region_daily g JOIN (SELECT region, max(sales_date) AS d FROM region_daily GROUP BY region) l
-  ON l.region = g.region AND l.d = g.sales_date"""
+SELECT *, {scaled('revenue_at_risk_idr', 10**6, 1)} AS revenue_at_risk_m_idr FROM region_daily
+QUALIFY row_number() OVER (PARTITION BY region ORDER BY sales_date DESC) = 1"""
 FINAL["region_latest"] = """
 SELECT region, strftime(sales_date, '%Y-%m-%d') AS sales_date, demand_units, fill_rate, stockout_rate,
        revenue_at_risk_m_idr, backorder_count FROM snapshot"""
@@ -185,14 +180,14 @@ WHERE sales_date >= (SELECT max(sales_date) FROM region_daily) - 30"""
 FINAL["division_mix"] = f"""
 SELECT division, count(*) AS orders, {scaled('sum(net_idr)', 10**9, 3)} AS net_bn_idr
 FROM sales_serving GROUP BY division"""
-EXTRA["feed"] = f"""
+_FEED = f"""
 SELECT sale_id, strftime(order_ts, '%Y-%m-%d %H:%M') AS order_ts, region, city, division, brand, product_name,
        units_ordered, units_fulfilled, {scaled('net_idr', 10**6, 2)} AS net_m_idr, status
-FROM (SELECT * FROM sales_serving WHERE status IN ('backorder', 'partial') ORDER BY order_ts DESC, sale_id LIMIT 40)"""
-FINAL["backorder_feed"] = "SELECT * FROM feed"
-FINAL["search_rows"] = """
-SELECT * FROM feed WHERE contains(lower(concat_ws(' ', product_name, brand, region)), 'asia')
-ORDER BY order_ts DESC, sale_id LIMIT 20"""
+FROM (SELECT * FROM sales_serving WHERE status IN ('backorder', 'partial') AND %s ORDER BY order_ts DESC, sale_id LIMIT %d)"""
+FINAL["backorder_feed"] = _FEED.replace("%Y-%m-%d %H:%M", "%%Y-%%m-%%d %%H:%%M") % ("true", 40)
+FINAL["search_rows"] = _FEED.replace("%Y-%m-%d %H:%M", "%%Y-%%m-%%d %%H:%%M") % (
+    "contains(lower(concat_ws(' ', product_name, brand, region)), 'asia')", 20
+)
 
 # ---- forecast --------------------------------------------------------------------------------------------------
 EXTRA["region_units"] = """
@@ -227,7 +222,7 @@ SELECT {key}, ds + step AS forecast_date, round(level, 1) AS forecast_units,
        round(greatest(0, level - band), 1) AS lower, round(level + band, 1) AS upper
 FROM (SELECT {key}, ds, last_ds, unnest([7, 14]) AS step, greatest(CAST(0 AS DOUBLE), CAST(demand AS DOUBLE)) AS level,
              coalesce(std, 1) * CAST(1.28 AS DOUBLE) AS band
-      FROM (SELECT *, stddev_samp(CASE WHEN rn <= 56 THEN residual END) OVER (PARTITION BY {key}) AS std,
+      FROM (SELECT *, stddev_samp(residual) OVER (PARTITION BY {key}) AS std,
                    max(ds) OVER (PARTITION BY {key}) AS last_ds
             FROM (SELECT *, CAST(demand - lag(demand, 7) OVER (PARTITION BY {key} ORDER BY ds) AS DOUBLE) AS residual,
                          row_number() OVER (PARTITION BY {key} ORDER BY ds DESC) AS rn FROM {series}))
@@ -244,7 +239,8 @@ FINAL["forecast_by_region"] = """
 SELECT region, CAST(round(sum(forecast_units)) AS BIGINT) AS forecast_units,
        CAST(round(max(forecast_units)) AS BIGINT) AS peak_units FROM region_forecast GROUP BY region"""
 EXTRA["national_units"] = """
-SELECT CAST(order_ts AS DATE) AS ds, CAST(sum(units_ordered) AS BIGINT) AS demand FROM fact_sales GROUP BY ALL"""
+SELECT CAST(order_ts AS DATE) AS ds, CAST(sum(units_ordered) AS BIGINT) AS demand FROM fact_sales
+WHERE CAST(order_ts AS DATE) < (SELECT today FROM clock) GROUP BY ALL"""
 EXTRA["national_series"] = """
 SELECT 'national' AS series, c.ds, coalesce(u.demand, 0) AS demand
 FROM (SELECT CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM national_units) c
@@ -345,6 +341,7 @@ FINAL["tag_report"] = "\nUNION ALL\n".join(
         ("dim_product", "commercial-confidential", 0, "dim_product"),
         ("dim_outlet", "commercial-confidential", 0, "customer"),
         ("dim_distribution_center", "public-reference", 0, "dim_dc"),
+        ("fact_inventory", "commercial-confidential", 0, "inventory"),
     )
 )
 FINAL["lineage_edges"] = """
@@ -484,9 +481,8 @@ FINAL["cc_worst_region"] = "SELECT * FROM worst"
 FINAL["cc_region_ranking"] = f"""
 SELECT region, stockout_rate, {_tone('stockout_rate')} AS tone,
        least(stockout_rate * CAST(400 AS DOUBLE), CAST(100 AS DOUBLE)) AS bar_pct FROM snapshot"""
-FINAL["cc_top_risk"] = """
-SELECT * FROM worklist ORDER BY greatest(expiry_risk_pct, stockout_risk_pct) DESC, dc_id, product_id LIMIT 8"""
-FINAL["cc_risk_by_region"] = 'SELECT region, count(*) AS "count" FROM worklist GROUP BY region'
+FINAL["cc_top_risk"] = _VIEW % 8
+FINAL["cc_risk_by_region"] = 'SELECT region, count(*) AS "count" FROM at_risk GROUP BY region'
 EXTRA["raised"] = """
 SELECT 'stockout' AS alert_id, 'crit' AS severity, region AS subject, CAST(stockout_rate AS DOUBLE) AS value
 FROM worst WHERE stockout_rate >= 0.15
@@ -495,27 +491,23 @@ SELECT 'backorder', 'warn', (SELECT region FROM worst), CAST(sum(backorder_count
 HAVING sum(backorder_count) > 0
 UNION ALL
 SELECT 'sku-stockout', 'crit',
-       array_to_string(list(product_name ORDER BY greatest(expiry_risk_pct, stockout_risk_pct) DESC, dc_id, product_id)
-                       [1:3], ', '), CAST(count(*) AS DOUBLE)
-FROM worklist WHERE stockout_risk_pct >= 50 HAVING count(*) > 0
+       array_to_string(list(product_name ORDER BY worst_score DESC, dc_id, product_id)[1:3], ', '), CAST(count(*) AS DOUBLE)
+FROM at_risk WHERE stockout_risk_score >= 0.5 HAVING count(*) > 0
 UNION ALL
 SELECT 'expiry', 'warn',
-       array_to_string(list(product_name ORDER BY greatest(expiry_risk_pct, stockout_risk_pct) DESC, dc_id, product_id)
-                       [1:3], ', '), CAST(count(*) AS DOUBLE)
-FROM worklist WHERE expiry_risk_pct >= 70 HAVING count(*) > 0"""
+       array_to_string(list(product_name ORDER BY worst_score DESC, dc_id, product_id)[1:3], ', '), CAST(count(*) AS DOUBLE)
+FROM at_risk WHERE expiry_risk_score >= 0.7 HAVING count(*) > 0"""
 FINAL["cc_alerts"] = """
 SELECT *, CASE WHEN EXISTS (SELECT 1 FROM raised WHERE severity = 'crit') THEN 'crit' ELSE 'warn' END AS overall
-FROM raised"""
-_SIN = "sin(lat * pi() / 180)"
-FINAL["cc_map_points"] = f"""
+FROM raised
+UNION ALL SELECT 'none', 'ok', NULL, CAST(0 AS DOUBLE), 'ok' WHERE NOT EXISTS (SELECT 1 FROM raised)"""
+FINAL["cc_map_points"] = """
 SELECT s.region, lat, lng, demand_units, stockout_rate,
        CASE WHEN stockout_rate >= 0.18 THEN 'red' WHEN stockout_rate >= 0.12 THEN 'orange'
             WHEN stockout_rate >= 0.06 THEN 'amber' ELSE 'green' END AS colour,
        stockout_rate >= 0.15 AS critical,
        round(12 + sqrt(CAST(demand_units AS DOUBLE) / CAST((SELECT max(demand_units) FROM snapshot) AS DOUBLE)) * 22, 4)
-         AS radius,
-       round((lng + 180) / 360 * 256, 4) AS world_x,
-       round((CAST(0.5 AS DOUBLE) - ln((1 + {_SIN}) / (1 - {_SIN})) / (4 * pi())) * 256, 4) AS world_y
+         AS radius
 FROM snapshot s JOIN (SELECT region, avg(lat) AS lat, avg(lng) AS lng FROM dim_dc GROUP BY region) c
   ON c.region = s.region"""
 
@@ -579,7 +571,7 @@ EXTRA["doc_pairs"] = " UNION ALL ".join(
 EXTRA["doc_targets"] = f"SELECT *, {_norm('value')} AS target FROM doc_pairs"
 FINAL["doc_field_match"] = f"""
 SELECT doc_id, field, value, (SELECT min(l.line_no) FROM doc_lines l WHERE l.doc_id = d.doc_id
-         AND (contains(l.content, d.target) OR contains(d.target, l.content))) AS line_id
+         AND l.content <> '' AND (contains(l.content, d.target) OR contains(d.target, l.content))) AS line_id
 FROM doc_targets d WHERE length(target) >= 2"""
 EXTRA["doc_lines"] = f"""
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, {_norm('lines[i]')} AS content

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import fill_tone, map_band, mercator_x, mercator_y, stockout_tone
-from shelfwise.plans.serving import region_snapshot, risk_worklist
-from shelfwise.sources.star import Tables, dim_distribution_center
+from shelfwise.functions.columns import fill_tone, map_band, stockout_tone
+from shelfwise.operators import risk
+from shelfwise.plans.serving import region_snapshot, scored
+from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
 # Marker radius of the map, smallest and extra.
 MARKER_MIN, MARKER_SPAN = 12, 22
@@ -56,17 +57,20 @@ def region_ranking(t: Tables) -> DataFrame:
 
 
 def top_risk(t: Tables) -> DataFrame:
-    worst = F.greatest("expiry_risk_pct", "stockout_risk_pct").desc()
-    return risk_worklist(t).orderBy(worst, "dc_id", "product_id").limit(8)
+    """The worst 8 of all pairs at risk."""
+    worst = risk.at_risk(scored(t)).orderBy(*risk.worst_first()).limit(8)
+    named = risk.with_names(worst, dim_product(t), dim_distribution_center(t))
+    return risk.worklist_view(named.orderBy(*risk.worst_first()))
 
 
 def risk_by_region(t: Tables) -> DataFrame:
-    counts = risk_worklist(t).groupBy("region").agg(F.count(F.lit(1)).alias("count"))
+    """How many pairs are at risk in each region."""
+    counts = risk.at_risk(scored(t)).groupBy("region").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.col("count").desc(), "region")
 
 
 def map_points(t: Tables) -> DataFrame:
-    """Regions that have a centroid, with marker size by demand, colour by stockout rate and world coordinates."""
+    """Regions that have a centroid, with marker size by demand and colour by stockout rate."""
     centroids = (
         dim_distribution_center(t).groupBy("region").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     )
@@ -83,19 +87,21 @@ def map_points(t: Tables) -> DataFrame:
         F.expr(
             f"round({MARKER_MIN} + sqrt(cast(demand_units AS double) / cast(peak AS double)) * {MARKER_SPAN}, 4)"
         ).alias("radius"),
-        F.expr(f"round({mercator_x('lng')}, 4)").alias("world_x"),
-        F.expr(f"round({mercator_y('lat')}, 4)").alias("world_y"),
     )
 
 
-def alerts(t: Tables) -> DataFrame:
-    """At most four alerts with the severity of each and of the whole."""
-    # One row each: the regions of the snapshot and the 60 rows of the worklist fold into a single row.
+# The alerts over SKUs: severity, the score behind each and where it is raised.
+SKU_ALERTS = (("sku-stockout", "crit", "stockout_risk_score", 0.5), ("expiry", "warn", "expiry_risk_score", 0.7))
+_NAMED = 3
+
+
+def _region_alerts(t: Tables) -> DataFrame:
+    """One row from the regions' snapshot, taken apart into its alerts."""
     regions = region_snapshot(t).agg(
         F.min_by(F.struct("region", "stockout_rate"), F.expr("struct(-stockout_rate, region)")).alias("worst"),
         F.sum("backorder_count").alias("backorders"),
     )
-    from_regions = regions.select(
+    return regions.select(
         F.inline(
             F.expr(
                 """filter(array(
@@ -106,26 +112,38 @@ def alerts(t: Tables) -> DataFrame:
                    ), a -> a.raised)"""
             )
         )
+    ).drop("raised")
+
+
+def _sku_alerts(t: Tables) -> DataFrame:
+    """For each alert over SKUs how many pairs raise it, and the products of the worst three."""
+    kinds = F.filter(
+        F.array(
+            *[
+                F.when(F.col(score) >= at, F.struct(F.lit(name).alias("alert_id"), F.lit(severity).alias("severity")))
+                for name, severity, score, at in SKU_ALERTS
+            ]
+        ),
+        lambda kind: kind.isNotNull(),
     )
-    ranked = "struct(-greatest(expiry_risk_pct, stockout_risk_pct), dc_id, product_id, product_name)"
-    skus = risk_worklist(t).agg(
-        F.expr(f"array_sort(collect_list(CASE WHEN stockout_risk_pct >= 50 THEN {ranked} END))").alias("short"),
-        F.expr(f"array_sort(collect_list(CASE WHEN expiry_risk_pct >= 70 THEN {ranked} END))").alias("old"),
+    raised = risk.at_risk(scored(t)).withColumn("kind", F.explode(kinds)).select("kind.*", "*").drop("kind")
+    place = F.row_number().over(Window.partitionBy("alert_id").orderBy(*risk.worst_first()))
+    # Ranked rows are cut in each task before the shuffle; names come after the cut.
+    worst = risk.with_names(
+        raised.withColumn("place", place).filter(F.col("place") <= _NAMED), dim_product(t), dim_distribution_center(t)
     )
-    from_skus = skus.select(
-        F.inline(
-            F.expr(
-                """filter(array(
-                     named_struct('alert_id', 'sku-stockout', 'severity', 'crit',
-                                  'subject', array_join(transform(slice(short, 1, 3), s -> s.product_name), ', '),
-                                  'value', cast(size(short) AS double), 'raised', size(short) > 0),
-                     named_struct('alert_id', 'expiry', 'severity', 'warn',
-                                  'subject', array_join(transform(slice(old, 1, 3), s -> s.product_name), ', '),
-                                  'value', cast(size(old) AS double), 'raised', size(old) > 0)
-                   ), a -> a.raised)"""
-            )
-        )
-    )
-    every = from_regions.unionByName(from_skus).drop("raised")
-    any_crit = F.max(F.col("severity") == "crit").over(Window.partitionBy())  # four rows at most
-    return every.withColumn("overall", F.when(any_crit, "crit").otherwise("warn"))
+    names = worst.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("place", "product_name"))).alias("worst"))
+    counts = raised.groupBy("alert_id", "severity").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    subject = F.concat_ws(", ", F.transform("worst", lambda w: w["product_name"]))
+    return counts.join(names, "alert_id").select("alert_id", "severity", subject.alias("subject"), "value")
+
+
+def alerts(t: Tables) -> DataFrame:
+    """The alerts raised over all regions and all pairs at risk, with the severity of the whole; one row that says ok if
+    there are none."""
+    every = _region_alerts(t).unionByName(_sku_alerts(t))
+    # Four alerts at most.
+    found = every.agg(F.collect_list(F.struct("alert_id", "severity", "subject", "value")).alias("found"))
+    calm = F.expr("array(struct('none' AS alert_id, 'ok' AS severity, cast(null AS string) AS subject, 0D AS value))")
+    overall = F.expr("CASE WHEN size(found) = 0 THEN 'ok' WHEN exists(found, a -> a.severity = 'crit') THEN 'crit' ELSE 'warn' END")
+    return found.select(F.inline(F.when(F.size("found") == 0, calm).otherwise(F.col("found"))), overall.alias("overall"))

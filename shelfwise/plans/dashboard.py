@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, plain_ratio, ratio
 from shelfwise.operators import forecast
 from shelfwise.plans.metric_defs import ds_inventory, ds_sales, inventory_risk_metrics, last_days, sales_metrics
-from shelfwise.sources.inventory import LAST_DAY, fact_inventory
+from shelfwise.sources.inventory import fact_inventory
 from shelfwise.sources.star import (
     SURGE_BRANDS, SURGE_REGIONS, Tables, dim_distribution_center, dim_product, fact_sales,
 )
@@ -77,7 +77,7 @@ def filter_values(t: Tables) -> DataFrame:
 
 def latest_inventory(t: Tables) -> DataFrame:
     """Readings of the newest day, on which the readings of every series end."""
-    return fact_inventory(t).filter(F.col("day_idx") == LAST_DAY)
+    return fact_inventory(t, last_days=1)
 
 
 def _names(t: Tables) -> DataFrame:
@@ -87,8 +87,9 @@ def _names(t: Tables) -> DataFrame:
 def risk_worklist(t: Tables) -> DataFrame:
     """Newest readings above the expiry flag, worst 50; names are looked up after the cut."""
     flagged = latest_inventory(t).filter(F.col("expiry_risk_score") > EXPIRY_FLAG_ABOVE)
-    worst = flagged.orderBy(F.col("expiry_risk_score").desc(), "dc_id", "product_id").limit(50)
-    return worst.join(_names(t), "product_id", "left").select(
+    order = [F.col("expiry_risk_score").desc(), F.col("dc_id"), F.col("product_id")]
+    named = flagged.orderBy(*order).limit(50).join(_names(t), "product_id", "left").orderBy(*order)
+    return named.select(
         "product_name", "product_id", "brand", "division", "dc_id", "region", "expiry_risk_score", "days_to_expiry",
         "at_risk_expiry_units", "on_hand_units", "days_of_supply",
     )
@@ -118,9 +119,10 @@ def dc_map(t: Tables) -> DataFrame:
 
 
 def forecast_chart(t: Tables) -> DataFrame:
-    """National daily units: actuals, the joint and a 14-day forecast."""
+    """National daily units: actuals, the joint and a 14-day forecast. The day that is not over yet is left out."""
     daily = (
         fact_sales(t, ["order_ts", "units_ordered"])
+        .filter(F.col("order_ts") < t.midnight(0))
         .groupBy(F.to_date("order_ts").alias("ds"))
         .agg(F.sum("units_ordered").alias("demand"))
     )
@@ -140,19 +142,19 @@ def revenue_fill_region(t: Tables) -> DataFrame:
     return (
         recent.groupBy("region")
         .agg(F.sum("net_idr").alias("net_revenue_idr"), F.expr(_FILL3).alias("fill_rate"))
-        .orderBy(F.col("net_revenue_idr").desc())
+        .orderBy(F.col("net_revenue_idr").desc(), "region")
     )
 
 
 def stockout_region(t: Tables) -> DataFrame:
-    recent = fact_inventory(t).filter(F.col("day_idx") >= LAST_DAY - 30)
+    recent = fact_inventory(t, last_days=31)
     return (
         recent.groupBy("region")
         .agg(
             F.expr(ratio("sum(stockout_flag)", "count(1)", 3)).alias("stockout_rate"),
             F.sum("stockout_flag").alias("stockout_days"),
         )
-        .orderBy(F.col("stockout_rate").desc())
+        .orderBy(F.col("stockout_rate").desc(), "region")
     )
 
 
@@ -161,7 +163,7 @@ def at_risk_division(t: Tables) -> DataFrame:
     return (
         recent.groupBy("division")
         .agg(F.sum(F.expr(AT_RISK_NET)).alias("revenue_at_risk_idr"), F.sum("net_idr").alias("net_revenue_idr"))
-        .orderBy(F.col("revenue_at_risk_idr").desc())
+        .orderBy(F.col("revenue_at_risk_idr").desc(), "division")
     )
 
 
@@ -186,7 +188,7 @@ def fill_otc_region(t: Tables, region: str = "ASIA") -> DataFrame:
         recent.filter((F.col("region") == region) & (F.col("division") == "Pharma-OTC"))
         .groupBy("brand")
         .agg(F.expr(_FILL3).alias("fill_rate"), F.sum("units_ordered").alias("units_ordered"))
-        .orderBy(F.col("units_ordered").desc())
+        .orderBy(F.col("units_ordered").desc(), "brand")
     )
 
 
@@ -200,5 +202,5 @@ def demand_brand(t: Tables) -> DataFrame:
         )
         .groupBy("region", "brand")
         .agg(F.sum("units_ordered").alias("units_ordered"), F.sum("net_idr").alias("net_revenue_idr"))
-        .orderBy(F.col("units_ordered").desc())
+        .orderBy(F.col("units_ordered").desc(), "region", "brand")
     )

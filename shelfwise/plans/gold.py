@@ -12,10 +12,11 @@ from shelfwise.operators.keyed import first_per_key
 from shelfwise.operators.quality import silver_sales
 from shelfwise.sources.star import Tables, dim_product, raw_sales
 
-# Duplicates of a sale often share its order time; the other columns make the choice repeatable.
+# Duplicates of a sale often share its order time; all other columns make the choice repeatable.
 _DEDUP_ORDER = (
     "order_ts", "product_id", "dc_id", "outlet_id", "units_ordered", "unit_price_idr", "discount_idr", "net_idr",
-    "status", "ship_ts",
+    "status", "ship_ts", "units_fulfilled", "gross_idr", "account_id", "region", "province", "city", "division", "brand",
+    "category", "channel", "promo_flag",
 )
 
 # The serving tables and their primary keys.

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, IS_STOCKOUT, exact_mean, plain_ratio
 from shelfwise.operators.metrics import MetricView
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.sources.inventory import INVENTORY_COLUMNS, fact_inventory
 from shelfwise.sources.star import SALES_COLUMNS, Tables, dim_product, fact_sales
 
-INVENTORY_COLUMNS = (
-    "dc_id", "product_id", "reading_date", "day_idx", "region", "division", "brand", "on_hand_units",
-    "in_transit_units", "reserved_units", "days_of_supply", "reorder_point", "batch_expiry_date", "days_to_expiry",
-    "at_risk_expiry_units", "avg_daily_demand", "stockout_flag", "expiry_risk_score",
-)
-
 _FILL_RATE = plain_ratio("sum(units_fulfilled)", "sum(units_ordered)")
 _STOCKOUT_ORDERS = plain_ratio(f"count_if({IS_STOCKOUT})", "count(1)")
 _STOCKOUT_READINGS = plain_ratio("sum(stockout_flag)", "count(1)")
@@ -24,7 +18,7 @@ def _flagged(key: str) -> str:
 
 def sales_metrics(t: Tables) -> MetricView:
     return MetricView(
-        source=lambda columns: fact_sales(t, columns or ["order_ts"]),
+        source=lambda columns: fact_sales(t, columns or ["sale_id"]),
         columns=SALES_COLUMNS,
         dimensions={
             "sale_date": "to_date(order_ts)",
@@ -86,7 +80,7 @@ def inventory_risk_metrics(t: Tables) -> MetricView:
 
 def ds_sales(t: Tables) -> MetricView:
     return MetricView(
-        source=lambda columns: fact_sales(t, columns or ["order_ts"]),
+        source=lambda columns: fact_sales(t, columns or ["sale_id"]),
         columns=SALES_COLUMNS,
         dimensions={
             "sales_date": "to_date(order_ts)",

@@ -9,6 +9,7 @@ from shelfwise.functions.columns import scaled
 from shelfwise.operators import governance as gov
 from shelfwise.plans import gold
 from shelfwise.operators.quality import SALES
+from shelfwise.sources.inventory import fact_inventory
 from shelfwise.sources.star import (
     Tables, access_allowlist, dim_account, dim_distribution_center, dim_outlet, dim_product, fact_sales, raw_sales,
 )
@@ -98,10 +99,11 @@ def tag_report(t: Tables) -> DataFrame:
     """Tags of every governed table, with its number of rows and of personal columns."""
     tables = {
         "dim_account": dim_account(t),
-        "fact_sales": fact_sales(t, ["order_ts"]),
+        "fact_sales": fact_sales(t, ["sale_id"]),
         "dim_product": dim_product(t),
         "dim_outlet": dim_outlet(t),
         "dim_distribution_center": dim_distribution_center(t),
+        "fact_inventory": fact_inventory(t),
     }
     reports = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(

@@ -12,7 +12,7 @@ from shelfwise.operators import risk
 from shelfwise.operators.quality import SALES, quarantined_sales
 from shelfwise.operators.sampling import with_resent
 from shelfwise.plans import command, dashboard, docs, gold, learned, personas, serving, streams
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.sources.inventory import SERIES_KEYS, fact_inventory, readings
 from shelfwise.sources.star import (
     SALES_COLUMNS, SURGE_BRANDS, Tables, dim_account, dim_distribution_center, dim_outlet, dim_product, fact_sales,
     raw_sales,
@@ -22,7 +22,8 @@ Plan = Callable[[Tables], DataFrame]
 
 
 def _expiry_label(t: Tables) -> DataFrame:
-    labelled = risk.with_forward_label(risk.expiry_features(fact_inventory(t), dim_product(t)))
+    features = readings(t).withColumn("reorder_gap", F.col("on_hand_units") - F.col("reorder_point"))
+    labelled = risk.with_forward_label(features, SERIES_KEYS)
     return labelled.select("dc_id", "product_id", "day_idx", *risk.FEATURES, "label")
 
 
@@ -105,7 +106,7 @@ QUERIES: dict[str, Plan] = {
     "cc_alerts": command.alerts,
     "cc_map_points": command.map_points,
     # risk and forecast
-    "stockout_last14": lambda t: risk.recent_stockouts(fact_inventory(t)),
+    "stockout_last14": lambda t: risk.recent_stockouts(fact_inventory(t, last_days=risk.RECENT_READINGS)),
     "expiry_label": _expiry_label,
     "whatif_risk": _what_if,
     "tracked_skus": _tracked_skus,

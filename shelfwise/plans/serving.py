@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import STOCKOUT_STATUSES, contains_ci, in_list, scaled
@@ -10,7 +10,7 @@ from shelfwise.operators import decisions, forecast, risk
 from shelfwise.operators.keyed import key_report
 from shelfwise.plans import gold
 from shelfwise.session import written
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.sources.inventory import HISTORY_DAYS, fact_inventory
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
 TRAILING_DAYS = 30
@@ -102,8 +102,10 @@ def region_trend(t: Tables) -> DataFrame:
     )
 
 
-def scored(t: Tables) -> DataFrame:
-    return risk.with_action(risk.risk_scores(fact_inventory(t)))
+def scored(t: Tables, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """Risk scores with their action; only the readings that scores are made of become rows."""
+    recent = fact_inventory(t, history_days, last_days=risk.RECENT_READINGS)
+    return risk.with_action(risk.risk_scores(recent))
 
 
 def product_risk(t: Tables) -> DataFrame:
@@ -128,29 +130,22 @@ def risk_worklist(t: Tables) -> DataFrame:
 
 
 def decision_batch(t: Tables, scores: DataFrame | None = None) -> DataFrame:
-    """Decisions derived from the risk table, one per pair with something to do, some of them malformed on purpose."""
+    """Decisions derived from the risk table: the recommended action of each pair with something to do."""
     scores = scored(t) if scores is None else scores
     todo = risk.at_risk(scores).filter("recommended_action <> 'hold'")
     named = todo.join(dim_product(t).select("product_id", "product_name"), "product_id", "left")
-    keyed = named.withColumn(
-        "k", F.expr("cast(substring(product_id, 5) AS bigint) * 31 + cast(substring(dc_id, 4) AS bigint) * 17")
-    )
-    return keyed.select(
+    return named.select(
         F.expr("md5(concat(dc_id, '|', product_id))").alias("id"),
-        F.expr("CASE WHEN k % 17 = 0 THEN '' ELSE product_id END").alias("product_id"),
+        "product_id",
         "dc_id",
         "product_name",
         "brand",
         "region",
-        F.expr(f"CASE WHEN k % 13 = 0 THEN 120 ELSE {risk.EXPIRY_PCT} END").alias("expiry_risk_pct"),
+        F.expr(risk.EXPIRY_PCT).alias("expiry_risk_pct"),
         F.expr(risk.STOCKOUT_PCT).alias("stockout_risk_pct"),
-        F.expr(
-            "CASE WHEN k % 11 = 0 THEN 'escalate' WHEN k % 7 = 0 THEN 'dismiss' ELSE recommended_action END"
-        ).alias("action"),
-        F.expr("CASE WHEN k % 19 = 0 THEN repeat('x', 600) ELSE concat('auto: ', recommended_action) END").alias(
-            "note"
-        ),
-        (t.clock() - F.expr("make_dt_interval(0, 0, 0, cast(k % 86400 AS decimal(18, 6)))")).alias("created_at"),
+        F.col("recommended_action").alias("action"),
+        F.concat(F.lit("auto: "), F.col("recommended_action")).alias("note"),
+        t.clock().alias("created_at"),
     )
 
 
@@ -166,7 +161,8 @@ def open_worklist(t: Tables) -> DataFrame:
     """The worklist without the pairs that somebody already acted on."""
     scores = written(scored(t), "scores")  # the worklist and the decisions both stand on it
     acted = decisions.acted_keys(decisions.accepted(decision_batch(t, scores)))
-    return risk.worklist_view(worklist_top(t, scores).join(acted, ["dc_id", "product_id"], "left_anti"))
+    open_pairs = worklist_top(t, scores).join(acted, ["dc_id", "product_id"], "left_anti")
+    return risk.worklist_view(open_pairs.orderBy(*risk.worst_first()))
 
 
 def serving_rows(t: Tables) -> DataFrame:
@@ -182,13 +178,12 @@ def division_mix(t: Tables) -> DataFrame:
     )
 
 
-def backorder_feed(t: Tables) -> DataFrame:
-    newest = (
-        serving_rows(t)
-        .filter(in_list("status", STOCKOUT_STATUSES))
-        .orderBy(F.col("order_ts").desc(), "sale_id")
-        .limit(FEED_ROWS)
-    )
+def _feed_rows(t: Tables, rows: int, *where: Column) -> DataFrame:
+    """The newest sales that were not served in full, out of all that meet the conditions."""
+    hits = serving_rows(t).filter(in_list("status", STOCKOUT_STATUSES))
+    for condition in where:
+        hits = hits.filter(condition)
+    newest = hits.orderBy(F.col("order_ts").desc(), "sale_id").limit(rows)
     return newest.select(
         "sale_id",
         F.date_format("order_ts", "yyyy-MM-dd HH:mm").alias("order_ts"),
@@ -204,10 +199,13 @@ def backorder_feed(t: Tables) -> DataFrame:
     )
 
 
+def backorder_feed(t: Tables) -> DataFrame:
+    return _feed_rows(t, FEED_ROWS)
+
+
 def search_rows(t: Tables, text: str = "asia") -> DataFrame:
-    """Feed rows whose product, brand or region contains the text, in any case."""
-    hits = backorder_feed(t).filter(contains_ci(text, "product_name", "brand", "region"))
-    return hits.orderBy(F.col("order_ts").desc(), "sale_id").limit(SEARCH_ROWS)
+    """The newest of all feed rows whose product, brand or region contains the text, in any case."""
+    return _feed_rows(t, SEARCH_ROWS, contains_ci(text, "product_name", "brand", "region"))
 
 
 def region_series(t: Tables, sales: DataFrame | None = None) -> DataFrame:

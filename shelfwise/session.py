@@ -15,9 +15,6 @@ RUNTIME_CONF = {
     # Split a hot join key even where the split costs an extra exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    # When a join turns out small enough to broadcast, keep reading the other side by balanced key partitions: reading
-    # it by mapper would run the rest of the plan in as few tasks as the scan had row groups.
-    "spark.sql.adaptive.localShuffleReader.enabled": "false",
     # The JVM never compiles methods over 8000 bytes of bytecode; fall back before generating such a stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

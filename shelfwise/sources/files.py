@@ -50,7 +50,6 @@ def sql_columns(schema: StructType) -> str:
 
 
 def write_relational(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
-    """Load a serving table over JDBC straight from the executors, column types stated."""
+    """Load a serving table over JDBC straight from the executors; the database's dialect picks the column types."""
     assert_no_pii(df)
-    options = {**properties, "createTableColumnTypes": sql_columns(df.schema).replace('"', "")}
-    df.write.mode("overwrite").jdbc(url, table, properties=options)
+    df.write.mode("overwrite").jdbc(url, table, properties=properties)

@@ -1,91 +1,118 @@
-"""Inventory view: daily stock readings of every SKU a distribution centre moved in the last 90 days.
+"""Inventory view: daily stock levels of every SKU a distribution centre moved, worked out from the order flow.
 
-The given tables hold no stock levels. The view works them out from the order flow: demand, reservations and
-reorder points are sums of ordered units, stock is an opening level run down by them, expiry follows from shelf
-life. Its size grows with the orders: one stocked SKU gives 90 readings.
+The given tables hold no stock. Supply is taken to follow demand: what is ordered is replaced LEAD_DAYS later, and what is
+served leaves the shelf the same day. Receipts less served units give the course of the level; its height is the least that
+never falls below zero. Stock ages from its last receipt; the risk that it expires is the time it takes to sell, measured
+against the shelf life that is left.
+
+A pair's sums are arrays over the days of the history, so only the days that are asked for become rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.session import shuffle_partitions
-from shelfwise.sources.star import DIVISION, SHELF_LIFE_DAYS, Tables
+from shelfwise.sources.star import DIVISION, SHELF_LIFE_DAYS, STATUS, Tables
 
+#: Days of orders that the view looks back on unless the caller says otherwise.
 HISTORY_DAYS = 90
-LAST_DAY = HISTORY_DAYS - 1
+LEAD_DAYS = 14
+RESERVED_DAYS = 7
+
+INVENTORY_COLUMNS = (
+    "dc_id", "product_id", "reading_date", "day_idx", "region", "division", "brand", "on_hand_units",
+    "in_transit_units", "reserved_units", "days_of_supply", "reorder_point", "batch_expiry_date", "days_to_expiry",
+    "at_risk_expiry_units", "avg_daily_demand", "stockout_flag", "expiry_risk_score",
+)
+#: The numeric keys behind product_id and dc_id. Windows on them need no shuffle of their own.
+SERIES_KEYS = ("l_partkey", "s_nationkey")
 
+_UNITS = "cast(l_quantity AS bigint)"
 
-def daily_moves(t: Tables) -> DataFrame:
-    """Units ordered per centre, SKU and day of the window. Sums before the shuffle, so no SKU runs hot."""
-    recent = t.orders.select("o_orderkey", "o_orderdate").filter(
-        F.col("o_orderdate") >= t.midnight(LAST_DAY)
+
+def daily_moves(t: Tables, history_days: int) -> DataFrame:
+    """Units ordered and served per centre, SKU and day. Sums before the shuffle, so no SKU runs hot."""
+    recent = t.orders.select("o_orderkey", "o_orderdate").filter(F.col("o_orderdate") >= t.midnight(history_days - 1))
+    lines = t.lineitem.select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        F.expr(_UNITS).alias("units"),
+        F.expr(STATUS).alias("status"),
     )
+    served = "CASE status WHEN 'fulfilled' THEN units WHEN 'partial' THEN units div 2 ELSE 0L END"
     return (
-        t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-        .join(recent, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(recent, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "l_partkey", F.to_date("o_orderdate").alias("move_date"))
-        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("units"))
+        .agg(F.sum("units").alias("ordered"), F.sum(F.expr(served)).alias("served"))
     )
 
 
-def fact_inventory(t: Tables) -> DataFrame:
-    """Stock readings, one row per centre x SKU x day."""
-    # A pair has at most 90 daily sums, so a pair's list of moves is bounded whatever the volume behind it. The
-    # explicit partition count keeps adaptive coalescing from sizing tasks by this small input: it grows 90-fold.
-    stocked = (
-        daily_moves(t)
+def _before(array: str, days: int) -> str:
+    """An array of sums up to each day, taken `days` days before the end of the row's day."""
+    return f"{array}[greatest(0, day_idx + 1 - {days})]"
+
+
+def readings(t: Tables, history_days: int = HISTORY_DAYS, last_days: int | None = None) -> DataFrame:
+    """INVENTORY_COLUMNS, shelf_life_days and SERIES_KEYS of each pair for the last `last_days` days (default: all) of a
+    history of `history_days` days that ends on the newest order's day."""
+    h = history_days
+    # A pair has at most one sum for each day, so its list of moves is bounded whatever the volume behind it. The
+    # explicit partition count keeps adaptive coalescing from sizing tasks by this input: its rows multiply.
+    moves = (
+        daily_moves(t, h)
+        .withColumn("as_of", F.date_add(F.to_date(t.midnight(h - 1)), h - 1))
+        .withColumn("day", F.expr(f"datediff(move_date, as_of) + {h - 1}"))
         .repartition(shuffle_partitions(t.spark), "l_partkey")
-        .groupBy("l_partkey", "s_nationkey")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("move_date", "units"))).alias("moves"),
-            F.sum("units").alias("window_units"),
-        )
-        .join(t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
+        .groupBy("l_partkey", "s_nationkey", "as_of")
+        .agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("ordered", "served").alias("m")))).alias("moves"))
     )
-    spine = (
-        stocked.withColumn("as_of", F.date_add(F.to_date(t.midnight(LAST_DAY)), LAST_DAY))
-        .withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(LAST_DAY))))
-        .withColumn("reading_day", F.expr(f"date_add(as_of, day_idx - {LAST_DAY})"))
-        .withColumn("demand", F.expr("coalesce(moves[reading_day], 0L)"))
-        .drop("moves")
+    # Sums before each day, and the last day before it with an order (-1: none).
+    sums = F.expr(
+        f"""aggregate(sequence(0, {h - 1}),
+              named_struct('o', array(0L), 's', array(0L), 'l', array(-1)),
+              (a, d) -> named_struct(
+                'o', array_append(a.o, element_at(a.o, -1) + coalesce(moves[d].ordered, 0L)),
+                's', array_append(a.s, element_at(a.s, -1) + coalesce(moves[d].served, 0L)),
+                'l', array_append(a.l, IF(moves[d] IS NULL, element_at(a.l, -1), d))))"""
     )
-    by_day = Window.partitionBy("l_partkey", "s_nationkey").orderBy("day_idx")
-    flow = spine.withColumns(
-        {
-            "sold": F.sum("demand").over(by_day.rowsBetween(Window.unboundedPreceding, 0)),
-            "reserved_units": F.sum("demand").over(by_day.rowsBetween(-6, 0)),
-            "shelf": F.expr(f"cast({SHELF_LIFE_DAYS} AS bigint)"),
-            "salt": F.expr("l_partkey * 7 + s_nationkey * 13"),
-        }
+    lowest = F.expr(f"least(0L, array_min(transform(sequence(0, {h - 1}), d -> o[greatest(0, d + 1 - {LEAD_DAYS})] - s[d + 1])))")
+    pairs = (
+        moves.withColumn("sums", sums)
+        .select("l_partkey", "s_nationkey", "as_of", "sums.o", "sums.s", "sums.l")
+        .withColumns({"lowest": lowest, "w": F.expr(f"greatest(o[{h}], 1L)")})
+        .join(t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
     )
+    first = max(0, h - (last_days or h))
+    days = pairs.withColumn("day_idx", F.explode(F.sequence(F.lit(first), F.lit(h - 1))))
     stock = (
-        flow.withColumn("on_hand_units", F.expr("greatest(0L, window_units * (60 + salt % 120) div 100 - sold)"))
-        .withColumn("reorder_point", F.expr("greatest(1L, (window_units * (5 + salt % 6) + 45) div 90)"))
-        .withColumn("in_transit_units", F.expr("greatest(0L, reorder_point - on_hand_units)"))
-        .withColumn("is_hot", F.expr("shelf <= 270 AND salt % 2 = 0"))
-        .withColumn(
-            "dte",
-            F.expr("greatest(3L, shelf - shelf * (CASE WHEN is_hot THEN 70 ELSE 20 END) div 100 - 3L * day_idx div 10)"),
+        days.withColumns(
+            {
+                "reading_date": F.expr(f"date_add(as_of, day_idx - {h - 1})"),
+                "on_hand_units": F.expr(f"{_before('o', LEAD_DAYS)} - s[day_idx + 1] - lowest"),
+                "in_transit_units": F.expr(f"o[day_idx + 1] - {_before('o', LEAD_DAYS)}"),
+                "reserved_units": F.expr(
+                    f"o[day_idx + 1] - {_before('o', RESERVED_DAYS)} - s[day_idx + 1] + {_before('s', RESERVED_DAYS)}"
+                ),
+                "shelf_life_days": F.expr(SHELF_LIFE_DAYS),
+                "received": F.expr(_before("l", LEAD_DAYS)),
+            }
         )
-        .withColumn("at_risk", F.expr("greatest(0L, on_hand_units - (window_units * dte * 2 + 90) div 180)"))
-        .withColumn("overstock", F.expr("at_risk * 1000 div greatest(on_hand_units, 1L)"))
-        .withColumn("urgency", F.expr("greatest(0L, (90 - dte) * 1000 div 90)"))
         .withColumn(
-            "score",
-            F.expr(
-                f"CASE WHEN is_hot THEN 300 + 450L * day_idx div {LAST_DAY} + overstock * 150 div 1000 "
-                "ELSE overstock * urgency div 2000 END"
-            ),
+            "days_to_expiry",
+            F.expr(f"greatest(1, shelf_life_days - IF(received < 0, day_idx, day_idx - received - {LEAD_DAYS}))"),
         )
+        .drop("o", "s", "l")
     )
     return stock.select(
+        *SERIES_KEYS,
         F.expr("concat('DC-', s_nationkey)").alias("dc_id"),
         F.expr("concat('SKU-', l_partkey)").alias("product_id"),
-        F.col("reading_day").alias("reading_date"),
+        "reading_date",
         "day_idx",
         F.col("r_name").alias("region"),
         F.expr(DIVISION).alias("division"),
@@ -93,15 +120,18 @@ def fact_inventory(t: Tables) -> DataFrame:
         "on_hand_units",
         "in_transit_units",
         "reserved_units",
-        F.expr(
-            "CASE WHEN window_units <= 90 THEN cast(on_hand_units AS double) "
-            "ELSE ((on_hand_units * 18000 + window_units) div (2 * window_units)) / 100D END"
-        ).alias("days_of_supply"),
-        "reorder_point",
-        F.expr("date_add(as_of, cast(dte AS int))").alias("batch_expiry_date"),
-        F.col("dte").cast("int").alias("days_to_expiry"),
-        F.col("at_risk").alias("at_risk_expiry_units"),
-        F.expr("((window_units * 20 + 90) div 180) / 10D").alias("avg_daily_demand"),
-        F.expr("cast(on_hand_units * 2 <= reserved_units AS int)").alias("stockout_flag"),
-        F.expr("least(score, 1000L) / 1000D").alias("expiry_risk_score"),
+        F.expr(f"((on_hand_units * {200 * h} + w) div (2 * w)) / 100D").alias("days_of_supply"),
+        F.expr(f"greatest(1L, (w * {LEAD_DAYS} + {h - 1}) div {h})").alias("reorder_point"),
+        F.expr("date_add(reading_date, days_to_expiry)").alias("batch_expiry_date"),
+        "days_to_expiry",
+        F.expr(f"greatest(0L, on_hand_units - (w * days_to_expiry) div {h})").alias("at_risk_expiry_units"),
+        F.expr(f"((w * 20 + {h}) div {2 * h}) / 10D").alias("avg_daily_demand"),
+        F.expr("cast(on_hand_units = 0 AS int)").alias("stockout_flag"),
+        F.expr(f"least(1000L, (on_hand_units * {1000 * h}) div (w * days_to_expiry)) / 1000D").alias("expiry_risk_score"),
+        "shelf_life_days",
     )
+
+
+def fact_inventory(t: Tables, history_days: int = HISTORY_DAYS, last_days: int | None = None) -> DataFrame:
+    """Stock readings, one row per centre x SKU x day."""
+    return readings(t, history_days, last_days).select(*INVENTORY_COLUMNS)

@@ -38,8 +38,9 @@ SALES_COLUMNS = (
     "discount_idr", "net_idr", "channel", "promo_flag", "status",
 )
 
-# Which dimension a sales column comes from; the rest is on the line or its order.
+# Which table a sales column comes from; the rest is on the line.
 _FROM_CUSTOMER = {"region", "province", "city", "channel"}
+_FROM_ORDER = {"outlet_id", "account_id", "order_ts"} | _FROM_CUSTOMER
 _FROM_SUPPLIER = {"dc_id"}
 _FROM_PART = {"division", "brand", "category"}
 
@@ -109,10 +110,10 @@ def order_headers(t: Tables, with_customer: bool) -> DataFrame:
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     if not with_customer:
         return orders
-    customer = t.customer.join(t.geo, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        "c_custkey", "c_mktsegment", "n_name", "r_name"
-    )
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    # Customer first, then its place: joined to each other first, Spark would multiply their sizes and never broadcast.
+    customer = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return placed.join(t.geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
 def sales_lines(t: Tables, columns: Iterable[str]) -> DataFrame:
@@ -120,11 +121,14 @@ def sales_lines(t: Tables, columns: Iterable[str]) -> DataFrame:
 
     Lines and orders both grow with the data, so they meet in a sort-merge join: it spills, adaptive execution can
     split a hot order key, and the size guesses of an unanalyzed join cannot turn the lines into a broadcast. All
-    other joins are left to Spark, which broadcasts a dimension only while its size is under the threshold.
+    other joins are left to Spark, which broadcasts a dimension only while its size is under the threshold. A line whose
+    order is missing stays, with nulls.
     """
     wanted = set(columns)
-    headers = order_headers(t, bool(wanted & _FROM_CUSTOMER))
-    lines = t.lineitem.join(headers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = t.lineitem
+    if wanted & _FROM_ORDER:
+        headers = order_headers(t, bool(wanted & _FROM_CUSTOMER))
+        lines = lines.join(headers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if wanted & _FROM_SUPPLIER:
         lines = lines.join(
             t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left"
@@ -137,7 +141,7 @@ def sales_lines(t: Tables, columns: Iterable[str]) -> DataFrame:
 
 
 _UNITS = "cast(l_quantity AS bigint)"
-_PRICE = f"cast(round(l_extendedprice * 100) AS bigint) div nullif({_UNITS}, 0)"
+_GROSS = "cast(round(l_extendedprice * 100) AS bigint)"
 _DISCOUNT_PCT = "cast(round(l_discount * 100) AS bigint)"
 
 # Sales columns in layers: a layer uses the columns of the ones before it.
@@ -158,27 +162,24 @@ _SALES_LAYERS = (
         "status": STATUS,
         "channel": f"CASE WHEN c_mktsegment IS NULL THEN NULL ELSE {CHANNEL} END",
         "units_ordered": _UNITS,
-        "unit_price_idr": _PRICE,
-        "promo_flag": f"cast({_DISCOUNT_PCT} >= 8 AS int)",
+        "gross_idr": _GROSS,
+        "unit_price_idr": f"{_GROSS} div nullif({_UNITS}, 0)",
+        "discount_idr": f"{_GROSS} * {_DISCOUNT_PCT} div 100",
+        "promo_flag": f"cast({_DISCOUNT_PCT} > 5 AS int)",
     },
     {
         "ship_ts": "CASE WHEN status IN ('backorder', 'cancelled') THEN NULL ELSE l_shipdate END",
         "units_fulfilled": (
             "CASE status WHEN 'fulfilled' THEN units_ordered WHEN 'partial' THEN units_ordered div 2 ELSE 0L END"
         ),
-        "gross_idr": "units_ordered * unit_price_idr",
     },
-    {"discount_idr": f"CASE WHEN promo_flag = 1 THEN gross_idr * {_DISCOUNT_PCT} div 100 ELSE 0L END"},
-    {"net_idr": "greatest(0L, units_fulfilled * unit_price_idr - discount_idr)"},
+    # What was served, at the discounted price.
+    {"net_idr": "coalesce((gross_idr - discount_idr) * units_fulfilled div nullif(units_ordered, 0), 0L)"},
 )
 _SALES_INPUTS = {
     "ship_ts": {"status"},
     "units_fulfilled": {"status", "units_ordered"},
-    "gross_idr": {"units_ordered", "unit_price_idr"},
-    "discount_idr": {"promo_flag", "gross_idr", "units_ordered", "unit_price_idr"},
-    "net_idr": {
-        "units_fulfilled", "status", "unit_price_idr", "discount_idr", "promo_flag", "gross_idr", "units_ordered",
-    },
+    "net_idr": {"units_fulfilled", "status", "discount_idr", "gross_idr", "units_ordered"},
 }
 
 
@@ -203,23 +204,9 @@ def sales_referenced(*texts: str) -> list[str]:
     return [c for c in SALES_COLUMNS if c in joined]
 
 
-# The defect bands of the raw feed, in thousandths.
-_BAND = "(l_orderkey * 31 + l_linenumber * 7 + l_partkey * 13 + l_suppkey * 17) % 1000"
-_DEFECTS = {
-    "product_id": "CASE WHEN band < 16 THEN NULL ELSE product_id END",
-    "region": "CASE WHEN band BETWEEN 16 AND 29 THEN NULL ELSE region END",
-    "units_ordered": "CASE WHEN band BETWEEN 30 AND 43 THEN '-5' ELSE units_ordered END",
-    "status": "CASE WHEN band BETWEEN 44 AND 57 THEN 'UNKNOWN' ELSE status END",
-    "unit_price_idr": "CASE WHEN band BETWEEN 58 AND 69 THEN '-1200' ELSE unit_price_idr END",
-    "order_ts": "CASE WHEN band BETWEEN 70 AND 79 THEN 'N/A' ELSE order_ts END",
-}
-
-
 def raw_sales(t: Tables) -> DataFrame:
-    """The untyped feed: every sales column as text, about 8 % of the rows with a known defect."""
-    typed = _with_sales_columns(sales_lines(t, SALES_COLUMNS), set(SALES_COLUMNS))
-    text = typed.selectExpr(f"{_BAND} AS band", *[f"cast({c} AS string) AS {c}" for c in SALES_COLUMNS])
-    return text.selectExpr(*[f"{_DEFECTS[c]} AS {c}" if c in _DEFECTS else c for c in SALES_COLUMNS])
+    """The untyped feed: every sales column of every order line as text."""
+    return fact_sales(t).select(*[F.col(c).cast("string").alias(c) for c in SALES_COLUMNS])
 
 
 def dim_product(t: Tables) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise.plans.registry import QUERIES as PLANS
 from tests.conftest import SMALL
 from tests.support import tables_equal
 
@@ -11,7 +12,8 @@ NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in PLANS}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in PLANS}
 
 
 @pytest.fixture(scope="module")

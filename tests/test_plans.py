@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise.plans.registry import QUERIES as PLANS
 from tests.conftest import SMALL
 
 EAGER = {
     "expiry_model_scores", "demand_forecast", "stream_dq_silver", "stream_quarantine", "incremental_cycle",
 }
-QUERIES = entry.queries()
+QUERIES = {name: query for name, query in entry.queries().items() if name in PLANS}
 
 
 def plan(df):
@@ -40,9 +41,16 @@ def test_scans_are_pruned_and_filtered(spark):
 
 
 def test_metric_views_join_only_what_they_use(spark):
-    text = plan(QUERIES["dash_status_mix"](spark, SMALL))
-    for table in ("customer", "nation", "supplier", "part"):
-        assert f"{table}.parquet" not in text
+    for name, used in (("dash_status_mix", ()), ("dash_counters", ()), ("dash_units_division", ("part",)), ("tracked_skus", ("part",))):
+        text = plan(QUERIES[name](spark, SMALL))
+        for table in ("orders", "customer", "nation", "supplier", "part"):
+            assert (f"{table}.parquet" in text) == (table in used)
+
+
+def test_labels_need_no_shuffle_beyond_the_daily_sums(spark):
+    text = plan(QUERIES["expiry_label"](spark, SMALL))
+    assert "hashpartitioning(dc_id" not in text and "hashpartitioning(product_id" not in text
+    assert text.count("part.parquet") == 1
 
 
 def test_dimensions_are_not_broadcast_past_the_threshold(spark):

@@ -75,10 +75,41 @@ def test_inventory_panel_is_dense_and_bounded(tables):
     inventory = fact_inventory(tables)
     sizes = inventory.groupBy("dc_id", "product_id").agg(F.count("*").alias("n"), F.count_distinct("day_idx").alias("d"))
     assert sizes.filter((F.col("n") != HISTORY_DAYS) | (F.col("d") != HISTORY_DAYS)).count() == 0
-    bad = "on_hand_units < 0 OR expiry_risk_score NOT BETWEEN 0 AND 1 OR days_to_expiry < 3 OR stockout_flag NOT IN (0, 1)"
+    bad = "on_hand_units < 0 OR expiry_risk_score NOT BETWEEN 0 AND 1 OR days_to_expiry < 1 OR stockout_flag NOT IN (0, 1)"
     assert inventory.filter(bad).count() == 0
 
 
+def test_history_and_days_asked_for_are_arguments(tables):
+    whole = fact_inventory(tables, history_days=200)
+    last = fact_inventory(tables, history_days=200, last_days=3)
+    assert whole.agg(F.max("day_idx"), F.min("day_idx")).head() == (199, 0)
+    assert whole.filter("day_idx >= 197").exceptAll(last).isEmpty() and last.count() * 200 == whole.count() * 3
+
+
+def test_level_follows_receipts_and_served_units(spark, tables):
+    """One pair worked out by hand: 20 units on day 70 in full, 10 on day 80 half served."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for name in ("region", "nation", "customer"):
+        tables.read(name).write.parquet(f"{folder}/{name}.parquet")
+    day = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "s", 0, 0.0)], tables.supplier.schema).write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(1, "p", "Brand#1", "LARGE", 1, 1.0)], tables.part.schema).write.parquet(f"{folder}/part.parquet")
+    orders = [(1, 1, "O", 1.0, day + dt.timedelta(days=70), "x"), (2, 1, "O", 1.0, day + dt.timedelta(days=80), "x"),
+              (3, 1, "O", 1.0, day + dt.timedelta(days=89), "x")]
+    spark.createDataFrame(orders, tables.orders.schema).write.parquet(f"{folder}/orders.parquet")
+    line = lambda order, units, flag, status: (order, 1, 1, 1, units, 1.0, 0.0, 0.0, flag, status, day)
+    lines = [line(1, 20.0, "N", "O"), line(2, 10.0, "A", "O")]
+    spark.createDataFrame(lines, tables.lineitem.schema).write.parquet(f"{folder}/lineitem.parquet")
+    rows = {r.day_idx: r for r in fact_inventory(type(tables)(spark, folder)).collect()}
+    assert [rows[d].on_hand_units for d in (69, 70, 79, 80, 83, 84, 89)] == [25, 5, 5, 0, 0, 20, 20]
+    assert [rows[d].stockout_flag for d in (79, 80, 84)] == [0, 1, 0]
+    assert (rows[83].in_transit_units, rows[84].in_transit_units, rows[80].reserved_units, rows[87].reserved_units) == (30, 10, 5, 0)
+    assert rows[89].avg_daily_demand == 0.3 and rows[89].days_of_supply == 60.0 and rows[89].reorder_point == 5
+    assert rows[89].days_to_expiry == 120 + 41 - 5 and rows[89].expiry_risk_score == 0.384
+
+
 DECISION = "product_id string, dc_id string, product_name string, brand string, region string, expiry_risk_pct int, stockout_risk_pct int, action string, note string"
 
 
