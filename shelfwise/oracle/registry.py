@@ -50,7 +50,7 @@ UNION ALL SELECT DISTINCT 'division', division FROM fact_sales WHERE division IS
 FINAL["fact_inventory"] = "SELECT * FROM inventory"
 FINAL["dq_silver"] = FINAL["stream_dq_silver"] = "SELECT * FROM silver"
 FINAL["dq_quarantine"] = FINAL["stream_quarantine"] = "SELECT * FROM quarantine"
-FINAL["dq_rule_metrics"] = "\nUNION ALL\n".join(
+FINAL["dq_rule_metrics"] = FINAL["stream_rule_totals"] = "\nUNION ALL\n".join(
     f"SELECT '{r}' AS rule, count(*) AS checked, count(*) FILTER (NOT {r}) AS failed, "
     f"{ratio(f'100 * count(*) FILTER (NOT {r})', 'count(*)', 2)} AS failed_pct FROM checked"
     for r in RULES
@@ -60,7 +60,7 @@ FINAL["sales_curated"] = (
 )
 FINAL["sales_daily"] = "SELECT * FROM sales_daily"
 FINAL["region_daily"] = FINAL["incremental_cycle"] = "SELECT * FROM region_daily"
-FINAL["national_daily"] = "SELECT * FROM national_daily"
+FINAL["national_daily"] = FINAL["incremental_national"] = "SELECT * FROM national_daily"
 FINAL["sales_serving"] = "SELECT * FROM sales_serving"
 
 # ---- risk ------------------------------------------------------------------------------------------------------

@@ -126,5 +126,7 @@ QUERIES: dict[str, Plan] = {
     # streaming
     "stream_dq_silver": streams.silver,
     "stream_quarantine": streams.quarantine,
+    "stream_rule_totals": streams.rule_totals,
     "incremental_cycle": streams.incremental_cycle,
+    "incremental_national": streams.incremental_national,
 }

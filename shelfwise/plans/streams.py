@@ -26,11 +26,23 @@ def quarantine(t: Tables) -> DataFrame:
     return dq.read_quarantine(t.spark, _landed(t)[1]).drop("quarantined_at")
 
 
+def rule_totals(t: Tables) -> DataFrame:
+    return dq.rule_totals(t.spark, _landed(t)[1])
+
+
 def incremental_cycle(t: Tables) -> DataFrame:
     """Two appended batches, a cycle after each: the gold table must equal the one-shot batch build."""
+    return _cycled(t)["gold_region_daily"]
+
+
+def incremental_national(t: Tables) -> DataFrame:
+    return _cycled(t)["gold_national_daily"]
+
+
+def _cycled(t: Tables) -> dict[str, DataFrame]:
     base = shared_dir(t.spark, "cycle")
     batch = F.pmod(F.xxhash64("sale_id", "product_id", "dc_id", "outlet_id"), F.lit(2))
-    result = None
+    result = {}
     for cycle in (0, 1):
         append_raw(raw_sales(t).filter(batch == cycle), f"{base}/landing")
         result = dq.run_cycle(t.spark, f"{base}/landing", f"{base}/store", cycle)

@@ -3,65 +3,83 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
 
+from shelfwise.functions.columns import ratio
+from shelfwise.operators.governance import assert_no_pii
 from shelfwise.operators.keyed import keyed_snapshot
 from shelfwise.operators.quality import SALES, quarantined_sales, silver_sales
 from shelfwise.plans import gold
+from shelfwise.session import written
 from shelfwise.sources.files import raw_stream
 
-RULE_METRICS = "sales_rules"
+TABLES = ("silver", "quarantine", "rule_counts")
 
 
-def _start(df: DataFrame, store: str, table: str) -> StreamingQuery:
-    # The parquet sink commits each batch exactly once, also when the batch is retried after a lost executor.
-    return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{store}/{table}")
-        .option("checkpointLocation", f"{store}/_checkpoints/{table}")
-        .trigger(availableNow=True)
-        .start()
-    )
+def _write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+    """The tables of one batch, all from the same files. A batch that is run again overwrites its own part only."""
+    held = batch.persist()  # recomputed from the batch's files if an executor is lost
+    try:
+        tables = (silver_sales(held), quarantined_sales(held, with_time=True), SALES.metrics(held).drop("failed_pct"))
+        for name, df in zip(TABLES, tables):
+            df.write.mode("overwrite").parquet(f"{store}/{name}/batch_id={batch_id}")
+    finally:
+        held.unpersist()
 
 
-def start_quality(spark: SparkSession, landing: str, store: str, files_per_batch: int | None = None):
-    """Start both streams over what has landed since the last run: (silver, quarantine).
+def rule_counts(spark: SparkSession, store: str) -> DataFrame:
+    """Rows checked and failed per rule and batch."""
+    return spark.read.parquet(f"{store}/rule_counts")
 
-    With the store's checkpoints kept, a run is incremental; with a fresh store it is a full refresh.
-    """
-    observed = SALES.observe(raw_stream(spark, landing, files_per_batch), RULE_METRICS)
-    silver = _start(silver_sales(observed), store, "silver")
-    quarantine = _start(quarantined_sales(raw_stream(spark, landing, files_per_batch), with_time=True), store, "quarantine")
-    return silver, quarantine
+
+def rule_totals(spark: SparkSession, store: str) -> DataFrame:
+    """Rows checked, failed and percent failed per rule over all batches."""
+    sums = rule_counts(spark, store).groupBy("rule").agg(F.sum("checked").alias("checked"), F.sum("failed").alias("failed"))
+    return sums.withColumn("failed_pct", F.expr(ratio("100 * failed", "checked", 2)))
 
 
 def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch: int | None = None) -> dict[str, int]:
-    """Run both streams to the end of the landed files; returns rows checked and failures per rule."""
-    silver, quarantine = start_quality(spark, landing, store, files_per_batch)
-    silver.awaitTermination()
-    quarantine.awaitTermination()
-    totals: dict[str, int] = {}
-    for progress in silver.recentProgress:
-        row = (progress.observedMetrics or {}).get(RULE_METRICS)
-        for name, value in (row.asDict() if row else {}).items():
-            totals[name] = totals.get(name, 0) + value
-    return totals
+    """Bring what has landed since the last run into silver, quarantine and rule counts, in one pass over the files;
+    returns rows checked and failures per rule of this run.
+
+    With the store's checkpoint kept, a run is incremental; with a fresh store it is a full refresh.
+    """
+    batches: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, batch_id, store)
+        batches.append(batch_id)
+
+    query = (
+        raw_stream(spark, landing, files_per_batch)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{store}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not batches:
+        return {}
+    own = rule_counts(spark, store).filter(F.col("batch_id").isin(batches)).groupBy("rule")
+    sums = own.agg(F.sum("checked").alias("checked"), F.sum("failed").alias("failed")).collect()
+    return {"checked": sums[0]["checked"], **{row["rule"]: row["failed"] for row in sums}}
 
 
 def read_silver(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/silver")
+    return spark.read.parquet(f"{store}/silver").drop("batch_id")
 
 
 def read_quarantine(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/quarantine")
+    return spark.read.parquet(f"{store}/quarantine").drop("batch_id")
 
 
-def run_cycle(spark: SparkSession, landing: str, store: str, cycle: int) -> DataFrame:
-    """One micro-batch cycle: new raw files through the quality streams, then the gold table over all of silver,
-    as a new keyed snapshot. Readers of the previous snapshot are not disturbed."""
+def run_cycle(spark: SparkSession, landing: str, store: str, cycle: int) -> dict[str, DataFrame]:
+    """One micro-batch cycle: new raw files through the quality stream, then the daily gold tables over all of silver, each
+    as a new keyed snapshot. Readers of the previous snapshots are not disturbed."""
     run_quality(spark, landing, store)
-    sales = gold.curated_from(read_silver(spark, store))
-    return keyed_snapshot(
-        gold.region_daily(sales), gold.SERVING_KEYS["gold_region_daily"], f"{store}/gold_region_daily/cycle={cycle}"
-    )
+    sales = written(gold.curated_from(read_silver(spark, store)).select(*gold.SERVING_INPUTS), "curated")
+    tables = {"gold_region_daily": gold.region_daily(sales), "gold_national_daily": gold.national_daily(sales)}
+    tables["gold_sales_serving"] = assert_no_pii(sales)
+    return {
+        name: keyed_snapshot(df, gold.SERVING_KEYS[name], f"{store}/{name}/cycle={cycle}") for name, df in tables.items()
+    }

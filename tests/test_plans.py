@@ -8,6 +8,7 @@ from tests.conftest import SMALL
 
 EAGER = {
     "expiry_model_scores", "demand_forecast", "stream_dq_silver", "stream_quarantine", "incremental_cycle",
+    "incremental_national", "stream_rule_totals",
 }
 QUERIES = {name: query for name, query in entry.queries().items() if name in PLANS}
 

@@ -1,9 +1,14 @@
+import os
+import tempfile
+
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from shelfwise.operators.quality import SALES, quarantined_sales, silver_sales, typed_sales
 from shelfwise.plans.gold import curated_from, region_daily
 from shelfwise.sources.files import RAW_SCHEMA
-from shelfwise.sources.star import SALES_COLUMNS, raw_sales
+from shelfwise.sources.star import SALES_COLUMNS, Tables, raw_sales
+from tests.defects import with_defects
 
 GOOD = {
     "sale_id": "S1", "product_id": "P1", "outlet_id": "O1", "dc_id": "D1", "account_id": "A1", "region": "ASIA",
@@ -59,10 +64,24 @@ def test_typing_never_fails(spark):
 
 
 def test_silver_and_quarantine_partition_the_feed(tables):
-    feed = raw_sales(tables)
+    feed = with_defects(raw_sales(tables))
     kept, rejected = silver_sales(feed), quarantined_sales(feed)
     assert kept.count() + rejected.count() == feed.count()
-    assert kept.count() == 5534 and rejected.count() == 466
+    assert 0.1 < rejected.count() / feed.count() < 0.2
+    assert silver_sales(raw_sales(tables)).count() == feed.count()
+
+
+def test_a_line_without_its_order_is_kept_and_rejected(spark, tables):
+    lost = tables.lineitem.limit(1).withColumn("l_orderkey", F.lit(-1).cast("bigint"))
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for name in os.listdir(tables.sf_dir):
+        if name != "lineitem.parquet":
+            os.symlink(f"{tables.sf_dir}/{name}", f"{folder}/{name}")
+    tables.lineitem.unionByName(lost).write.parquet(f"{folder}/lineitem.parquet")
+    feed = raw_sales(Tables(spark, folder))
+    rejected = quarantined_sales(feed).collect()
+    assert feed.count() == tables.lineitem.count() + 1
+    assert [(r.sale_id.startswith("SAL--1-"), r.reject_reason) for r in rejected] == [(True, "null_region")]
 
 
 def test_metrics_of_an_empty_feed(spark):

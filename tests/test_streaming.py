@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators.quality import SALES, quarantined_sales, silver_sales
-from shelfwise.plans.gold import curated_from, region_daily
+from shelfwise.plans.gold import SERVING_INPUTS, curated_from, national_daily, region_daily
 from shelfwise.session import shared_dir
 from shelfwise.sources.files import append_raw
 from shelfwise.sources.star import raw_sales
 from shelfwise.streaming import dq
+from tests.defects import with_defects
 
 
 def same(a, b):
@@ -19,7 +20,7 @@ def same(a, b):
 @pytest.mark.parametrize("files", [1, 5])
 def test_stream_equals_batch(spark, tables, files):
     base = shared_dir(spark, "test-stream")
-    feed = raw_sales(tables)
+    feed = with_defects(raw_sales(tables))
     append_raw(feed.repartition(files), f"{base}/landing")
     counts = dq.run_quality(spark, f"{base}/landing", f"{base}/store", files_per_batch=2)
     assert same(dq.read_silver(spark, f"{base}/store"), silver_sales(feed))
@@ -30,12 +31,14 @@ def test_stream_equals_batch(spark, tables, files):
 
 def test_cycles_are_incremental_and_end_like_one_batch(spark, tables):
     base = shared_dir(spark, "test-cycle")
-    feed = raw_sales(tables)
+    feed = with_defects(raw_sales(tables))
     half = F.pmod(F.xxhash64("sale_id", "dc_id"), F.lit(2))
     for cycle in (0, 1):
         append_raw(feed.filter(half == cycle), f"{base}/landing")
         result = dq.run_cycle(spark, f"{base}/landing", f"{base}/store", cycle)
-    assert same(result, region_daily(curated_from(silver_sales(feed))))
+    sales = curated_from(silver_sales(feed))
+    assert same(result["gold_region_daily"], region_daily(sales)) and same(result["gold_national_daily"], national_daily(sales))
+    assert same(result["gold_sales_serving"], sales.select(*SERVING_INPUTS))
     # Nothing new has landed: a further run adds no rows.
     before = dq.read_silver(spark, f"{base}/store").count()
     assert dq.run_quality(spark, f"{base}/landing", f"{base}/store").get("checked", 0) == 0
@@ -43,3 +46,23 @@ def test_cycles_are_incremental_and_end_like_one_batch(spark, tables):
     # A fresh store is a full refresh.
     dq.run_quality(spark, f"{base}/landing", f"{base}/fresh")
     assert dq.read_silver(spark, f"{base}/fresh").count() == before
+
+
+def test_counts_of_more_than_a_hundred_batches(spark, tables):
+    base = shared_dir(spark, "test-many")
+    feed = with_defects(raw_sales(tables)).limit(400)
+    append_raw(feed.repartition(105), f"{base}/landing")
+    counts = dq.run_quality(spark, f"{base}/landing", f"{base}/store", files_per_batch=1)
+    stored = dq.read_silver(spark, f"{base}/store").count() + dq.read_quarantine(spark, f"{base}/store").count()
+    assert counts["checked"] == stored == 400
+    assert dq.rule_counts(spark, f"{base}/store").select("batch_id").distinct().count() > 100
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tables):
+    base = shared_dir(spark, "test-again")
+    feed = with_defects(raw_sales(tables))
+    append_raw(feed, f"{base}/landing")
+    dq.run_quality(spark, f"{base}/landing", f"{base}/store")
+    before = dq.read_silver(spark, f"{base}/store").count()
+    dq._write_batch(spark.read.schema(feed.schema).parquet(f"{base}/landing"), 0, f"{base}/store")
+    assert dq.read_silver(spark, f"{base}/store").count() == before
