@@ -156,7 +156,7 @@ ORDER BY is_must DESC, volume DESC, p.product_id LIMIT 40"""
 # ---- operational reads -----------------------------------------------------------------------------------------
 EXTRA["national_window"] = """
 SELECT * FROM national_daily WHERE sales_date >= (SELECT max(sales_date) FROM national_daily) - 30"""
-FINAL["national_kpis"] = f"""
+FINAL["national_kpis"] = FINAL["stored_gold_kpis"] = f"""
 SELECT {scaled('sum(net_idr)', 10**9, 2)} AS revenue_bn_idr,
        {scaled('sum(revenue_at_risk_idr)', 10**9, 2)} AS revenue_at_risk_bn_idr,
        {_i('sum(demand_units)')} AS demand_units, {_i('sum(order_count)')} AS order_count,
@@ -184,7 +184,7 @@ _FEED = f"""
 SELECT sale_id, strftime(order_ts, '%Y-%m-%d %H:%M') AS order_ts, region, city, division, brand, product_name,
        units_ordered, units_fulfilled, {scaled('net_idr', 10**6, 2)} AS net_m_idr, status
 FROM (SELECT * FROM sales_serving WHERE status IN ('backorder', 'partial') AND %s ORDER BY order_ts DESC, sale_id LIMIT %d)"""
-FINAL["backorder_feed"] = _FEED.replace("%Y-%m-%d %H:%M", "%%Y-%%m-%%d %%H:%%M") % ("true", 40)
+FINAL["backorder_feed"] = FINAL["stored_gold_feed"] = _FEED.replace("%Y-%m-%d %H:%M", "%%Y-%%m-%%d %%H:%%M") % ("true", 40)
 FINAL["search_rows"] = _FEED.replace("%Y-%m-%d %H:%M", "%%Y-%%m-%%d %%H:%%M") % (
     "contains(lower(concat_ws(' ', product_name, brand, region)), 'asia')", 20
 )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import AT_RISK_UNFILLED, IS_STOCKOUT, ratio
-from shelfwise.operators.keyed import first_per_key
+from shelfwise.operators.governance import assert_no_pii
+from shelfwise.operators.keyed import first_per_key, keyed_snapshot
 from shelfwise.operators.quality import silver_sales
 from shelfwise.sources.star import Tables, dim_product, raw_sales
 
@@ -105,10 +106,50 @@ def national_daily(sales: DataFrame) -> DataFrame:
 
 def sales_serving(t: Tables, sales: DataFrame) -> DataFrame:
     """Sales of the last 45 days with the product name and no personal data."""
-    recent = sales.filter(F.col("order_ts") >= t.midnight(45))
+    recent = sales.filter((F.col("order_ts") >= t.midnight(45)) & (F.col("sales_date") >= t.midnight(45).cast("date")))
     names = dim_product(t).select("product_id", "product_name")
     return recent.join(names, "product_id", "left").select(
         "sale_id", "order_ts", "sales_date", "region", "province", "city", "dc_id", "division", "brand", "category",
         "product_id", "product_name", "outlet_id", "units_ordered", "units_fulfilled", "unit_price_idr", "gross_idr",
         "discount_idr", "net_idr", "revenue_at_risk_idr", "channel", "promo_flag", "status",
     )
+
+
+def build(t: Tables, folder: str) -> None:
+    """Write the gold layer: curated sales by day, the two daily tables and the serving rows. Every table's key is checked
+    before it replaces the last good one, and none may hold personal data."""
+    curated(t).select(*SERVING_INPUTS).write.mode("overwrite").partitionBy("sales_date").parquet(f"{folder}/curated")
+    stored = Tables(t.spark, t.sf_dir, folder)
+    sales = sales_of(stored)
+    tables = {
+        "gold_region_daily": region_daily(sales),
+        "gold_national_daily": national_daily(sales),
+        "gold_sales_serving": sales_serving(t, sales),
+    }
+    for name, df in tables.items():
+        keyed_snapshot(assert_no_pii(df), SERVING_KEYS[name], f"{folder}/{name}")
+
+
+def _stored(t: Tables, name: str) -> DataFrame | None:
+    return t.spark.read.parquet(f"{t.gold}/{name}") if t.gold else None
+
+
+def sales_of(t: Tables) -> DataFrame:
+    """Curated sales: the stored ones if there is a gold layer, else worked out from the feed."""
+    stored = _stored(t, "curated")
+    return curated(t) if stored is None else stored.select(*SERVING_INPUTS)
+
+
+def region_daily_of(t: Tables) -> DataFrame:
+    stored = _stored(t, "gold_region_daily")
+    return region_daily(curated(t)) if stored is None else stored
+
+
+def national_daily_of(t: Tables) -> DataFrame:
+    stored = _stored(t, "gold_national_daily")
+    return national_daily(curated(t)) if stored is None else stored
+
+
+def serving_of(t: Tables) -> DataFrame:
+    stored = _stored(t, "gold_sales_serving")
+    return sales_serving(t, curated(t)) if stored is None else stored

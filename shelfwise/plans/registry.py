@@ -57,6 +57,8 @@ QUERIES: dict[str, Plan] = {
     "national_daily": lambda t: gold.national_daily(gold.curated(t)),
     "sales_serving": serving.serving_rows,
     "serving_pk_check": serving.serving_pk_check,
+    "stored_gold_kpis": serving.stored_gold_kpis,
+    "stored_gold_feed": serving.stored_gold_feed,
     # operational reads
     "national_kpis": serving.national_kpis,
     "national_trend": serving.national_trend,

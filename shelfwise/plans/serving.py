@@ -9,7 +9,7 @@ from shelfwise.functions.columns import STOCKOUT_STATUSES, contains_ci, in_list,
 from shelfwise.operators import decisions, forecast, risk
 from shelfwise.operators.keyed import key_report
 from shelfwise.plans import gold
-from shelfwise.session import written
+from shelfwise.session import shared_dir, written
 from shelfwise.sources.inventory import HISTORY_DAYS, fact_inventory
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
@@ -39,7 +39,7 @@ def mean4(column: str) -> str:
 
 
 def national_kpis(t: Tables) -> DataFrame:
-    window = newest_days(gold.national_daily(gold.curated(t)))
+    window = newest_days(gold.national_daily_of(t))
     return window.agg(
         F.expr(scaled("sum(net_idr)", 10**9, 2)).alias("revenue_bn_idr"),
         F.expr(scaled("sum(revenue_at_risk_idr)", 10**9, 2)).alias("revenue_at_risk_bn_idr"),
@@ -52,7 +52,7 @@ def national_kpis(t: Tables) -> DataFrame:
 
 
 def national_trend(t: Tables) -> DataFrame:
-    window = newest_days(gold.national_daily(gold.curated(t)))
+    window = newest_days(gold.national_daily_of(t))
     return window.select(
         F.date_format("sales_date", "yyyy-MM-dd").alias("sales_date"),
         F.expr(scaled("net_idr", 10**9, 3)).alias("revenue_bn_idr"),
@@ -66,7 +66,7 @@ def national_trend(t: Tables) -> DataFrame:
 
 def region_snapshot(t: Tables) -> DataFrame:
     """Each region's newest day, as typed columns."""
-    by_region = gold.region_daily(gold.curated(t))
+    by_region = gold.region_daily_of(t)
     columns = ("sales_date", "demand_units", "fill_rate", "stockout_rate", "revenue_at_risk_idr", "backorder_count")
     latest = by_region.groupBy("region").agg(F.max_by(F.struct(*columns), "sales_date").alias("latest"))
     return latest.select("region", "latest.*").withColumn(
@@ -92,7 +92,7 @@ def region_latest(t: Tables) -> DataFrame:
 
 def region_trend(t: Tables) -> DataFrame:
     """Daily demand per region in the trailing window; a day's list holds one entry per region."""
-    by_region = gold.region_daily(gold.curated(t))
+    by_region = gold.region_daily_of(t)
     by_day = by_region.groupBy("sales_date").agg(F.collect_list(F.struct("region", "demand_units")).alias("regions"))
     return (
         newest_days(by_day)
@@ -166,7 +166,7 @@ def open_worklist(t: Tables) -> DataFrame:
 
 
 def serving_rows(t: Tables) -> DataFrame:
-    return gold.sales_serving(t, gold.curated(t))
+    return gold.serving_of(t)
 
 
 def division_mix(t: Tables) -> DataFrame:
@@ -210,7 +210,7 @@ def search_rows(t: Tables, text: str = "asia") -> DataFrame:
 
 def region_series(t: Tables, sales: DataFrame | None = None) -> DataFrame:
     """Dense daily demand of each region."""
-    sales = gold.curated(t) if sales is None else sales
+    sales = gold.sales_of(t) if sales is None else sales
     daily = sales.groupBy("region", F.col("sales_date").alias("ds")).agg(F.sum("units_ordered").alias("demand"))
     return forecast.dense_series(daily, "region")
 
@@ -269,3 +269,18 @@ def serving_pk_check(t: Tables) -> DataFrame:
     for report in reports[1:]:
         result = result.unionByName(report)
     return result
+
+
+def with_stored_gold(t: Tables) -> Tables:
+    """The tables with a gold layer written for them in the shared folder."""
+    folder = shared_dir(t.spark, "gold")
+    gold.build(t, folder)
+    return Tables(t.spark, t.sf_dir, folder)
+
+
+def stored_gold_kpis(t: Tables) -> DataFrame:
+    return national_kpis(with_stored_gold(t))
+
+
+def stored_gold_feed(t: Tables) -> DataFrame:
+    return backorder_feed(with_stored_gold(t))

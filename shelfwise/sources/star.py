@@ -67,11 +67,13 @@ SCHEMAS = {
 
 
 class Tables:
-    """The given tables by name, read lazily."""
+    """The given tables by name, read lazily. With `gold`, a folder that plans.gold.build has written, the operational
+    reads start there instead of at the raw feed."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, gold: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.gold = gold.rstrip("/") if gold else None
         self._frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 
 EAGER = {
     "expiry_model_scores", "demand_forecast", "stream_dq_silver", "stream_quarantine", "incremental_cycle",
-    "incremental_national", "stream_rule_totals",
+    "incremental_national", "stored_gold_kpis", "stored_gold_feed", "stream_rule_totals",
 }
 QUERIES = {name: query for name, query in entry.queries().items() if name in PLANS}
 
@@ -48,6 +48,21 @@ def test_metric_views_join_only_what_they_use(spark):
             assert (f"{table}.parquet" in text) == (table in used)
 
 
+def test_reads_of_stored_gold_neither_join_nor_read_all_days(spark, tables):
+    from shelfwise.plans import serving
+
+    stored = serving.with_stored_gold(tables)
+    for read in (serving.national_kpis, serving.region_latest, serving.national_trend):
+        text = plan(read(stored))
+        assert "lineitem.parquet" not in text and "Join" not in text
+    for read in (serving.backorder_feed, serving.search_rows, serving.division_mix):
+        text = plan(read(stored))
+        assert "lineitem.parquet" not in text and "/curated" not in text
+    from shelfwise.plans import gold
+
+    assert "PartitionFilters: [isnotnull(sales_date" in plan(gold.sales_serving(stored, gold.sales_of(stored)))
+
+
 def test_labels_need_no_shuffle_beyond_the_daily_sums(spark):
     text = plan(QUERIES["expiry_label"](spark, SMALL))
     assert "hashpartitioning(dc_id" not in text and "hashpartitioning(product_id" not in text
