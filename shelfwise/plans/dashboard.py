@@ -20,6 +20,10 @@ GRAINS = {
     "metric_sales_by_region": (sales_metrics, ("region",), None),
     "metric_sales_by_month_division": (sales_metrics, ("sale_month", "division"), None),
     "metric_sales_by_status": (sales_metrics, ("order_status", "is_promo"), None),
+    "metric_sales_by_date": (sales_metrics, ("sale_date",), ("order_count", "net_revenue_idr", "fill_rate")),
+    "metric_sales_by_place": (sales_metrics, ("province", "city", "channel"), ("order_count", "units_ordered", "gross_revenue_idr")),
+    "metric_sales_by_brand": (sales_metrics, ("brand", "category"), ("order_count", "discount_idr", "unique_skus")),
+    "metric_inventory_by_brand": (inventory_risk_metrics, ("brand", "division"), ("readings", "on_hand_units", "stockout_rate")),
     "metric_inventory_by_dc": (inventory_risk_metrics, ("distribution_center",), None),
     "metric_inventory_by_region_day": (inventory_risk_metrics, ("region", "reading_date"), None),
     "dash_counters": (ds_sales, (), _COUNTERS),
@@ -30,6 +34,7 @@ GRAINS = {
     "dash_status_mix": (ds_sales, ("status",), ("total_orders", "cancellation_rate")),
     "dash_daily_units_division": (ds_sales, ("sales_date", "division"), ("units_ordered",)),
     "dash_units_region": (ds_sales, ("region",), ("units_ordered",)),
+    "dash_hourly_orders": (ds_sales, ("sales_hour", "promo_flag"), ("total_orders", "units_ordered")),
     "dash_inventory_counters": (
         ds_inventory, (), ("readings", "skus_at_expiry_risk", "at_risk_expiry_units", "avg_days_of_supply"),
     ),

@@ -15,7 +15,7 @@ from shelfwise.functions.columns import calendar
 from shelfwise.operators import forecast, risk
 from shelfwise.plans import serving
 from shelfwise.session import written
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.sources.inventory import HISTORY_DAYS, SERIES_KEYS, readings
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
 DEPTHS = (3, 5)
@@ -26,35 +26,67 @@ def _best(fits) -> tuple[float, object]:
     return max(fits, key=lambda fit: fit[0])
 
 
+def split_days(labelled: DataFrame, share: float = TEST_SHARE) -> dict[str, DataFrame]:
+    """Early days to fit, later ones to choose by, the last to measure on. A label looks LABEL_DAYS ahead, so as many days
+    are left out before each stretch: no label of one sees a day of the next."""
+    last = labelled.agg(F.max("day_idx")).head()[0] or 0
+    choose, measure = int(last * (1 - share)), int(last * (1 - share / 2))
+    day = F.col("day_idx")
+    return {
+        "fit": labelled.filter(day <= choose - risk.LABEL_DAYS),
+        "choose": labelled.filter((day > choose) & (day <= measure - risk.LABEL_DAYS)),
+        "measure": labelled.filter(day > measure),
+    }
+
+
+def _weighted(rows: DataFrame) -> DataFrame:
+    """Positives weighted by their scarcity."""
+    counts = rows.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).head()
+    return rows.withColumn("weight", F.when(F.col("label") == 1, counts["neg"] / max(1, counts["pos"])).otherwise(1.0))
+
+
+def _expiry_pipeline(depth: int, iterations: int) -> Pipeline:
+    assembler = VectorAssembler(inputCols=list(risk.FEATURES), outputCol="features")
+    trees = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=depth, maxIter=iterations, seed=42)
+    return Pipeline(stages=[assembler, trees])
+
+
 def train_expiry_model(labelled: DataFrame, iterations: int = 8) -> tuple[PipelineModel, dict[str, float]]:
-    """Boosted trees, the depth chosen on the later quarter of the days, which no fit sees; positives are weighted
-    by their scarcity."""
-    last = labelled.agg(F.max("day_idx")).head()[0]
-    early = F.col("day_idx") <= int(last * (1 - TEST_SHARE))
-    train, test = labelled.filter(early), labelled.filter(~early)
-    counts = train.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).head()
-    weight = F.when(F.col("label") == 1, F.lit(counts["neg"] / max(1, counts["pos"]))).otherwise(F.lit(1.0))
-    train = train.withColumn("weight", weight)
+    """(model refit on all days, metrics): the depth is chosen on days that no fit saw, and measured on later days that
+    neither the fit nor the choice saw."""
+    days = split_days(labelled)
     auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    assembler = VectorAssembler(inputCols=list(risk.FEATURES), outputCol="features")
+    train = _weighted(days["fit"])
     fits = []
     for depth in DEPTHS:
-        trees = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=depth, maxIter=iterations, seed=42)
-        model = Pipeline(stages=[assembler, trees]).fit(train)
-        fits.append((auc.evaluate(model.transform(test)), model))
-    score, model = _best(fits)
-    pr = auc.copy().setMetricName("areaUnderPR").evaluate(model.transform(test))
-    return model, {"test_auc": score, "test_average_precision": pr}
+        model = _expiry_pipeline(depth, iterations).fit(train)
+        fits.append((auc.evaluate(model.transform(days["choose"])), (depth, model)))
+    chosen, (depth, model) = _best(fits)
+    predicted = model.transform(days["measure"])
+    precision = auc.copy().setMetricName("areaUnderPR").evaluate(predicted)
+    metrics = {"depth": float(depth), "choice_auc": chosen, "test_auc": auc.evaluate(predicted), "test_average_precision": precision}
+    return _expiry_pipeline(depth, iterations).fit(_weighted(labelled)), metrics
+
+
+def _expiry_features(t: Tables) -> DataFrame:
+    """The features of every reading, written once: the labels and the newest readings both come from them."""
+    features = readings(t).withColumn("reorder_gap", F.col("on_hand_units") - F.col("reorder_point"))
+    return written(features, "expiry-features")
+
+
+def _labelled(features: DataFrame) -> DataFrame:
+    doubles = {c: F.col(c).cast("double") for c in risk.FEATURES}
+    labelled = risk.with_forward_label(features, SERIES_KEYS).select("day_idx", "label", *risk.FEATURES).withColumns(doubles)
+    return written(labelled, "expiry-training")
 
 
 def expiry_model_scores(t: Tables) -> DataFrame:
     """The risk table with the classifier's probability as the expiry score."""
-    features = risk.expiry_features(fact_inventory(t), dim_product(t))
-    doubles = {c: F.col(c).cast("double") for c in risk.FEATURES}
-    labelled = risk.with_forward_label(features).select("day_idx", "label", *risk.FEATURES).withColumns(doubles)
-    model, _ = train_expiry_model(written(labelled, "expiry-training"))
+    features = _expiry_features(t)
+    model, _ = train_expiry_model(_labelled(features))
+    recent = features.filter(F.col("day_idx") >= HISTORY_DAYS - risk.RECENT_READINGS)
     latest = risk.risk_scores(
-        features,
+        recent,
         ("brand", "division", "region", "on_hand_units", "days_to_expiry", "days_of_supply", "at_risk_expiry_units",
          "avg_daily_demand", "reorder_gap", "shelf_life_days", "in_transit_units", "reserved_units"),
     )
@@ -67,6 +99,22 @@ def expiry_model_scores(t: Tables) -> DataFrame:
     )
 
 
+def expiry_model_frame(t: Tables) -> DataFrame:
+    """What of the scored table does not depend on the fit: all columns but the score and the action, whether the score lies
+    within 0 and 1, and whether the action follows from the scores."""
+    scored = expiry_model_scores(t)
+    agrees = risk.with_action(scored.withColumnRenamed("recommended_action", "given"))
+    return agrees.withColumns(
+        {"score_in_bounds": F.expr("expiry_risk_score BETWEEN 0 AND 1"), "action_agrees": F.col("given") == F.col("recommended_action")}
+    ).drop("expiry_risk_score", "recommended_action", "given")
+
+
+def expiry_model_report(t: Tables) -> DataFrame:
+    """The measured quality of the expiry model, one row per figure."""
+    _, metrics = train_expiry_model(_labelled(_expiry_features(t)))
+    return t.spark.createDataFrame([(k, float(v)) for k, v in metrics.items()], "metric string, value double")
+
+
 _INPUTS = (
     "dow", "day", "month", "woy", "is_weekend", "lag_1", "lag_7", "roll7_mean", "roll7_std", "region_vec",
 )
@@ -155,3 +203,9 @@ def demand_forecast(t: Tables) -> DataFrame:
         F.round(F.greatest(F.lit(0.0), F.col("level") - band), 1).alias("lower"),
         F.round(F.col("level") + band, 1).alias("upper"),
     )
+
+
+def demand_forecast_frame(t: Tables) -> DataFrame:
+    """What of the forecast does not depend on the fit: its regions and days, and that the band holds the forecast."""
+    ordered = F.expr("lower >= 0 AND lower <= forecast_units AND forecast_units <= upper")
+    return demand_forecast(t).select("region", "forecast_date", ordered.alias("band_in_order"))

@@ -72,6 +72,8 @@ QUERIES: dict[str, Plan] = {
     "search_rows": serving.search_rows,
     "decision_validate": serving.decision_validate,
     "decision_log_recent": serving.decision_log_recent,
+    "decision_log_saved": serving.decision_log_saved,
+    "region_daily_upserted": serving.region_daily_upserted,
     # governance
     "persona_summary": personas.summary,
     "persona_summary_admin": partial(personas.summary, persona=personas.ADMIN),
@@ -118,6 +120,9 @@ QUERIES: dict[str, Plan] = {
     "forecast_naive_eval": serving.forecast_naive_eval,
     "expiry_model_scores": learned.expiry_model_scores,
     "demand_forecast": learned.demand_forecast,
+    "expiry_model_frame": learned.expiry_model_frame,
+    "demand_forecast_frame": learned.demand_forecast_frame,
+    "expiry_model_report": learned.expiry_model_report,
     # documents
     "doc_elements": docs.doc_elements,
     "doc_text": docs.doc_text,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import STOCKOUT_STATUSES, contains_ci, in_list, scaled
 from shelfwise.operators import decisions, forecast, risk
-from shelfwise.operators.keyed import key_report
+from shelfwise.operators.keyed import key_report, keyed_upsert
 from shelfwise.plans import gold
 from shelfwise.session import shared_dir, written
 from shelfwise.sources.inventory import HISTORY_DAYS, fact_inventory
@@ -157,6 +157,21 @@ def decision_log_recent(t: Tables) -> DataFrame:
     return decisions.recent(decisions.accepted(decision_batch(t)))
 
 
+def decision_log_saved(t: Tables) -> DataFrame:
+    """The valid decisions as the log holds them once recorded, without the ids and times they were given."""
+    log = shared_dir(t.spark, "decisions")
+    decisions.record(decision_batch(t), "ops@example.com", log)
+    return t.spark.read.parquet(log).drop("id", "created_at")
+
+
+def region_daily_upserted(t: Tables) -> DataFrame:
+    """The daily table after its newest month, stored with wrong sums, was replaced by the right rows."""
+    daily = written(gold.region_daily_of(t), "region-daily")
+    recent = F.col("sales_date") >= t.midnight(30).cast("date")
+    stale = daily.withColumn("net_idr", F.when(recent, F.lit(-1).cast("bigint")).otherwise(F.col("net_idr")))
+    return keyed_upsert(stale, daily.filter(recent), gold.SERVING_KEYS["gold_region_daily"])
+
+
 def open_worklist(t: Tables) -> DataFrame:
     """The worklist without the pairs that somebody already acted on."""
     scores = written(scored(t), "scores")  # the worklist and the decisions both stand on it

@@ -8,7 +8,8 @@ from tests.conftest import SMALL
 
 EAGER = {
     "expiry_model_scores", "demand_forecast", "stream_dq_silver", "stream_quarantine", "incremental_cycle",
-    "incremental_national", "stored_gold_kpis", "stored_gold_feed", "stream_rule_totals",
+    "incremental_national", "stored_gold_kpis", "stored_gold_feed", "expiry_model_frame", "demand_forecast_frame", "expiry_model_report",
+    "decision_log_saved", "region_daily_upserted", "stream_rule_totals",
 }
 QUERIES = {name: query for name, query in entry.queries().items() if name in PLANS}
 
