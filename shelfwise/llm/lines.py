@@ -73,22 +73,23 @@ def _trimmed(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, place, line, k1, k2) of every line that is not blank, blanks at its ends taken off; k1 and k2 are
     two independent hashes, the name of a line."""
-    cut = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line")
+    # The hash is a column of its own before the lines are exploded, else it would be computed for every line.
+    whole = docs.where("text IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.split("text", "\n").alias("cut")
     )
+    cut = whole.select("doc_id", "text_hash", F.posexplode("cut").alias("place", "line"))
     cut = cut.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
     return cut.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), F.col("line"))})
 
 
 def _halves() -> Column:
     """Hashed first and last halves of a line, for a partner that is no longer than the line and for one a word longer."""
-    words = F.split("line", " ")
-    n = F.size(words)
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     out = []
     for longest in (n, n + 1):
         half = F.floor((longest - 1) / 2).cast("int")
-        out.append(F.xxhash64(F.lit(1), longest, F.slice(words, F.lit(1), half)))
-        out.append(F.xxhash64(F.lit(2), longest, F.slice(words, n - half + 1, half)))
+        out.append(F.xxhash64(F.lit(1), longest, F.call_function("substring_index", F.col("line"), F.lit(" "), half)))
+        out.append(F.xxhash64(F.lit(2), longest, F.call_function("substring_index", F.col("line"), F.lit(" "), -half)))
     return F.when(n >= NEAR_WORDS, F.array(*out))
 
 
