@@ -214,8 +214,8 @@ def score_column(docs: DataFrame, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, score, content_score, meta_score, predicted) of every row of docs: scores are probabilities of good quality,
-    predicted is 1 from 0.5.
+    """(doc_id, score, content_score, meta_score, predicted, keep) of every row of docs: scores are probabilities of good
+    quality, predicted is 1 and keep is true from 0.5.
 
     docs: doc_id, text and, where there are, source, lang, n_chars; labels: doc_id, quality. Null and empty texts, sources
     and languages are values like others; null labels and doc_ids take no part in fitting. Repeated rows come back as often;
@@ -223,7 +223,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """
     model = fit(stored(features(docs), "features"), labels, max_labelled)
     scored = docs.select(F.col("doc_id").cast("long"), score_column(docs, model).alias("s"))
-    return scored.select("doc_id", "s.*", (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"))
+    keep = F.col("s.score") >= THRESHOLD
+    return scored.select("doc_id", "s.*", keep.cast("int").alias("predicted"), keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
