@@ -77,4 +77,4 @@ QUERIES = {
         op10_nearest_vectors,
     )
 }
-ORACLE = {"op2_line_dedup": lines.ORACLE}
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op7_shards": shards.ORACLE}

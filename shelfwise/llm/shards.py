@@ -116,3 +116,31 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     placed = shard_by_bytes(docs, shards).select(F.col("doc_id").alias("__doc"), "shard", "slot")
     joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["__doc"])).drop("__doc")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+#: The same in DuckDB: checksums byte by byte, then running sums in the order of the key. Repeated rows are interchangeable.
+ORACLE = """
+WITH crc_table AS (
+    SELECT list(list_reduce(list_concat([i], range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)
+), cut AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+    FROM documents
+), sized AS (
+    SELECT doc_id, CAST(size AS BIGINT) AS size,
+        xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes),
+            lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
+    FROM cut, crc_table
+), placed AS (
+    SELECT *, sum(size) OVER key AS ending, row_number() OVER key AS place, sum(size) OVER () AS total
+    FROM sized
+    WINDOW key AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), sharded AS (
+    SELECT *, CAST((2 * ending - size) * 40 // (2 * total) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
