@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from shelfwise.operators.documents import (
-    BLOCK_TAGS, ELEMENT_TYPES, ENTITIES, FIELD_PATTERNS, NO_TEXT, NORMALISED_AWAY,
-)
 from shelfwise.oracle.ctes import SALES, plain_ratio, ratio, scaled, with_ctes
 
 RULES = ("valid_product", "valid_region", "valid_units", "valid_status", "valid_price", "valid_order_ts")
@@ -536,6 +533,23 @@ FROM snapshot s JOIN (SELECT region, avg(lat) AS lat, avg(lng) AS lng FROM dim_d
   ON c.region = s.region"""
 
 # ---- documents -------------------------------------------------------------------------------------------------
+# Fixed values, stated here as well so that the twins do not follow a change of the operators.
+NO_TEXT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+BLOCK_TAGS = (
+    "title|h[1-6]|p|li|td|th|div|article|section|nav|ul|ol|header|footer|table|tr|head|body|html|blockquote|pre"
+)
+ELEMENT_TYPES = {"title": "title", "li": "list", "td": "table", "th": "table"} | {f"h{n}": "section_header" for n in range(1, 7)}
+ENTITIES = {
+    "&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&",
+}
+FIELD_PATTERNS = {
+    "email": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
+    "phone": r"(\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4})",
+    "ip_address": r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[^0-9.]|$)",
+    "licence": r"((?:Licensed|Released) under [^\n]*?)\.(?:[ \n]|$)",
+    "token": r"token = \"([0-9a-f]+)\"",
+}
+NORMALISED_AWAY = r"[^\p{L}\p{N}]+"
 
 
 def _quoted(text: str) -> str:
@@ -577,7 +591,7 @@ FINAL["doc_text"] = "SELECT * FROM page_texts"
 FINAL["doc_page"] = "SELECT * FROM page_texts WHERE page_id = 17 LIMIT 1"
 _FIELDS = ", ".join(
     f"nullif(regexp_extract(text, {_quoted(pattern)}, 1), '') AS {name}"
-    for name, (pattern, _) in FIELD_PATTERNS.items()
+    for name, pattern in FIELD_PATTERNS.items()
 )
 EXTRA["doc_fields"] = f"SELECT doc_id, {_typed('lang')} AS doc_type, source, text, {_FIELDS} FROM documents"
 FINAL["doc_fields"] = "SELECT * EXCLUDE (text) FROM doc_fields"
