@@ -31,11 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str, parts: int | None = None) -> DataFrame:
+def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read back with a stated schema: cuts the lineage, survives lost
     executors, and is computed once."""
     path = shared_dir(df.sparkSession, purpose)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

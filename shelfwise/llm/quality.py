@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.llm.common import stored, texts
-from shelfwise.llm.linear import Logistic, logit, sigmoid
+from shelfwise.llm.linear import Logistic, sigmoid
 
 #: Most labelled documents used for fitting and calibration, and most pseudo-labels of a view and class in a round.
 MAX_LABELLED, MAX_PSEUDO = 20_000, 2_000
