@@ -5,7 +5,7 @@ from __future__ import annotations
 from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, IS_STOCKOUT, exact_mean, plain_ratio
 from shelfwise.operators.metrics import MetricView
 from shelfwise.sources.inventory import INVENTORY_COLUMNS, fact_inventory
-from shelfwise.sources.star import SALES_COLUMNS, Tables, dim_product, fact_sales
+from shelfwise.sources.star import SALES_COLUMNS, SALES_KEYS, Tables, dim_product, fact_sales
 
 _FILL_RATE = plain_ratio("sum(units_fulfilled)", "sum(units_ordered)")
 _STOCKOUT_ORDERS = plain_ratio(f"count_if({IS_STOCKOUT})", "count(1)")
@@ -19,7 +19,7 @@ def _flagged(key: str) -> str:
 def sales_metrics(t: Tables) -> MetricView:
     return MetricView(
         source=lambda columns: fact_sales(t, columns or ["sale_id"]),
-        columns=SALES_COLUMNS,
+        columns=(*SALES_COLUMNS, *SALES_KEYS),
         dimensions={
             "sale_date": "to_date(order_ts)",
             "sale_month": "cast(date_trunc('MONTH', order_ts) AS date)",
@@ -45,8 +45,8 @@ def sales_metrics(t: Tables) -> MetricView:
             "partial_orders": "count_if(status = 'partial')",
             "stockout_rate": _STOCKOUT_ORDERS,
             "revenue_at_risk_idr": f"sum({AT_RISK_NET})",
-            "unique_outlets": "count(DISTINCT outlet_id)",
-            "unique_skus": "count(DISTINCT product_id)",
+            "unique_outlets": "count(DISTINCT outlet_key)",
+            "unique_skus": "count(DISTINCT product_key)",
         },
     )
 
@@ -73,7 +73,7 @@ def inventory_risk_metrics(t: Tables) -> MetricView:
             "avg_days_to_expiry": exact_mean("days_to_expiry", 0),
             "avg_daily_demand": exact_mean("avg_daily_demand", 1),
             "skus_at_expiry_risk": _flagged("product_id"),
-            "sku_dcs": "count(DISTINCT concat(dc_id, '|', product_id))",
+            "sku_dcs": "count(DISTINCT dc_id, product_id)",
         },
     )
 
