@@ -25,8 +25,21 @@ from shelfwise.llm.common import stored
 
 #: Lines of fewer words are deduplicated only if they are equal.
 NEAR_WORDS = 8
+#: Variants that a worker holds before it hands them on.
+EMITTED = 100_000
 #: Three primes below 2^31 and a base for each: the hash of a sequence of words is a polynomial in the base.
 _FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 741_103_597), (2_147_483_587, 1_220_703_125))
+_powers = [np.ones(1, np.uint64) for _ in _FIELDS]
+
+
+def _power(field: int, n: int) -> np.ndarray:
+    """The first n powers of a field's base, doubled as far as they are needed."""
+    prime, base = _FIELDS[field]
+    while len(_powers[field]) < n:
+        known = _powers[field]
+        step = np.uint64(pow(base, len(known), prime))
+        _powers[field] = np.concatenate([known, known * step % np.uint64(prime)])
+    return _powers[field][:n]
 
 
 def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,12 +52,7 @@ def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = []
     for k, (prime, base) in enumerate(_FIELDS):
         p = np.uint64(prime)
-        powers = np.empty(n, np.uint64)
-        power = 1
-        for i in range(n):
-            powers[i] = power
-            power = power * base % prime
-        terms = (codes >> np.uint64(7 * k)) % p * powers % p
+        terms = (codes >> np.uint64(7 * k)) % p * _power(k, n) % p
         before = np.concatenate([[0], np.cumsum(terms)]).astype(np.uint64)
         after = (before[-1] - before[1:]) % p * np.uint64(pow(base, -1, prime)) % p
         hashes.append(np.concatenate([before[-1:] % p, (before[:-1] + after) % p]).astype(np.int64))
@@ -96,12 +104,22 @@ def _halves() -> Column:
 def _variant_rows(lines: DataFrame) -> DataFrame:
     """(v1, v2, place, at) of every variant of lines (at, line); at says where the line first stands and its name."""
 
+    def emitted(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        v1, v2, place = (np.concatenate([h[i] for _, h in held]) for i in range(3))
+        own = batch.column(0).take(pa.array(np.repeat([row for row, _ in held], [len(h[0]) for _, h in held])))
+        return pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), pa.array(place), own], names=["v1", "v2", "place", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for row, line in enumerate(batch.column(1).to_pylist()):
-                v1, v2, place = variants(line.split(" "))
-                own = batch.column(0).take(pa.array(np.full(len(place), row)))
-                yield pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), pa.array(place), own], names=["v1", "v2", "place", "at"])
+                held.append((row, variants(line.split(" "))))
+                size += len(held[-1][1][0])
+                if size >= EMITTED:
+                    yield emitted(batch, held)
+                    held, size = [], 0
+            if held:
+                yield emitted(batch, held)
 
     at = lines.schema["at"].dataType.simpleString()
     return lines.select("at", "line").mapInArrow(run, f"v1 long, v2 long, place int, at {at}")
