@@ -1,0 +1,53 @@
+import random
+
+import corpus_pipeline
+from shelfwise.llm import near
+from shelfwise.llm.common import table
+from tests.llm import brute
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _changed(words, n):
+    out = list(words)
+    for at in random.sample(range(len(out)), n):
+        out[at] = f"other{random.randrange(10**6)}"
+    return out
+
+
+def _stage_ids(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect())
+
+
+def test_stage_equals_brute_force_on_changed_words(spark):
+    random.seed(11)
+    rows = []
+    for group in range(12):
+        base = [f"w{random.randrange(5000)}" for _ in range(random.choice((6, 40, 150, 300)))]
+        rows += [" ".join(_changed(base, min(len(base) // 2, random.choice((0, 1, 2, 3, 5, 8))))) for _ in range(9)]
+    # A chain: each is near the next alone, so the ends meet only through those between.
+    chain = [f"c{i}" for i in range(200)]
+    for _ in range(15):
+        rows.append(" ".join(chain))
+        at = random.randrange(150)
+        chain[at : at + 8] = [f"n{random.randrange(10**6)}" for _ in range(8)]
+    rows = list(enumerate(rows, 1))
+    want = brute.jaccard_groups(rows)
+    apart = brute.near_groups(rows)
+    assert len(set(want.values())) < len(set(apart.values()))
+    assert _stage_ids(spark, rows) == sorted(d for d, g in want.items() if d == g)
+
+
+def test_stage_equals_brute_force_on_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute.jaccard_groups([(r.doc_id, r.text) for r in docs.collect()])
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()]
+    assert sorted(got) == sorted(d for d, g in want.items() if d == g)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    kept = near.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8]
+    assert near.one_of_each(no_docs).count() == 0
