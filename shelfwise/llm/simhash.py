@@ -113,12 +113,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs without the near duplicates: of every component the document with the least doc_id stays, as one row even if
-    that doc_id is repeated (the row with the least text). Rows without a doc_id stay. Columns are those of docs."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = near_duplicates(named, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    """docs without the near duplicates: of every component one row stays. A row is named by doc_id and the hash of its text;
+    the least name stays, rows without a doc_id after all others, and of rows with the same name one. Columns are those of
+    docs."""
+    return least_of_each(docs, _named_components(docs, words, radius))
+
+
+def _named_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """(doc_id, text_hash, root): component_id cannot name a component where doc_ids repeat, so each text is numbered by its hash."""
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    roots = near_duplicates(by_text, words, radius).select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("root")).distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).join(roots, "text_hash")
+
+
+def least_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of docs whose name is the least of their component, each name once. placed: doc_id, text_hash, root."""
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    kept = placed.groupBy("root").agg(F.min(name).alias("name")).select(F.col("name.doc_id").alias("__doc"), F.col("name.text_hash").alias("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
     plain = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *plain)
-    kept = named.join(found, named["doc_id"] == found["__kept"], "left_semi")
-    single = kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
-    return single.unionByName(docs.where("doc_id IS NULL"))
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("text").asc_nulls_last(), *plain)
+    left = docs.join(kept, same, "left_semi")
+    return left.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")

@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from shelfwise.llm import near
+import pytest
+from shelfwise.llm import near, simhash
 from shelfwise.llm.common import table
 from tests.llm import brute
 
@@ -51,3 +52,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8]
     assert near.one_of_each(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("module", [near, simhash])
+def test_rows_are_named_by_id_and_text(spark, module):
+    copy, other = "one two three four five six seven", "quite another text of some more words here"
+    alone = "a third text that has no copy at all"
+    rows = [(3, copy), (5, copy), (5, other), (None, alone), (None, alone), (None, copy)]
+    kept = module.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, copy), (5, other), (0, alone)])
