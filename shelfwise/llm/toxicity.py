@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word stems that are clearly more frequent in toxic examples. The examples' TF-IDF vectors lie in
-an inverted index whose postings are cut into blocks of examples; for each term and block the largest weight is kept. A
-query bounds its cosine with every block by these maxima, scores blocks from the best bound down, and stops when no block
-can hold a nearer example than the k found: the result is that of a full search. The neighbours' labels, weighted by
+Every word of the examples is a term, and so is every stem that LEAST_DOCS examples have. A term's weight is its TF-IDF times
+its relevance: how clearly more frequent it is in toxic examples, and FLOOR for all others. The examples' vectors lie in an
+inverted index; a query adds up its cosine with every example, terms of long postings as dense rows. The result is that of a
+full search. The neighbours' labels, weighted by
 squared cosine, make a vote that a logistic curve, fitted on the examples' own votes without themselves, turns into a score.
 """
 
@@ -21,19 +21,20 @@ from shelfwise.llm.common import by_batch, crc_of, stored, texts
 from shelfwise.llm.linear import Logistic, logit, sigmoid
 from shelfwise.llm.vocab import shared
 
-#: Most labelled documents that fitting uses, and most terms of the index.
-MAX_EXAMPLES, MAX_TERMS = 10_000, 2_048
-#: Least significance of a term (in standard deviations), how many times more frequent it must be in toxic documents, least
-#: documents that have it, lengths of stems.
-CLEAR, LIFT, LEAST_DOCS, STEMS = 6.0, 4.0, 5, (3, 4, 5, 6, 7, 8)
-NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
-REMEMBERED = 500_000
+#: Most labelled documents that fitting uses.
+MAX_EXAMPLES = 10_000
+#: Least relevance of a term, least documents that have a stem, lengths of stems.
+FLOOR, LEAST_DOCS, STEMS = 0.02, 5, (5, 6, 7, 8)
+#: Terms that so large a share of the examples has are kept as dense rows; so many texts are searched at once.
+DENSE, TOGETHER = 0.1, 64
+NEIGHBOURS, EVIDENCE = 15, 3
+REMEMBERED = 100_000
 THRESHOLD = 0.5
 SEED = 23
 _WORD = re.compile(r"\w+")
 
 
-_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
+_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary()), ("weights", pa.binary())])
 _NEAR = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
@@ -57,9 +58,9 @@ def examples(labels: DataFrame, learn: Column, limit: int) -> DataFrame:
     return known.where(share).orderBy(place, "doc_id").limit(limit)
 
 
-def clear_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, int]]:
-    """The terms whose share of documents is most clearly larger in the toxic class, with their numbers of documents.
-    rows: text, toxic."""
+def all_terms(rows: DataFrame) -> list[tuple[str, int, float]]:
+    """Every word of the rows (text, toxic), and every stem that enough of them have, with the number of documents and the
+    relevance: how significantly larger its share of toxic documents is, in parts of the largest, and FLOOR at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -75,21 +76,22 @@ def clear_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str,
     if len(n) < 2:
         return []
     sums = rows.select("text", "toxic").mapInArrow(run, "term string, plain long, toxic long").groupBy("term")
-    sums = sums.agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")).where(F.col("plain") + F.col("toxic") >= LEAST_DOCS)
-    share = (F.col("plain") + F.col("toxic")) / (n[0] + n[1])
-    spread = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9
-    more = F.col("toxic") / n[1] - F.col("plain") / n[0]
-    clear = sums.withColumn("z", more / spread).where((F.col("z") >= CLEAR) & (F.col("toxic") / n[1] >= LIFT * F.col("plain") / n[0]))
-    best = clear.orderBy(F.col("z").desc(), "term").limit(max_terms).collect()
-    return sorted((r["term"], r["plain"] + r["toxic"]) for r in best)
+    sums = sums.agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
+    found = sums.where((F.right("term", F.lit(1)) != "*") | (F.col("plain") + F.col("toxic") >= LEAST_DOCS)).orderBy("term").toArrow()
+    plain, toxic = (found.column(c).to_numpy().astype(np.float64) for c in ("plain", "toxic"))
+    share = (plain + toxic) / (n[0] + n[1])
+    z = (toxic / n[1] - plain / n[0]) / (np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9)
+    # A term that all documents have says nothing; its z is 0.
+    relevance = FLOOR + np.clip(z / max(z.max(initial=0.0), 1e-9), 0, 1)
+    return list(zip(found.column("term").to_pylist(), (plain + toxic).astype(int).tolist(), relevance.tolist()))
 
 
 class Vectors:
-    """Texts as unit TF-IDF vectors over the terms."""
+    """Texts as unit vectors over the terms: TF-IDF times relevance."""
 
-    def __init__(self, terms: list[tuple[str, int]], n_docs: int):
-        self.number = {term: i for i, (term, _) in enumerate(terms)}
-        self.idf = np.array([np.log((1 + n_docs) / (1 + df)) + 1 for _, df in terms])
+    def __init__(self, terms: list[tuple[str, int, float]], n_docs: int):
+        self.number = {term: i for i, (term, _, _) in enumerate(terms)}
+        self.idf = np.array([(np.log((1 + n_docs) / (1 + df)) + 1) * relevance for _, df, relevance in terms])
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -118,41 +120,61 @@ class Vectors:
 
 
 class Index:
-    """Inverted lists of the examples, in blocks with their largest weights."""
+    """Inverted lists of the examples. A term's list goes from start[term] to start[term + 1]; there is one block."""
+
+    blocks = 1
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], n_terms: int):
-        # Examples with the same strongest term stand together, so that blocks differ in their maxima.
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        term = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, np.int64)])
-        self.weight = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        self.place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by = np.lexsort((self.place, term))
-        term, self.place, self.weight = term[by], self.place[by], self.weight[by]
-        slot = term * max(self.blocks, 1) + self.place // BLOCK
-        self.start = np.searchsorted(slot, np.arange(n_terms * max(self.blocks, 1) + 1)).tolist()
-        self.most = np.zeros(n_terms * max(self.blocks, 1))
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(n_terms, -1)
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
+        place = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t, _ in vectors])
+        by = np.argsort(term, kind="stable")
+        self.place, self.weight = place[by], np.concatenate([w for _, w in vectors] or [np.empty(0, np.float32)])[by]
+        self.start = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self.rows: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None}
+
+    def _dense(self) -> None:
+        """The frequent terms as rows, made where they are used."""
+        often = np.flatnonzero(np.diff(self.start) > DENSE * len(self.ids))
+        self.row = np.full(len(self.start) - 1, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(self.ids)), np.float32)
+        for row, term in enumerate(often.tolist()):
+            low, high = self.start[term], self.start[term + 1]
+            self.rows[row, self.place[low:high]] = self.weight[low:high]
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """One row for each query: its cosine with every example."""
+        if self.rows is None:
+            self._dense()
+        dense = np.zeros((len(queries), len(self.rows)), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            dense[i, row[row >= 0]] = weights[row >= 0]
+        out = dense @ self.rows
+        for i, (terms, weights) in enumerate(queries):
+            rare = self.row[terms] < 0
+            low = self.start[terms[rare]]
+            count = self.start[terms[rare] + 1] - low
+            if total := int(count.sum()):
+                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
+                out[i] += np.bincount(self.place[at], self.weight[at] * np.repeat(weights[rare], count), len(self.ids)).astype(np.float32)
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k examples of the largest positive cosine, ties to the smaller place; not the place without."""
-        bound = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(found) >= k and bound[block] < -found[k - 1][0] - 1e-12:
-                break
-            cosines = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist()):
-                slot = term * self.blocks + block
-                low, high = self.start[slot], self.start[slot + 1]
-                if high > low:
-                    cosines[self.place[low:high] - block * BLOCK] += weight * self.weight[low:high]
-            best = [(-c, block * BLOCK + i) for i, c in enumerate(cosines.tolist()) if c > 0 and block * BLOCK + i != without]
-            found = sorted(found + best)[:k]
-        return [(-c, i) for c, i in found]
+        return self.best(self.cosines([(terms, weights)])[0], k, without)
+
+    def best(self, cosines: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        if without >= 0:
+            cosines[without] = 0
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0
+        near = np.flatnonzero((cosines >= least) & (cosines > 0))
+        near = near[np.argsort(-cosines[near], kind="stable")][:k]
+        return list(zip(cosines[near].tolist(), near.tolist()))
 
 
 class Voter:
@@ -181,23 +203,27 @@ class Voter:
             if curve.weights[0] > 0:
                 self.curve = curve
 
-    def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        """The score from 0 to 1 and the nearest examples."""
-        terms, weights = self.vectors.of(text)
-        if not len(terms) or self.index is None:
-            return self.silent, []
-        found = self.index.nearest(terms, weights, NEIGHBOURS)
-        if not found:
-            return self.silent, []
-        vote = self.vote(found)
-        score = float(sigmoid(self.curve.margin(logit(np.array([[vote]]))))[0]) if self.curve else vote
-        return score, found[:EVIDENCE]
+    def scores(self, batch: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The score from 0 to 1 and the nearest examples of each text."""
+        out = [(self.silent, [])] * len(batch)
+        if self.index is None:
+            return out
+        vectors = [self.vectors.of(text) for text in batch]
+        some = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            for i, cosines in zip(part, self.index.cosines([vectors[i] for i in part])):
+                if found := self.index.best(cosines, NEIGHBOURS):
+                    vote = self.vote(found)
+                    score = float(sigmoid(self.curve.margin(logit(np.array([[vote]]))))[0]) if self.curve else vote
+                    out[i] = score, found[:EVIDENCE]
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES) -> Voter:
     """The model learned from at most max_examples labelled documents where learn, a condition on doc_id, holds.
 
-    Terms and index come from these examples alone, so what is sent to the workers is bounded by the two parameters. Without
+    Terms and index come from these examples alone, so what is sent to the workers is bounded by the parameter. Without
     both classes the score is the class there is, or 0.
     """
     chosen = F.broadcast(examples(labels, learn, max_examples))
@@ -205,18 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
     # Copies of a text would make its every word look significant; of each text the least doc_id stays.
     alike = rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = stored(rows.join(alike, "doc_id"), "examples")
-    terms = clear_terms(rows)
+    terms = all_terms(rows)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     vectors = Vectors(terms, sum(n.values()))
+    del terms
     if len(n) < 2:
         return Voter(vectors, None, 0.0, float(next(iter(n), 0)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [vectors.of(text) for text in texts(batch.column(1))]
-        columns = [batch.column(0), batch.column(2), pa.array([t for t, _ in found]), pa.array([w for _, w in found])]
+        columns = [batch.column(0), batch.column(2), pa.array([t.astype(np.int32).tobytes() for t, _ in found]), pa.array([w.astype(np.float32).tobytes() for _, w in found])]
         return pa.RecordBatch.from_arrays(columns, schema=_EXAMPLE)
 
-    kept = by_batch(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, terms array<long>, weights array<double>")
+    kept = by_batch(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, terms binary, weights binary")
     known = sorted(kept.collect(), key=lambda r: r["doc_id"])
     loud = [r for r in known if r["terms"]]
     silent = [r["toxic"] for r in known if not r["terms"]]
@@ -224,8 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
     quiet = (sum(silent) + 0.1) / (len(silent) + 1)
     if not loud:
         return Voter(vectors, None, 0.0, quiet)
-    own = [(np.array(r["terms"]), np.array(r["weights"])) for r in loud]
-    index = Index(own, [r["doc_id"] for r in loud], [r["toxic"] for r in loud], len(terms))
+    own = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in loud]
+    index = Index(own, [r["doc_id"] for r in loud], [r["toxic"] for r in loud], len(vectors.idf))
     voter = Voter(vectors, index, n[1] / (n[0] + n[1]), quiet)
     voter.fit_curve([(v, r["doc_id"]) for v, r in zip(own, loud)])
     return voter
@@ -241,7 +268,7 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = held.value
-        found = [model.score(text) for text in texts(batch.column(1))]
+        found = model.scores(list(texts(batch.column(1))))
         near = [[{"doc_id": model.index.ids[i], "toxic": model.index.labels[i], "cosine": c} for c, i in e] for _, e in found]
         scores = np.array([s for s, _ in found])
         columns = [batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(near, _NEAR)]

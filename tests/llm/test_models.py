@@ -63,6 +63,16 @@ def test_toxicity_of_held_out_documents(spark, voter):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_example_with_a_word_is_indexed_and_every_text_with_one_searched(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", name) for name in ("documents", "labels"))
+    voter = toxicity.fit(docs, labels, ~toxicity.held_out())
+    chosen = docs.join(toxicity.examples(labels, ~toxicity.held_out(), toxicity.MAX_EXAMPLES), "doc_id").where(F.col("text").rlike(r"\w"))
+    assert len(voter.index.ids) == chosen.select("text", "toxic").distinct().count()
+    known = docs.join(chosen.select("doc_id"), "doc_id").select("doc_id", "text")
+    rows = toxicity.score(known, voter).collect()
+    assert all(r.evidence for r in rows) and len({r.score for r in rows}) > 1
+
+
 def test_nearest_examples_equal_a_full_search(voter):
     index, n = voter.index, len(voter.vectors.number)
     full = np.zeros((len(index.ids), n))
