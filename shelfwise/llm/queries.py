@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import ann, bpe, decontaminate, language, lines, quality, runs, shards, simhash, tokens, toxicity
+from shelfwise.llm import ann, bpe, conversations, decontaminate, language, lines, quality, runs, shards, simhash, tokens, toxicity
 from shelfwise.llm.common import crc_of, prepare, table
 
 
@@ -62,6 +62,10 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(prepare(spark), sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(prepare(spark), sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.planted(table(prepare(spark), sf_dir, "documents")))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op8_token_counts,
         op9_simhash_near_dedup,
         op10_nearest_vectors,
+        op12_conversation_repair,
         op13_periodic_runs,
     )
 }
