@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import ann, bpe, conversations, decontaminate, language, lines, quality, runs, shards, simhash, tokens, toxicity
+from shelfwise.llm import ann, bpe, brown, conversations, decontaminate, language, lines, quality, runs, shards, simhash, tokens, toxicity
 from shelfwise.llm.common import crc_of, prepare, table
 
 
@@ -62,6 +62,12 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(prepare(spark), sf_dir, "embeddings"))
 
 
+def op11_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    found = brown.score_corpus(docs, crc_of("doc_id") % 10 != 0)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(table(prepare(spark), sf_dir, "conversations"))
 
@@ -83,6 +89,7 @@ QUERIES = {
         op8_token_counts,
         op9_simhash_near_dedup,
         op10_nearest_vectors,
+        op11_class_ngram_scores,
         op12_conversation_repair,
         op13_periodic_runs,
     )
