@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import bpe, decontaminate, lines, near, quality
+from shelfwise.llm import bpe, decontaminate, lines, quality, simhash
 from shelfwise.llm.common import prepare, stored, table
 
 
@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group stays: fingerprints of 3-word shingles that link at 2 or fewer differing bits."""
     prepare(spark)
-    return near.one_of_each(docs)
+    return simhash.one_of_each(docs, words=3, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
