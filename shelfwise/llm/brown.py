@@ -36,7 +36,7 @@ ROUNDS = 4
 FLUSH = 1 << 22
 TOKENS_A_TASK = 1 << 28
 #: Head words whose neighbour counts travel as one row.
-WORDS_A_BLOCK = 1 << 12
+WORDS_A_BLOCK = 1 << 10
 #: Weight of the class frequencies in class transitions.
 PULL = 1.0
 _TINY = 1e-300
@@ -159,31 +159,36 @@ def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(values.tobytes(), 1)
 
 
+def _blocks(words: Vocabulary, parity: int) -> int:
+    """Blocks of the words that move. The i-th of them lies in block i mod blocks, so that all have their share of frequent ones."""
+    return max(1, -(-((words.size + 1 - parity) // 2) // WORDS_A_BLOCK))
+
+
 def _neighbours(encoded: DataFrame, words: Vocabulary, of_id: np.ndarray, classes: int, parity: int) -> DataFrame:
     """(block, payload): sums over the training text. Block b: class counts before and after the head words of the block
     that move this round; block -1: counts of classes in sequence."""
     spark, wide, step = encoded.sparkSession, classes + 2, 2
     sent = spark.sparkContext.broadcast(of_id)
-    n_words = words.size
-    moving = (n_words + step - 1 - parity) // step
+    blocks = _blocks(words, parity)
+    per_block = -(-words.size // (step * blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, pairs = sent.value, np.zeros(wide * wide, np.int64)
-        around = np.zeros(moving * 2 * wide, np.int32)
+        around = np.zeros(blocks * per_block * 2 * wide, np.int32)
         for batch in batches:
             ids, ends = _flat(batch.column(0))
             before, own = _sequence(ids, ends, of, classes)
             pairs += np.bincount(before.astype(np.int32) * wide + own, minlength=wide * wide)
             places = np.arange(len(ids)) + np.searchsorted(ends[1:], np.arange(len(ids)), side="right")
             taken = (ids >= 0) & (ids % step == parity)
-            word, place = (ids[taken] // step).astype(np.int64) * (2 * wide), places[taken]
+            word, place = (ids[taken] // step).astype(np.int64), places[taken]
+            word = (word % blocks * per_block + word // blocks) * (2 * wide)
             keys, n = np.unique(np.concatenate((word + before[place], word + wide + own[place + 1])), return_counts=True)
             around[keys] += n.astype(np.int32)
         yield block(-1, pairs)
-        size = WORDS_A_BLOCK * 2 * wide
-        for b in range(0, len(around), size):
-            if around[b : b + size].any():
-                yield block(b // size, around[b : b + size])
+        for b, part in enumerate(around.reshape(blocks, -1)):
+            if part.any():
+                yield block(b, part)
 
     def block(b: int, values: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(values)], pa.binary())], names=["block", "payload"])
@@ -216,12 +221,13 @@ def _likelihood(pairs: np.ndarray) -> float:
     return xlogx(pairs) - xlogx(pairs.sum(axis=0)) - xlogx(pairs.sum(axis=1))
 
 
-def _moves(sums: DataFrame, pairs: np.ndarray, classes: int, parity: int) -> np.ndarray:
+def _moves(sums: DataFrame, words: Vocabulary, pairs: np.ndarray, classes: int, parity: int) -> np.ndarray:
     """(word, class) of every head word that moves this round. Bounded by the head."""
     wide = classes + 2
     counts = pairs.astype(float) + PULL / wide
     forward = np.log(counts / counts.sum(axis=1, keepdims=True))
     size = np.log(np.maximum(pairs.sum(axis=0)[:classes], 1.0))
+    blocks = _blocks(words, parity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +235,7 @@ def _moves(sums: DataFrame, pairs: np.ndarray, classes: int, parity: int) -> np.
                 around = np.frombuffer(zlib.decompress(payload.as_py()), np.int64).reshape(-1, 2, wide).astype(float)
                 gain = around[:, 0] @ forward[:, :classes] + around[:, 1] @ forward[:classes].T - around[:, 0].sum(axis=1, keepdims=True) * size
                 seen = np.flatnonzero(around[:, 0].sum(axis=1))
-                word = (seen + b * WORDS_A_BLOCK) * 2 + parity
+                word = (seen * blocks + b) * 2 + parity
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(gain[seen].argmax(axis=1), pa.int32())], names=["word", "class"])
 
     found = sums.where("block >= 0").mapInArrow(run, "word int, class int").toArrow()
@@ -257,7 +263,7 @@ def cluster(encoded: DataFrame, words: Vocabulary, classes: int = CLASSES, round
         if best is None or trace[-1] > best[0]:
             best = trace[-1], of_id, pairs
         if turn < rounds:
-            moved = _moves(sums, pairs, classes, turn % 2)
+            moved = _moves(sums, words, pairs, classes, turn % 2)
             of_id = of_id.copy()
             of_id[moved[0]] = moved[1]
     return best[1], best[2], trace

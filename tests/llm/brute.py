@@ -91,17 +91,3 @@ def passages(docs, items, similar=0.8, k=5):
                     found.add((doc, i))
                     break
     return found
-
-
-def jaccard_groups(docs, words=5, similar=0.8):
-    """doc_id to the least doc_id of its component by the similarity of shingle sets; docs: (doc_id, text)."""
-    sets = {}
-    for d, text in docs:
-        found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets[d] = {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-    by_shingle = defaultdict(list)
-    for d, own in sets.items():
-        for s in own:
-            by_shingle[s].append(d)
-    shared = Counter((a, b) for held in by_shingle.values() for a in held for b in held if a < b)
-    return groups(sorted(sets), [p for p, n in shared.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= similar])
