@@ -1,4 +1,4 @@
-"""Operators on keyed rows: first or latest per key, snapshots, upserts and key checks."""
+"""Operators on keyed rows: first or latest per key, upserts and key checks."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.session import written
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first in `order`.
@@ -53,14 +51,6 @@ def assert_keyed(df: DataFrame, keys: Sequence[str]) -> None:
         )
 
 
-def keyed_snapshot(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
-    """Write a table aside, check its key, and only then put it in place of the last good one; returned as read back."""
-    staged = written(df, "staged")
-    assert_keyed(staged, keys)
-    staged.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def keyed_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`new` rows replace `old` rows of the same key; all other old rows stay."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)

@@ -73,7 +73,7 @@ SALES = Expectations(
     ),
 )
 
-_TYPES = {
+TYPES = {
     "order_ts": "timestamp_ntz",
     "ship_ts": "timestamp_ntz",
     "units_ordered": "bigint",
@@ -88,7 +88,7 @@ _TYPES = {
 
 def typed_sales(raw: DataFrame) -> DataFrame:
     """Raw text to sales types; what cannot be read becomes NULL."""
-    return raw.selectExpr(*[f"try_cast({c} AS {_TYPES[c]}) AS {c}" if c in _TYPES else c for c in raw.columns])
+    return raw.selectExpr(*[f"try_cast({c} AS {TYPES[c]}) AS {c}" if c in TYPES else c for c in raw.columns])
 
 
 def silver_sales(raw: DataFrame) -> DataFrame:

@@ -59,6 +59,11 @@ FINAL["sales_daily"] = "SELECT * FROM sales_daily"
 FINAL["region_daily"] = FINAL["incremental_cycle"] = FINAL["region_daily_upserted"] = "SELECT * FROM region_daily"
 FINAL["national_daily"] = FINAL["incremental_national"] = "SELECT * FROM national_daily"
 FINAL["sales_serving"] = "SELECT * FROM sales_serving"
+FINAL["incremental_days"] = """
+SELECT sale_id, order_ts, sales_date, region, province, city, dc_id, division, brand, category, product_id, outlet_id,
+       units_ordered, units_fulfilled, unit_price_idr, gross_idr, discount_idr, net_idr, revenue_at_risk_idr, channel,
+       promo_flag, status, is_stockout
+FROM curated"""
 
 # ---- risk ------------------------------------------------------------------------------------------------------
 EXTRA["ranked_stock"] = """

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import AT_RISK_UNFILLED, IS_STOCKOUT, ratio
+from shelfwise.operators import snapshots
 from shelfwise.operators.governance import assert_no_pii
-from shelfwise.operators.keyed import first_per_key, keyed_snapshot
+from shelfwise.operators.keyed import first_per_key
 from shelfwise.operators.quality import silver_sales
 from shelfwise.sources.star import Tables, dim_product, raw_sales
 
@@ -116,22 +117,30 @@ def sales_serving(t: Tables, sales: DataFrame) -> DataFrame:
 
 
 def build(t: Tables, folder: str) -> None:
-    """Write the gold layer: curated sales by day, the two daily tables and the serving rows. Every table's key is checked
-    before it replaces the last good one, and none may hold personal data."""
-    curated(t).select(*SERVING_INPUTS).write.mode("overwrite").partitionBy("sales_date").parquet(f"{folder}/curated")
-    stored = Tables(t.spark, t.sf_dir, folder)
-    sales = sales_of(stored)
+    """Write the gold layer: curated sales by day, the two daily tables and the serving rows. All versions are written and
+    their keys checked before the first is published, and no table may hold personal data: a build that fails or dies
+    leaves the last good layer as it was."""
+    sales = snapshots.stage(
+        assert_no_pii(curated(t).select(*SERVING_INPUTS)), f"{folder}/curated", ("sale_id",), ("sales_date",)
+    )
+    rows = sales.read().select(*SERVING_INPUTS)
     tables = {
-        "gold_region_daily": region_daily(sales),
-        "gold_national_daily": national_daily(sales),
-        "gold_sales_serving": sales_serving(t, sales),
+        "gold_region_daily": region_daily(rows),
+        "gold_national_daily": national_daily(rows),
+        "gold_sales_serving": sales_serving(t, rows),
     }
-    for name, df in tables.items():
-        keyed_snapshot(assert_no_pii(df), SERVING_KEYS[name], f"{folder}/{name}")
+    staged = [snapshots.stage(assert_no_pii(df), f"{folder}/{name}", SERVING_KEYS[name]) for name, df in tables.items()]
+    for version in (sales, *staged):
+        version.publish()
 
 
 def _stored(t: Tables, name: str) -> DataFrame | None:
-    return t.spark.read.parquet(f"{t.gold}/{name}") if t.gold else None
+    if not t.gold:
+        return None
+    stored = snapshots.current(t.spark, f"{t.gold}/{name}")
+    if stored is None:
+        raise FileNotFoundError(f"{t.gold}/{name} has no published version: run plans.gold.build first")
+    return stored
 
 
 def sales_of(t: Tables) -> DataFrame:

@@ -136,4 +136,5 @@ QUERIES: dict[str, Plan] = {
     "stream_rule_totals": streams.rule_totals,
     "incremental_cycle": streams.incremental_cycle,
     "incremental_national": streams.incremental_national,
+    "incremental_days": streams.incremental_days,
 }

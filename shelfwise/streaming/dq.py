@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
 from shelfwise.operators.governance import assert_no_pii
-from shelfwise.operators.keyed import keyed_snapshot
-from shelfwise.operators.quality import SALES, quarantined_sales, silver_sales
+from shelfwise.operators.keyed import assert_keyed
+from shelfwise.operators.quality import SALES, TYPES, quarantined_sales, silver_sales
 from shelfwise.plans import gold
 from shelfwise.session import written
+from shelfwise.sources import store as files
 from shelfwise.sources.files import raw_stream
+from shelfwise.sources.star import SALES_COLUMNS
+
+#: What silver and gold are partitioned by, and what a refresh works out anew: month, day, quarter or year. A store keeps one.
+PERIOD = "month"
+#: The types of silver, as quality.typed_sales makes them.
+SILVER_SCHEMA = ", ".join(f"{c} {TYPES.get(c, 'string')}" for c in SALES_COLUMNS)
 
-TABLES = ("silver", "quarantine", "rule_counts")
 
+def _period(column: str, by: str) -> Column:
+    return F.trunc(column, by).cast("date") if by != "day" else F.to_date(column)
 
-def _write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+
+def _write_batch(batch: DataFrame, batch_id: int, store: str, by: str = PERIOD) -> None:
     """The tables of one batch, all from the same files. A batch that is run again overwrites its own part only."""
     held = batch.persist()  # recomputed from the batch's files if an executor is lost
     try:
-        tables = (silver_sales(held), quarantined_sales(held, with_time=True), SALES.metrics(held).drop("failed_pct"))
-        for name, df in zip(TABLES, tables):
+        silver = silver_sales(held).withColumn("period", _period("order_ts", by))
+        parts = silver.hint("rebalance", "period").write.mode("overwrite").partitionBy("period")
+        parts.parquet(f"{store}/silver/batch_id={batch_id}")
+        tables = {
+            "sale_periods": silver.select("sale_id", "period").distinct(),
+            "quarantine": quarantined_sales(held, with_time=True),
+            "rule_counts": SALES.metrics(held).drop("failed_pct"),
+        }
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{store}/{name}/batch_id={batch_id}")
     finally:
         held.unpersist()
@@ -38,7 +57,7 @@ def rule_totals(spark: SparkSession, store: str) -> DataFrame:
     return sums.withColumn("failed_pct", F.expr(ratio("100 * failed", "checked", 2)))
 
 
-def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch: int | None = None) -> dict[str, int]:
+def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch: int | None = None, by: str = PERIOD) -> dict[str, int]:
     """Bring what has landed since the last run into silver, quarantine and rule counts, in one pass over the files;
     returns rows checked and failures per rule of this run.
 
@@ -47,7 +66,7 @@ def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch:
     batches: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, store)
+        _write_batch(batch, batch_id, store, by)
         batches.append(batch_id)
 
     query = (
@@ -65,21 +84,102 @@ def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch:
     return {"checked": sums[0]["checked"], **{row["rule"]: row["failed"] for row in sums}}
 
 
+def _silver_store(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(f"{SILVER_SCHEMA}, batch_id bigint, period date").parquet(f"{store}/silver")
+
+
 def read_silver(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/silver").drop("batch_id")
+    return _silver_store(spark, store).drop("batch_id", "period")
+
+
+def silver_of(spark: SparkSession, store: str, periods: Sequence[date]) -> DataFrame:
+    """Silver rows of some periods: only their folders are read."""
+    return _silver_store(spark, store).filter(F.col("period").isin(list(periods))).drop("batch_id")
 
 
 def read_quarantine(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/quarantine").drop("batch_id")
 
 
-def run_cycle(spark: SparkSession, landing: str, store: str, cycle: int) -> dict[str, DataFrame]:
-    """One micro-batch cycle: new raw files through the quality stream, then the daily gold tables over all of silver, each
-    as a new keyed snapshot. Readers of the previous snapshots are not disturbed."""
-    run_quality(spark, landing, store)
-    sales = written(gold.curated_from(read_silver(spark, store)).select(*gold.SERVING_INPUTS), "curated")
-    tables = {"gold_region_daily": gold.region_daily(sales), "gold_national_daily": gold.national_daily(sales)}
-    tables["gold_sales_serving"] = assert_no_pii(sales)
-    return {
-        name: keyed_snapshot(df, gold.SERVING_KEYS[name], f"{store}/{name}/cycle={cycle}") for name, df in tables.items()
-    }
+def _batches_to_refresh(spark: SparkSession, store: str) -> list[int]:
+    """Batches that are in silver and not yet in gold, also those of a cycle that died in between."""
+    if not files.exists(spark, f"{store}/rule_counts"):
+        return []
+    seen = {row.batch_id for row in rule_counts(spark, store).select("batch_id").distinct().collect()}
+    if files.exists(spark, f"{store}/refreshed"):
+        seen -= {row.batch_id for row in spark.read.schema("batch_id bigint").parquet(f"{store}/refreshed").collect()}
+    return sorted(seen)
+
+
+def _touched(spark: SparkSession, store: str, batches: list[int]) -> list[date]:
+    """The periods whose gold rows the batches may change: those of their rows, and the older ones of sales they send again.
+
+    A sale with rows in several periods counts in the first of them; such sales are noted in several_periods. They are found
+    in the index of sales and periods, so silver itself is not read.
+    """
+    known = spark.read.schema("sale_id string, period date, batch_id bigint").parquet(f"{store}/sale_periods")
+    fresh = known.filter(F.col("batch_id").isin(batches)).select("sale_id", "period").distinct()
+    other = known.select(F.col("sale_id").alias("other_id"), F.col("period").alias("other_period"))
+    met = fresh.join(other, F.col("sale_id").eqNullSafe(F.col("other_id")) & (F.col("period") != F.col("other_period")))
+    both = met.select("sale_id", F.explode(F.array("period", "other_period")).alias("period")).distinct()
+    part = f"{store}/several_periods/upto={batches[-1]}"
+    both.write.mode("overwrite").parquet(part)
+    moved = spark.read.schema("sale_id string, period date").parquet(part)
+    touched = fresh.select("period").union(moved.select("period")).distinct()
+    return sorted(row.period for row in touched.collect())  # one value a period
+
+
+def _curated(spark: SparkSession, store: str, periods: Sequence[date]) -> DataFrame:
+    several = spark.read.schema("sale_id string, period date, upto bigint").parquet(f"{store}/several_periods")
+    first = several.groupBy(F.col("sale_id").alias("several_id")).agg(F.min("period").alias("first"))
+    rows = silver_of(spark, store, periods).join(first, F.col("sale_id").eqNullSafe(F.col("several_id")), "left")
+    own = rows.filter("first IS NULL OR first = period").drop("several_id", "first", "period")
+    return gold.curated_from(own).select(*gold.SERVING_INPUTS)
+
+
+def _replace(df: DataFrame, path: str, periods: Sequence[date], by: str) -> None:
+    """Write df in place of what the table holds of some periods; the files of other periods are not touched."""
+    rows = df.withColumn("period", _period("sales_date", by))
+    writer = rows.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period").parquet(path)
+    # A period that has lost its last sale has no rows to overwrite it with.
+    for period in set(periods) - {row.period for row in rows.select("period").distinct().collect()}:
+        files.remove(df.sparkSession, f"{path}/period={period}")
+
+
+def refresh(spark: SparkSession, store: str, by: str = PERIOD) -> list[date]:
+    """Bring gold up to date with silver by working out only the periods that new batches touch; returns these.
+
+    Reads the index of sales and periods and the touched periods' folders of silver. A refresh that dies is repeated by the
+    next one, which finds its batches still open. Periods are replaced one table after the other.
+    """
+    batches = _batches_to_refresh(spark, store)
+    if not batches:
+        return []
+    periods = _touched(spark, store, batches)
+    if periods:
+        curated = written(_curated(spark, store, periods), "curated")
+        assert_keyed(curated, gold.SERVING_KEYS["gold_sales_serving"])
+        tables = {"gold_sales_serving": assert_no_pii(curated)}
+        for name, rolled in (("gold_region_daily", gold.region_daily), ("gold_national_daily", gold.national_daily)):
+            tables[name] = written(rolled(curated), name)
+            assert_keyed(tables[name], gold.SERVING_KEYS[name])
+        for name, df in tables.items():
+            _replace(df, f"{store}/{name}", periods, by)
+    spark.createDataFrame([(b,) for b in batches], "batch_id bigint").write.mode("append").parquet(f"{store}/refreshed")
+    return periods
+
+
+GOLD = ("gold_region_daily", "gold_national_daily", "gold_sales_serving")
+
+
+def read_gold(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """A gold table of the cycle."""
+    return spark.read.parquet(f"{store}/{name}").drop("period")
+
+
+def run_cycle(spark: SparkSession, landing: str, store: str, by: str = PERIOD) -> dict[str, DataFrame]:
+    """One micro-batch cycle: new raw files through the quality stream, then the touched periods of the gold tables."""
+    run_quality(spark, landing, store, by=by)
+    refresh(spark, store, by)
+    return {name: read_gold(spark, store, name) for name in GOLD}

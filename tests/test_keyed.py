@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators.keyed import (
-    assert_keyed, first_per_key, key_report, keyed_snapshot, keyed_upsert, last_n_per_key,
-)
+from shelfwise.operators import snapshots
+from shelfwise.operators.keyed import assert_keyed, first_per_key, key_report, keyed_upsert, last_n_per_key
 from shelfwise.operators.sampling import hash_sample, random_batch, with_resent
+from shelfwise.plans import gold
 from shelfwise.session import shared_dir
 
 
@@ -32,13 +32,13 @@ def test_key_checks(pairs, spark):
 
 
 def test_snapshot_and_upsert(pairs, spark):
-    old = keyed_snapshot(pairs, ["k", "v"], shared_dir(spark, "snapshot"))
+    old = snapshots.keyed_snapshot(pairs, ["k", "v"], shared_dir(spark, "snapshot"))
     assert old.count() == 5
     base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")
     assert sorted(map(tuple, keyed_upsert(base, new, ["k"]).collect())) == [("a", 1), ("b", 9), ("c", 3)]
     with pytest.raises(ValueError):
-        keyed_snapshot(pairs, ["k"], shared_dir(spark, "snapshot"))
+        snapshots.keyed_snapshot(pairs, ["k"], shared_dir(spark, "snapshot"))
 
 
 def test_hash_sample_ignores_partitioning(spark):
@@ -54,3 +54,46 @@ def test_hash_sample_ignores_partitioning(spark):
 def test_random_batch_is_cut(spark):
     assert random_batch(spark.range(5000), 100, seed=1).count() == 100
     assert random_batch(spark.range(50), 100, seed=1).count() == 50
+
+
+def test_a_build_that_dies_leaves_the_last_good_version(spark, pairs, monkeypatch):
+    path = shared_dir(spark, "published")
+    assert snapshots.current(spark, path) is None
+    snapshots.keyed_snapshot(pairs, ["k", "v"], path)
+    reading = snapshots.current(spark, path)
+    # A bad key: nothing is published and nothing is left.
+    with pytest.raises(ValueError):
+        snapshots.keyed_snapshot(pairs, ["k"], path)
+    assert snapshots.sweep(spark, path) == []
+    # Killed between the check and the swap.
+    monkeypatch.setattr(snapshots.store, "replace_text", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        snapshots.keyed_snapshot(pairs.limit(1), ["k"], path)
+    monkeypatch.undo()
+    assert snapshots.current(spark, path).count() == 5
+    assert len(snapshots.sweep(spark, path)) == 1
+    # Published versions replace each other; one that is being read stays for one more.
+    snapshots.keyed_snapshot(pairs.limit(2), ["k", "v"], path)
+    assert reading.count() == 5 and snapshots.current(spark, path).count() == 2
+    snapshots.keyed_snapshot(pairs.limit(3), ["k", "v"], path)
+    assert len(snapshots.published(spark, path)) == snapshots.KEPT == len(snapshots.store.folders(spark, path))
+
+
+def test_present_snapshots_are_not_built_again(spark, pairs):
+    path = shared_dir(spark, "present")
+    snapshots.keyed_snapshot(pairs, ["k", "v"], path, skip_if_present=True)
+    broken = pairs.withColumn("v", F.raise_error(F.lit("built again")).cast("int"))
+    assert snapshots.keyed_snapshot(broken, ["k", "v"], path, skip_if_present=True).count() == 5
+
+
+def test_gold_layer_is_published_whole(spark, tables, monkeypatch):
+    folder = shared_dir(spark, "gold")
+    gold.build(tables, folder)
+    want = gold.region_daily_of(type(tables)(spark, tables.sf_dir, folder)).count()
+    monkeypatch.setattr(gold, "national_daily", lambda sales: sales.select("sales_date"))  # its key does not hold
+    with pytest.raises(ValueError):
+        gold.build(tables, folder)
+    stored = type(tables)(spark, tables.sf_dir, folder)
+    assert gold.region_daily_of(stored).count() == want == gold.region_daily(gold.curated(tables)).count()
+    with pytest.raises(FileNotFoundError):
+        gold.sales_of(type(tables)(spark, tables.sf_dir, folder + "-none"))

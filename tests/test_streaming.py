@@ -35,7 +35,7 @@ def test_cycles_are_incremental_and_end_like_one_batch(spark, tables):
     half = F.pmod(F.xxhash64("sale_id", "dc_id"), F.lit(2))
     for cycle in (0, 1):
         append_raw(feed.filter(half == cycle), f"{base}/landing")
-        result = dq.run_cycle(spark, f"{base}/landing", f"{base}/store", cycle)
+        result = dq.run_cycle(spark, f"{base}/landing", f"{base}/store")
     sales = curated_from(silver_sales(feed))
     assert same(result["gold_region_daily"], region_daily(sales)) and same(result["gold_national_daily"], national_daily(sales))
     assert same(result["gold_sales_serving"], sales.select(*SERVING_INPUTS))
@@ -66,3 +66,60 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tables):
     before = dq.read_silver(spark, f"{base}/store").count()
     dq._write_batch(spark.read.schema(feed.schema).parquet(f"{base}/landing"), 0, f"{base}/store")
     assert dq.read_silver(spark, f"{base}/store").count() == before
+
+
+def test_a_cycle_reads_and_writes_only_the_touched_periods(spark, tables):
+    base = shared_dir(spark, "test-days")
+    feed = raw_sales(tables).filter("order_ts >= '2001-05-10' AND order_ts < '2001-08-01'")
+    newest = "2001-07-30"
+    append_raw(feed.filter(F.col("order_ts") < newest), f"{base}/landing")
+    dq.run_cycle(spark, f"{base}/landing", f"{base}/store")
+    before = dq.read_gold(spark, f"{base}/store", "gold_region_daily").inputFiles()
+    append_raw(feed.filter(F.col("order_ts") >= newest), f"{base}/landing")
+    dq.run_quality(spark, f"{base}/landing", f"{base}/store")
+    periods = dq.refresh(spark, f"{base}/store")
+    assert [str(p) for p in periods] == [f"{newest[:7]}-01"]
+    read = dq.silver_of(spark, f"{base}/store", periods)
+    scan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and f"period#" in scan.split("PartitionFilters")[1].split("]")[0]
+    assert read.select("period").distinct().count() == 1 < dq.read_silver(spark, f"{base}/store").select(F.trunc("order_ts", "month")).distinct().count()
+    after = dq.read_gold(spark, f"{base}/store", "gold_region_daily").inputFiles()
+    kept = {f for f in before if f"period={newest[:7]}" not in f}
+    assert kept < set(before) and kept < set(after)
+    sales = curated_from(silver_sales(feed))
+    assert same(dq.read_gold(spark, f"{base}/store", "gold_region_daily"), region_daily(sales))
+    assert dq.refresh(spark, f"{base}/store") == []
+
+
+def test_a_sale_sent_again_for_another_day_counts_on_its_first(spark, tables):
+    base = shared_dir(spark, "test-moved")
+    rows = raw_sales(tables).dropDuplicates(["sale_id"]).limit(50)
+    rows = written_rows(spark, rows)
+    shift = lambda n: rows.withColumn("order_ts", (F.col("order_ts").cast("timestamp_ntz") + F.expr(f"INTERVAL {n} DAYS")).cast("string"))
+    parts = [rows, shift(40).limit(20), shift(-35).filter(F.pmod(F.xxhash64("sale_id"), F.lit(3)) == 0)]
+    for at, part in enumerate(parts):
+        append_raw(part, f"{base}/landing")
+        result = dq.run_cycle(spark, f"{base}/landing", f"{base}/store")
+        feed = parts[0]
+        for other in parts[1 : at + 1]:
+            feed = feed.unionByName(other)
+        sales = curated_from(silver_sales(feed))
+        assert same(result["gold_sales_serving"], sales.select(*SERVING_INPUTS))
+        assert same(result["gold_national_daily"], national_daily(sales))
+
+
+def written_rows(spark, df):
+    path = shared_dir(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_a_cycle_that_died_before_gold_is_made_up_for(spark, tables):
+    base = shared_dir(spark, "test-died")
+    feed = with_defects(raw_sales(tables))
+    half = F.pmod(F.xxhash64("sale_id", "dc_id"), F.lit(2))
+    append_raw(feed.filter(half == 0), f"{base}/landing")
+    dq.run_quality(spark, f"{base}/landing", f"{base}/store")  # and no refresh
+    append_raw(feed.filter(half == 1), f"{base}/landing")
+    result = dq.run_cycle(spark, f"{base}/landing", f"{base}/store")
+    assert same(result["gold_national_daily"], national_daily(curated_from(silver_sales(feed))))
