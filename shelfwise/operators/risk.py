@@ -41,12 +41,18 @@ def with_forward_label(features: DataFrame, keys: Sequence[str] = SERIES) -> Dat
     )
 
 
+_STOCKOUT_SHARE = ratio("sum(stockout_flag)", "count(1)")
+
+
 def recent_stockouts(inventory: DataFrame) -> DataFrame:
     """Share of the last 14 readings of each series that were stockouts."""
-    recent = last_n_per_key(inventory, SERIES, "reading_date", RECENT_READINGS)
-    return recent.groupBy(*SERIES).agg(
-        F.expr(ratio("sum(stockout_flag)", "count(1)")).alias("stockout_risk_score")
-    )
+    return stockout_share(last_n_per_key(inventory, SERIES, "reading_date", RECENT_READINGS))
+
+
+def stockout_share(readings: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Share of stockouts among all readings given of each series. With the keys they already lie by, nothing is shuffled."""
+    shares = readings.groupBy(*keys).agg(*[F.first(k).alias(k) for k in SERIES if k not in keys], F.expr(_STOCKOUT_SHARE).alias("stockout_risk_score"))
+    return shares.select(*SERIES, "stockout_risk_score")
 
 
 _LATEST = (
@@ -55,17 +61,19 @@ _LATEST = (
 )
 
 
-def risk_scores(inventory: DataFrame, latest_columns: Sequence[str] = _LATEST) -> DataFrame:
-    """Latest reading and recent stockout share per series, both out of one ranking of its readings."""
-    recent = last_n_per_key(inventory, SERIES, "reading_date", RECENT_READINGS)
-    return (
-        recent.groupBy(*SERIES)
-        .agg(
-            F.max_by(F.struct(*latest_columns), "reading_date").alias("latest"),
-            F.expr(ratio("sum(stockout_flag)", "count(1)")).alias("stockout_risk_score"),
-        )
-        .select(*SERIES, "latest.*", "stockout_risk_score")
-    )
+def risk_scores(
+    readings: DataFrame, latest_columns: Sequence[str] = _LATEST, keys: Sequence[str] = SERIES
+) -> DataFrame:
+    """Latest reading and recent stockout share per series, out of its last RECENT_READINGS readings.
+
+    `keys` identify a series; with those the readings already lie by, nothing is shuffled, and a series has no more rows than
+    that, so nothing is ranked either.
+    """
+    grouped = readings.groupBy(*keys)
+    return grouped.agg(
+        F.max_by(F.struct(*SERIES, *latest_columns), "reading_date").alias("latest"),
+        F.expr(_STOCKOUT_SHARE).alias("stockout_risk_score"),
+    ).select("latest.*", "stockout_risk_score")
 
 
 def with_action(scores: DataFrame) -> DataFrame:

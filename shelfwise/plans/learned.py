@@ -15,7 +15,7 @@ from shelfwise.functions.columns import calendar
 from shelfwise.operators import forecast, risk
 from shelfwise.plans import serving
 from shelfwise.session import written
-from shelfwise.sources.inventory import HISTORY_DAYS, SERIES_KEYS, readings
+from shelfwise.sources.inventory import PANEL_DAYS, SERIES_KEYS, readings
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
 DEPTHS = (3, 5)
@@ -84,7 +84,7 @@ def expiry_model_scores(t: Tables) -> DataFrame:
     """The risk table with the classifier's probability as the expiry score."""
     features = _expiry_features(t)
     model, _ = train_expiry_model(_labelled(features))
-    recent = features.filter(F.col("day_idx") >= HISTORY_DAYS - risk.RECENT_READINGS)
+    recent = features.filter(F.col("day_idx") >= PANEL_DAYS - risk.RECENT_READINGS)
     latest = risk.risk_scores(
         recent,
         ("brand", "division", "region", "on_hand_units", "days_to_expiry", "days_of_supply", "at_risk_expiry_units",

@@ -110,7 +110,7 @@ QUERIES: dict[str, Plan] = {
     "cc_alerts": command.alerts,
     "cc_map_points": command.map_points,
     # risk and forecast
-    "stockout_last14": lambda t: risk.recent_stockouts(fact_inventory(t, last_days=risk.RECENT_READINGS)),
+    "stockout_last14": lambda t: risk.stockout_share(readings(t, last_days=risk.RECENT_READINGS), SERIES_KEYS),
     "expiry_label": _expiry_label,
     "whatif_risk": _what_if,
     "tracked_skus": _tracked_skus,

@@ -10,7 +10,7 @@ from shelfwise.operators import decisions, forecast, risk
 from shelfwise.operators.keyed import key_report, keyed_upsert
 from shelfwise.plans import gold
 from shelfwise.session import shared_dir, written
-from shelfwise.sources.inventory import HISTORY_DAYS, fact_inventory
+from shelfwise.sources.inventory import SERIES_KEYS, readings
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
 TRAILING_DAYS = 30
@@ -102,10 +102,11 @@ def region_trend(t: Tables) -> DataFrame:
     )
 
 
-def scored(t: Tables, history_days: int = HISTORY_DAYS) -> DataFrame:
-    """Risk scores with their action; only the readings that scores are made of become rows."""
-    recent = fact_inventory(t, history_days, last_days=risk.RECENT_READINGS)
-    return risk.with_action(risk.risk_scores(recent))
+def scored(t: Tables) -> DataFrame:
+    """Risk scores with their action; only the readings that scores are made of become rows, and the scores are taken where
+    the readings lie."""
+    recent = readings(t, last_days=risk.RECENT_READINGS)
+    return risk.with_action(risk.risk_scores(recent, keys=SERIES_KEYS))
 
 
 def product_risk(t: Tables) -> DataFrame:

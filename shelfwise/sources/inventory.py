@@ -1,23 +1,24 @@
-"""Inventory view: daily stock levels of every SKU a distribution centre moved, worked out from the order flow.
+"""Inventory view: daily stock levels of every SKU a distribution centre moves, worked out from the whole order flow.
 
 The given tables hold no stock. Supply is taken to follow demand: what is ordered is replaced LEAD_DAYS later, and what is
-served leaves the shelf the same day. Receipts less served units give the course of the level; its height is the least that
-never falls below zero. Stock ages from its last receipt; the risk that it expires is the time it takes to sell, measured
-against the shelf life that is left.
+served leaves the shelf the same day. Receipts less served units give the course of the level over all orders; its height is
+the least that never falls below zero. Stock ages from its last receipt; the risk that it expires is the time it takes to
+sell at the mean demand of all days, measured against the shelf life that is left.
 
-A pair's sums are arrays over the days of the history, so only the days that are asked for become rows.
+A pair of SKU and centre keeps one row for each day it moved. Only the days that are asked for are filled in, and range
+windows over both give the sums up to, 7 and 14 days before each day: the work grows with the moves and the days asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import shuffle_partitions
 from shelfwise.sources.star import DIVISION, SHELF_LIFE_DAYS, STATUS, Tables
 
-#: Days of orders that the view looks back on unless the caller says otherwise.
-HISTORY_DAYS = 90
+#: Days of readings, up to the newest order's day. A pair without an order in them is no longer stocked.
+PANEL_DAYS = 90
 LEAD_DAYS = 14
 RESERVED_DAYS = 7
 
@@ -32,9 +33,8 @@ SERIES_KEYS = ("l_partkey", "s_nationkey")
 _UNITS = "cast(l_quantity AS bigint)"
 
 
-def daily_moves(t: Tables, history_days: int) -> DataFrame:
-    """Units ordered and served per centre, SKU and day. Sums before the shuffle, so no SKU runs hot."""
-    recent = t.orders.select("o_orderkey", "o_orderdate").filter(F.col("o_orderdate") >= t.midnight(history_days - 1))
+def daily_moves(t: Tables) -> DataFrame:
+    """Units ordered and served per centre, SKU and day, of all orders. Sums before the shuffle, so no SKU runs hot."""
     lines = t.lineitem.select(
         "l_orderkey",
         "l_partkey",
@@ -44,69 +44,78 @@ def daily_moves(t: Tables, history_days: int) -> DataFrame:
     )
     served = "CASE status WHEN 'fulfilled' THEN units WHEN 'partial' THEN units div 2 ELSE 0L END"
     return (
-        lines.join(recent, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(t.orders.select("o_orderkey", "o_orderdate").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "l_partkey", F.to_date("o_orderdate").alias("move_date"))
         .agg(F.sum("units").alias("ordered"), F.sum(F.expr(served)).alias("served"))
     )
 
 
-def _before(array: str, days: int) -> str:
-    """An array of sums up to each day, taken `days` days before the end of the row's day."""
-    return f"{array}[greatest(0, day_idx + 1 - {days})]"
+def _stocked(t: Tables, last_days: int, panel_days: int) -> DataFrame:
+    """The moves of stocked pairs and a row without a move for each day asked for, by pair.
 
-
-def readings(t: Tables, history_days: int = HISTORY_DAYS, last_days: int | None = None) -> DataFrame:
-    """INVENTORY_COLUMNS, shelf_life_days and SERIES_KEYS of each pair for the last `last_days` days (default: all) of a
-    history of `history_days` days that ends on the newest order's day."""
-    h = history_days
-    # A pair has at most one sum for each day, so its list of moves is bounded whatever the volume behind it. The
-    # explicit partition count keeps adaptive coalescing from sizing tasks by this input: its rows multiply.
-    moves = (
-        daily_moves(t, h)
-        .withColumn("as_of", F.date_add(F.to_date(t.midnight(h - 1)), h - 1))
-        .withColumn("day", F.expr(f"datediff(move_date, as_of) + {h - 1}"))
+    `ago` counts days back from the newest order's day (0) and is negative. A pair has at most one move for each day, so its
+    list is bounded by the days of the history, whatever the volume behind it. The explicit partition count keeps adaptive
+    coalescing from sizing tasks by this input: its rows multiply.
+    """
+    moves = daily_moves(t).withColumn("as_of", F.to_date(t.midnight(0)))
+    pairs = (
+        moves.withColumn("ago", F.expr("datediff(move_date, as_of)"))
         .repartition(shuffle_partitions(t.spark), "l_partkey")
-        .groupBy("l_partkey", "s_nationkey", "as_of")
-        .agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct("ordered", "served").alias("m")))).alias("moves"))
-    )
-    # Sums before each day, and the last day before it with an order (-1: none).
-    sums = F.expr(
-        f"""aggregate(sequence(0, {h - 1}),
-              named_struct('o', array(0L), 's', array(0L), 'l', array(-1)),
-              (a, d) -> named_struct(
-                'o', array_append(a.o, element_at(a.o, -1) + coalesce(moves[d].ordered, 0L)),
-                's', array_append(a.s, element_at(a.s, -1) + coalesce(moves[d].served, 0L)),
-                'l', array_append(a.l, IF(moves[d] IS NULL, element_at(a.l, -1), d))))"""
+        .groupBy(*SERIES_KEYS, "as_of")
+        .agg(
+            F.collect_list(F.struct("ago", "ordered", "served")).alias("moves"),
+            F.sum("ordered").alias("total"),
+            F.max("ago").alias("newest"),
+        )
+        .filter(F.col("newest") > -panel_days)
     )
-    lowest = F.expr(f"least(0L, array_min(transform(sequence(0, {h - 1}), d -> o[greatest(0, d + 1 - {LEAD_DAYS})] - s[d + 1])))")
-    pairs = (
-        moves.withColumn("sums", sums)
-        .select("l_partkey", "s_nationkey", "as_of", "sums.o", "sums.s", "sums.l")
-        .withColumns({"lowest": lowest, "w": F.expr(f"greatest(o[{h}], 1L)")})
-        .join(t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
+    asked = F.expr(f"transform(sequence(1 - {last_days}, 0), d -> named_struct('ago', d, 'ordered', 0L, 'served', 0L))")
+    rows = pairs.withColumns({"asked": asked, "w": F.expr("greatest(total, 1L)")})
+    moved = F.transform("moves", lambda m: F.struct(F.lit(False).alias("asked_for"), m.ago, m.ordered, m.served))
+    blank = F.transform("asked", lambda m: F.struct(F.lit(True).alias("asked_for"), m.ago, m.ordered, m.served))
+    return rows.select(*SERIES_KEYS, "as_of", "w", F.inline(F.concat(moved, blank)).alias("asked_for", "ago", "ordered", "served"))
+
+
+def readings(t: Tables, last_days: int = PANEL_DAYS, panel_days: int = PANEL_DAYS) -> DataFrame:
+    """INVENTORY_COLUMNS, shelf_life_days and SERIES_KEYS of each stocked pair for the last `last_days` of a panel of
+    `panel_days` days that ends on the newest order's day. The rows lie by SKU: groups and windows on SERIES_KEYS need no
+    further shuffle."""
+    rows = _stocked(t, last_days, panel_days)
+    series = Window.partitionBy(*SERIES_KEYS).orderBy("ago")
+
+    def upto(column: str, days_before: int = 0) -> Column:
+        frame = series.rangeBetween(Window.unboundedPreceding, -days_before)
+        return F.coalesce(F.sum(column).over(frame), F.lit(0).cast("bigint"))
+
+    receipt_frame = series.rangeBetween(Window.unboundedPreceding, -LEAD_DAYS)
+    received = F.max(F.when(~F.col("asked_for"), F.col("ago"))).over(receipt_frame)
+    sums = rows.withColumns(
+        {
+            "o": upto("ordered"), "o_lead": upto("ordered", LEAD_DAYS), "o_week": upto("ordered", RESERVED_DAYS),
+            "s": upto("served"), "s_week": upto("served", RESERVED_DAYS), "received": received,
+        }
     )
-    first = max(0, h - (last_days or h))
-    days = pairs.withColumn("day_idx", F.explode(F.sequence(F.lit(first), F.lit(h - 1))))
-    stock = (
-        days.withColumns(
-            {
-                "reading_date": F.expr(f"date_add(as_of, day_idx - {h - 1})"),
-                "on_hand_units": F.expr(f"{_before('o', LEAD_DAYS)} - s[day_idx + 1] - lowest"),
-                "in_transit_units": F.expr(f"o[day_idx + 1] - {_before('o', LEAD_DAYS)}"),
-                "reserved_units": F.expr(
-                    f"o[day_idx + 1] - {_before('o', RESERVED_DAYS)} - s[day_idx + 1] + {_before('s', RESERVED_DAYS)}"
-                ),
-                "shelf_life_days": F.expr(SHELF_LIFE_DAYS),
-                "received": F.expr(_before("l", LEAD_DAYS)),
-            }
-        )
-        .withColumn(
-            "days_to_expiry",
-            F.expr(f"greatest(1, shelf_life_days - IF(received < 0, day_idx, day_idx - received - {LEAD_DAYS}))"),
-        )
-        .drop("o", "s", "l")
+    # The course falls on days with a move only, so its least value stands on one of them.
+    lowest = F.min(F.when(~F.col("asked_for"), F.col("o_lead") - F.col("s"))).over(Window.partitionBy(*SERIES_KEYS))
+    levels = sums.withColumn("lowest", F.least(F.lit(0).cast("bigint"), lowest)).filter("asked_for")
+    first_day = t.orders.agg(F.to_date(F.min("o_orderdate"))).scalar()
+    days = levels.withColumn("h", F.datediff("as_of", first_day) + 1)
+    pairs = days.join(
+        t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey")
+    ).join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
+    stock = pairs.withColumns(
+        {
+            "day_idx": F.expr(f"ago + {panel_days - 1}"),
+            "reading_date": F.expr("date_add(as_of, ago)"),
+            "on_hand_units": F.expr("o_lead - s - lowest"),
+            "in_transit_units": F.expr("o - o_lead"),
+            "reserved_units": F.expr("o - o_week - s + s_week"),
+            "shelf_life_days": F.expr(SHELF_LIFE_DAYS),
+        }
+    ).withColumn(
+        "days_to_expiry",
+        F.expr(f"greatest(1, shelf_life_days - IF(received IS NULL, ago + h - 1, ago - received - {LEAD_DAYS}))"),
     )
     return stock.select(
         *SERIES_KEYS,
@@ -120,18 +129,18 @@ def readings(t: Tables, history_days: int = HISTORY_DAYS, last_days: int | None
         "on_hand_units",
         "in_transit_units",
         "reserved_units",
-        F.expr(f"((on_hand_units * {200 * h} + w) div (2 * w)) / 100D").alias("days_of_supply"),
-        F.expr(f"greatest(1L, (w * {LEAD_DAYS} + {h - 1}) div {h})").alias("reorder_point"),
+        F.expr("((on_hand_units * 200 * h + w) div (2 * w)) / 100D").alias("days_of_supply"),
+        F.expr(f"greatest(1L, (w * {LEAD_DAYS} + h - 1) div h)").alias("reorder_point"),
         F.expr("date_add(reading_date, days_to_expiry)").alias("batch_expiry_date"),
         "days_to_expiry",
-        F.expr(f"greatest(0L, on_hand_units - (w * days_to_expiry) div {h})").alias("at_risk_expiry_units"),
-        F.expr(f"((w * 20 + {h}) div {2 * h}) / 10D").alias("avg_daily_demand"),
+        F.expr("greatest(0L, on_hand_units - (w * days_to_expiry) div h)").alias("at_risk_expiry_units"),
+        F.expr("((w * 20 + h) div (2 * h)) / 10D").alias("avg_daily_demand"),
         F.expr("cast(on_hand_units = 0 AS int)").alias("stockout_flag"),
-        F.expr(f"least(1000L, (on_hand_units * {1000 * h}) div (w * days_to_expiry)) / 1000D").alias("expiry_risk_score"),
+        F.expr("least(1000L, (on_hand_units * 1000 * h) div (w * days_to_expiry)) / 1000D").alias("expiry_risk_score"),
         "shelf_life_days",
     )
 
 
-def fact_inventory(t: Tables, history_days: int = HISTORY_DAYS, last_days: int | None = None) -> DataFrame:
+def fact_inventory(t: Tables, last_days: int = PANEL_DAYS) -> DataFrame:
     """Stock readings, one row per centre x SKU x day."""
-    return readings(t, history_days, last_days).select(*INVENTORY_COLUMNS)
+    return readings(t, last_days).select(*INVENTORY_COLUMNS)

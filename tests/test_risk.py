@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import decisions, risk
+from shelfwise.plans import serving
 from shelfwise.session import shared_dir
-from shelfwise.sources.inventory import HISTORY_DAYS, fact_inventory
+from shelfwise.sources.inventory import PANEL_DAYS, daily_moves, fact_inventory, readings
 
 
 def panel(spark, scores):
@@ -74,18 +75,43 @@ def test_recent_stockouts_use_the_last_14(spark):
 def test_inventory_panel_is_dense_and_bounded(tables):
     inventory = fact_inventory(tables)
     sizes = inventory.groupBy("dc_id", "product_id").agg(F.count("*").alias("n"), F.count_distinct("day_idx").alias("d"))
-    assert sizes.filter((F.col("n") != HISTORY_DAYS) | (F.col("d") != HISTORY_DAYS)).count() == 0
+    assert sizes.filter((F.col("n") != PANEL_DAYS) | (F.col("d") != PANEL_DAYS)).count() == 0
     bad = "on_hand_units < 0 OR expiry_risk_score NOT BETWEEN 0 AND 1 OR days_to_expiry < 1 OR stockout_flag NOT IN (0, 1)"
     assert inventory.filter(bad).count() == 0
 
 
-def test_history_and_days_asked_for_are_arguments(tables):
-    whole = fact_inventory(tables, history_days=200)
-    last = fact_inventory(tables, history_days=200, last_days=3)
+def test_panel_and_days_asked_for_are_arguments(tables):
+    whole = readings(tables, last_days=200, panel_days=200)
+    last = readings(tables, last_days=3, panel_days=200)
     assert whole.agg(F.max("day_idx"), F.min("day_idx")).head() == (199, 0)
     assert whole.filter("day_idx >= 197").exceptAll(last).isEmpty() and last.count() * 200 == whole.count() * 3
 
 
+def test_levels_rest_on_all_orders(tables):
+    """Running sums over every move of a pair, however old, worked out in plain Python."""
+    moves = {}
+    for r in daily_moves(tables).collect():
+        moves.setdefault((r.l_partkey, r.s_nationkey), []).append(r)
+    newest = max(r.move_date for held in moves.values() for r in held)
+    checked = 0
+    for row in readings(tables, last_days=2).collect():
+        held = moves[row.l_partkey, row.s_nationkey]
+        before = lambda days, of: sum(of(m) for m in held if (row.reading_date - m.move_date).days >= days)  # noqa: B023, E731
+        course = lambda day: sum(m.ordered for m in held if (day - m.move_date).days >= 14) - sum(m.served for m in held if m.move_date <= day)  # noqa: B023, E731
+        lowest = min(0, *(course(m.move_date) for m in held), 0)
+        assert row.on_hand_units == course(row.reading_date) - lowest
+        assert row.in_transit_units == before(0, lambda m: m.ordered) - before(14, lambda m: m.ordered)
+        checked += min(m.move_date for m in held) < newest - dt.timedelta(days=PANEL_DAYS)
+    assert checked > 0
+
+
+def test_scores_are_taken_where_the_readings_lie(tables):
+    """One exchange after the daily sums: by SKU, for readings and scores alike."""
+    plan = serving.scored(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "dc_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert sum("REPARTITION_BY_NUM" in line for line in plan.splitlines()) == 1
+
+
 def test_level_follows_receipts_and_served_units(spark, tables):
     """One pair worked out by hand: 20 units on day 70 in full, 10 on day 80 half served."""
     import tempfile
@@ -106,8 +132,9 @@ def test_level_follows_receipts_and_served_units(spark, tables):
     assert [rows[d].on_hand_units for d in (69, 70, 79, 80, 83, 84, 89)] == [25, 5, 5, 0, 0, 20, 20]
     assert [rows[d].stockout_flag for d in (79, 80, 84)] == [0, 1, 0]
     assert (rows[83].in_transit_units, rows[84].in_transit_units, rows[80].reserved_units, rows[87].reserved_units) == (30, 10, 5, 0)
-    assert rows[89].avg_daily_demand == 0.3 and rows[89].days_of_supply == 60.0 and rows[89].reorder_point == 5
-    assert rows[89].days_to_expiry == 120 + 41 - 5 and rows[89].expiry_risk_score == 0.384
+    # The history runs from the first order's day to the last one's: 20 days with 30 units.
+    assert rows[89].avg_daily_demand == 1.5 and rows[89].days_of_supply == 13.33 and rows[89].reorder_point == 21
+    assert rows[89].days_to_expiry == 120 + 41 - 5 and rows[89].expiry_risk_score == 0.085
 
 
 DECISION = "product_id string, dc_id string, product_name string, brand string, region string, expiry_risk_pct int, stockout_risk_pct int, action string, note string"
