@@ -35,11 +35,31 @@ class MetricView:
     ) -> DataFrame:
         """Measures by dimensions. `where` holds SQL conditions, or (expression, test) pairs where the test takes the
         expression as a Column, for bounds that only a query knows."""
+        rows = self._rows(dimensions, measures, where)
+        return rows.groupBy(*self._keys(dimensions)).agg(*[F.expr(self.measures[m]).alias(m) for m in measures])
+
+    def rollup(
+        self,
+        dimensions: Sequence[str],
+        measures: Sequence[str],
+        where: Sequence[str | tuple[str, Callable[[Column], Column]]] = (),
+    ) -> DataFrame:
+        """Measures at every level of a hierarchy, widest last dimension first, in one pass: all dimensions, all but the last,
+        and so on to the whole. `level` counts the dimensions that are summed over, so a NULL key of a level and a NULL value
+        are told apart. Ratios are worked out anew at each level."""
+        grouped = self._rows(dimensions, measures, where).rollup(*self._keys(dimensions))
+        # The grouping id has one bit for each dimension that is summed over; in a rollup these are the last ones.
+        return grouped.agg(
+            F.bit_count(F.grouping_id()).alias("level"), *[F.expr(self.measures[m]).alias(m) for m in measures]
+        )
+
+    def _keys(self, dimensions: Sequence[str]) -> list[Column]:
+        return [F.expr(self.dimensions[d]).alias(d) for d in dimensions]
+
+    def _rows(self, dimensions: Sequence[str], measures: Sequence[str], where: Sequence) -> DataFrame:
         texts = [self.dimensions[d] for d in dimensions] + [self.measures[m] for m in measures]
         texts += [w if isinstance(w, str) else w[0] for w in where]
         df = self.source(self._needed(texts))
         for w in where:
             df = df.filter(F.expr(w) if isinstance(w, str) else w[1](F.expr(w[0])))
-        return df.groupBy(*[F.expr(self.dimensions[d]).alias(d) for d in dimensions]).agg(
-            *[F.expr(self.measures[m]).alias(m) for m in measures]
-        )
+        return df

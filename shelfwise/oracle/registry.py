@@ -531,9 +531,7 @@ FINAL["cc_map_points"] = """
 SELECT s.region, lat, lng, demand_units, stockout_rate,
        CASE WHEN stockout_rate >= 0.18 THEN 'red' WHEN stockout_rate >= 0.12 THEN 'orange'
             WHEN stockout_rate >= 0.06 THEN 'amber' ELSE 'green' END AS colour,
-       stockout_rate >= 0.15 AS critical,
-       round(12 + sqrt(CAST(demand_units AS DOUBLE) / CAST((SELECT max(demand_units) FROM snapshot) AS DOUBLE)) * 22, 4)
-         AS radius
+       stockout_rate >= 0.15 AS critical
 FROM snapshot s JOIN (SELECT region, avg(lat) AS lat, avg(lng) AS lng FROM dim_dc GROUP BY region) c
   ON c.region = s.region"""
 
@@ -621,4 +619,56 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, {_norm('lines[i]')} AS content
 FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
       FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents))"""
 
+# ---- event streams, sketches, catalog, SQL users ---------------------------------------------------------------------
+FINAL["stream_unique_sales"] = "SELECT DISTINCT * FROM silver"
+# The events table lands in three parts by time, one event in 50 of a part with the next part. An event counts if its hour
+# had not been closed when its part landed: the newest event landed before lies less than two hours past the hour's end.
+EXTRA["event_parts"] = """
+SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS hour,
+       CAST(least(floor((epoch_us(ts) - lo) * 3 / greatest(hi - lo, 1)), 2) AS INTEGER) + CAST(event_id % 50 = 0 AS INTEGER) AS part
+FROM events CROSS JOIN (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)"""
+EXTRA["event_marks"] = """
+SELECT p.part, (SELECT max(ts) FROM event_parts e WHERE e.part < p.part) - INTERVAL 2 HOUR AS mark
+FROM (SELECT DISTINCT part FROM event_parts) p"""
+FINAL["event_windows"] = """
+SELECT hour AS window_start, event_type, count(*) FILTER (mark IS NULL OR hour + INTERVAL 1 HOUR > mark) AS events,
+       CAST(sum(CASE WHEN mark IS NULL OR hour + INTERVAL 1 HOUR > mark THEN CAST(round(value * 100) AS BIGINT) END) AS BIGINT)
+         AS value_cents,
+       count(*) FILTER (mark IS NOT NULL AND hour + INTERVAL 1 HOUR <= mark) AS late_events
+FROM event_parts JOIN event_marks USING (part)
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
+GROUP BY hour, event_type HAVING count(*) FILTER (mark IS NULL OR hour + INTERVAL 1 HOUR > mark) > 0"""
+FINAL["event_properties"] = """
+SELECT event_type, count(*) AS events, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k
+FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type"""
+FINAL["doc_elements_by_path"] = FINAL["doc_elements"]
+FINAL["governed_accounts_sql"] = FINAL["governed_accounts"]
+FINAL["governed_sales_sql"] = FINAL["governed_sales"]
+FINAL["catalog_dimensions"] = "\nUNION ALL\n".join(
+    f"SELECT '{table}' AS table_name, '{comment}' AS comment, '{kind}' AS data_classification, "
+    f"'ap-southeast-3' AS data_residency, CAST({columns} AS INTEGER) AS commented_columns, (SELECT count(*) FROM {source}) AS row_count"
+    for table, comment, kind, columns, source in (
+        ("dim_product", "Products with brand, division and shelf life", "commercial-confidential", 2, "part"),
+        ("dim_outlet", "Outlets that order", "commercial-confidential", 2, "customer"),
+        ("dim_distribution_center", "Distribution centres", "public-reference", 1, "nation"),
+    )
+)
+FINAL["priority_status"] = """
+SELECT o_orderpriority, status, count(*) AS lines, CAST(sum(units_ordered) AS BIGINT) AS units
+FROM (SELECT o_orderpriority, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'backorder'
+             WHEN l_returnflag = 'R' THEN 'cancelled' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'partial'
+             ELSE 'fulfilled' END AS status, CAST(l_quantity AS BIGINT) AS units_ordered
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+GROUP BY ALL"""
+FINAL["metric_sales_rollup"] = f"""
+SELECT region, division, CAST(grouping(region) + grouping(division) AS INTEGER) AS level, count(*) AS order_count,
+       {_i('sum(net_idr)')} AS net_revenue_idr, {_i('sum(units_ordered)')} AS units_ordered, {_FILL} AS fill_rate,
+       {_SHORT} AS stockout_rate, count(DISTINCT outlet_id) AS unique_outlets
+FROM fact_sales GROUP BY ROLLUP (region, division)"""
+# Sketches are exact while a group has a few hundred distinct values; region and month have fewer at the tested scale.
+FINAL["metric_unique_by_month_region"] = """
+SELECT CAST(date_trunc('month', order_ts) AS DATE) AS sale_month, region, count(*) AS order_count,
+       count(DISTINCT outlet_id) AS unique_outlets, count(DISTINCT product_id) AS unique_skus
+FROM fact_sales WHERE order_ts IS NOT NULL AND region IS NOT NULL GROUP BY ALL"""
+
 ORACLE = {name: with_ctes(sql, EXTRA) for name, sql in FINAL.items()}

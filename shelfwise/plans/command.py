@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import fill_tone, map_band, stockout_tone
 from shelfwise.operators import risk
 from shelfwise.plans.serving import region_snapshot, scored
+from shelfwise.session import written
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
-# Marker radius of the map, smallest and extra.
-MARKER_MIN, MARKER_SPAN = 12, 22
-
 
 def _weighted(rate: str) -> str:
     """Demand-weighted mean of a four-decimal rate over the regions; 0 without demand."""
@@ -75,8 +73,7 @@ def map_points(t: Tables) -> DataFrame:
         dim_distribution_center(t).groupBy("region").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     )
     points = region_snapshot(t).join(centroids, "region")
-    peak = F.max("demand_units").over(Window.partitionBy())  # one row per region
-    return points.withColumn("peak", peak).select(
+    return points.select(
         "region",
         "lat",
         "lng",
@@ -84,9 +81,6 @@ def map_points(t: Tables) -> DataFrame:
         "stockout_rate",
         F.expr(map_band("stockout_rate")).alias("colour"),
         F.expr("stockout_rate >= 0.15D").alias("critical"),
-        F.expr(
-            f"round({MARKER_MIN} + sqrt(cast(demand_units AS double) / cast(peak AS double)) * {MARKER_SPAN}, 4)"
-        ).alias("radius"),
     )
 
 
@@ -126,7 +120,9 @@ def _sku_alerts(t: Tables) -> DataFrame:
         ),
         lambda kind: kind.isNotNull(),
     )
-    raised = risk.at_risk(scored(t)).withColumn("kind", F.explode(kinds)).select("kind.*", "*").drop("kind")
+    # Ranking and counts both stand on the scores: written once, else the whole inventory would be worked out twice.
+    scores = written(risk.at_risk(scored(t)), "at-risk")
+    raised = scores.withColumn("kind", F.explode(kinds)).select("kind.*", "*").drop("kind")
     place = F.row_number().over(Window.partitionBy("alert_id").orderBy(*risk.worst_first()))
     # Ranked rows are cut in each task before the shuffle; names come after the cut.
     worst = risk.with_names(

@@ -80,6 +80,9 @@ def filter_values(t: Tables) -> DataFrame:
     )
 
 
+ROLLUP_MEASURES = ("order_count", "net_revenue_idr", "units_ordered", "fill_rate", "stockout_rate", "unique_outlets")
+
+
 def latest_inventory(t: Tables) -> DataFrame:
     """Readings of the newest day, on which the readings of every series end."""
     return fact_inventory(t, last_days=1)
@@ -209,3 +212,8 @@ def demand_brand(t: Tables) -> DataFrame:
         .agg(F.sum("units_ordered").alias("units_ordered"), F.sum("net_idr").alias("net_revenue_idr"))
         .orderBy(F.col("units_ordered").desc(), "region", "brand")
     )
+
+
+def sales_rollup(t: Tables) -> DataFrame:
+    """Sales measures by region and division, by region, and of the whole."""
+    return sales_metrics(t).rollup(("region", "division"), ROLLUP_MEASURES)

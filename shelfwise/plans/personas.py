@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import scaled
 from shelfwise.operators import governance as gov
-from shelfwise.plans import gold
+from shelfwise.operators import sql_governance as sql_gov
 from shelfwise.operators.quality import SALES
-from shelfwise.sources.inventory import fact_inventory
+from shelfwise.plans import gold
+from shelfwise.sources.inventory import PANEL_DAYS, fact_inventory
 from shelfwise.sources.star import (
     Tables, access_allowlist, dim_account, dim_distribution_center, dim_outlet, dim_product, fact_sales, raw_sales,
 )
@@ -79,6 +80,20 @@ def governed_sales(t: Tables, persona: str = REGIONAL) -> DataFrame:
     return gov.SALES_POLICY.apply(fact_sales(t, columns), access_allowlist(t.spark), persona)
 
 
+def governed_accounts_sql(t: Tables, persona: str = ANALYST) -> DataFrame:
+    """What a SQL user sees through the governed view of the accounts."""
+    sql_gov.register(t.spark, access_allowlist(t.spark))
+    sql_gov.governed_view(dim_account(t), "accounts", gov.ACCOUNT_POLICY, persona)
+    return t.spark.sql("SELECT * FROM accounts")
+
+
+def governed_sales_sql(t: Tables, persona: str = REGIONAL) -> DataFrame:
+    sql_gov.register(t.spark, access_allowlist(t.spark))
+    columns = ["sale_id", "product_id", "region", "division", "units_ordered", "net_idr", "status"]
+    sql_gov.governed_view(fact_sales(t, columns), "sales", gov.SALES_POLICY, persona)
+    return t.spark.sql("SELECT * FROM sales")
+
+
 def whoami(t: Tables, persona: str = REGIONAL) -> DataFrame:
     """The identity, its rights and how many accounts they open."""
     is_admin, allowed = _me(t, persona)
@@ -96,17 +111,18 @@ def whoami(t: Tables, persona: str = REGIONAL) -> DataFrame:
 
 
 def tag_report(t: Tables) -> DataFrame:
-    """Tags of every governed table, with its number of rows and of personal columns."""
+    """Tags of every governed table, with its number of rows and of personal columns. A stocked pair has one reading for each day
+    of the panel, so the readings of one day tell how many there are."""
     tables = {
         "dim_account": dim_account(t),
         "fact_sales": fact_sales(t, ["sale_id"]),
         "dim_product": dim_product(t),
         "dim_outlet": dim_outlet(t),
         "dim_distribution_center": dim_distribution_center(t),
-        "fact_inventory": fact_inventory(t),
+        "fact_inventory": fact_inventory(t, last_days=1),
     }
     reports = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        df.agg((F.count(F.lit(1)) * (PANEL_DAYS if name == "fact_inventory" else 1)).alias("row_count")).select(
             F.lit(name).alias("table_name"),
             F.lit(gov.CLASSIFICATION[name]).alias("data_classification"),
             F.lit(RESIDENCY).alias("data_residency"),

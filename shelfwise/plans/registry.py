@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import risk
 from shelfwise.operators.quality import SALES, quarantined_sales
 from shelfwise.operators.sampling import with_resent
-from shelfwise.plans import command, dashboard, docs, gold, learned, personas, serving, streams
+from shelfwise.plans import catalog, command, dashboard, docs, gold, learned, personas, serving, sketches, streams
 from shelfwise.sources.inventory import SERIES_KEYS, fact_inventory, readings
 from shelfwise.sources.star import (
     SALES_COLUMNS, SURGE_BRANDS, Tables, dim_account, dim_distribution_center, dim_outlet, dim_product, fact_sales,
@@ -84,6 +84,12 @@ QUERIES: dict[str, Plan] = {
     "persona_sales_analyst": partial(personas.sales_by_region, persona=personas.ANALYST),
     "governed_accounts": personas.governed_accounts,
     "governed_sales": personas.governed_sales,
+    "governed_accounts_sql": personas.governed_accounts_sql,
+    "governed_sales_sql": personas.governed_sales_sql,
+    "catalog_dimensions": catalog.saved_dimensions,
+    "priority_status": catalog.priority_status,
+    "metric_sales_rollup": dashboard.sales_rollup,
+    "metric_unique_by_month_region": sketches.unique_by_month_region,
     "whoami": personas.whoami,
     "tag_report": personas.tag_report,
     "lineage_edges": personas.lineage_edges,
@@ -125,6 +131,8 @@ QUERIES: dict[str, Plan] = {
     "expiry_model_report": learned.expiry_model_report,
     # documents
     "doc_elements": docs.doc_elements,
+    "doc_elements_by_path": docs.doc_elements_by_path,
+    "event_properties": docs.event_properties,
     "doc_text": docs.doc_text,
     "doc_page": docs.doc_page,
     "doc_fields": docs.doc_fields,
@@ -137,4 +145,6 @@ QUERIES: dict[str, Plan] = {
     "incremental_cycle": streams.incremental_cycle,
     "incremental_national": streams.incremental_national,
     "incremental_days": streams.incremental_days,
+    "stream_unique_sales": streams.unique_sales,
+    "event_windows": streams.event_windows,
 }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import shared_dir
+from shelfwise.session import shared_dir, written
 from shelfwise.sources.files import append_raw
 from shelfwise.sources.star import Tables, raw_sales
-from shelfwise.streaming import dq
+from shelfwise.streaming import dq, events
 
 
 def _landed(t: Tables) -> tuple[str, str]:
@@ -53,3 +53,46 @@ def _cycled(t: Tables, batch: Column | None = None) -> dict[str, DataFrame]:
         append_raw(raw_sales(t).filter(batch == cycle), f"{base}/landing")
         result = dq.run_cycle(t.spark, f"{base}/landing", f"{base}/store")
     return result
+
+
+# The event streams: the table lands in three parts by time, and one event in LATE of a part lands with the next part.
+WINDOW, DELAY, LATE = "1 hour", "2 hours", 50
+#: One sale in so many is sent again with the next part.
+RESENT = 20
+
+
+def _thirds(df: DataFrame, column: str) -> Column:
+    """0, 1 or 2: the third of the table's time span that a row's time lies in."""
+    micros = F.unix_micros(F.col(column).cast("timestamp"))
+    low, high = (df.agg(f(micros)).scalar() for f in (F.min, F.max))
+    return F.least(F.floor((micros - low) * 3 / F.greatest(high - low, F.lit(1))).cast("int"), F.lit(2))
+
+
+def unique_sales(t: Tables) -> DataFrame:
+    """The sales feed in three parts by time, with rows sent again in their own part and in the next: each counts once."""
+    base = shared_dir(t.spark, "unique")
+    feed = raw_sales(t)
+    feed = written(feed.withColumn("part", _thirds(feed, "order_ts")), "feed")
+    again = F.pmod(F.xxhash64("sale_id", "product_id", "outlet_id"), F.lit(RESENT)) == 0
+    newest = {row.part: row.newest for row in feed.groupBy("part").agg(F.max("order_ts").alias("newest")).collect()}
+    for at in range(3):
+        own, before = feed.filter(F.col("part") == at), feed.filter(F.col("part") == at - 1)
+        since = F.lit(newest.get(at - 1)).cast("timestamp_ntz") - F.expr("INTERVAL 10 DAYS")
+        late = before.filter(again & (F.col("order_ts").cast("timestamp_ntz") >= since))
+        append_raw(own.unionByName(own.filter(again)).unionByName(late).drop("part"), f"{base}/landing")
+        events.unique_sales(t.spark, f"{base}/landing", f"{base}/unique", delay="30 days")
+    return t.spark.read.parquet(f"{base}/unique")
+
+
+def event_windows(t: Tables) -> DataFrame:
+    """Events and their value by hour and type as the stream appends them, and how many came too late to count."""
+    base = shared_dir(t.spark, "events")
+    part = _thirds(t.events, "ts") + (F.pmod(F.col("event_id"), F.lit(LATE)) == 0).cast("int")
+    landed = written(t.events.withColumn("part", part), "events")
+    for at in range(4):
+        landed.filter(F.col("part") == at).drop("part").write.mode("append").parquet(f"{base}/landing")
+        events.event_windows(t.spark, f"{base}/landing", f"{base}/windows", WINDOW, DELAY)
+    windows = t.spark.read.parquet(f"{base}/windows")
+    return events.with_late(windows, landed, WINDOW).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", "value_cents", "late_events"
+    )

@@ -64,6 +64,7 @@ SCHEMAS = {
         "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
         "l_shipdate timestamp_ntz"
     ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
 }
