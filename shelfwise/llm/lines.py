@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-from shelfwise.llm.common import stored
+from shelfwise.llm.common import stored, texts
 
 #: Lines of fewer words are deduplicated only if they are equal.
 NEAR_WORDS = 8
@@ -74,31 +74,65 @@ def _text_hash() -> Column:
     return F.xxhash64("text")
 
 
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+#: What does not count at the ends of a line.
+_EDGE = " \t\r\x0b\x0c"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, line, k1, k2) of every line that is not blank, blanks at its ends taken off; k1 and k2 are
-    two independent hashes, the name of a line."""
-    # The hash is a column of its own before the lines are exploded, else it would be computed for every line.
-    whole = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.split("text", "\n").alias("cut")
-    )
-    cut = whole.select("doc_id", "text_hash", F.posexplode("cut").alias("place", "line"))
-    cut = cut.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    return cut.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), F.col("line"))})
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(_EDGE))
 
 
-def _halves() -> Column:
-    """Hashed first and last halves of a line, for a partner that is no longer than the line and for one a word longer."""
-    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    out = []
+def _halves(line: bytes) -> list[int]:
+    """Hashed first and last halves of a line, for a partner that is no longer than the line and for one a word longer; none
+    of a short line."""
+    words = line.split(b" ")
+    n, out = len(words), []
+    if n < NEAR_WORDS:
+        return out
     for longest in (n, n + 1):
-        half = F.floor((longest - 1) / 2).cast("int")
-        out.append(F.xxhash64(F.lit(1), longest, F.call_function("substring_index", F.col("line"), F.lit(" "), half)))
-        out.append(F.xxhash64(F.lit(2), longest, F.call_function("substring_index", F.col("line"), F.lit(" "), -half)))
-    return F.when(n >= NEAR_WORDS, F.array(*out))
+        half = (longest - 1) // 2
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * longest))
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[n - half :]), 2 * longest + 1))
+    return out
+
+
+def _lines(docs: DataFrame, with_halves: bool = False) -> DataFrame:
+    """(doc_id, text_hash, place, k1, k2) of every line that is not blank, blanks at its ends taken off; k1 and k2 are two
+    independent hashes, the name of a line. On demand also halves, an array that is empty for short lines."""
+    edge = _EDGE.encode()
+
+    def signed(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, np.uint64).view(np.int64))
+
+    def result(batch: pa.RecordBatch, rows: list, places: list, k1: list, k2: list, halves: list) -> pa.RecordBatch:
+        at = pa.array(np.array(rows, np.int32))
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(places, np.int32)), signed(k1), signed(k2)]
+        names = ["doc_id", "text_hash", "place", "k1", "k2"]
+        if with_halves:
+            ends = np.cumsum([0, *map(len, halves)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), signed([h for part in halves for h in part])))
+            names.append("halves")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = ([], [], [], [], [])
+            for row, text in enumerate(texts(batch.column(2))):
+                for place, line in enumerate(text.split(b"\n")):
+                    line = line.strip(edge)
+                    if line:
+                        found = (row, place, xxhash.xxh64_intdigest(line, 0), xxhash.xxh64_intdigest(line, 1))
+                        for values, value in zip(held, (*found, _halves(line) if with_halves else [])):
+                            values.append(value)
+                if len(held[0]) >= EMITTED:
+                    yield result(batch, *held)
+                    held = ([], [], [], [], [])
+            if held[0]:
+                yield result(batch, *held)
+
+    whole = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, place int, k1 long, k2 long" + (", halves array<bigint>" if with_halves else "")
+    return whole.mapInArrow(run, schema)
 
 
 def _variant_rows(lines: DataFrame) -> DataFrame:
@@ -129,7 +163,7 @@ def _earlier_near(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """(k1, k2, near): for each line that has an earlier near line, where the earliest of these stands.
 
     firsts: k1, k2, at (where the line first stands, and its name), halves."""
-    halves = firsts.where("halves IS NOT NULL").select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = firsts.where("size(halves) > 0").select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
     named = halves.join(shared, "half").select("k1", "k2").distinct()
     wanted = firsts.join(named, ["k1", "k2"]).select("at", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
@@ -167,15 +201,15 @@ def _dropped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, dropped): places of the lines that have an earlier equal or near line, by document."""
     at = F.struct("doc_id", "text_hash", "place", "k1", "k2")
     firsts = (
-        _lines(docs).groupBy("k1", "k2")
-        .agg(F.min(F.struct(at.alias("at"), _halves().alias("halves"))).alias("first"), F.count("*").alias("n"))
+        _lines(docs, with_halves=True).groupBy("k1", "k2")
+        .agg(F.min(F.struct(at.alias("at"), "halves")).alias("first"), F.count("*").alias("n"))
         .select("k1", "k2", "first.at", "first.halves", "n")
     )
     firsts = stored(firsts, "first_lines")
     near_lines = _earlier_near(firsts, docs)
     earliest = firsts.join(near_lines, ["k1", "k2"], "left").where("n > 1 OR near IS NOT NULL")
     earliest = stored(earliest.select("k1", "k2", F.least("at", F.coalesce("near", "at")).alias("earliest")), "earliest_lines")
-    late = _lines(docs).drop("line").join(earliest, ["k1", "k2"])
+    late = _lines(docs).join(earliest, ["k1", "k2"])
     late = late.where(F.struct("doc_id", "text_hash", "place") > F.struct("earliest.doc_id", "earliest.text_hash", "earliest.place"))
     return late.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("dropped"))
 
