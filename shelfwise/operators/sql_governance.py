@@ -1,7 +1,7 @@
 """Governance for SQL users: temporary functions for masks and filters, and views with a table's policy bound.
 
-The functions read the allow-list from a temporary view. An identity's grants are looked up as scalar subqueries, so a governed
-view adds no join to the table it covers.
+The functions read the allow-list from a temporary view. is_privileged and sees_region take the identity as an argument, for
+questions about one; a governed view binds it, so it adds no join to the table it covers.
 """
 
 from __future__ import annotations
@@ -17,20 +17,20 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _clear(who: str) -> str:
+    """Whether an identity is privileged, as a scalar subquery."""
+    return f"(SELECT coalesce(max(is_admin), false) FROM {ALLOWLIST_VIEW} a WHERE a.email = {who})"
+
+
+def _sees(who: str, place: str) -> str:
+    """Whether an identity holds a grant for a place or for all of them."""
+    grants = f"(SELECT collect_set(CASE WHEN is_admin THEN 'ALL' ELSE allowed_region END) FROM {ALLOWLIST_VIEW} a WHERE a.email = {who})"
+    return f"coalesce(array_contains({grants}, 'ALL') OR array_contains({grants}, {place}), false)"
+
+
 FUNCTIONS = {
-    "is_privileged": (
-        "who STRING", "BOOLEAN",
-        f"(SELECT coalesce(max(is_admin), false) FROM {ALLOWLIST_VIEW} a WHERE a.email = who)",
-    ),
-    "sees_region": (
-        "who STRING, place STRING", "BOOLEAN",
-        f"""coalesce(array_contains(
-              (SELECT collect_set(CASE WHEN is_admin THEN 'ALL' ELSE allowed_region END)
-               FROM {ALLOWLIST_VIEW} a WHERE a.email = who), 'ALL')
-            OR array_contains(
-              (SELECT collect_set(CASE WHEN is_admin THEN 'ALL' ELSE allowed_region END)
-               FROM {ALLOWLIST_VIEW} a WHERE a.email = who), place), false)""",
-    ),
+    "is_privileged": ("who STRING", "BOOLEAN", _clear("who")),
+    "sees_region": ("who STRING, place STRING", "BOOLEAN", _sees("who", "place")),
     "mask_partial": (
         "value STRING, clear BOOLEAN", "STRING",
         f"CASE WHEN clear OR value IS NULL THEN value ELSE concat({_quoted(BULLETS)}, right(value, 2)) END",
@@ -49,14 +49,14 @@ def register(spark: SparkSession, allowlist: DataFrame) -> None:
 def governed_view(df: DataFrame, view: str, policy: Policy, identity: str) -> None:
     """A temporary view over df with the policy bound for an identity. register() must have been called.
 
-    SQL through the view sees masked columns and visible rows only. The policy's filter stands beside the caller's own, so
-    both reach the scan; the view over the bare table is private to it by name.
+    SQL through the view sees masked columns and visible rows only. The identity is bound as a value, so its rights are
+    subqueries that run once and no join; the policy's filter stands beside the caller's own.
     """
     spark, who = df.sparkSession, _quoted(identity)
     bare = f"{view}_ungoverned"
     df.createOrReplaceTempView(bare)
     masked = [
-        f"mask_{policy.masks[c]}(`{c}`, is_privileged({who})) AS `{c}`" if c in policy.masks else f"`{c}`" for c in df.columns
+        f"mask_{policy.masks[c]}(`{c}`, {_clear(who)}) AS `{c}`" if c in policy.masks else f"`{c}`" for c in df.columns
     ]
-    visible = f" WHERE sees_region({who}, `{policy.region_column}`)" if policy.region_column else ""
+    visible = f" WHERE {_sees(who, f'`{policy.region_column}`')}" if policy.region_column else ""
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {view} AS SELECT {', '.join(masked)} FROM {bare}{visible}")

@@ -223,6 +223,12 @@ SELECT count(*) AS val_rows, round(sqrt(avg(CAST(demand - lag_7 AS DOUBLE) * CAS
          AS naive_lag7_rmse, round(avg(abs(CAST(demand - lag_7 AS DOUBLE))), 6) AS naive_lag7_mae
 FROM features WHERE ds > (SELECT max(ds) FROM features) - 14"""
 
+FINAL["demand_naive_spread"] = """
+SELECT region, round(stddev_samp(CAST(demand - lag_7 AS DOUBLE)), 6) AS std,
+       (SELECT round(coalesce(stddev_samp(CAST(demand - lag_7 AS DOUBLE)), 1), 6) FROM features
+        WHERE ds > (SELECT max(ds) FROM features) - 14) AS overall
+FROM features WHERE ds > (SELECT max(ds) FROM features) - 14 GROUP BY region"""
+
 
 def _seasonal(series: str, key: str) -> str:
     return f"""

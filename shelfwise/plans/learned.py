@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import random
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import calendar
@@ -18,12 +23,52 @@ from shelfwise.session import written
 from shelfwise.sources.inventory import PANEL_DAYS, SERIES_KEYS, readings
 from shelfwise.sources.star import Tables, dim_distribution_center, dim_product
 
-DEPTHS = (3, 5)
 TEST_SHARE = 0.25
+SEED = 42
+#: Trials of the two searches, and how many of them run at a time.
+EXPIRY_TRIALS, DEMAND_TRIALS, AT_A_TIME = 15, 20, 4
+# Values that a trial draws from.
+_DEPTH, _STEP, _BINS, _SUBSAMPLE = (2, 3, 4, 5), (0.05, 0.1, 0.2, 0.3), (16, 32, 64), (0.7, 0.85, 1.0)
+
+
+def trials(trees, n: int, iterations: int, seed: int = SEED) -> list[dict]:
+    """n different settings of boosted trees, drawn without repetition by a seed: the same on every run."""
+    every = (
+        ParamGridBuilder()
+        .baseOn({trees.maxIter: iterations})
+        .addGrid(trees.maxDepth, _DEPTH)
+        .addGrid(trees.stepSize, _STEP)
+        .addGrid(trees.maxBins, _BINS)
+        .addGrid(trees.subsamplingRate, _SUBSAMPLE)
+        .build()
+    )
+    return random.Random(seed).sample(every, min(n, len(every)))
+
+
+class _Chosen:
+    """The best model of a search, its setting, and every trial's figure in the order of the trials."""
+
+    def __init__(self, pipeline: Pipeline, settings: list[dict], evaluator, fit: DataFrame, choose: DataFrame):
+        """Fit every setting on `fit`, several at a time, and take the one that does best on `choose`."""
+        def run(setting: dict) -> tuple[float, PipelineModel]:
+            model = pipeline.fit(fit, setting)
+            return evaluator.evaluate(model.transform(choose)), model
 
+        with ThreadPool(AT_A_TIME) as pool:
+            results = pool.map(inheritable_thread_target(fit.sparkSession)(run), settings)
+        self.figures = [figure for figure, _ in results]
+        pick = max if evaluator.isLargerBetter() else min
+        self.place = pick(range(len(results)), key=self.figures.__getitem__)
+        self.setting, self.model, self.figure = settings[self.place], results[self.place][1], self.figures[self.place]
 
-def _best(fits) -> tuple[float, object]:
-    return max(fits, key=lambda fit: fit[0])
+    def report(self, settings: list[dict]) -> list[tuple]:
+        """(trial, depth, step, bins, share of rows, figure, chosen) of every trial."""
+        rows = []
+        for at, (setting, figure) in enumerate(zip(settings, self.figures)):
+            named = {param.name: value for param, value in setting.items()}
+            values = (named["maxDepth"], named["stepSize"], named["maxBins"], named["subsamplingRate"])
+            rows.append((at, *values, float(figure), at == self.place))
+        return rows
 
 
 def split_days(labelled: DataFrame, share: float = TEST_SHARE) -> dict[str, DataFrame]:
@@ -45,27 +90,29 @@ def _weighted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("label") == 1, counts["neg"] / max(1, counts["pos"])).otherwise(1.0))
 
 
-def _expiry_pipeline(depth: int, iterations: int) -> Pipeline:
+def _expiry_pipeline() -> tuple[Pipeline, GBTClassifier]:
     assembler = VectorAssembler(inputCols=list(risk.FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="label", weightCol="weight", maxDepth=depth, maxIter=iterations, seed=42)
-    return Pipeline(stages=[assembler, trees])
+    trees = GBTClassifier(labelCol="label", weightCol="weight", seed=SEED)
+    return Pipeline(stages=[assembler, trees]), trees
 
 
-def train_expiry_model(labelled: DataFrame, iterations: int = 8) -> tuple[PipelineModel, dict[str, float]]:
-    """(model refit on all days, metrics): the depth is chosen on days that no fit saw, and measured on later days that
-    neither the fit nor the choice saw."""
+def train_expiry_model(
+    labelled: DataFrame, iterations: int = 8, n_trials: int = EXPIRY_TRIALS
+) -> tuple[PipelineModel, dict[str, float], list[tuple]]:
+    """(model refit on all days, metrics, a row for each trial): the setting is chosen on days that no fit saw, and measured
+    on later days that neither the fits nor the choice saw."""
     days = split_days(labelled)
     auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    train = _weighted(days["fit"])
-    fits = []
-    for depth in DEPTHS:
-        model = _expiry_pipeline(depth, iterations).fit(train)
-        fits.append((auc.evaluate(model.transform(days["choose"])), (depth, model)))
-    chosen, (depth, model) = _best(fits)
-    predicted = model.transform(days["measure"])
+    pipeline, trees = _expiry_pipeline()
+    settings = trials(trees, n_trials, iterations)
+    found = _Chosen(pipeline, settings, auc, written(_weighted(days["fit"]), "expiry-fit"), written(days["choose"], "expiry-choose"))
+    predicted = found.model.transform(days["measure"])
     precision = auc.copy().setMetricName("areaUnderPR").evaluate(predicted)
-    metrics = {"depth": float(depth), "choice_auc": chosen, "test_auc": auc.evaluate(predicted), "test_average_precision": precision}
-    return _expiry_pipeline(depth, iterations).fit(_weighted(labelled)), metrics
+    metrics = {
+        "depth": float(found.setting[trees.maxDepth]), "choice_auc": found.figure, "test_auc": auc.evaluate(predicted),
+        "test_average_precision": precision,
+    }
+    return pipeline.fit(_weighted(labelled), found.setting), metrics, found.report(settings)
 
 
 def _expiry_features(t: Tables) -> DataFrame:
@@ -83,7 +130,7 @@ def _labelled(features: DataFrame) -> DataFrame:
 def expiry_model_scores(t: Tables) -> DataFrame:
     """The risk table with the classifier's probability as the expiry score."""
     features = _expiry_features(t)
-    model, _ = train_expiry_model(_labelled(features))
+    model, *_ = train_expiry_model(_labelled(features))
     recent = features.filter(F.col("day_idx") >= PANEL_DAYS - risk.RECENT_READINGS)
     latest = risk.risk_scores(
         recent,
@@ -111,7 +158,7 @@ def expiry_model_frame(t: Tables) -> DataFrame:
 
 def expiry_model_report(t: Tables) -> DataFrame:
     """The measured quality of the expiry model, one row per figure."""
-    _, metrics = train_expiry_model(_labelled(_expiry_features(t)))
+    _, metrics, _ = train_expiry_model(_labelled(_expiry_features(t)))
     return t.spark.createDataFrame([(k, float(v)) for k, v in metrics.items()], "metric string, value double")
 
 
@@ -120,35 +167,48 @@ _INPUTS = (
 )
 
 
-def _demand_pipeline(depth: int, iterations: int) -> Pipeline:
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol="region", outputCol="region_idx", handleInvalid="keep"),
-            OneHotEncoder(inputCol="region_idx", outputCol="region_vec"),
-            VectorAssembler(inputCols=list(_INPUTS), outputCol="features"),
-            GBTRegressor(labelCol="demand", maxDepth=depth, maxIter=iterations, stepSize=0.3, seed=42),
-        ]
-    )
+def _demand_pipeline() -> tuple[Pipeline, GBTRegressor]:
+    trees = GBTRegressor(labelCol="demand", seed=SEED)
+    stages = [
+        StringIndexer(inputCol="region", outputCol="region_idx", handleInvalid="keep"),
+        OneHotEncoder(inputCol="region_idx", outputCol="region_vec"),
+        VectorAssembler(inputCols=list(_INPUTS), outputCol="features"),
+        trees,
+    ]
+    return Pipeline(stages=stages), trees
+
 
+def split_demand(features: DataFrame) -> dict[str, DataFrame]:
+    """The last HORIZON days to measure on, as many before them to choose by, all earlier ones to fit."""
+    back = lambda n: F.date_sub(features.agg(F.max("ds")).scalar(), n * forecast.HORIZON)
+    day = F.col("ds")
+    return {
+        "fit": features.filter(day <= back(2)),
+        "choose": features.filter((day > back(2)) & (day <= back(1))),
+        "measure": features.filter(day > back(1)),
+    }
 
-def train_demand_model(features: DataFrame, iterations: int = 8):
-    """(model refit on all days, residual std per region, held-out metrics). The last 14 days choose the depth and
-    give the residuals; the model that is measured never saw them."""
-    cutoff = F.date_sub(features.agg(F.max("ds")).scalar(), forecast.HORIZON)
-    train, held_out = features.filter(F.col("ds") <= cutoff), features.filter(F.col("ds") > cutoff)
+
+def train_demand_model(features: DataFrame, iterations: int = 8, n_trials: int = DEMAND_TRIALS):
+    """(model refit on all days, residual std per region, held-out metrics, a row for each trial). Spread and metrics come
+    from the last days, which neither the fits nor the choice of the setting saw."""
+    days = split_demand(features)
     rmse = RegressionEvaluator(labelCol="demand", metricName="rmse")
-    fits = []
-    for depth in DEPTHS:
-        model = _demand_pipeline(depth, iterations).fit(train)
-        fits.append((-rmse.evaluate(model.transform(held_out)), (depth, model)))
-    score, (depth, measured) = _best(fits)
-    predicted = measured.transform(held_out)
+    pipeline, trees = _demand_pipeline()
+    settings = trials(trees, n_trials, iterations)
+    found = _Chosen(pipeline, settings, rmse, written(days["fit"], "demand-fit"), written(days["choose"], "demand-choose"))
+    predicted = found.model.transform(days["measure"])
+    spread, overall = residual_spread(predicted)
+    metrics = {"val_rmse": rmse.evaluate(predicted), "val_mae": rmse.copy().setMetricName("mae").evaluate(predicted)}
+    model = pipeline.fit(features, found.setting)
+    return model, spread.withColumn("std", F.coalesce("std", overall)), metrics, found.report(settings)
+
+
+def residual_spread(predicted: DataFrame) -> tuple[DataFrame, Column]:
+    """(sample deviation of the residuals by region, that of all as a value: for regions that have too few)."""
     residual = F.col("demand") - F.col("prediction")
-    spread = predicted.groupBy("region").agg(F.stddev_samp(residual).alias("std"))
     overall = predicted.agg(F.coalesce(F.stddev_samp(residual), F.lit(1.0)).alias("overall")).scalar()
-    mae = rmse.copy().setMetricName("mae").evaluate(predicted)
-    model = _demand_pipeline(depth, iterations).fit(features)
-    return model, spread.withColumn("std", F.coalesce("std", overall)), {"val_rmse": -score, "val_mae": mae}
+    return predicted.groupBy("region").agg(F.stddev_samp(residual).alias("std")), overall
 
 
 def recursive_forecast(model: PipelineModel, series: DataFrame, horizon: int = forecast.HORIZON) -> DataFrame:
@@ -190,10 +250,28 @@ def recursive_forecast(model: PipelineModel, series: DataFrame, horizon: int = f
     )
 
 
+_TRIAL = "trial int, depth int, step double, bins int, row_share double, figure double, chosen boolean"
+
+
+def expiry_search(t: Tables) -> DataFrame:
+    """The search for the classifier's setting, one row a trial: figure is the area under the ROC curve on the days of the choice."""
+    *_, report = train_expiry_model(_labelled(_expiry_features(t)))
+    return t.spark.createDataFrame(report, _TRIAL)
+
+
+def naive_spread(t: Tables) -> DataFrame:
+    """The residual spread of the last days by region for the forecast that repeats the week before."""
+    series = written(serving.region_series(t), "demand-series")
+    features = forecast.demand_features(series, "region").withColumn("demand", F.col("demand").cast("double"))
+    predicted = split_demand(features)["measure"].withColumn("prediction", F.col("lag_7").cast("double"))
+    spread, overall = residual_spread(predicted)
+    return spread.select("region", F.round("std", 6).alias("std"), F.round(overall, 6).alias("overall"))
+
+
 def demand_forecast(t: Tables) -> DataFrame:
     series = written(serving.region_series(t), "demand-series")
     features = forecast.demand_features(series, "region").withColumn("demand", F.col("demand").cast("double"))
-    model, spread, _ = train_demand_model(written(features, "demand-features"))
+    model, spread, *_ = train_demand_model(written(features, "demand-features"))
     ahead = recursive_forecast(model, series).join(spread, "region", "left")
     band = F.coalesce("std", F.lit(1.0)) * forecast.BAND_Z
     return ahead.select(

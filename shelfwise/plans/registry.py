@@ -88,6 +88,8 @@ QUERIES: dict[str, Plan] = {
     "governed_sales_sql": personas.governed_sales_sql,
     "catalog_dimensions": catalog.saved_dimensions,
     "priority_status": catalog.priority_status,
+    "expiry_search": learned.expiry_search,
+    "demand_naive_spread": learned.naive_spread,
     "metric_sales_rollup": dashboard.sales_rollup,
     "metric_unique_by_month_region": sketches.unique_by_month_region,
     "whoami": personas.whoami,

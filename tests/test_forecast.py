@@ -77,7 +77,8 @@ def test_naive_errors(spark):
 def test_recursive_model_forecast(spark, random_series):
     dense = forecast.dense_series(daily(spark, random_series), "region")
     features = forecast.demand_features(dense, "region").withColumn("demand", F.col("demand").cast("double"))
-    model, spread, metrics = learned.train_demand_model(features.cache(), iterations=2)
+    model, spread, metrics, report = learned.train_demand_model(features.cache(), iterations=2, n_trials=3)
+    assert len(report) == 3 and sum(r[-1] for r in report) == 1 and min(r[-2] for r in report) == next(r[-2] for r in report if r[-1])
     rows = learned.recursive_forecast(model, dense, horizon=3).collect()
     assert len(rows) == 6 and all(r.level >= 0 for r in rows)
     assert metrics["val_rmse"] > 0 and spread.filter("std IS NULL").count() == 0
@@ -106,5 +107,6 @@ def test_expiry_model_learns(spark):
             rows.append((day, int(x > 0.8), *[x * 10] * 2, *[draw.random()] * 6))
     columns = ", ".join(f"{c} double" for c in learned.risk.FEATURES)
     df = spark.createDataFrame(rows, f"day_idx int, label int, {columns}")
-    _, metrics = learned.train_expiry_model(df.cache(), iterations=2)
+    _, metrics, report = learned.train_expiry_model(df.cache(), iterations=2, n_trials=3)
+    assert len({r[1:5] for r in report}) == 3 and metrics["choice_auc"] == max(r[-2] for r in report)
     assert metrics["test_auc"] > 0.95 and metrics["test_average_precision"] > 0.8
