@@ -51,6 +51,6 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
