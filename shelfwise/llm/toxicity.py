@@ -1,9 +1,10 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Every word of the examples is a term, and so is every stem that LEAST_DOCS examples have. A term's weight is its TF-IDF times
-its relevance: how clearly more frequent it is in toxic examples, and FLOOR for all others. The examples' vectors lie in an
-inverted index; a query adds up its cosine with every example, terms of long postings as dense rows. The result is that of a
-full search. The neighbours' labels, weighted by
+its relevance: how clearly more frequent it is in toxic examples, and FLOOR for all others. Terms are counted on Spark and known
+by 64-bit hash; terms that share a hash are one term. The examples lie in blocks of similar ones. A query adds up its rare terms
+from their lists; of the frequent terms each block keeps the largest weight, which bounds the cosines in it, and blocks whose
+bound is below the k-th best cosine are skipped. The result is that of a full search. The neighbours' labels, weighted by
 squared cosine, make a vote that a logistic curve, fitted on the examples' own votes without themselves, turns into a score.
 """
 
@@ -15,26 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwise.llm.common import by_batch, crc_of, stored, texts
 from shelfwise.llm.linear import Logistic, logit, sigmoid
 from shelfwise.llm.vocab import shared
 
-#: Most labelled documents that fitting uses.
-MAX_EXAMPLES = 10_000
+#: Most labelled documents that fitting uses, and most bytes of text they have together.
+MAX_EXAMPLES, MAX_BYTES = 10_000, 64 << 20
 #: Least relevance of a term, least documents that have a stem, lengths of stems.
 FLOOR, LEAST_DOCS, STEMS = 0.02, 5, (5, 6, 7, 8)
-#: Terms that so large a share of the examples has are kept as dense rows; so many texts are searched at once.
-DENSE, TOGETHER = 0.1, 64
+#: Terms that so large a share of the examples has are bounded by block; examples of a block; so many texts are searched at once.
+DENSE, BLOCK, TOGETHER = 0.05, 32, 128
+#: What rounding may take from a cosine of single precision.
+SLACK = 1e-5
 NEIGHBOURS, EVIDENCE = 15, 3
-REMEMBERED = 100_000
+REMEMBERED, LONG_WORD = 100_000, 40
 THRESHOLD = 0.5
 SEED = 23
 _WORD = re.compile(r"\w+")
 
 
-_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary()), ("weights", pa.binary())])
 _NEAR = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
@@ -43,6 +46,10 @@ def _forms(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "*" for n in STEMS if len(word) > n))
 
 
+def _hashes(forms: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(form) for form in forms], np.uint64).view(np.int64)
+
+
 def _words(text: bytes | None) -> list[str]:
     return _WORD.findall((text or b"").decode().lower())
 
@@ -58,132 +65,209 @@ def examples(labels: DataFrame, learn: Column, limit: int) -> DataFrame:
     return known.where(share).orderBy(place, "doc_id").limit(limit)
 
 
-def all_terms(rows: DataFrame) -> list[tuple[str, int, float]]:
-    """Every word of the rows (text, toxic), and every stem that enough of them have, with the number of documents and the
-    relevance: how significantly larger its share of toxic documents is, in parts of the largest, and FLOOR at least."""
+def within(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Of at most MAX_EXAMPLES rows (doc_id, toxic, text) the first by a hash of doc_id that have max_bytes of text together;
+    a text that is longer than that alone does not count."""
+    size = F.octet_length("text").cast("long")
+    running = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
+    sizes = rows.select("doc_id", F.coalesce(size, F.lit(0)).alias("size")).where(F.col("size") <= max_bytes)
+    return rows.join(sizes.withColumn("up_to", running).where(F.col("up_to") <= max_bytes).select("doc_id"), "doc_id")
+
+
+def count_terms(rows: DataFrame) -> DataFrame:
+    """(term, plain, toxic): in how many rows (text, toxic) of either label a term, known by its hash, stands; every word counts,
+    and every stem that LEAST_DOCS rows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 counts[toxic].update({form for word in set(_words(text)) for form in _forms(word)})
-        names = list(counts[0] | counts[1])
-        for at in range(0, len(names), 100_000):
-            part = names[at : at + 100_000]
-            yield pa.RecordBatch.from_pydict({"term": part, "plain": [counts[0][t] for t in part], "toxic": [counts[1][t] for t in part]})
-
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return []
-    sums = rows.select("text", "toxic").mapInArrow(run, "term string, plain long, toxic long").groupBy("term")
-    sums = sums.agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
-    found = sums.where((F.right("term", F.lit(1)) != "*") | (F.col("plain") + F.col("toxic") >= LEAST_DOCS)).orderBy("term").toArrow()
-    plain, toxic = (found.column(c).to_numpy().astype(np.float64) for c in ("plain", "toxic"))
-    share = (plain + toxic) / (n[0] + n[1])
-    z = (toxic / n[1] - plain / n[0]) / (np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9)
+        forms = list(counts[0] | counts[1])
+        for at in range(0, len(forms), 100_000):
+            part = forms[at : at + 100_000]
+            plain, toxic = ([c[form] for form in part] for c in counts)
+            yield pa.RecordBatch.from_pydict({"term": _hashes(part), "plain": plain, "toxic": toxic, "word": [form[-1] != "*" for form in part]})
+
+    sums = rows.select("text", "toxic").mapInArrow(run, "term long, plain long, toxic long, word boolean").groupBy("term")
+    sums = sums.agg(F.sum("plain").cast("int").alias("plain"), F.sum("toxic").cast("int").alias("toxic"), F.bool_or("word").alias("word"))
+    return sums.where(F.col("word") | (F.col("plain") + F.col("toxic") >= LEAST_DOCS)).select("term", "plain", "toxic")
+
+
+def term_weights(plain: np.ndarray, toxic: np.ndarray, n_plain: int, n_toxic: int) -> np.ndarray:
+    """The inverse document frequency of each term times its relevance: how significantly larger its share of toxic documents
+    is, in parts of the largest, and FLOOR at least."""
+    docs, n = plain + toxic, n_plain + n_toxic
+    share = docs / n
     # A term that all documents have says nothing; its z is 0.
+    z = (toxic / n_toxic - plain / n_plain) / (np.sqrt(share * (1 - share) * (1 / n_plain + 1 / n_toxic)) + 1e-9)
     relevance = FLOOR + np.clip(z / max(z.max(initial=0.0), 1e-9), 0, 1)
-    return list(zip(found.column("term").to_pylist(), (plain + toxic).astype(int).tolist(), relevance.tolist()))
+    return (np.log((1 + n) / (1 + docs)) + 1) * relevance
 
 
 class Vectors:
-    """Texts as unit vectors over the terms: TF-IDF times relevance."""
+    """Texts as unit vectors over the terms, which are numbered in the order of their hashes."""
 
-    def __init__(self, terms: list[tuple[str, int, float]], n_docs: int):
-        self.number = {term: i for i, (term, _, _) in enumerate(terms)}
-        self.idf = np.array([(np.log((1 + n_docs) / (1 + df)) + 1) * relevance for _, df, relevance in terms])
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, terms: np.ndarray, weights: np.ndarray):
+        by = np.argsort(terms)
+        self.terms, self.idf = terms[by], weights[by]
+        self.known: dict[str, list[int]] = {}
+        self.stems: dict[str, int] = {}
 
     def __getstate__(self):
-        return {"number": self.number, "idf": self.idf, "known": {}}
-
-    def _terms(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.number[f] for f in _forms(word) if f in self.number)
-        if len(word) <= 40:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+        return {"terms": self.terms, "idf": self.idf, "known": {}, "stems": {}}
+
+    def _numbers(self, forms: list[str]) -> list[int]:
+        """The number of each form that is a term, -1 for others."""
+        hashes = _hashes(forms)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1).tolist()
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember which terms the words hold. Where a stem is no term, no longer stem is one: fewer examples have it."""
+        for n in STEMS:
+            longer = {w[:n] for w in words if len(w) > n and (n == STEMS[0] or self.stems.get(w[: n - 1], -1) >= 0)}
+            if new := [stem for stem in longer if stem not in self.stems]:
+                self.stems.update(zip(new, self._numbers([stem + "*" for stem in new])))
+        for word, own in zip(words, self._numbers(words)):
+            found = [own] if own >= 0 else []
+            for n in STEMS:
+                if len(word) <= n or (stem := self.stems[word[:n]]) < 0:
+                    break
+                found.append(stem)
             self.known[word] = found
-        return found
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order and their weights; both empty if the text has none."""
-        known, counts = self.known.get, Counter()
-        for word in _words(text):
-            found = known(word)
-            if found is None:
-                found = self._terms(word)
-            if found:
-                counts.update(found)
-        terms = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms] if len(terms) else np.empty(0)
+        counts = Counter(_words(text))
+        if not counts or not len(self.terms):
+            return np.empty(0, np.int64), np.empty(0)
+        known = self.known
+        if new := [word for word in counts if word not in known]:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                self.stems.clear()
+                new = list(counts)
+            self._learn(new)
+        found = [known[word] for word in counts]
+        for word in new:
+            if len(word) > LONG_WORD:
+                del known[word]
+        times = np.repeat(list(counts.values()), [len(f) for f in found])
+        terms, place = np.unique(np.array([t for f in found for t in f], np.int64), return_inverse=True)
+        weights = (1 + np.log(np.bincount(place, times, len(terms)))) * self.idf[terms]
         return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
 
 class Index:
-    """Inverted lists of the examples. A term's list goes from start[term] to start[term + 1]; there is one block."""
+    """The examples in blocks of similar ones: lists of the rare terms, and of the frequent ones rows and largest weights.
 
-    blocks = 1
+    The examples are given by doc_id, label, number of terms, and their terms and weights one after another. Lists and blocks
+    are made where they are used first."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], n_terms: int):
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
-        place = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t, _ in vectors])
-        by = np.argsort(term, kind="stable")
-        self.place, self.weight = place[by], np.concatenate([w for _, w in vectors] or [np.empty(0, np.float32)])[by]
-        self.start = np.searchsorted(term[by], np.arange(n_terms + 1))
-        self.rows: np.ndarray | None = None
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.ids, self.labels, self.terms, self.weights, self.n_terms = ids, labels, terms, weights, n_terms
+        self.bounds = np.concatenate([[0], np.cumsum(lengths)])
+        self.lists: np.ndarray | None = None
+        self.looked = self.blocks_met = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"rows": None}
-
-    def _dense(self) -> None:
-        """The frequent terms as rows, made where they are used."""
-        often = np.flatnonzero(np.diff(self.start) > DENSE * len(self.ids))
-        self.row = np.full(len(self.start) - 1, -1, np.int32)
+        kept = ("ids", "labels", "terms", "weights", "n_terms", "bounds")
+        return {name: self.__dict__[name] for name in kept} | {"lists": None, "looked": 0, "blocks_met": 0}
+
+    def vector(self, example: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.bounds[example], self.bounds[example + 1])
+        return self.terms[own], self.weights[own]
+
+    def _build(self) -> None:
+        lengths, n = np.diff(self.bounds), len(self.ids)
+        # Examples of a block share the label and the heaviest term, and are about as long.
+        heaviest = [t[w.argmax()] for t, w in map(self.vector, range(n))]
+        self.order = np.lexsort((self.ids, lengths, heaviest, -self.labels))
+        self.slot = np.empty(n, np.int32)
+        self.slot[self.order] = np.arange(n)
+        self.n_blocks = -(-n // BLOCK)
+        place = np.repeat(self.slot, lengths)
+        count = np.bincount(self.terms, minlength=self.n_terms)
+        often = np.flatnonzero(count > DENSE * n)
+        self.row = np.full(self.n_terms, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), len(self.ids)), np.float32)
-        for row, term in enumerate(often.tolist()):
-            low, high = self.start[term], self.start[term + 1]
-            self.rows[row, self.place[low:high]] = self.weight[low:high]
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """One row for each query: its cosine with every example."""
-        if self.rows is None:
-            self._dense()
-        dense = np.zeros((len(queries), len(self.rows)), np.float32)
+        row = self.row[self.terms]
+        self.rows = np.zeros((self.n_blocks * BLOCK, len(often)), np.float32)
+        self.rows[place[row >= 0], row[row >= 0]] = self.weights[row >= 0]
+        self.rows = self.rows.reshape(self.n_blocks, BLOCK, len(often))
+        self.largest = self.rows.max(axis=1)
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.lists, self.list_weights = place[rare], self.weights[rare]
+        self.query = np.zeros(self.n_terms, np.float32)
+        count[often] = 0
+        self.start = np.concatenate([[0], np.cumsum(count)])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (cosine, example) of the k examples of the largest positive cosine, ties to the smaller doc_id; not
+        the example without."""
+        if self.lists is None:
+            self._build()
+        dense = np.zeros((len(queries), len(self.largest.T)), np.float32)
+        sums = np.zeros((len(queries), self.n_blocks * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(queries):
             row = self.row[terms]
             dense[i, row[row >= 0]] = weights[row >= 0]
-        out = dense @ self.rows
-        for i, (terms, weights) in enumerate(queries):
-            rare = self.row[terms] < 0
-            low = self.start[terms[rare]]
-            count = self.start[terms[rare] + 1] - low
+            low = self.start[terms[row < 0]]
+            count = self.start[terms[row < 0] + 1] - low
             if total := int(count.sum()):
                 at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
-                out[i] += np.bincount(self.place[at], self.weight[at] * np.repeat(weights[rare], count), len(self.ids)).astype(np.float32)
-        return out
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k examples of the largest positive cosine, ties to the smaller place; not the place without."""
-        return self.best(self.cosines([(terms, weights)])[0], k, without)
-
-    def best(self, cosines: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        if without >= 0:
-            cosines[without] = 0
-        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0
-        near = np.flatnonzero((cosines >= least) & (cosines > 0))
-        near = near[np.argsort(-cosines[near], kind="stable")][:k]
-        return list(zip(cosines[near].tolist(), near.tolist()))
+                sums[i] = np.bincount(self.lists[at], self.list_weights[at] * np.repeat(weights[row < 0], count), sums.shape[1])
+        if without is not None:
+            sums[np.arange(len(queries)), self.slot[without]] = -np.inf
+        sums = sums.reshape(len(queries), self.n_blocks, BLOCK)
+        most = sums.max(axis=2) + dense @ self.largest.T + SLACK
+        # The blocks of the best bounds first: they say what the k-th best cosine is at least.
+        few = min(-(-k // BLOCK) + 1, self.n_blocks)
+        first = np.zeros(most.shape, bool)
+        np.put_along_axis(first, np.argpartition(-most, few - 1, axis=1)[:, :few], True, axis=1)
+        self._complete(sums, dense, first)
+        least = np.zeros(len(queries))
+        for i in range(len(queries)):
+            seen = sums[i, first[i]].ravel()
+            if len(seen) >= k:
+                least[i] = max(np.partition(seen, -k)[-k] - SLACK, 0)
+        rest = (most >= least[:, None]) & ~first
+        self._complete(sums, dense, rest)
+        self.looked += int(first.sum() + rest.sum())
+        self.blocks_met += first.size
+        sums[~(first | rest)] = -np.inf
+        return [self._best(terms, weights, s.ravel(), k) for (terms, weights), s in zip(queries, sums)]
+
+    def _complete(self, sums: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the frequent terms' part where a query wants a block."""
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            which = np.flatnonzero(wanted[:, block])
+            sums[which, block] += dense[which] @ self.rows[block].T
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best by cosines summed term after term: they do not depend on what else is searched along."""
+        least = np.partition(cosines, -k)[-k] - SLACK if len(cosines) > k else 0
+        found = []
+        self.query[terms] = weights
+        for example in self.order[np.flatnonzero((cosines >= least) & (cosines > 0))].tolist():
+            own, heavy = self.vector(example)
+            found.append((float(self.query[own] @ heavy), example))
+        self.query[terms] = 0
+        return sorted(found, key=lambda f: (-f[0], self.ids[f[1]]))[:k]
 
 
 class Voter:
     """The fitted model: terms, index and the curve from votes to scores."""
 
-    def __init__(self, vectors: Vectors, index: Index | None, prior: float, silent: float):
+    def __init__(self, vectors: Vectors | None, index: Index | None, prior: float, silent: float):
         self.vectors, self.index, self.prior, self.silent = vectors, index, prior, silent
         self.curve: Logistic | None = None
-        self.seen: dict = {}
+        self.held = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": None}
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """The neighbours' labels weighted by squared cosine, with the prior as one more neighbour of cosine 1: a few
@@ -191,84 +275,107 @@ class Voter:
         weight = np.array([c * c for c, _ in found])
         return float((weight @ self.index.labels[[i for _, i in found]] + self.prior) / (weight.sum() + 1))
 
-    def fit_curve(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        places = {int(d): p for p, d in enumerate(self.index.ids)}
-        votes, labels = [], []
-        for (terms, weights), doc in vectors:
-            found = self.index.nearest(terms, weights, NEIGHBOURS, without=places[doc])
-            votes.append(self.vote(found) if found else self.prior)
-            labels.append(self.index.labels[places[doc]])
-        if len(set(labels)) == 2:
-            curve = Logistic(penalty=0.1).fit(logit(np.array(votes))[:, None], np.array(labels))
+    def found(self, batch: list[bytes | None], without: list[int] | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+        """The nearest examples of each text that has a term."""
+        vectors = [self.vectors.of(text) for text in batch]
+        some = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            yield from zip(part, self.index.nearest([vectors[i] for i in part], NEIGHBOURS, without and [without[i] for i in part]))
+
+    def votes(self, batch: list[bytes | None], ids: list[int]) -> list[float]:
+        """The vote on each example, by doc_id, of all the others."""
+        place = {doc: i for i, doc in enumerate(self.index.ids.tolist())}
+        out = [self.prior] * len(batch)
+        own = [i for i, doc in enumerate(ids) if doc in place]
+        for i, near in self.found([batch[i] for i in own], [place[ids[i]] for i in own]):
+            out[own[i]] = self.vote(near)
+        return out
+
+    def fit_curve(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        if len(set(labels.tolist())) == 2:
+            curve = Logistic(penalty=0.1).fit(logit(votes)[:, None], labels)
             if curve.weights[0] > 0:
                 self.curve = curve
 
-    def scores(self, batch: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, batch: list[bytes | None], curve: Logistic | None) -> list[tuple[float, list[tuple[float, int]]]]:
         """The score from 0 to 1 and the nearest examples of each text."""
         out = [(self.silent, [])] * len(batch)
-        if self.index is None:
-            return out
-        vectors = [self.vectors.of(text) for text in batch]
-        some = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
-        for at in range(0, len(some), TOGETHER):
-            part = some[at : at + TOGETHER]
-            for i, cosines in zip(part, self.index.cosines([vectors[i] for i in part])):
-                if found := self.index.best(cosines, NEIGHBOURS):
-                    vote = self.vote(found)
-                    score = float(sigmoid(self.curve.margin(logit(np.array([[vote]]))))[0]) if self.curve else vote
-                    out[i] = score, found[:EVIDENCE]
+        if self.index is not None:
+            for i, near in self.found(batch):
+                if near:
+                    vote = self.vote(near)
+                    out[i] = float(sigmoid(curve.margin(logit(np.array([[vote]]))))[0]) if curve else vote, near[:EVIDENCE]
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES) -> Voter:
-    """The model learned from at most max_examples labelled documents where learn, a condition on doc_id, holds.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Voter:
+    """The model learned from at most max_examples labelled documents of max_bytes where learn, a condition on doc_id, holds.
 
-    Terms and index come from these examples alone, so what is sent to the workers is bounded by the parameter. Without
-    both classes the score is the class there is, or 0.
+    Terms and index come from these examples alone, so what comes to the driver and is sent to the workers is bounded by the
+    parameters: hashes and weights, no texts. The examples' votes on each other are taken in tasks. Without both classes the score
+    is the class there is, or 0.
     """
     chosen = F.broadcast(examples(labels, learn, max_examples))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    rows = stored(rows, "labelled")
     # Copies of a text would make its every word look significant; of each text the least doc_id stays.
     alike = rows.groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = stored(rows.join(alike, "doc_id"), "examples")
-    terms = all_terms(rows)
+    rows = stored(within(rows.join(alike, "doc_id"), max_bytes), "examples")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    vectors = Vectors(terms, sum(n.values()))
-    del terms
     if len(n) < 2:
-        return Voter(vectors, None, 0.0, float(next(iter(n), 0)))
+        return Voter(None, None, 0.0, float(next(iter(n), 0)))
+    counted = count_terms(rows).toArrow()
+    plain, toxic = (counted.column(c).to_numpy().astype(np.float64) for c in ("plain", "toxic"))
+    vectors = Vectors(counted.column("term").to_numpy(), term_weights(plain, toxic, n[0], n[1]))
+    del counted, plain, toxic
+    weighed = shared(docs.sparkSession, vectors)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [vectors.of(text) for text in texts(batch.column(1))]
-        columns = [batch.column(0), batch.column(2), pa.array([t.astype(np.int32).tobytes() for t, _ in found]), pa.array([w.astype(np.float32).tobytes() for _, w in found])]
-        return pa.RecordBatch.from_arrays(columns, schema=_EXAMPLE)
-
-    kept = by_batch(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, terms binary, weights binary")
-    known = sorted(kept.collect(), key=lambda r: r["doc_id"])
-    loud = [r for r in known if r["terms"]]
-    silent = [r["toxic"] for r in known if not r["terms"]]
+        found = [weighed.value.of(text) for text in texts(batch.column(1))]
+        columns = [batch.column(0), batch.column(2), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([t.astype(np.int32).tobytes() for t, _ in found]), pa.array([w.astype(np.float32).tobytes() for _, w in found])]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "length", "terms", "weights"])
+
+    table = by_batch(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, length long, terms binary, weights binary").toArrow()
+    ids, labelled, lengths = (table.column(c).to_numpy() for c in ("doc_id", "toxic", "length"))
+    loud = lengths > 0
     # Of examples without any term, the toxic share; one toxic document of ten is supposed where there are none.
-    quiet = (sum(silent) + 0.1) / (len(silent) + 1)
-    if not loud:
+    quiet = float((labelled[~loud].sum() + 0.1) / ((~loud).sum() + 1))
+    if not loud.any():
         return Voter(vectors, None, 0.0, quiet)
-    own = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in loud]
-    index = Index(own, [r["doc_id"] for r in loud], [r["toxic"] for r in loud], len(vectors.idf))
+    terms, weights = (_joined(table.column(c), kind) for c, kind in (("terms", np.int32), ("weights", np.float32)))
+    del table
+    index = Index(ids[loud], labelled[loud].astype(np.int64), lengths[loud], terms, weights, len(vectors.terms))
     voter = Voter(vectors, index, n[1] / (n[0] + n[1]), quiet)
-    voter.fit_curve([(v, r["doc_id"]) for v, r in zip(own, loud)])
+    voter.held = held = shared(docs.sparkSession, voter)
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        votes = held.value.votes(list(texts(batch.column(1))), batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes, pa.float64())], names=["toxic", "vote"])
+
+    # Sorted, so that the curve does not depend on which task ends first.
+    seen = by_batch(rows.select("doc_id", "text", "toxic"), own, "toxic int, vote double").orderBy("toxic", "vote").toArrow()
+    voter.fit_curve(seen.column("vote").to_numpy(), seen.column("toxic").to_numpy())
     return voter
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a binary column, one after another."""
+    return np.concatenate([np.frombuffer(value.as_buffer(), kind) for value in column if len(value.as_buffer())])
+
+
 def score(docs: DataFrame, voter: Voter) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every whole text of docs (doc_id, text): evidence are the nearest examples.
 
     A null or empty text, or one without any known term, gets the toxic share of such examples and no evidence. Repeated rows
     and null doc_ids come back as they went in; other columns are not read; an empty table gives an empty result.
     """
-    held = shared(docs.sparkSession, voter)
+    held = voter.held or shared(docs.sparkSession, voter)
+    curve = voter.curve
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = held.value
-        found = model.scores(list(texts(batch.column(1))))
+        found = model.scores(list(texts(batch.column(1))), curve)
         near = [[{"doc_id": model.index.ids[i], "toxic": model.index.labels[i], "cosine": c} for c, i in e] for _, e in found]
         scores = np.array([s for s, _ in found])
         columns = [batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(near, _NEAR)]

@@ -1,5 +1,8 @@
 """Language, toxicity and quality: held-out accuracy, exact search, odd rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,21 +76,83 @@ def test_every_example_with_a_word_is_indexed_and_every_text_with_one_searched(s
     assert all(r.evidence for r in rows) and len({r.score for r in rows}) > 1
 
 
-def test_nearest_examples_equal_a_full_search(voter):
-    index, n = voter.index, len(voter.vectors.number)
-    full = np.zeros((len(index.ids), n))
-    for term in range(n):
-        low, high = index.start[term * index.blocks], index.start[(term + 1) * index.blocks]
-        full[index.place[low:high], term] = index.weight[low:high]
+def plain_nearest(index, terms, weights, k):
+    """Every example's cosine, summed up one after another."""
+    query = dict(zip(terms.tolist(), weights.tolist()))
+    found = []
+    for example in range(len(index.ids)):
+        own = zip(*(x.tolist() for x in index.vector(example)))
+        if (cosine := sum(w * query[t] for t, w in own if t in query)) > 0:
+            found.append((cosine, int(index.ids[example])))
+    return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+
+
+def test_nearest_examples_equal_a_full_search(spark, voter):
+    index, n = voter.index, len(voter.vectors.terms)
     random = np.random.default_rng(1)
-    for _ in range(300):
+    queries = []
+    for _ in range(30):
         terms = np.sort(random.choice(n, size=random.integers(1, min(n, 8) + 1), replace=False))
         weights = random.random(len(terms)) + 0.01
-        weights /= np.linalg.norm(weights)
-        cosines = full[:, terms] @ weights
-        order = [i for i in np.lexsort((np.arange(len(cosines)), -cosines.round(12))) if cosines[i] > 0][:15]
-        found = index.nearest(terms, weights, 15)
-        assert np.allclose([c for c, _ in found], cosines[order]) and len(found) == len(order)
+        queries.append((terms, weights / np.linalg.norm(weights)))
+    texts = table(spark, "/root/testdata/sf0.1", "documents").where(toxicity.held_out()).orderBy("doc_id").limit(60).collect()
+    vectors = [voter.vectors.of((r.text or "").encode()) for r in texts]
+    queries += [v for v in vectors if len(v[0])]
+    index.looked = index.blocks_met = 0
+    for (terms, weights), found in zip(queries, index.nearest(queries, 15)):
+        want = plain_nearest(index, terms, weights, 15)
+        assert np.allclose([c for c, _ in found], [c for c, _ in want], atol=1e-6) and len(found) == len(want)
+        least = want[-1][0] + 1e-6 if want else 0
+        assert {index.ids[i] for c, i in found if c > least} == {i for c, i in want if c > least}
+    assert 0 < index.looked < 0.9 * index.blocks_met
+    # What is searched along makes no difference.
+    assert [index.nearest([q], 15)[0] for q in queries[:20]] == index.nearest(queries[:20], 15)
+
+
+def test_terms_weights_vote_and_score_equal_plain_versions(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", name) for name in ("documents", "labels"))
+    voter = toxicity.fit(docs, labels, ~toxicity.held_out())
+    chosen = docs.join(toxicity.examples(labels, ~toxicity.held_out(), toxicity.MAX_EXAMPLES), "doc_id").groupBy("text", "toxic").count().collect()
+    forms = [({f for w in set(toxicity._words(r.text.encode())) for f in toxicity._forms(w)}, r.toxic) for r in chosen]
+    n = [sum(t == label for _, t in forms) for label in (0, 1)]
+    seen = [Counter(f for own, t in forms if t == label for f in own) for label in (0, 1)]
+    names = sorted(f for f in seen[0] | seen[1] if f[-1] != "*" or seen[0][f] + seen[1][f] >= toxicity.LEAST_DOCS)
+    assert len(names) == len(voter.vectors.terms)
+    z, idf = {}, {}
+    for f in names:
+        share = (seen[0][f] + seen[1][f]) / sum(n)
+        z[f] = (seen[1][f] / n[1] - seen[0][f] / n[0]) / (math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9)
+        idf[f] = math.log((1 + sum(n)) / (1 + seen[0][f] + seen[1][f])) + 1
+    weight = {f: idf[f] * (toxicity.FLOOR + min(max(z[f] / max(z.values()), 0), 1)) for f in names}
+    number = dict(zip(names, voter.vectors._numbers(names)))
+    for row in docs.where(toxicity.held_out() & F.col("text").isNotNull()).limit(10).collect():
+        counts = Counter(f for w in toxicity._words(row.text.encode()) for f in toxicity._forms(w) if f in weight)
+        want = {number[f]: (1 + math.log(c)) * weight[f] for f, c in counts.items()}
+        norm = math.sqrt(sum(w * w for w in want.values()))
+        terms, weights = voter.vectors.of(row.text.encode())
+        assert terms.tolist() == sorted(want) and np.allclose(weights, [want[t] / norm for t in sorted(want)])
+        near = plain_nearest(voter.index, terms, weights, toxicity.NEIGHBOURS)
+        toxic = dict(zip(voter.index.ids.tolist(), voter.index.labels.tolist()))
+        total = sum(c * c for c, _ in near)
+        vote = (sum(c * c * toxic[i] for c, i in near) + voter.prior) / (total + 1)
+        score = 1 / (1 + math.exp(-voter.curve.margin(np.array([[math.log(vote / (1 - vote))]]))[0])) if voter.curve else vote
+        assert math.isclose(voter.scores([row.text.encode()], voter.curve)[0][0], score, abs_tol=1e-4)
+
+
+def test_examples_stay_within_their_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * size) for i, size in enumerate((5, 5, 900, 5, 0, 5))] + [(9, 1, None)], "doc_id long, toxic int, text string")
+    kept = toxicity.within(rows, 20).collect()
+    assert {r.doc_id for r in kept} == {0, 1, 3, 4, 5, 9}
+    assert sum(len(r.text or "") for r in toxicity.within(rows, 12).collect()) <= 12
+
+
+def test_equal_examples_tie_by_doc_id():
+    terms, weights = np.tile(np.arange(3, dtype=np.int32), 50), np.full(150, 3**-0.5, np.float32)
+    index = toxicity.Index(np.arange(50)[::-1].copy(), np.arange(50) % 2, np.full(50, 3), terms, weights, 3)
+    found = index.nearest([(np.arange(3), np.full(3, 3**-0.5))], 15)[0]
+    assert [index.ids[i] for _, i in found] == list(range(15))
+    left_out = index.nearest([(np.arange(3), np.full(3, 3**-0.5))], 15, [49])[0]
+    assert [index.ids[i] for _, i in left_out] == list(range(1, 16))
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, voter):
