@@ -353,9 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
         votes = held.value.votes(list(texts(batch.column(1))), batch.column(0).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
-    # Sorted, so that the curve does not depend on which task ends first.
-    seen = by_batch(rows.select("doc_id", "text", "toxic"), own, "toxic int, vote double").orderBy("toxic", "vote").toArrow()
-    voter.fit_curve(seen.column("vote").to_numpy(), seen.column("toxic").to_numpy())
+    seen = by_batch(rows.select("doc_id", "text", "toxic"), own, "toxic int, vote double").toArrow()
+    votes, of = seen.column("vote").to_numpy(), seen.column("toxic").to_numpy()
+    by = np.lexsort((votes, of))  # the curve must not depend on the order of the rows
+    voter.fit_curve(votes[by], of[by])
     return voter
 
 
