@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.llm.common import texts
+from shelfwise.llm.hashing import mixed, powers
 from shelfwise.llm.vocab import shared
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
@@ -28,39 +29,19 @@ MAX_BENCHMARK_BYTES = 32 << 20
 #: Bytes of text handled at once.
 PIECE = 4 << 20
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 # Bytes of words: ASCII letters and digits, and everything beyond ASCII.
 _IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for at, base in enumerate((_B, _INVERSE)):
-            run = np.full(max(n, 1 << 20), base, np.uint64)
-            run[0] = 1
-            _powers[at] = np.multiply.accumulate(run)
-    return _powers
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word of lower-cased bytes."""
     inside = np.concatenate([[False], _IN_WORD[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _power(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    return start, end, _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def lowered(data: bytes) -> bytes:
@@ -89,7 +70,7 @@ def shingle_hashes(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for i in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + codes[i : i + n]
-    return _mix(out)
+    return mixed(out)
 
 
 def simhash(hashes: np.ndarray) -> int:

@@ -10,16 +10,16 @@ squared cosine, make a vote that a logistic curve, fitted on the examples' own v
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwise.llm.common import by_batch, crc_of, stored, texts
+from shelfwise.llm.hashing import mixed, powers
 from shelfwise.llm.linear import Logistic, logit, sigmoid
 from shelfwise.llm.vocab import shared
 
@@ -28,30 +28,67 @@ MAX_EXAMPLES, MAX_BYTES = 10_000, 64 << 20
 #: Least relevance of a term, least documents that have a stem, lengths of stems.
 FLOOR, LEAST_DOCS, STEMS = 0.02, 5, (5, 6, 7, 8)
 #: Terms that so large a share of the examples has are bounded by block; examples of a block; so many texts are searched at once.
-DENSE, BLOCK, TOGETHER = 0.05, 32, 128
+DENSE, BLOCK, TOGETHER, TOGETHER_BYTES = 0.05, 32, 128, 4 << 20
 #: What rounding may take from a cosine of single precision.
 SLACK = 1e-5
 NEIGHBOURS, EVIDENCE = 15, 3
-REMEMBERED, LONG_WORD = 100_000, 40
+#: Code points handled at once.
+PIECE = 1 << 18
+#: Blocks that are added up together where more than this share of queries and blocks is wanted.
+STRETCH, MOST = 16, 0.4
 THRESHOLD = 0.5
 SEED = 23
-_WORD = re.compile(r"\w+")
-
 
 _NEAR = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
-def _forms(word: str) -> tuple[str, ...]:
-    """A word and its stems, which end in a star."""
-    return (word, *(word[:n] + "*" for n in STEMS if len(word) > n))
-
-
-def _hashes(forms: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(form) for form in forms], np.uint64).view(np.int64)
-
-
-def _words(text: bytes | None) -> list[str]:
-    return _WORD.findall((text or b"").decode().lower())
+@cache
+def _in_word() -> np.ndarray:
+    """Which code points are letters, digits or the low line."""
+    return np.array([chr(c).isalnum() or c == ord("_") for c in range(sys.maxunicode + 1)])
+
+
+def _points(batch: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, code points in lower case, where each text begins): texts joined by a blank up to PIECE code
+    points, a longer one in pieces that end between words."""
+    start, held, size = 0, [], 0
+    for i, text in enumerate(batch):
+        held.append((text or b"").decode().lower())
+        size += len(held[-1]) + 1
+        if size < PIECE and i + 1 < len(batch):
+            continue
+        begins = np.cumsum([0, *(len(own) + 1 for own in held[:-1])])
+        points = np.frombuffer(" ".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = 0
+        while at < len(points):
+            end = min(at + 2 * PIECE, len(points))
+            while end < len(points) and _in_word()[points[end]]:
+                end += 1
+            first = max(np.searchsorted(begins, at, "right") - 1, 0)
+            yield start + first, points[at:end], np.maximum(begins[first:] - at, 0)
+            at = end
+        start, held, size = i + 1, [], 0
+
+
+def _forms(batch: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, word, forms, has) by pieces: the text of each occurrence of a word and the word's place among the different words,
+    hashes of these words and their stems, and which of them there are."""
+    for text, points, begins in _points(batch):
+        inside = np.concatenate([[False], _in_word()[points], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        up, down = powers(len(points) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * up[: len(points)], dtype=np.uint64)])
+        code = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+        _, at, word = np.unique(code, return_index=True, return_inverse=True)
+        first, length = start[at], (end - start)[at]
+        forms = np.zeros((len(at), 1 + len(STEMS)), np.uint64)
+        forms[:, 0] = mixed(code[at])
+        has = np.column_stack([np.ones(len(at), bool), *(length > n for n in STEMS)])
+        for column, n in enumerate(STEMS, 1):
+            long = has[:, column]
+            forms[long, column] = mixed((total[first[long] + n] - total[first[long]]) * down[first[long]] + np.uint64((n << 32) + 1))
+        yield text + np.searchsorted(begins, start, "right") - 1, word, forms.view(np.int64), has
 
 
 def examples(labels: DataFrame, learn: Column, limit: int) -> DataFrame:
@@ -78,18 +115,23 @@ def count_terms(rows: DataFrame) -> DataFrame:
     """(term, plain, toxic): in how many rows (text, toxic) of either label a term, known by its hash, stands; every word counts,
     and every stem that LEAST_DOCS rows have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                counts[toxic].update({form for word in set(_words(text)) for form in _forms(word)})
-        forms = list(counts[0] | counts[1])
-        for at in range(0, len(forms), 100_000):
-            part = forms[at : at + 100_000]
-            plain, toxic = ([c[form] for form in part] for c in counts)
-            yield pa.RecordBatch.from_pydict({"term": _hashes(part), "plain": plain, "toxic": toxic, "word": [form[-1] != "*" for form in part]})
-
-    sums = rows.select("text", "toxic").mapInArrow(run, "term long, plain long, toxic long, word boolean").groupBy("term")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        label = batch.column(1).to_numpy()
+        found = {True: [], False: []}
+        for text, word, forms, has in _forms(list(texts(batch.column(0)))):
+            for column in range(forms.shape[1]):
+                there = has[word, column]
+                found[column == 0].append((text[there], forms[word[there], column]))
+        parts = []
+        for is_word, pairs in found.items():
+            text, form = (np.concatenate(x) for x in zip(*pairs))
+            names, number = np.unique(form, return_inverse=True)
+            text, number = np.divmod(np.unique(text * max(len(names), 1) + number), max(len(names), 1))
+            plain, toxic = (np.bincount(number[label[text] == v], minlength=len(names)) for v in (0, 1))
+            parts.append((names, plain, toxic, np.full(len(names), is_word)))
+        return pa.RecordBatch.from_pydict(dict(zip(("term", "plain", "toxic", "word"), map(np.concatenate, zip(*parts)))))
+
+    sums = by_batch(rows.select("text", "toxic"), run, "term long, plain long, toxic long, word boolean").groupBy("term")
     sums = sums.agg(F.sum("plain").cast("int").alias("plain"), F.sum("toxic").cast("int").alias("toxic"), F.bool_or("word").alias("word"))
     return sums.where(F.col("word") | (F.col("plain") + F.col("toxic") >= LEAST_DOCS)).select("term", "plain", "toxic")
 
@@ -106,57 +148,34 @@ def term_weights(plain: np.ndarray, toxic: np.ndarray, n_plain: int, n_toxic: in
 
 
 class Vectors:
-    """Texts as unit vectors over the terms, which are numbered in the order of their hashes."""
+    """Texts as unit vectors over the terms, which are numbered in the order of their hashes.
+
+    A vector set is (bounds, terms, weights): text i has the terms and weights from bounds[i] to bounds[i + 1]."""
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray):
         by = np.argsort(terms)
         self.terms, self.idf = terms[by], weights[by]
-        self.known: dict[str, list[int]] = {}
-        self.stems: dict[str, int] = {}
 
-    def __getstate__(self):
-        return {"terms": self.terms, "idf": self.idf, "known": {}, "stems": {}}
-
-    def _numbers(self, forms: list[str]) -> list[int]:
-        """The number of each form that is a term, -1 for others."""
-        hashes = _hashes(forms)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1).tolist()
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember which terms the words hold. Where a stem is no term, no longer stem is one: fewer examples have it."""
-        for n in STEMS:
-            longer = {w[:n] for w in words if len(w) > n and (n == STEMS[0] or self.stems.get(w[: n - 1], -1) >= 0)}
-            if new := [stem for stem in longer if stem not in self.stems]:
-                self.stems.update(zip(new, self._numbers([stem + "*" for stem in new])))
-        for word, own in zip(words, self._numbers(words)):
-            found = [own] if own >= 0 else []
-            for n in STEMS:
-                if len(word) <= n or (stem := self.stems[word[:n]]) < 0:
-                    break
-                found.append(stem)
-            self.known[word] = found
-
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order and their weights; both empty if the text has none."""
-        counts = Counter(_words(text))
-        if not counts or not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0)
-        known = self.known
-        if new := [word for word in counts if word not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                self.stems.clear()
-                new = list(counts)
-            self._learn(new)
-        found = [known[word] for word in counts]
-        for word in new:
-            if len(word) > LONG_WORD:
-                del known[word]
-        times = np.repeat(list(counts.values()), [len(f) for f in found])
-        terms, place = np.unique(np.array([t for f in found for t in f], np.int64), return_inverse=True)
-        weights = (1 + np.log(np.bincount(place, times, len(terms)))) * self.idf[terms]
-        return terms, weights / np.linalg.norm(weights) if len(terms) else weights
+    def of(self, batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vectors of texts, terms in order; a text without any term has none."""
+        keys = [np.empty(0, np.int64)]
+        for text, word, forms, has in _forms(batch if len(self.terms) else []):
+            at = np.minimum(np.searchsorted(self.terms, forms[has]), len(self.terms) - 1)
+            number = np.full(forms.shape, -1)
+            number[has] = np.where(self.terms[at] == forms[has], at, -1)
+            for column in range(forms.shape[1]):
+                term = number[word, column]
+                keys.append((text * len(self.terms) + term)[term >= 0])
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        row, terms = np.divmod(key, max(len(self.terms), 1))
+        weights = (1 + np.log(times)) * self.idf[terms]
+        norm = np.sqrt(np.bincount(row, weights * weights, len(batch)))
+        return np.searchsorted(row, np.arange(len(batch) + 1)), terms, weights / norm[row]
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, count long, one range after another."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 class Index:
@@ -199,37 +218,41 @@ class Index:
         self.largest = self.rows.max(axis=1)
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.lists, self.list_weights = place[rare], self.weights[rare]
+        self.lists, self.list_weights = place[rare].astype(np.int64), self.weights[rare].astype(np.float64)
         self.query = np.zeros(self.n_terms, np.float32)
         count[often] = 0
         self.start = np.concatenate([[0], np.cumsum(count)])
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query (cosine, example) of the k examples of the largest positive cosine, ties to the smaller doc_id; not
-        the example without."""
+    def nearest(self, queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query of a vector set (cosine, example) of the k examples of the largest positive cosine, ties to the
+        smaller doc_id; not the example without."""
         if self.lists is None:
             self._build()
-        dense = np.zeros((len(queries), len(self.largest.T)), np.float32)
-        sums = np.zeros((len(queries), self.n_blocks * BLOCK), np.float32)
-        for i, (terms, weights) in enumerate(queries):
-            row = self.row[terms]
-            dense[i, row[row >= 0]] = weights[row >= 0]
-            low = self.start[terms[row < 0]]
-            count = self.start[terms[row < 0] + 1] - low
-            if total := int(count.sum()):
-                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
-                sums[i] = np.bincount(self.lists[at], self.list_weights[at] * np.repeat(weights[row < 0], count), sums.shape[1])
+        bounds, terms, weights = queries
+        n = len(bounds) - 1
+        query, row = np.repeat(np.arange(n), np.diff(bounds)), self.row[terms]
+        often = row >= 0
+        dense = np.zeros((n, len(self.largest.T)), np.float32)
+        dense[query[often], row[often]] = weights[often]
+        rare, heavy, query = terms[~often], weights[~often], query[~often]
+        count = self.start[rare + 1] - self.start[rare]
+        own = np.searchsorted(query, np.arange(n + 1))
+        sums = np.empty((n, self.n_blocks * BLOCK), np.float32)
+        for i in range(n):
+            part = slice(own[i], own[i + 1])
+            at = _spread(self.start[rare[part]], count[part])
+            sums[i] = np.bincount(self.lists[at], self.list_weights[at] * np.repeat(heavy[part], count[part]), sums.shape[1])
         if without is not None:
-            sums[np.arange(len(queries)), self.slot[without]] = -np.inf
-        sums = sums.reshape(len(queries), self.n_blocks, BLOCK)
+            sums[np.arange(n), self.slot[without]] = -np.inf
+        sums = sums.reshape(n, self.n_blocks, BLOCK)
         most = sums.max(axis=2) + dense @ self.largest.T + SLACK
         # The blocks of the best bounds first: they say what the k-th best cosine is at least.
         few = min(-(-k // BLOCK) + 1, self.n_blocks)
         first = np.zeros(most.shape, bool)
         np.put_along_axis(first, np.argpartition(-most, few - 1, axis=1)[:, :few], True, axis=1)
         self._complete(sums, dense, first)
-        least = np.zeros(len(queries))
-        for i in range(len(queries)):
+        least = np.zeros(n)
+        for i in range(n):
             seen = sums[i, first[i]].ravel()
             if len(seen) >= k:
                 least[i] = max(np.partition(seen, -k)[-k] - SLACK, 0)
@@ -238,20 +261,28 @@ class Index:
         self.looked += int(first.sum() + rest.sum())
         self.blocks_met += first.size
         sums[~(first | rest)] = -np.inf
-        return [self._best(terms, weights, s.ravel(), k) for (terms, weights), s in zip(queries, sums)]
+        return [self._best(terms[low:high], weights[low:high], s.ravel(), k) for low, high, s in zip(bounds, bounds[1:], sums)]
 
     def _complete(self, sums: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
-        """Add the frequent terms' part where a query wants a block."""
-        for block in np.flatnonzero(wanted.any(axis=0)):
-            which = np.flatnonzero(wanted[:, block])
-            sums[which, block] += dense[which] @ self.rows[block].T
+        """Add the frequent terms' part where a query wants a block; blocks that most queries want are multiplied with all at once."""
+        share = wanted.mean(axis=0)
+        for low in range(0, self.n_blocks, STRETCH):
+            stretch = slice(low, min(low + STRETCH, self.n_blocks))
+            if share[stretch].mean() > MOST:
+                rows = self.rows[stretch].reshape(-1, dense.shape[1])
+                more, part = (dense @ rows.T).reshape(len(dense), -1, BLOCK), sums[:, stretch]
+                np.add(part, more, out=part, where=wanted[:, stretch, None])
+                continue
+            for block in low + np.flatnonzero(share[stretch]):
+                which = np.flatnonzero(wanted[:, block])
+                sums[which, block] += dense[which] @ self.rows[block].T
 
     def _best(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best by cosines summed term after term: they do not depend on what else is searched along."""
         least = np.partition(cosines, -k)[-k] - SLACK if len(cosines) > k else 0
         found = []
         self.query[terms] = weights
-        for example in self.order[np.flatnonzero((cosines >= least) & (cosines > 0))].tolist():
+        for example in self.order[np.flatnonzero(cosines >= max(least, 1e-30))].tolist():
             own, heavy = self.vector(example)
             found.append((float(self.query[own] @ heavy), example))
         self.query[terms] = 0
@@ -277,11 +308,11 @@ class Voter:
 
     def found(self, batch: list[bytes | None], without: list[int] | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
         """The nearest examples of each text that has a term."""
-        vectors = [self.vectors.of(text) for text in batch]
-        some = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
-        for at in range(0, len(some), TOGETHER):
-            part = some[at : at + TOGETHER]
-            yield from zip(part, self.index.nearest([vectors[i] for i in part], NEIGHBOURS, without and [without[i] for i in part]))
+        for at, part in _together(batch):
+            bounds, terms, weights = self.vectors.of(part)
+            some = np.flatnonzero(np.diff(bounds))
+            near = self.index.nearest((np.append(bounds[some], bounds[-1]), terms, weights), NEIGHBOURS, without and [without[at + i] for i in some])
+            yield from zip((at + some).tolist(), near)
 
     def votes(self, batch: list[bytes | None], ids: list[int]) -> list[float]:
         """The vote on each example, by doc_id, of all the others."""
@@ -309,6 +340,19 @@ class Voter:
         return out
 
 
+def _together(batch: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(place, texts): at most TOGETHER texts, of TOGETHER_BYTES or one text."""
+    start = size = 0
+    for i, text in enumerate(batch):
+        own = len(text or b"")
+        if i > start and (i - start == TOGETHER or size + own > TOGETHER_BYTES):
+            yield start, batch[start:i]
+            start, size = i, 0
+        size += own
+    if start < len(batch):
+        yield start, batch[start:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Voter:
     """The model learned from at most max_examples labelled documents of max_bytes where learn, a condition on doc_id, holds.
 
@@ -332,8 +376,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = M
     weighed = shared(docs.sparkSession, vectors)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [weighed.value.of(text) for text in texts(batch.column(1))]
-        columns = [batch.column(0), batch.column(2), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([t.astype(np.int32).tobytes() for t, _ in found]), pa.array([w.astype(np.float32).tobytes() for _, w in found])]
+        lengths, found = [], []
+        for _, part in _together(list(texts(batch.column(1)))):
+            bounds, terms, weights = weighed.value.of(part)
+            lengths.append(np.diff(bounds))
+            found += [(terms[low:high], weights[low:high]) for low, high in zip(bounds, bounds[1:])]
+        columns = [batch.column(0), batch.column(2), pa.array(np.concatenate(lengths), pa.int64()), pa.array([t.astype(np.int32).tobytes() for t, _ in found]), pa.array([w.astype(np.float32).tobytes() for _, w in found])]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "length", "terms", "weights"])
 
     table = by_batch(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, length long, terms binary, weights binary").toArrow()

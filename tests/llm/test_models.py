@@ -1,6 +1,7 @@
 """Language, toxicity and quality: held-out accuracy, exact search, odd rows."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,46 @@ def plain_nearest(index, terms, weights, k):
     return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
 
+def together(queries):
+    """Single vectors as a vector set."""
+    bounds = np.cumsum([0, *(len(terms) for terms, _ in queries)])
+    return bounds, np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+
+
+def vectors_of(voter, batch):
+    bounds, terms, weights = voter.vectors.of(batch)
+    return [(terms[low:high], weights[low:high]) for low, high in zip(bounds, bounds[1:])]
+
+
+def plain_words(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def plain_forms(word):
+    return word, *(word[:n] + "*" for n in toxicity.STEMS if len(word) > n)
+
+
+def plain_hash(form):
+    """The hash of a word, or of a stem, which ends in a star."""
+    letters, m = form.rstrip("*"), 1 << 64
+    code = sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, m) for i, c in enumerate(letters))
+    code += len(letters) if form[-1] != "*" else (len(letters) << 32) + 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        code = (code % m ^ code % m >> shift) * factor % m
+    code ^= code >> 31
+    return code - m if code >> 63 else code
+
+
+def test_words_and_stems_of_texts_in_pieces(monkeypatch):
+    batch = ["One, two_2 twoandtwenty", None, "", "ÄPFEL größere twoandtwenty İstanbul 中文 e\u0301", "abcdefghij " * 9 + "x" * 100, "!"]
+    for piece in (1 << 18, 8):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        found = Counter()
+        for text, word, forms, has in toxicity._forms([b and b.encode() for b in batch]):
+            found.update((t, f) for t, w in zip(text.tolist(), word) for f, h in zip(forms[w].tolist(), has[w]) if h)
+        assert found == Counter((i, plain_hash(f)) for i, b in enumerate(batch) for w in plain_words(b or "") for f in plain_forms(w))
+
+
 def test_nearest_examples_equal_a_full_search(spark, voter):
     index, n = voter.index, len(voter.vectors.terms)
     random = np.random.default_rng(1)
@@ -96,24 +137,23 @@ def test_nearest_examples_equal_a_full_search(spark, voter):
         weights = random.random(len(terms)) + 0.01
         queries.append((terms, weights / np.linalg.norm(weights)))
     texts = table(spark, "/root/testdata/sf0.1", "documents").where(toxicity.held_out()).orderBy("doc_id").limit(60).collect()
-    vectors = [voter.vectors.of((r.text or "").encode()) for r in texts]
-    queries += [v for v in vectors if len(v[0])]
+    queries += [v for v in vectors_of(voter, [(r.text or "").encode() for r in texts]) if len(v[0])]
     index.looked = index.blocks_met = 0
-    for (terms, weights), found in zip(queries, index.nearest(queries, 15)):
+    for (terms, weights), found in zip(queries, index.nearest(together(queries), 15)):
         want = plain_nearest(index, terms, weights, 15)
         assert np.allclose([c for c, _ in found], [c for c, _ in want], atol=1e-6) and len(found) == len(want)
         least = want[-1][0] + 1e-6 if want else 0
         assert {index.ids[i] for c, i in found if c > least} == {i for c, i in want if c > least}
     assert 0 < index.looked < 0.9 * index.blocks_met
     # What is searched along makes no difference.
-    assert [index.nearest([q], 15)[0] for q in queries[:20]] == index.nearest(queries[:20], 15)
+    assert [index.nearest(together([q]), 15)[0] for q in queries[:20]] == index.nearest(together(queries[:20]), 15)
 
 
 def test_terms_weights_vote_and_score_equal_plain_versions(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.001", name) for name in ("documents", "labels"))
     voter = toxicity.fit(docs, labels, ~toxicity.held_out())
     chosen = docs.join(toxicity.examples(labels, ~toxicity.held_out(), toxicity.MAX_EXAMPLES), "doc_id").groupBy("text", "toxic").count().collect()
-    forms = [({f for w in set(toxicity._words(r.text.encode())) for f in toxicity._forms(w)}, r.toxic) for r in chosen]
+    forms = [({f for w in set(plain_words(r.text)) for f in plain_forms(w)}, r.toxic) for r in chosen]
     n = [sum(t == label for _, t in forms) for label in (0, 1)]
     seen = [Counter(f for own, t in forms if t == label for f in own) for label in (0, 1)]
     names = sorted(f for f in seen[0] | seen[1] if f[-1] != "*" or seen[0][f] + seen[1][f] >= toxicity.LEAST_DOCS)
@@ -124,12 +164,12 @@ def test_terms_weights_vote_and_score_equal_plain_versions(spark):
         z[f] = (seen[1][f] / n[1] - seen[0][f] / n[0]) / (math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9)
         idf[f] = math.log((1 + sum(n)) / (1 + seen[0][f] + seen[1][f])) + 1
     weight = {f: idf[f] * (toxicity.FLOOR + min(max(z[f] / max(z.values()), 0), 1)) for f in names}
-    number = dict(zip(names, voter.vectors._numbers(names)))
+    number = {f: voter.vectors.terms.tolist().index(plain_hash(f)) for f in names}
     for row in docs.where(toxicity.held_out() & F.col("text").isNotNull()).limit(10).collect():
-        counts = Counter(f for w in toxicity._words(row.text.encode()) for f in toxicity._forms(w) if f in weight)
+        counts = Counter(f for w in plain_words(row.text) for f in plain_forms(w) if f in weight)
         want = {number[f]: (1 + math.log(c)) * weight[f] for f, c in counts.items()}
         norm = math.sqrt(sum(w * w for w in want.values()))
-        terms, weights = voter.vectors.of(row.text.encode())
+        (terms, weights), = vectors_of(voter, [row.text.encode()])
         assert terms.tolist() == sorted(want) and np.allclose(weights, [want[t] / norm for t in sorted(want)])
         near = plain_nearest(voter.index, terms, weights, toxicity.NEIGHBOURS)
         toxic = dict(zip(voter.index.ids.tolist(), voter.index.labels.tolist()))
@@ -149,9 +189,9 @@ def test_examples_stay_within_their_bytes(spark):
 def test_equal_examples_tie_by_doc_id():
     terms, weights = np.tile(np.arange(3, dtype=np.int32), 50), np.full(150, 3**-0.5, np.float32)
     index = toxicity.Index(np.arange(50)[::-1].copy(), np.arange(50) % 2, np.full(50, 3), terms, weights, 3)
-    found = index.nearest([(np.arange(3), np.full(3, 3**-0.5))], 15)[0]
+    found = index.nearest(together([(np.arange(3), np.full(3, 3**-0.5))]), 15)[0]
     assert [index.ids[i] for _, i in found] == list(range(15))
-    left_out = index.nearest([(np.arange(3), np.full(3, 3**-0.5))], 15, [49])[0]
+    left_out = index.nearest(together([(np.arange(3), np.full(3, 3**-0.5))]), 15, [49])[0]
     assert [index.ids[i] for _, i in left_out] == list(range(1, 16))
 
 
