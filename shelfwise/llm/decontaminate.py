@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows under a multi-index, then exact similarity.
 
 For every benchmark item, each window of a document with as many words is compared with it. A window's SimHash is looked up
-in blocks of bits: two fingerprints at most r bits apart agree in one of r + 1 blocks at least, so the lookup misses none
-within the radius. Candidates are verified by the weighted Jaccard similarity of their word shingles, counted with repeats.
+in four blocks of 16 bits, each with all variants within a radius of its own: these radii and one for each block add up to r + 1,
+so two fingerprints at most r bits apart are within it in one block at least, and the lookup misses none. Candidates are verified
+by the weighted Jaccard similarity of their word shingles, counted with repeats. An item with fewer words than a shingle is one
+shingle as a whole: windows match it that are equal.
 
 A window that reaches the similarity shares a known share of its shingles with one item. So only windows that hold that many
 shingles of the benchmark at all are hashed, found by running counts; no match is lost by that, and clean text costs one
@@ -28,6 +30,8 @@ SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
 MAX_BENCHMARK_BYTES = 32 << 20
 #: Bytes of text handled at once.
 PIECE = 4 << 20
+#: Blocks of a fingerprint; the index of a block keeps the items' sizes apart in so many classes.
+BLOCKS, SIZE_CLASSES = 4, 16
 
 # Bytes of words: ASCII letters and digits, and everything beyond ASCII.
 _IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -93,30 +97,73 @@ class Items:
         self.k, self.similar, self.radius = k, similar, radius
         self.words: list[list[bytes]] = []
         self.ids: list[int] = []
-        codes = []
+        self.short: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        codes, short = [], defaultdict(list)
         for item, text in sorted(rows):
             data = lowered(text.encode())
             start, end, code = words(data)
+            own = [data[s:e] for s, e in zip(start, end)]
             if len(start) >= k:
                 self.ids.append(item)
-                self.words.append([data[s:e] for s, e in zip(start, end)])
+                self.words.append(own)
                 codes.append(shingle_hashes(code, k))
+            elif own:
+                self.short[len(own)][b" ".join(own)].append(item)
+                short[len(own)].append(shingle_hashes(code, len(own)))
+        self.short = {size: dict(known) for size, known in self.short.items()}
+        self.short_codes = {size: np.unique(np.concatenate(found)) for size, found in short.items()}
         self.known = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
         self.prints = [simhash(c) for c in codes]
         self.sizes = sorted({len(w) for w in self.words})
-        edges = [round(b * 64 / (radius + 1)) for b in range(radius + 2)]
-        self.blocks = [(low, (1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])]
-        self.index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for i, (fingerprint, own) in enumerate(zip(self.prints, self.words)):
-            for b, (low, mask) in enumerate(self.blocks):
-                self.index[len(own), b, fingerprint >> low & mask].append(i)
+        self.size_of = np.array([len(w) for w in self.words], np.int64)
+        # Block by block the items in the order of size class and bits, where each of these begins, and the block's ball.
+        apart = np.array([v.bit_count() for v in range(1 << 16)])
+        fair, more = divmod(radius + 1, BLOCKS)
+        prints = np.array(self.prints, np.uint64)
+        self.index = []
+        for block in range(BLOCKS):
+            bits = (prints >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int64)
+            key = self.size_of % SIZE_CLASSES << 16 | bits
+            order = np.argsort(key, kind="stable")
+            begins = np.searchsorted(key[order], np.arange((SIZE_CLASSES << 16) + 1)).astype(np.int32)
+            self.index.append((order, begins, np.flatnonzero(apart < fair + (block < more))))
+
+    def met(self, size: int, fingerprint: int) -> np.ndarray:
+        """Items of the size that have a block in the ball around the fingerprint's."""
+        found = []
+        for block, (order, begins, ball) in enumerate(self.index):
+            keys = size % SIZE_CLASSES << 16 | (fingerprint >> 16 * block & 0xFFFF) ^ ball
+            low = begins[keys]
+            count = begins[keys + 1] - low
+            some = np.flatnonzero(count)
+            for at in range(int(count.max(initial=0))):
+                still = some[count[some] > at]
+                found.append(order[low[still] + at])
+        found = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return found[self.size_of[found] == size]
 
     def candidates(self, size: int, fingerprint: int) -> list[int]:
         """Items of the size whose fingerprint is within the radius."""
-        near = {i for b, (low, mask) in enumerate(self.blocks) for i in self.index.get((size, b, fingerprint >> low & mask), ())}
-        return sorted(i for i in near if (self.prints[i] ^ fingerprint).bit_count() <= self.radius)
+        return [i for i in self.met(size, fingerprint).tolist() if (self.prints[i] ^ fingerprint).bit_count() <= self.radius]
+
+    def equal_to_short(self, codes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size of items of fewer than k words, where windows begin whose hash is that of an item."""
+        return {size: np.flatnonzero(np.isin(shingle_hashes(codes, size), known)) for size, known in self.short_codes.items()}
+
+    def short_matches(self, data: bytes, start: np.ndarray, end: np.ndarray, spots: dict[int, np.ndarray]) -> list[tuple]:
+        """Like matches, for the windows of one text that equal an item of fewer than k words."""
+        out = []
+        for size, places in spots.items():
+            free: dict[int, int] = {}
+            for at in places.tolist():
+                window = b" ".join(data[s:e] for s, e in zip(start[at : at + size], end[at : at + size]))
+                for item in self.short[size].get(window, ()):
+                    if at >= free.get(item, 0):
+                        free[item] = at + size
+                        out.append((item, at, size, int(start[at]), int(end[at + size - 1]), 1.0))
+        return out
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Which shingles occur in the benchmark."""
@@ -183,16 +230,19 @@ def _in_groups(items: Items, batch: pa.RecordBatch) -> tuple[list, list]:
         start, end, codes = words(data)
         hashes = shingle_hashes(codes, items.k)
         hits = items.hits(hashes)
+        short = items.equal_to_short(codes)
         limits = np.concatenate([[0], np.cumsum([len(t) + 1 for t in group])])
         first = np.searchsorted(start, limits)
         for i, text in enumerate(group):
             low, high = first[i], first[i + 1]
             top = max(high - items.k + 1, low)
+            shift, matched = limits[i], []
             if hits[low:top].any():
-                shift = limits[i]
-                found.append(items.matches(text, start[low:high] - shift, end[low:high] - shift, hashes[low:top], hits[low:top]))
-            else:
-                found.append([])
+                matched = items.matches(text, start[low:high] - shift, end[low:high] - shift, hashes[low:top], hits[low:top])
+            own = {m: at[(at >= low) & (at + m <= high)] - low for m, at in short.items()}
+            if any(map(len, own.values())):
+                matched = sorted(matched + items.short_matches(text, start[low:high] - shift, end[low:high] - shift, own))
+            found.append(matched)
         group, size = [], 0
 
     for text in texts(batch.column(1)):
@@ -212,14 +262,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar: fl
     A window of as many words as the item matches if the fingerprints differ in radius bits at most and the similarity of
     the k-word shingles is similar or more; of windows of a document that overlap, the best one for each item is given, the
     first of equals. Words are runs of letters, digits and signs beyond ASCII, in lower case; bytes count in the lower-cased
-    text. Items of fewer than k words (or null) take no part, as they have no shingle. Null and empty texts match nothing;
-    repeated rows match as often; other columns are not read; empty tables give an empty result. A benchmark of more than 32
-    MB is matched part by part.
+    text. An item of fewer than k words matches each equal window, whatever the radius; one without a word, or null, takes no part.
+    Null and empty texts match nothing; repeated rows of docs match as often, repeated items once; other columns are not read;
+    empty tables give an empty result. A benchmark of more than 32 MB is matched part by part.
     """
-    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / MAX_BENCHMARK_BYTES))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     out = None
     for p in range(parts):
         items = Items([tuple(r) for r in rows.where(part == p).collect()], k, similar, radius)
@@ -229,7 +279,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similar: fl
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that match no item, with the columns of docs. Rows without a doc_id are judged by their text alone."""
+    """The rows of docs that match no item, with the columns of docs.
+
+    A row is judged by its text alone, so rows without a doc_id and repeated rows are judged like others. Null, empty and very long
+    texts: as in matches. Empty tables: an empty docs gives an empty result, an empty benchmark leaves all rows.
+    """
     rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     named = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = matches(named, rows).select(F.col("doc_id").alias("__hash")).distinct()

@@ -112,9 +112,25 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges: int = RANGES) -> D
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """The records as Parquet files below path/shard=N. A doc_id must not repeat."""
-    placed = shard_by_bytes(docs, shards).select(F.col("doc_id").alias("__doc"), "shard", "slot")
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["__doc"])).drop("__doc")
+    """The records as Parquet files below path/shard=N, in the order of slot within a shard.
+
+    Columns of docs named shard or slot are replaced. Every row is written once, repeated rows and null doc_ids too; copies of
+    a row are interchangeable, so they are numbered and meet their places by number. An empty table writes no shard.
+    """
+    key = ("doc_id", "text_crc32", "size")
+    copies = Window.partitionBy(*key).orderBy("shard", "slot")
+    placed = shard_by_bytes(docs, shards)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    rows = docs.select(
+        F.struct(*(c for c in docs.columns if c not in ("shard", "slot"))).alias("__row"),
+        F.col("doc_id").cast("long").alias("doc_id"), crc_of("text").alias("text_crc32"), size.alias("size"),
+    )
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("__row"))))
+    placed = placed.withColumn("__copy", F.row_number().over(copies))
+    same = F.lit(True)
+    for c in (*key, "__copy"):
+        same &= F.col("r." + c).eqNullSafe(F.col("p." + c))
+    joined = rows.alias("r").join(placed.alias("p"), same).select("__row.*", "shard", "slot")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

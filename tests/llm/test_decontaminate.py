@@ -1,4 +1,5 @@
 import random
+import re
 
 from shelfwise.llm import decontaminate
 from tests.llm import brute
@@ -15,7 +16,10 @@ def test_equals_brute_force(spark, documents):
         items.append((n, " ".join(words)))
     items += [(100, None), (101, ""), (102, "too short"), (103, "none of these words stands anywhere in the corpus")]
     found = decontaminate.matches(documents, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == brute.passages(docs, [(i, t) for i, t in items if t and len(t.split()) >= 5])
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    spaced = {doc: f" {' '.join(words(text))} " for doc, text in docs}
+    short = {(doc, i) for i, t in items if 0 < len(words(t)) < 5 for doc, text in spaced.items() if f" {' '.join(words(t))} " in text}
+    assert {(r.doc_id, r.item_id) for r in found} == brute.passages(docs, [(i, t) for i, t in items if t and len(words(t)) >= 5]) | short
     assert all(r.similarity >= 0.8 for r in found)
 
 
@@ -59,3 +63,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8]
     assert decontaminate.matches(no_docs, bench).count() == 0
     assert decontaminate.matches(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_lookup_looks_at_few_items():
+    random.seed(10)
+    items = decontaminate.Items([(i, " ".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20))) for i in range(2000)], 5, 0.8, 20)
+    met = [len(items.met(20, random.getrandbits(64))) for _ in range(50)]
+    assert 0 < sum(met) < 0.3 * 50 * 2000
+    assert len(items.met(19, items.prints[0])) == 0
+
+
+def test_items_shorter_than_a_shingle_match_equal_windows(spark):
+    docs = spark.createDataFrame(
+        [(1, "one two three four"), (2, "So: One, TWO three\nfour! one two three four"), (3, "one two three"), (4, "four one two"), (5, "ha ha ha ha ha"), (6, "one two three four five"), (7, None)],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(10, "one two three four"), (11, "ha ha"), (12, "!"), (12, "three four"), (10, "one two three four")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontaminate.matches(docs, bench).collect())
+    assert found == [
+        (1, 10, 0, 4), (1, 12, 2, 2), (2, 10, 1, 4), (2, 10, 5, 4), (2, 12, 3, 2), (2, 12, 7, 2),
+        (5, 11, 0, 2), (5, 11, 2, 2), (6, 10, 0, 4), (6, 12, 2, 2),
+    ]
+    kept = decontaminate.without_contaminated(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 7]

@@ -49,3 +49,14 @@ def test_written_shards(spark, documents, tmp_path):
     shards.write_shards(documents, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == documents.count() and back.select("shard").distinct().count() == 4
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, None, "z"), (None, None, "z"), (3, "c" * 5000, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    shards.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    count = lambda found: sorted(map(str, found))
+    assert count((r.doc_id, r.text) for r in back.collect()) == count((i, t) for i, t, _ in rows)
+    places = sorted((r.shard, r.slot) for r in back.collect())
+    assert places == sorted((r.shard, r.slot) for r in shards.shard_by_bytes(docs, 3).collect())
