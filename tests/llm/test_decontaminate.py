@@ -65,14 +65,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.matches(odd_docs, bench.limit(0)).count() == 0
 
 
-def test_lookup_looks_at_few_items():
-    random.seed(10)
-    items = decontaminate.Items([(i, " ".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20))) for i in range(2000)], 5, 0.8, 20)
-    met = [len(items.met(20, random.getrandbits(64))) for _ in range(50)]
-    assert 0 < sum(met) < 0.3 * 50 * 2000
-    assert len(items.met(19, items.prints[0])) == 0
-
-
 def test_items_shorter_than_a_shingle_match_equal_windows(spark):
     docs = spark.createDataFrame(
         [(1, "one two three four"), (2, "So: One, TWO three\nfour! one two three four"), (3, "one two three"), (4, "four one two"), (5, "ha ha ha ha ha"), (6, "one two three four five"), (7, None)],
