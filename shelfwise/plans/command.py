@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import fill_tone, map_band, stockout_tone
+from shelfwise.functions.columns import fill_tone, map_band, marker_radius, mercator_x, mercator_y, stockout_tone
 from shelfwise.operators import risk
 from shelfwise.plans.serving import region_snapshot, scored
 from shelfwise.session import written
@@ -68,11 +68,12 @@ def risk_by_region(t: Tables) -> DataFrame:
 
 
 def map_points(t: Tables) -> DataFrame:
-    """Regions that have a centroid, with marker size by demand and colour by stockout rate."""
+    """Regions that have a centroid, with marker size by demand, colour by stockout rate and world coordinates."""
     centroids = (
         dim_distribution_center(t).groupBy("region").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
     )
-    points = region_snapshot(t).join(centroids, "region")
+    regions = region_snapshot(t).withColumn("peak", F.max("demand_units").over(Window.partitionBy()))  # one row per region
+    points = regions.join(centroids, "region")
     return points.select(
         "region",
         "lat",
@@ -81,6 +82,9 @@ def map_points(t: Tables) -> DataFrame:
         "stockout_rate",
         F.expr(map_band("stockout_rate")).alias("colour"),
         F.expr("stockout_rate >= 0.15D").alias("critical"),
+        F.expr(marker_radius("demand_units", "peak")).alias("radius"),
+        F.expr(f"round({mercator_x('lng')}, 4)").alias("world_x"),
+        F.expr(f"round({mercator_y('lat')}, 4)").alias("world_y"),
     )
 
 
