@@ -5,13 +5,14 @@ served leaves the shelf the same day. Receipts less served units give the course
 the least that never falls below zero. Stock ages from its last receipt; the risk that it expires is the time it takes to
 sell at the mean demand of all days, measured against the shelf life that is left.
 
-A pair of SKU and centre keeps one row for each day it moved. Only the days that are asked for are filled in, and range
-windows over both give the sums up to, 7 and 14 days before each day: the work grows with the moves and the days asked for.
+A pair of SKU and centre keeps one row for each day it moved. A move changes the sums up to, 7 and 14 days before a day on
+three days; running sums are taken over these and hold until the next change. Only the days that are asked for are filled in,
+last of all: the work grows with the moves and the days asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import shuffle_partitions
@@ -51,60 +52,69 @@ def daily_moves(t: Tables) -> DataFrame:
     )
 
 
-def _stocked(t: Tables, last_days: int, panel_days: int) -> DataFrame:
-    """The moves of stocked pairs and a row without a move for each day asked for, by pair.
+def _changes(t: Tables, first: int, panel_days: int) -> DataFrame:
+    """The days on which something of a stocked pair changes, with what changes: a move, the end of its week, its receipt, and
+    a row without a change for the first day asked for (`first`).
 
-    `ago` counts days back from the newest order's day (0) and is negative. A pair has at most one move for each day, so its
-    list is bounded by the days of the history, whatever the volume behind it. The explicit partition count keeps adaptive
+    Days count back from the newest order's day (0) and are negative. A pair has at most one move for each day, so it has no
+    more rows than the days of the history ask for, whatever the volume behind it. The explicit partition count keeps adaptive
     coalescing from sizing tasks by this input: its rows multiply.
     """
-    moves = daily_moves(t).withColumn("as_of", F.to_date(t.midnight(0)))
-    pairs = (
-        moves.withColumn("ago", F.expr("datediff(move_date, as_of)"))
+    pair = Window.partitionBy(*SERIES_KEYS)
+    moves = (
+        daily_moves(t)
+        .withColumn("as_of", F.to_date(t.midnight(0)))
+        .withColumn("ago", F.expr("datediff(move_date, as_of)"))
         .repartition(shuffle_partitions(t.spark), "l_partkey")
-        .groupBy(*SERIES_KEYS, "as_of")
-        .agg(
-            F.collect_list(F.struct("ago", "ordered", "served")).alias("moves"),
-            F.sum("ordered").alias("total"),
-            F.max("ago").alias("newest"),
-        )
+        .withColumns({"total": F.sum("ordered").over(pair), "newest": F.max("ago").over(pair)})
         .filter(F.col("newest") > -panel_days)
     )
-    asked = F.expr(f"transform(sequence(1 - {last_days}, 0), d -> named_struct('ago', d, 'ordered', 0L, 'served', 0L))")
-    rows = pairs.withColumns({"asked": asked, "w": F.expr("greatest(total, 1L)")})
-    moved = F.transform("moves", lambda m: F.struct(F.lit(False).alias("asked_for"), m.ago, m.ordered, m.served))
-    blank = F.transform("asked", lambda m: F.struct(F.lit(True).alias("asked_for"), m.ago, m.ordered, m.served))
-    return rows.select(*SERIES_KEYS, "as_of", "w", F.inline(F.concat(moved, blank)).alias("asked_for", "ago", "ordered", "served"))
+
+    def change(since: str, **values: str) -> str:
+        columns = {"since": since, "moved": "false", "o": "0L", "s": "0L", "o_week": "0L", "s_week": "0L", "o_lead": "0L"}
+        columns |= {"received": "cast(null AS int)"} | values
+        return f"named_struct({', '.join(f'{name!r}, {value}' for name, value in columns.items())})"
+
+    of_a_move = ", ".join(
+        (
+            change("ago", moved="true", o="ordered", s="served"),
+            change(f"ago + {RESERVED_DAYS}", o_week="ordered", s_week="served"),
+            change(f"ago + {LEAD_DAYS}", o_lead="ordered", received="ago"),
+        )
+    )
+    changes = f"IF(ago = newest, array({of_a_move}, {change(str(first))}), array({of_a_move}))"
+    return moves.select(*SERIES_KEYS, "as_of", F.expr("greatest(total, 1L)").alias("w"), F.inline(F.expr(changes)))
 
 
 def readings(t: Tables, last_days: int = PANEL_DAYS, panel_days: int = PANEL_DAYS) -> DataFrame:
     """INVENTORY_COLUMNS, shelf_life_days and SERIES_KEYS of each stocked pair for the last `last_days` of a panel of
     `panel_days` days that ends on the newest order's day. The rows lie by SKU: groups and windows on SERIES_KEYS need no
-    further shuffle."""
-    rows = _stocked(t, last_days, panel_days)
-    series = Window.partitionBy(*SERIES_KEYS).orderBy("ago")
-
-    def upto(column: str, days_before: int = 0) -> Column:
-        frame = series.rangeBetween(Window.unboundedPreceding, -days_before)
-        return F.coalesce(F.sum(column).over(frame), F.lit(0).cast("bigint"))
-
-    receipt_frame = series.rangeBetween(Window.unboundedPreceding, -LEAD_DAYS)
-    received = F.max(F.when(~F.col("asked_for"), F.col("ago"))).over(receipt_frame)
-    sums = rows.withColumns(
+    further shuffle.
+
+    Sums are taken on the days of a change only; each holds until the next change, and only then become days rows."""
+    first = 1 - last_days
+    series = Window.partitionBy(*SERIES_KEYS).orderBy("since")
+    upto = series.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {c: F.coalesce(F.sum(c).over(upto), F.lit(0).cast("bigint")) for c in ("o", "s", "o_week", "s_week", "o_lead")}
+    sums |= {"received": F.max("received").over(upto), "following": F.lead("since").over(series)}
+    levels = _changes(t, first, panel_days).withColumns(sums)
+    # The course falls on days with a move only, so its least value stands on one of them.
+    lowest = F.min(F.when(F.col("moved"), F.col("o_lead") - F.col("s"))).over(Window.partitionBy(*SERIES_KEYS))
+    spans = levels.withColumns(
         {
-            "o": upto("ordered"), "o_lead": upto("ordered", LEAD_DAYS), "o_week": upto("ordered", RESERVED_DAYS),
-            "s": upto("served"), "s_week": upto("served", RESERVED_DAYS), "received": received,
+            "lowest": F.least(F.lit(0).cast("bigint"), lowest),
+            "from_day": F.expr(f"greatest(since, {first})"),
+            "to_day": F.expr("least(coalesce(following - 1, 0), 0)"),
         }
-    )
-    # The course falls on days with a move only, so its least value stands on one of them.
-    lowest = F.min(F.when(~F.col("asked_for"), F.col("o_lead") - F.col("s"))).over(Window.partitionBy(*SERIES_KEYS))
-    levels = sums.withColumn("lowest", F.least(F.lit(0).cast("bigint"), lowest)).filter("asked_for")
+    ).filter("since IS NOT NULL AND from_day <= to_day")
     first_day = t.orders.agg(F.to_date(F.min("o_orderdate"))).scalar()
-    days = levels.withColumn("h", F.datediff("as_of", first_day) + 1)
-    pairs = days.join(
-        t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey")
-    ).join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
-    stock = pairs.withColumns(
+    pairs = (
+        spans.withColumn("h", F.datediff("as_of", first_day) + 1)
+        .join(t.part.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.geo, F.col("s_nationkey") == F.col("n_nationkey"))
+    )
+    days = pairs.withColumn("ago", F.explode(F.sequence("from_day", "to_day")))
+    stock = days.withColumns(
         {
             "day_idx": F.expr(f"ago + {panel_days - 1}"),
             "reading_date": F.expr("date_add(as_of, ago)"),
