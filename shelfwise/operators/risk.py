@@ -27,20 +27,25 @@ def expiry_features(inventory: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def with_forward_label(features: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Label: does the expiry score reach the action level within the next 7 days? Rows whose 7 days are not all
-    there yet are left out. `keys` identify a series; those the rows already lie together by save a shuffle."""
+def with_label_or_null(features: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Label: does the expiry score reach the action level within the next 7 days? Null for rows whose 7 days are not all
+    there yet. `keys` identify a series; those the rows already lie together by save a shuffle."""
     reached = F.when(F.col("expiry_risk_score") >= EXPIRY_LABEL_AT, F.col("day_idx"))
     backwards = Window.partitionBy(*keys).orderBy(F.col("day_idx").desc())
     later = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    label = F.coalesce((F.col("_next") <= F.col("day_idx") + LABEL_DAYS).cast("int"), F.lit(0))
     return (
         features.withColumns({"_next": F.min(reached).over(later), "_last": F.max("day_idx").over(backwards)})
-        .withColumn("label", F.coalesce((F.col("_next") <= F.col("day_idx") + LABEL_DAYS).cast("int"), F.lit(0)))
-        .filter(F.col("day_idx") + LABEL_DAYS <= F.col("_last"))
+        .withColumn("label", F.when(F.col("day_idx") + LABEL_DAYS <= F.col("_last"), label))
         .drop("_next", "_last")
     )
 
 
+def with_forward_label(features: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """The rows that have a label, with it: those whose 7 days are all there."""
+    return with_label_or_null(features, keys).filter("label IS NOT NULL")
+
+
 _STOCKOUT_SHARE = ratio("sum(stockout_flag)", "count(1)")
 
 

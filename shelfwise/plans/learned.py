@@ -9,7 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, QuantileDiscretizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -84,14 +84,36 @@ def split_days(labelled: DataFrame, share: float = TEST_SHARE) -> dict[str, Data
     }
 
 
-def _weighted(rows: DataFrame) -> DataFrame:
-    """Positives weighted by their scarcity."""
-    counts = rows.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).head()
-    return rows.withColumn("weight", F.when(F.col("label") == 1, counts["neg"] / max(1, counts["pos"])).otherwise(1.0))
+#: Steps of the grid that the classifier sees a feature on: what the finest trial tells apart.
+GRID = max(_BINS)
+_ON_GRID = tuple(f"{c}_step" for c in risk.FEATURES)
+
+
+def feature_grid(rows: DataFrame) -> Bucketizer:
+    """The grid of every feature: GRID steps at the quantiles of all its values, within a thousandth of their rank."""
+    return QuantileDiscretizer(
+        inputCols=list(risk.FEATURES), outputCols=list(_ON_GRID), numBuckets=GRID, relativeError=0.001
+    ).fit(rows)
+
+
+def on_grid(rows: DataFrame, grid: Bucketizer) -> DataFrame:
+    """Rows by step of each feature and label, equal ones as one row with their number. To trees that split on the grid they
+    are the same rows; there are no more of them than cells of the grid, however many rows there are."""
+    steps = grid.transform(rows).select("label", *[F.col(c).cast("int").alias(c) for c in _ON_GRID])
+    return steps.groupBy("label", *_ON_GRID).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weighted(counted: DataFrame) -> DataFrame:
+    """Rows weighted by their number, positives by their scarcity as well."""
+    counts = counted.agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("neg")
+    ).head()
+    scarcity = F.when(F.col("label") == 1, (counts["neg"] or 0) / max(1, counts["pos"] or 0)).otherwise(1.0)
+    return counted.withColumn("weight", F.col("n") * scarcity)
 
 
 def _expiry_pipeline() -> tuple[Pipeline, GBTClassifier]:
-    assembler = VectorAssembler(inputCols=list(risk.FEATURES), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(_ON_GRID), outputCol="features")
     trees = GBTClassifier(labelCol="label", weightCol="weight", seed=SEED)
     return Pipeline(stages=[assembler, trees]), trees
 
@@ -100,31 +122,43 @@ def train_expiry_model(
     labelled: DataFrame, iterations: int = 8, n_trials: int = EXPIRY_TRIALS
 ) -> tuple[PipelineModel, dict[str, float], list[tuple]]:
     """(model refit on all days, metrics, a row for each trial): the setting is chosen on days that no fit saw, and measured
-    on later days that neither the fits nor the choice saw."""
+    on later days that neither the fits nor the choice saw. Every row of these days counts, on the grid of the fit's features."""
     days = split_days(labelled)
-    auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
+    auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label", weightCol="n")
     pipeline, trees = _expiry_pipeline()
     settings = trials(trees, n_trials, iterations)
-    found = _Chosen(pipeline, settings, auc, written(_weighted(days["fit"]), "expiry-fit"), written(days["choose"], "expiry-choose"))
-    predicted = found.model.transform(days["measure"])
+    grid = feature_grid(days["fit"])
+    fit, choose, measure = (written(on_grid(days[part], grid), f"expiry-{part}") for part in ("fit", "choose", "measure"))
+    found = _Chosen(pipeline, settings, auc, _weighted(fit), choose)
+    predicted = found.model.transform(measure)
     precision = auc.copy().setMetricName("areaUnderPR").evaluate(predicted)
     metrics = {
         "depth": float(found.setting[trees.maxDepth]), "choice_auc": found.figure, "test_auc": auc.evaluate(predicted),
         "test_average_precision": precision,
     }
-    return pipeline.fit(_weighted(labelled), found.setting), metrics, found.report(settings)
+    grid = feature_grid(labelled)
+    refit = pipeline.fit(_weighted(written(on_grid(labelled, grid), "expiry-all")), found.setting)
+    return PipelineModel([grid, *refit.stages]), metrics, found.report(settings)
+
+
+#: What the scored table takes from the newest reading of a pair.
+_NEWEST = (
+    "brand", "division", "region", "on_hand_units", "days_to_expiry", "days_of_supply", "at_risk_expiry_units",
+    "avg_daily_demand", "reorder_gap", "shelf_life_days", "in_transit_units", "reserved_units",
+)
 
 
 def _expiry_features(t: Tables) -> DataFrame:
-    """The features of every reading, written once: the labels and the newest readings both come from them."""
+    """The features of every reading with its label (null where its days are not all there yet), worked out where the readings
+    lie and written once: the training rows and the newest readings both come from them."""
     features = readings(t).withColumn("reorder_gap", F.col("on_hand_units") - F.col("reorder_point"))
-    return written(features, "expiry-features")
+    labelled = risk.with_label_or_null(features, SERIES_KEYS)
+    return written(labelled.select(*risk.SERIES, "reading_date", "day_idx", "stockout_flag", *_NEWEST, "label"), "expiry-features")
 
 
 def _labelled(features: DataFrame) -> DataFrame:
     doubles = {c: F.col(c).cast("double") for c in risk.FEATURES}
-    labelled = risk.with_forward_label(features, SERIES_KEYS).select("day_idx", "label", *risk.FEATURES).withColumns(doubles)
-    return written(labelled, "expiry-training")
+    return features.filter("label IS NOT NULL").select("day_idx", "label", *risk.FEATURES).withColumns(doubles)
 
 
 def expiry_model_scores(t: Tables) -> DataFrame:
@@ -132,11 +166,7 @@ def expiry_model_scores(t: Tables) -> DataFrame:
     features = _expiry_features(t)
     model, *_ = train_expiry_model(_labelled(features))
     recent = features.filter(F.col("day_idx") >= PANEL_DAYS - risk.RECENT_READINGS)
-    latest = risk.risk_scores(
-        recent,
-        ("brand", "division", "region", "on_hand_units", "days_to_expiry", "days_of_supply", "at_risk_expiry_units",
-         "avg_daily_demand", "reorder_gap", "shelf_life_days", "in_transit_units", "reserved_units"),
-    )
+    latest = risk.risk_scores(recent, _NEWEST)
     probability = F.round(vector_to_array("probability")[1], 4)
     scored = risk.with_action(model.transform(latest).withColumn("expiry_risk_score", probability))
     return risk.with_names(scored, dim_product(t), dim_distribution_center(t)).select(
