@@ -20,7 +20,7 @@ def binary_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
 
 def append_raw(raw: DataFrame, landing: str) -> None:
     """Land a raw batch. The landing folder only ever grows: a stream reads it."""
-    raw.write.mode("append").parquet(landing)
+    raw.write.mode("append").option("compression", "zstd").parquet(landing)
 
 
 def raw_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
 from shelfwise.operators.governance import assert_no_pii
 from shelfwise.operators.keyed import assert_keyed
-from shelfwise.operators.quality import SALES, TYPES, quarantined_sales, silver_sales
+from shelfwise.operators.quality import SALES, TYPES, typed_sales
 from shelfwise.plans import gold
 from shelfwise.session import written
 from shelfwise.sources import store as files
@@ -23,27 +23,39 @@ PERIOD = "month"
 #: The types of silver, as quality.typed_sales makes them.
 SILVER_SCHEMA = ", ".join(f"{c} {TYPES.get(c, 'string')}" for c in SALES_COLUMNS)
 
+#: The columns of a rejected row: the feed's text, why and when.
+REJECTED = ", ".join(f"{c}: string" for c in (*SALES_COLUMNS, "reject_reason")) + ", quarantined_at: timestamp"
+
 
 def _period(column: str, by: str) -> Column:
     return F.trunc(column, by).cast("date") if by != "day" else F.to_date(column)
 
 
+def _checked(batch: DataFrame, by: str) -> DataFrame:
+    """Every row of a batch: kept ones (1) typed and with their period, rejected ones (0) as text in one column."""
+    kept = F.col("kept") == 1
+    text = F.struct(*SALES_COLUMNS, SALES.reason().alias("reject_reason"), F.current_timestamp().alias("quarantined_at"))
+    whole = batch.withColumn("kept", SALES.passed().cast("int")).withColumn("rejected", F.when(~kept, text))
+    typed = typed_sales(whole)
+    typed = typed.withColumns({c: F.when(kept, F.col(c)) for c in SALES_COLUMNS})
+    return typed.withColumn("period", _period("order_ts", by))
+
+
 def _write_batch(batch: DataFrame, batch_id: int, store: str, by: str = PERIOD) -> None:
-    """The tables of one batch, all from the same files. A batch that is run again overwrites its own part only."""
-    held = batch.persist()  # recomputed from the batch's files if an executor is lost
-    try:
-        silver = silver_sales(held).withColumn("period", _period("order_ts", by))
-        parts = silver.hint("rebalance", "period").write.mode("overwrite").partitionBy("period")
-        parts.parquet(f"{store}/silver/batch_id={batch_id}")
-        tables = {
-            "sale_periods": silver.select("sale_id", "period").distinct(),
-            "quarantine": quarantined_sales(held, with_time=True),
-            "rule_counts": SALES.metrics(held).drop("failed_pct"),
-        }
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{store}/{name}/batch_id={batch_id}")
-    finally:
-        held.unpersist()
+    """The tables of one batch, its files read once: silver and quarantine are the two halves of one table, rules are counted on
+    the way, and the index comes from what was written. A batch that is run again overwrites its own part only.
+
+    Each task writes its rows by period as they lie: nothing is shuffled.
+    """
+    spark, counted = batch.sparkSession, Observation()
+    rows = _checked(SALES.observe(batch, counted), by)
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("kept", "period").parquet(f"{store}/checked/batch_id={batch_id}")
+    index = _silver_store(spark, store).filter(F.col("batch_id") == batch_id).select("sale_id", "period").distinct()
+    index.write.mode("overwrite").parquet(f"{store}/sale_periods/batch_id={batch_id}")
+    found = counted.get
+    counts = [(rule, found["checked"], found[rule]) for rule in SALES.rules]
+    per_rule = spark.createDataFrame(counts, "rule string, checked bigint, failed bigint")
+    per_rule.coalesce(1).write.mode("overwrite").parquet(f"{store}/rule_counts/batch_id={batch_id}")
 
 
 def rule_counts(spark: SparkSession, store: str) -> DataFrame:
@@ -85,7 +97,8 @@ def run_quality(spark: SparkSession, landing: str, store: str, files_per_batch:
 
 
 def _silver_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(f"{SILVER_SCHEMA}, batch_id bigint, period date").parquet(f"{store}/silver")
+    checked = spark.read.schema(f"{SILVER_SCHEMA}, batch_id bigint, kept int, period date").parquet(f"{store}/checked")
+    return checked.filter("kept = 1").drop("kept")
 
 
 def read_silver(spark: SparkSession, store: str) -> DataFrame:
@@ -98,7 +111,8 @@ def silver_of(spark: SparkSession, store: str, periods: Sequence[date]) -> DataF
 
 
 def read_quarantine(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/quarantine").drop("batch_id")
+    checked = spark.read.schema(f"rejected struct<{REJECTED}>, batch_id bigint, kept int, period date").parquet(f"{store}/checked")
+    return checked.filter("kept = 0").select("rejected.*")
 
 
 def _batches_to_refresh(spark: SparkSession, store: str) -> list[int]:
