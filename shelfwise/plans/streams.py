@@ -61,25 +61,34 @@ WINDOW, DELAY, LATE = "1 hour", "2 hours", 50
 RESENT = 20
 
 
-def _thirds(df: DataFrame, column: str) -> Column:
-    """0, 1 or 2: the third of the table's time span that a row's time lies in."""
+def _span(df: DataFrame, column: str) -> tuple[int | None, int | None]:
+    """The first and last time of a table in microseconds."""
     micros = F.unix_micros(F.col(column).cast("timestamp"))
-    low, high = (df.agg(f(micros)).scalar() for f in (F.min, F.max))
-    return F.least(F.floor((micros - low) * 3 / F.greatest(high - low, F.lit(1))).cast("int"), F.lit(2))
+    return tuple(df.agg(F.min(micros), F.max(micros)).head())
+
+
+def _third(column: str, low: int | None, high: int | None) -> Column:
+    """0, 1 or 2: the third of the time span that a row's time lies in."""
+    micros = F.unix_micros(F.col(column).cast("timestamp"))
+    first, last = (F.lit(bound).cast("bigint") for bound in (low, high))
+    return F.least(F.floor((micros - first) * 3 / F.greatest(last - first, F.lit(1))).cast("int"), F.lit(2))
 
 
 def unique_sales(t: Tables) -> DataFrame:
     """The sales feed in three parts by time, with rows sent again in their own part and in the next: each counts once."""
     base = shared_dir(t.spark, "unique")
-    feed = raw_sales(t)
-    feed = written(feed.withColumn("part", _thirds(feed, "order_ts")), "feed")
+    feed = written(raw_sales(t), "feed")
+    feed = feed.withColumn("part", _third("order_ts", *_span(feed, "order_ts")))
     again = F.pmod(F.xxhash64("sale_id", "product_id", "outlet_id"), F.lit(RESENT)) == 0
     newest = {row.part: row.newest for row in feed.groupBy("part").agg(F.max("order_ts").alias("newest")).collect()}
     for at in range(3):
-        own, before = feed.filter(F.col("part") == at), feed.filter(F.col("part") == at - 1)
         since = F.lit(newest.get(at - 1)).cast("timestamp_ntz") - F.expr("INTERVAL 10 DAYS")
-        late = before.filter(again & (F.col("order_ts").cast("timestamp_ntz") >= since))
-        append_raw(own.unionByName(own.filter(again)).unionByName(late).drop("part"), f"{base}/landing")
+        late = (F.col("part") == at - 1) & again & (F.col("order_ts").cast("timestamp_ntz") >= since)
+        # How often a row lands now, in one pass over the feed: its own part's rows once or twice, late ones once.
+        times = F.when(F.col("part") == at, F.when(again, F.lit(2)).otherwise(F.lit(1))).when(late, F.lit(1)).otherwise(F.lit(0))
+        landing = feed.withColumn("times", times).filter("times > 0")
+        landing = landing.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        append_raw(landing.drop("part", "times", "time"), f"{base}/landing")
         events.unique_sales(t.spark, f"{base}/landing", f"{base}/unique", delay="30 days")
     return t.spark.read.parquet(f"{base}/unique")
 
@@ -87,7 +96,7 @@ def unique_sales(t: Tables) -> DataFrame:
 def event_windows(t: Tables) -> DataFrame:
     """Events and their value by hour and type as the stream appends them, and how many came too late to count."""
     base = shared_dir(t.spark, "events")
-    part = _thirds(t.events, "ts") + (F.pmod(F.col("event_id"), F.lit(LATE)) == 0).cast("int")
+    part = _third("ts", *_span(t.events, "ts")) + (F.pmod(F.col("event_id"), F.lit(LATE)) == 0).cast("int")
     landed = written(t.events.withColumn("part", part), "events")
     for at in range(4):
         landed.filter(F.col("part") == at).drop("part").write.mode("append").parquet(f"{base}/landing")
