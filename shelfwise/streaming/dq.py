@@ -13,7 +13,7 @@ from shelfwise.operators.governance import assert_no_pii
 from shelfwise.operators.keyed import assert_keyed
 from shelfwise.operators.quality import SALES, TYPES, typed_sales
 from shelfwise.plans import gold
-from shelfwise.session import written
+from shelfwise.session import shared_dir, written
 from shelfwise.sources import store as files
 from shelfwise.sources.files import raw_stream
 from shelfwise.sources.star import SALES_COLUMNS
@@ -32,13 +32,10 @@ def _period(column: str, by: str) -> Column:
 
 
 def _checked(batch: DataFrame, by: str) -> DataFrame:
-    """Every row of a batch: kept ones (1) typed and with their period, rejected ones (0) as text in one column."""
-    kept = F.col("kept") == 1
+    """Every row of a batch typed: kept ones (1) with their period, rejected ones (0) also as text in one column."""
     text = F.struct(*SALES_COLUMNS, SALES.reason().alias("reject_reason"), F.current_timestamp().alias("quarantined_at"))
-    whole = batch.withColumn("kept", SALES.passed().cast("int")).withColumn("rejected", F.when(~kept, text))
-    typed = typed_sales(whole)
-    typed = typed.withColumns({c: F.when(kept, F.col(c)) for c in SALES_COLUMNS})
-    return typed.withColumn("period", _period("order_ts", by))
+    whole = batch.withColumn("kept", SALES.passed().cast("int")).withColumn("rejected", F.when(F.col("kept") == 0, text))
+    return typed_sales(whole).withColumn("period", F.when(F.col("kept") == 1, _period("order_ts", by)))
 
 
 def _write_batch(batch: DataFrame, batch_id: int, store: str, by: str = PERIOD) -> None:
@@ -143,12 +140,28 @@ def _touched(spark: SparkSession, store: str, batches: list[int]) -> list[date]:
     return sorted(row.period for row in touched.collect())  # one value a period
 
 
+#: Parts that the sales of a period are spread over, so that no task holds a whole period.
+PARTS = 16
+
+
 def _curated(spark: SparkSession, store: str, periods: Sequence[date]) -> DataFrame:
+    """Curated sales of some periods with their period. All rows of a sale count in one period, so they meet by period and part
+    of it: the one exchange also lays the rows out as they are written."""
     several = spark.read.schema("sale_id string, period date, upto bigint").parquet(f"{store}/several_periods")
     first = several.groupBy(F.col("sale_id").alias("several_id")).agg(F.min("period").alias("first"))
     rows = silver_of(spark, store, periods).join(first, F.col("sale_id").eqNullSafe(F.col("several_id")), "left")
-    own = rows.filter("first IS NULL OR first = period").drop("several_id", "first", "period")
-    return gold.curated_from(own).select(*gold.SERVING_INPUTS)
+    own = rows.filter("first IS NULL OR first = period").drop("several_id", "first")
+    laid = own.withColumn("part", F.pmod(F.xxhash64("sale_id"), F.lit(PARTS))).repartition("period", "part")
+    return gold.curated_from(laid, keys=("period", "part", "sale_id")).select(*gold.SERVING_INPUTS, "period")
+
+
+def _swap(spark: SparkSession, aside: str, path: str, periods: Sequence[date]) -> None:
+    """Put the period folders written aside in place of a table's; a period that has lost its last sale goes."""
+    fresh = set(files.folders(spark, aside))
+    for name in (f"period={period}" for period in periods):
+        files.remove(spark, f"{path}/{name}")
+        if name in fresh:
+            files.move(spark, f"{aside}/{name}", f"{path}/{name}")
 
 
 def _replace(df: DataFrame, path: str, periods: Sequence[date], by: str) -> None:
@@ -172,12 +185,15 @@ def refresh(spark: SparkSession, store: str, by: str = PERIOD) -> list[date]:
         return []
     periods = _touched(spark, store, batches)
     if periods:
-        curated = written(_curated(spark, store, periods), "curated")
+        aside = shared_dir(spark, "curated")
+        _curated(spark, store, periods).write.option("compression", "zstd").partitionBy("period").parquet(aside)
+        curated = assert_no_pii(spark.read.parquet(aside).select(*gold.SERVING_INPUTS))
         assert_keyed(curated, gold.SERVING_KEYS["gold_sales_serving"])
-        tables = {"gold_sales_serving": assert_no_pii(curated)}
+        tables = {}
         for name, rolled in (("gold_region_daily", gold.region_daily), ("gold_national_daily", gold.national_daily)):
             tables[name] = written(rolled(curated), name)
             assert_keyed(tables[name], gold.SERVING_KEYS[name])
+        _swap(spark, aside, f"{store}/gold_sales_serving", periods)
         for name, df in tables.items():
             _replace(df, f"{store}/{name}", periods, by)
     spark.createDataFrame([(b,) for b in batches], "batch_id bigint").write.mode("append").parquet(f"{store}/refreshed")
