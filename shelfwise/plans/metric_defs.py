@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shelfwise.functions.columns import AT_RISK_NET, EXPIRY_FLAG_ABOVE, IS_STOCKOUT, exact_mean, plain_ratio
 from shelfwise.operators.metrics import MetricView
-from shelfwise.sources.inventory import INVENTORY_COLUMNS, fact_inventory
+from shelfwise.sources.inventory import INVENTORY_COLUMNS, SERIES_KEYS, fact_inventory, readings
 from shelfwise.sources.star import SALES_COLUMNS, SALES_KEYS, Tables, dim_product, fact_sales
 
 _FILL_RATE = plain_ratio("sum(units_fulfilled)", "sum(units_ordered)")
@@ -51,10 +51,33 @@ def sales_metrics(t: Tables) -> MetricView:
     )
 
 
+# Decimals of the averaged inventory columns.
+_MEANS = {"expiry_risk_score": 3, "days_of_supply": 2, "days_to_expiry": 0, "avg_daily_demand": 1}
+
+
+def _mean_of_parts(column: str) -> str:
+    """exact_mean out of the parts of its column."""
+    scale = 10 ** _MEANS[column]
+    return f"cast(sum({column}_sum) AS double) / nullif(cast(sum({column}_n) * {scale} AS double), 0D)"
+
+
 def inventory_risk_metrics(t: Tables) -> MetricView:
+    """Readings lie by SKU, so distinct SKUs and pairs are counted there; only sums leave it."""
+    parts = {
+        "n": "count(1)",
+        "on_hand": "sum(on_hand_units)",
+        "in_transit": "sum(in_transit_units)",
+        "at_risk": "sum(at_risk_expiry_units)",
+        "stockouts": "sum(stockout_flag)",
+        "flagged": f"max(CASE WHEN expiry_risk_score > {EXPIRY_FLAG_ABOVE}D THEN 1 ELSE 0 END)",
+        "pairs": "count(DISTINCT s_nationkey)",
+    }
+    for column, digits in _MEANS.items():
+        parts[f"{column}_sum"] = f"sum(cast(round({column} * {10**digits}) AS bigint))"
+        parts[f"{column}_n"] = f"count({column})"
     return MetricView(
-        source=lambda columns: fact_inventory(t),
-        columns=INVENTORY_COLUMNS,
+        source=lambda columns: readings(t),
+        columns=(*INVENTORY_COLUMNS, *SERIES_KEYS),
         dimensions={
             "reading_date": "reading_date",
             "region": "region",
@@ -63,18 +86,20 @@ def inventory_risk_metrics(t: Tables) -> MetricView:
             "distribution_center": "dc_id",
         },
         measures={
-            "readings": "count(1)",
-            "on_hand_units": "sum(on_hand_units)",
-            "in_transit_units": "sum(in_transit_units)",
-            "at_risk_expiry_units": "sum(at_risk_expiry_units)",
-            "avg_expiry_risk_score": exact_mean("expiry_risk_score", 3),
-            "stockout_rate": _STOCKOUT_READINGS,
-            "avg_days_of_supply": exact_mean("days_of_supply", 2),
-            "avg_days_to_expiry": exact_mean("days_to_expiry", 0),
-            "avg_daily_demand": exact_mean("avg_daily_demand", 1),
-            "skus_at_expiry_risk": _flagged("product_id"),
-            "sku_dcs": "count(DISTINCT dc_id, product_id)",
+            "readings": "coalesce(sum(n), 0L)",
+            "on_hand_units": "sum(on_hand)",
+            "in_transit_units": "sum(in_transit)",
+            "at_risk_expiry_units": "sum(at_risk)",
+            "avg_expiry_risk_score": _mean_of_parts("expiry_risk_score"),
+            "stockout_rate": plain_ratio("sum(stockouts)", "sum(n)"),
+            "avg_days_of_supply": _mean_of_parts("days_of_supply"),
+            "avg_days_to_expiry": _mean_of_parts("days_to_expiry"),
+            "avg_daily_demand": _mean_of_parts("avg_daily_demand"),
+            "skus_at_expiry_risk": "coalesce(sum(flagged), 0L)",
+            "sku_dcs": "coalesce(sum(pairs), 0L)",
         },
+        lies_by=("l_partkey",),
+        parts=parts,
     )
 
 
