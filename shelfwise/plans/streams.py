@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import shared_dir, written
-from shelfwise.sources.files import append_raw
-from shelfwise.sources.star import Tables, raw_sales
+from shelfwise.session import LEAN, TWO_WRITERS, settings, shared_dir, written
+from shelfwise.sources.files import append_raw, append_written
+from shelfwise.sources.star import SALES_COLUMNS, Tables, raw_sales, raw_sales_by_order
 from shelfwise.streaming import dq, events
 
 
@@ -46,12 +46,17 @@ def incremental_days(t: Tables) -> DataFrame:
 
 
 def _cycled(t: Tables, batch: Column | None = None) -> dict[str, DataFrame]:
+    """The feed is worked out and written once, by cycle; the files of a cycle's batch land when it begins."""
     base = shared_dir(t.spark, "cycle")
     batch = F.pmod(F.xxhash64("sale_id", "product_id", "dc_id", "outlet_id"), F.lit(2)) if batch is None else batch
+    feed = raw_sales_by_order(t).select(*SALES_COLUMNS, batch.cast("int").alias("cycle"))
     result = {}
-    for cycle in (0, 1):
-        append_raw(raw_sales(t).filter(batch == cycle), f"{base}/landing")
-        result = dq.run_cycle(t.spark, f"{base}/landing", f"{base}/store")
+    with settings(t.spark, LEAN):
+        with settings(t.spark, TWO_WRITERS):
+            feed.write.option("compression", "zstd").partitionBy("cycle").parquet(f"{base}/feed")
+        for cycle in (0, 1):
+            append_written(t.spark, f"{base}/feed/cycle={cycle}", f"{base}/landing")
+            result = dq.run_cycle(t.spark, f"{base}/landing", f"{base}/store")
     return result
 
 

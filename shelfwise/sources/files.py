@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
 from shelfwise.operators.governance import assert_no_pii
+from shelfwise.sources import store
 from shelfwise.sources.star import SALES_COLUMNS
 
 RAW_SCHEMA = ", ".join(f"{c} string" for c in SALES_COLUMNS)
@@ -23,6 +26,15 @@ def append_raw(raw: DataFrame, landing: str) -> None:
     raw.write.mode("append").option("compression", "zstd").parquet(landing)
 
 
+def append_written(spark: SparkSession, folder: str, landing: str) -> None:
+    """Land a raw batch that lies in a folder as raw files already: they are moved, not written again. A folder that is not
+    there is a batch without rows."""
+    store.make(spark, landing)
+    batch = uuid.uuid4().hex
+    for name in store.files(spark, folder):
+        store.move(spark, f"{folder}/{name}", f"{landing}/{batch}-{name}")
+
+
 def raw_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(RAW_SCHEMA)
     if files_per_batch:

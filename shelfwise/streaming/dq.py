@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
@@ -47,8 +47,8 @@ def _write_batch(batch: DataFrame, batch_id: int, store: str, by: str = PERIOD)
     spark, counted = batch.sparkSession, Observation()
     rows = _checked(SALES.observe(batch, counted), by)
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("kept", "period").parquet(f"{store}/checked/batch_id={batch_id}")
-    index = _silver_store(spark, store).filter(F.col("batch_id") == batch_id).select("sale_id", "period").distinct()
-    index.write.mode("overwrite").parquet(f"{store}/sale_periods/batch_id={batch_id}")
+    index = _silver_store(spark, store).filter(F.col("batch_id") == batch_id).select("sale_id", "period")
+    index.write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/sale_periods/batch_id={batch_id}")
     found = counted.get
     counts = [(rule, found["checked"], found[rule]) for rule in SALES.rules]
     per_rule = spark.createDataFrame(counts, "rule string, checked bigint, failed bigint")
@@ -123,36 +123,86 @@ def _batches_to_refresh(spark: SparkSession, store: str) -> list[int]:
 
 
 def _touched(spark: SparkSession, store: str, batches: list[int]) -> list[date]:
-    """The periods whose gold rows the batches may change: those of their rows, and the older ones of sales they send again.
+    """The periods whose gold rows the batches may change: those of their rows, and the others of sales they send again. These
+    are found in the index of sales and periods, so silver itself is not read; sales only meet if there are other periods."""
+    known = spark.read.schema("sale_id string, period date, batch_id bigint").parquet(f"{store}/sale_periods")
+    fresh = known.filter(F.col("batch_id").isin(batches))
+    own = [row.period for row in fresh.select("period").distinct().collect()]  # one value a period
+    others = known.filter(~F.col("period").isin(own))
+    if not own or others.isEmpty():
+        return sorted(own)
+    again = fresh.select(F.col("sale_id").alias("fresh_id"))
+    met = others.join(again, F.col("sale_id").eqNullSafe(F.col("fresh_id")), "left_semi").select("period").distinct()
+    return sorted(own + [row.period for row in met.collect()])
+
+
+#: What the rows of a sale are compared by first; only rows that agree in these are compared whole.
+FIRST = ("order_ts", "product_id")
+#: A bitmap marks so many rows of a file in 4 KB, and the bitmaps of so many are sent to the tasks at once (16 MB).
+MARKED, BITMAPS = 32768, 4096
+
+
+def _placed(spark: SparkSession, store: str, periods: Sequence[date]) -> DataFrame:
+    """Silver rows of some periods with their place: the hash of their file's path and their number in it."""
+    checked = spark.read.schema(f"{SILVER_SCHEMA}, kept int, period date").parquet(f"{store}/checked")
+    place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return checked.select("*", *place).filter((F.col("kept") == 1) & F.col("period").isin(list(periods))).drop("kept")
+
 
-    A sale with rows in several periods counts in the first of them; such sales are noted in several_periods. They are found
-    in the index of sales and periods, so silver itself is not read.
+def _sifted(spark: SparkSession, store: str, periods: Sequence[date], by: str) -> DataFrame:
+    """Which rows of some periods are the first of their sale: by file and block of rows a bitmap of those that are (won) and of
+    those that share the first place (tied). What the rows are first compared by and where they lie is all that is shuffled.
+
+    A sale with rows in several periods counts in the first of them. Such sales are noted with their periods, as the first may
+    not be among those of a later refresh.
     """
-    known = spark.read.schema("sale_id string, period date, batch_id bigint").parquet(f"{store}/sale_periods")
-    fresh = known.filter(F.col("batch_id").isin(batches)).select("sale_id", "period").distinct()
-    other = known.select(F.col("sale_id").alias("other_id"), F.col("period").alias("other_period"))
-    met = fresh.join(other, F.col("sale_id").eqNullSafe(F.col("other_id")) & (F.col("period") != F.col("other_period")))
-    both = met.select("sale_id", F.explode(F.array("period", "other_period")).alias("period")).distinct()
-    part = f"{store}/several_periods/upto={batches[-1]}"
-    both.write.mode("overwrite").parquet(part)
-    moved = spark.read.schema("sale_id string, period date").parquet(part)
-    touched = fresh.select("period").union(moved.select("period")).distinct()
-    return sorted(row.period for row in touched.collect())  # one value a period
+    rows = _placed(spark, store, periods)
+    if files.exists(spark, f"{store}/several_periods"):
+        several = spark.read.schema("sale_id string, period date, upto bigint").parquet(f"{store}/several_periods")
+        first = several.groupBy(F.col("sale_id").alias("several_id")).agg(F.min("period").alias("first"))
+        rows = rows.join(first, F.col("sale_id").eqNullSafe(F.col("several_id")), "left")
+        rows = rows.filter(F.col("first").isNull() | (F.col("first") >= F.col("period")) | F.col("first").isin(list(periods)))
+    of_sale = Window.partitionBy("sale_id").orderBy(*FIRST)
+    compared = rows.select("sale_id", *FIRST, "file", "row").withColumns(
+        {"rank": F.rank().over(of_sale), "equal": F.count(F.lit(1)).over(of_sale), "first_ts": F.first("order_ts").over(of_sale)}
+    )
+    compared = compared.withColumns({"period": _period("order_ts", by), "first": _period("first_ts", by)})
+    at, leads = F.expr(f"row % {MARKED}"), F.col("rank") == 1
+    noted = F.array(F.struct("sale_id", "period"), F.struct("sale_id", F.col("first").alias("period")))
+    marks = compared.groupBy("period", "file", F.expr(f"row div {MARKED}").alias("block")).agg(
+        F.bitmap_construct_agg(F.when(leads & (F.col("equal") == 1), at)).alias("won"),
+        F.bitmap_construct_agg(F.when(leads & (F.col("equal") > 1), at)).alias("tied"),
+        F.flatten(F.collect_list(F.when(F.col("first") != F.col("period"), noted))).alias("several"),
+    )
+    return written(marks, "marks")
+
+
+def _marked(rows: DataFrame, sifted: DataFrame, kind: str) -> DataFrame:
+    """The rows that are marked. The bitmaps are sent to the rows, which stay where they lie."""
+    marks = sifted.filter(f"bitmap_count({kind}) > 0").select("file", "block", F.col(kind).alias("marks"))
+    byte = f"conv(hex(substring(marks, cast(row % {MARKED} div 8 AS int) + 1, 1)), 16, 10)"
+    found = rows.withColumn("block", F.expr(f"row div {MARKED}")).join(F.broadcast(marks), ["file", "block"])
+    return found.filter(f"getbit(cast({byte} AS bigint), cast(row % 8 AS int)) = 1").drop("block", "marks")
 
 
-#: Parts that the sales of a period are spread over, so that no task holds a whole period.
-PARTS = 16
+def _groups(sifted: DataFrame) -> list[list[date]]:
+    """The periods in groups whose rows need no more than BITMAPS bitmaps of a kind; a period is not divided."""
+    groups: list[list[date]] = []
+    room = 0
+    for row in sorted(sifted.groupBy("period").agg(F.count(F.lit(1)).alias("blocks")).collect()):  # one row a period
+        if not groups or row.blocks > room:
+            groups, room = [*groups, []], BITMAPS
+        groups[-1].append(row.period)
+        room -= row.blocks
+    return groups
 
 
-def _curated(spark: SparkSession, store: str, periods: Sequence[date]) -> DataFrame:
-    """Curated sales of some periods with their period. All rows of a sale count in one period, so they meet by period and part
-    of it: the one exchange also lays the rows out as they are written."""
-    several = spark.read.schema("sale_id string, period date, upto bigint").parquet(f"{store}/several_periods")
-    first = several.groupBy(F.col("sale_id").alias("several_id")).agg(F.min("period").alias("first"))
-    rows = silver_of(spark, store, periods).join(first, F.col("sale_id").eqNullSafe(F.col("several_id")), "left")
-    own = rows.filter("first IS NULL OR first = period").drop("several_id", "first")
-    laid = own.withColumn("part", F.pmod(F.xxhash64("sale_id"), F.lit(PARTS))).repartition("period", "part")
-    return gold.curated_from(laid, keys=("period", "part", "sale_id")).select(*gold.SERVING_INPUTS, "period")
+def _curated(spark: SparkSession, store: str, sifted: DataFrame, periods: Sequence[date]) -> DataFrame:
+    """Curated sales of some periods with their period: rows that are the first of their sale are taken from where they lie, and
+    only those that share the first place meet whole."""
+    rows, marks = _placed(spark, store, periods), sifted.filter(F.col("period").isin(list(periods)))
+    first, tied = gold.derived(_marked(rows, marks, "won")), gold.curated_from(_marked(rows, marks, "tied"))
+    return first.unionByName(tied).select(*gold.SERVING_INPUTS, "period")
 
 
 def _swap(spark: SparkSession, aside: str, path: str, periods: Sequence[date]) -> None:
@@ -186,7 +236,11 @@ def refresh(spark: SparkSession, store: str, by: str = PERIOD) -> list[date]:
     periods = _touched(spark, store, batches)
     if periods:
         aside = shared_dir(spark, "curated")
-        _curated(spark, store, periods).write.option("compression", "zstd").partitionBy("period").parquet(aside)
+        sifted = _sifted(spark, store, periods, by)
+        several = sifted.select(F.explode("several").alias("s")).select("s.*").distinct()
+        several.write.mode("overwrite").parquet(f"{store}/several_periods/upto={batches[-1]}")
+        for group in _groups(sifted):
+            _curated(spark, store, sifted, group).write.mode("append").option("compression", "zstd").partitionBy("period").parquet(aside)
         curated = assert_no_pii(spark.read.parquet(aside).select(*gold.SERVING_INPUTS))
         assert_keyed(curated, gold.SERVING_KEYS["gold_sales_serving"])
         tables = {}
