@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.session import LEAN, TWO_WRITERS, settings, shared_dir, written
-from shelfwise.sources.files import append_raw, append_written
+from shelfwise.sources import store
+from shelfwise.sources.files import RAW_SCHEMA, append_raw, append_written
 from shelfwise.sources.star import SALES_COLUMNS, Tables, raw_sales, raw_sales_by_order
 from shelfwise.streaming import dq, events
 
@@ -82,19 +83,23 @@ def _third(column: str, low: int | None, high: int | None) -> Column:
 def unique_sales(t: Tables) -> DataFrame:
     """The sales feed in three parts by time, with rows sent again in their own part and in the next: each counts once."""
     base = shared_dir(t.spark, "unique")
-    feed = written(raw_sales(t), "feed")
-    feed = feed.withColumn("part", _third("order_ts", *_span(feed, "order_ts")))
-    again = F.pmod(F.xxhash64("sale_id", "product_id", "outlet_id"), F.lit(RESENT)) == 0
-    newest = {row.part: row.newest for row in feed.groupBy("part").agg(F.max("order_ts").alias("newest")).collect()}
-    for at in range(3):
-        since = F.lit(newest.get(at - 1)).cast("timestamp_ntz") - F.expr("INTERVAL 10 DAYS")
-        late = (F.col("part") == at - 1) & again & (F.col("order_ts").cast("timestamp_ntz") >= since)
-        # How often a row lands now, in one pass over the feed: its own part's rows once or twice, late ones once.
-        times = F.when(F.col("part") == at, F.when(again, F.lit(2)).otherwise(F.lit(1))).when(late, F.lit(1)).otherwise(F.lit(0))
-        landing = feed.withColumn("times", times).filter("times > 0")
-        landing = landing.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        append_raw(landing.drop("part", "times", "time"), f"{base}/landing")
-        events.unique_sales(t.spark, f"{base}/landing", f"{base}/unique", delay="30 days")
+    with settings(t.spark, LEAN):
+        raw_sales_by_order(t).select(*SALES_COLUMNS).write.option("compression", "zstd").parquet(f"{base}/feed")
+        feed = t.spark.read.schema(RAW_SCHEMA).parquet(f"{base}/feed")
+        feed = feed.withColumn("part", _third("order_ts", *_span(feed, "order_ts")))
+        again = F.pmod(F.xxhash64("sale_id", "product_id", "outlet_id"), F.lit(RESENT)) == 0
+        newest = {row.part: row.newest for row in feed.groupBy("part").agg(F.max("order_ts").alias("newest")).collect()}
+        for at in range(3):
+            since = F.lit(newest.get(at - 1)).cast("timestamp_ntz") - F.expr("INTERVAL 10 DAYS")
+            late = (F.col("part") == at - 1) & again & (F.col("order_ts").cast("timestamp_ntz") >= since)
+            # How often a row lands now, in one pass over the feed: its own part's rows once or twice, late ones once.
+            times = F.when(F.col("part") == at, F.when(again, F.lit(2)).otherwise(F.lit(1))).when(late, F.lit(1)).otherwise(F.lit(0))
+            landing = feed.withColumn("times", times).filter("times > 0")
+            landing = landing.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+            append_raw(landing.drop("part", "times", "time"), f"{base}/landing")
+            if at == 2:  # all of it has landed
+                store.remove(t.spark, f"{base}/feed")
+            events.unique_sales(t.spark, f"{base}/landing", f"{base}/unique", delay="30 days")
     return t.spark.read.parquet(f"{base}/unique")
 
 

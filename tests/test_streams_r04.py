@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.functions.columns import packed, unpacked
 from shelfwise.operators.quality import silver_sales
 from shelfwise.plans import gold, streams
 from shelfwise.session import LEAN, settings, shared_dir, written
 from shelfwise.sources.files import RAW_SCHEMA, append_raw, append_written
 from shelfwise.sources.star import SALES_COLUMNS, raw_sales, raw_sales_by_order
-from shelfwise.streaming import dq
+from shelfwise.streaming import dq, events
 
 
 def rows(df):
@@ -91,3 +92,29 @@ def test_lean_settings_hold_for_a_while(spark):
         assert spark.conf.get(key) == LEAN[key] != before
         raise KeyError
     assert spark.conf.get(key) == before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_a_packed_row_comes_back_as_it_was(spark):
+    odd = ["", " ", "x", "\x1f", "\x1b", "\x1bn", "\x1bs\x1be", "a\x1f\x1bb", 'a,"b"\n\\', None, "é中", "\x1f\x1f"]
+    texts = spark.createDataFrame([(a, b, n) for n, a in enumerate(odd) for b in odd], "a string, b string, n bigint")
+    texts = texts.withColumn("n", F.expr("CASE WHEN n % 5 = 0 THEN NULL ELSE n * -1234567890123 END"))
+    texts = texts.withColumn("at", F.expr("timestamp_ntz'2024-02-29 23:59:59.123456' + make_interval(n % 9)"))
+    names = ["a", "n", "b", "at"]
+    both = texts.select(*names, packed(names).alias("row"))
+    again = both.select(*unpacked("row", names, {"n": "bigint", "at": "timestamp_ntz"}))
+    assert again.dtypes == texts.select(names).dtypes and rows(again) == rows(texts)
+    assert both.select("row").distinct().count() == texts.distinct().count()
+
+
+def test_the_state_of_unique_sales_keeps_digests_on_disk(spark):
+    base, made = shared_dir(spark, "test-state"), []
+    for part in range(2):
+        made += [sale(f"S{n}", f"2024-01-{n % 9 + 1:02d}", dc_id=None if n % 2 else "\x1f") for n in range(part * 3, 12 + part * 3)]
+        append_raw(spark.createDataFrame(made, RAW_SCHEMA), f"{base}/landing")
+        assert events.unique_sales(spark, f"{base}/landing", f"{base}/out")["too_late"] == 0
+    assert rows(spark.read.parquet(f"{base}/out")) == rows(silver_sales(spark.createDataFrame(made, RAW_SCHEMA)).distinct())
+    kept = spark.read.format("statestore").load(f"{base}/out-checkpoint")
+    assert kept.select("key.*").dtypes == [("known", "binary")] and kept.count() == 15
+    assert not any("\x1f" in str(r) or "S1" in str(r) for r in kept.collect())
+    spark_files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.changelog").load(f"{base}/out-checkpoint/state")
+    assert spark_files.count() > 0 and spark.conf.get("spark.sql.streaming.stateStore.compression.codec", None) is None
